@@ -36,7 +36,12 @@ def _sharding_sql() -> str:
     import hashlib
 
     number = lambda t: int(hashlib.md5(t.encode()).hexdigest()[:15], 16)
-    orders = [((number(f"start:{s}") + k * (number(f"step:{s}") % (SLOTS - 1) + 1)) % SLOTS for k in range(SLOTS)) for s in SHARDS]
+
+    def order(shard: str):
+        at, step = number(f"start:{shard}"), number(f"step:{shard}") % (SLOTS - 1) + 1
+        return ((at + k * step) % SLOTS for k in range(SLOTS))
+
+    orders = [order(s) for s in SHARDS]
     owner: dict[int, str] = {}
     while len(owner) < SLOTS:
         for shard, order in zip(SHARDS, orders, strict=True):
