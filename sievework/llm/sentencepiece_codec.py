@@ -27,6 +27,7 @@ from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 MARK = "▁"
 #: Words in each of the two tables that a Python worker keeps.
@@ -223,7 +224,7 @@ def encode(df: DataFrame, model_file: str, text: str = "text", ids: str = "ids",
                 values = pa.array(packed, pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), values, pc.cast(pa.array(back, pa.string()), pa.string())], [*names, ids, decoded])
 
-    schema = df.select(*[f"`{c}`" for c in names]).schema.add(ids, "array<int>").add(decoded, "string")
+    schema = df.select(*[f"`{c}`" for c in names]).schema.add(ids, T.ArrayType(T.IntegerType())).add(decoded, "string")
     return df.mapInArrow(run, schema)
 
 
