@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import chat_format, quality_rules, secrets, sentencepiece_codec, sharding
+from sievework.llm import chat_format, license_scan, quality_classifier, quality_rules, secrets, sentencepiece_codec, sharding
 from sievework.llm.common import read
 
 SHARDS = [f"shard-{i:04d}" for i in range(64)]
@@ -43,6 +43,15 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels").select("doc_id", "quality"))
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["label"], s["start"], s["end"], s["edits"])), ",")
+    return license_scan.scan(read(spark, sf_dir, "documents")).withColumn("spans", spans)
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(read(spark, sf_dir, "documents").select("doc_id", "text", "source")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_rate", "host_suspect"
@@ -58,7 +67,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secrets, op4_chat_format, op8_quality_rules, op9_sentencepiece, op10_sharding)}
+    return {f.__name__: f for f in (op1_secrets, op4_chat_format, op5_quality_classifier, op6_license_scan, op8_quality_rules, op9_sentencepiece, op10_sharding)}
 
 
 def _sharding_sql() -> str:
