@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import chat_format, license_scan, quality_classifier, quality_rules, secrets, sentencepiece_codec, sharding
+from sievework.llm import chat_format, license_scan, quality_classifier, quality_rules, secrets, sentencepiece_codec, sharding, warc
 from sievework.llm.common import read
 
 SHARDS = [f"shard-{i:04d}" for i in range(64)]
@@ -52,6 +52,10 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(read(spark, sf_dir, "documents")).withColumn("spans", spans)
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.write(read(spark, sf_dir, "pages")).records()
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(read(spark, sf_dir, "documents").select("doc_id", "text", "source")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_rate", "host_suspect"
@@ -67,7 +71,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secrets, op4_chat_format, op5_quality_classifier, op6_license_scan, op8_quality_rules, op9_sentencepiece, op10_sharding)}
+    return {f.__name__: f for f in (op1_secrets, op4_chat_format, op5_quality_classifier, op6_license_scan, op7_warc, op8_quality_rules, op9_sentencepiece, op10_sharding)}
 
 
 def _sharding_sql() -> str:
@@ -92,5 +96,14 @@ d AS (SELECT doc_id, ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')),
 SELECT d.doc_id, CAST(d.slot AS BIGINT) AS slot, t.shard FROM d JOIN t ON d.slot = t.slot"""
 
 
+WARC_SQL = """WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+d AS (SELECT page_id, CAST(octet_length(encode(body)) AS BIGINT) AS payload_bytes, sha256(body) AS payload_digest FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
+FROM f"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op10_sharding": _sharding_sql()}
+    return {"op7_warc": WARC_SQL, "op10_sharding": _sharding_sql()}
