@@ -1,12 +1,50 @@
-"""A corpus pipeline of five stages: each reads what the one before it kept, as Parquet."""
+"""A corpus pipeline of five stages over documents; each reads what the one before it kept, as Parquet.
+
+Rejected by the quality classifier: gone. Near-duplicates: the smallest id of each group stays. Leaks of
+benchmark items: gone. Secrets: replaced by a mark, n_chars follows. What is left is encoded.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from sievework.llm import decontaminate, near_dedup, quality_classifier, secrets, sentencepiece_codec
 from sievework.llm.common import read, staged
+from sievework.llm.queries import vocabulary
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    vectors = staged(quality_classifier.features(docs), "statistics")
+    model = quality_classifier.fit(vectors, read(spark, sf_dir, "labels").select("doc_id", "quality"))
+    return quality_classifier.keep(docs, model)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    gone = near_dedup.near_duplicates(docs).where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.clean(docs, read(spark, sf_dir, "benchmark"))
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    marked = docs.withColumn("_digest", F.md5(F.coalesce("text", F.lit(""))))
+    found = secrets.scan(marked.select("doc_id", "text", "lang", "source", "_digest"), repo=F.concat_ws("/", "source", "lang"), owner="source")
+    spans = found.where(F.size("secrets") > 0).select(F.col("doc_id").alias("_id"), F.col("_digest").alias("_d"), "secrets").dropDuplicates(["_id", "_d"])
+    both = marked.join(spans, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_d")), "left")
+    hit = F.col("secrets").isNotNull()
+    text = F.when(hit, secrets.redact(F.col("text"), F.coalesce("secrets", F.array().cast(both.schema["secrets"].dataType)))).otherwise(F.col("text"))
+    kept = both.withColumn("_text", text)
+    return kept.select(*[F.col("_text").alias("text") if c == "text" else F.when(hit, F.length("_text").cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.encode(docs, vocabulary("piece_bpe_32k.model")).drop("decoded").withColumn("n_tokens", F.size("ids").cast("long"))
+
 
-STAGES = []
+STAGES = [("quality", quality), ("near_dedup", near_duplicates), ("decontamination", decontamination), ("secrets", secret_scan), ("sentencepiece", encoding)]
 ORACLE_SQL = None
 
 

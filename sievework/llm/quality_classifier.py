@@ -201,3 +201,16 @@ def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
         return vectors.select(f"`{key}`", F.lit(False).alias("held_out"), F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
     scored = score(vectors, fit(vectors, labels, key, label), key)
     return scored.select(f"`{key}`", held_out(F.col(f"`{key}`")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def keep(docs: DataFrame, model: Gaussians, text: str = "text", least: float = THRESHOLD) -> DataFrame:
+    """The rows of docs whose score reaches least; no shuffle."""
+    import pyarrow as pa
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 500):
+                part = batch.slice(i, 500)
+                yield part.filter(pa.array(model.score(np.array([statistics_of(t) for t in part.column(text).to_pylist()])) >= least))
+
+    return docs.mapInArrow(run, docs.schema)

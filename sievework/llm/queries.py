@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import chat_format, license_scan, near_dedup, quality_classifier, quality_rules, secrets, sentencepiece_codec, sharding, warc
+from sievework.llm import chat_format, decontaminate, license_scan, near_dedup, quality_classifier, quality_rules, secrets, sentencepiece_codec, sharding, warc
 from sievework.llm.common import read
 
 SHARDS = [f"shard-{i:04d}" for i in range(64)]
@@ -30,6 +30,10 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(base, 256).alias("base_sha256"), listed("secrets").alias("spans"), live.alias("n_live"), "n_copied")
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.pairs(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(read(spark, sf_dir, "documents"), words=4)
 
@@ -75,7 +79,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secrets, op3_near_dedup, op4_chat_format, op5_quality_classifier, op6_license_scan, op7_warc, op8_quality_rules, op9_sentencepiece, op10_sharding)}
+    return {f.__name__: f for f in (op1_secrets, op2_decontaminate, op3_near_dedup, op4_chat_format, op5_quality_classifier, op6_license_scan, op7_warc, op8_quality_rules, op9_sentencepiece, op10_sharding)}
 
 
 def _sharding_sql() -> str:

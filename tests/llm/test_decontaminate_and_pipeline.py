@@ -1,0 +1,85 @@
+"""Leaks against a plain Smith-Waterman over all pairs; the pipeline's decisions stage by stage."""
+
+import random
+
+import numpy as np
+
+import corpus_pipeline
+from sievework.llm import decontaminate
+from sievework.llm.sentencepiece_codec import encoder
+
+SF = "/root/testdata/sf0.001"
+
+
+def plain(a, b):
+    best, rows = 0, [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a, 1):
+        for j, y in enumerate(b, 1):
+            rows[i][j] = max(0, rows[i - 1][j - 1] + (2 if x == y else -1), rows[i - 1][j] - 1, rows[i][j - 1] - 1)
+            best = max(best, rows[i][j])
+    return best
+
+
+def test_align_is_smith_waterman():
+    rng = np.random.default_rng(2)
+    for _ in range(60):
+        a, b = rng.integers(0, 4, rng.integers(1, 15)), rng.integers(0, 4, rng.integers(1, 25))
+        score, matched, start, end = decontaminate.align(a, b)
+        assert score == plain(a.tolist(), b.tolist()) and 0 <= start <= end <= len(b) and 2 * matched >= score
+        assert plain(a.tolist(), b[start:end].tolist()) == score
+
+
+def test_edited_copies_are_found_and_clean_documents_left(spark, monkeypatch):
+    rng, vocabulary = random.Random(4), [f"w{i}" for i in range(3000)]
+    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randint(15, 60)))) for i in range(20)] + [(50, None), (51, ""), (52, "one two"), (53, "x " * 30)]
+    docs, want = [], set()
+    for d in range(200):
+        words = [rng.choice(vocabulary + ["the"] * 800) for _ in range(rng.randint(20, 400))]
+        if d % 4 == 0:
+            item = rng.randrange(20)
+            edited = [w if rng.random() > 0.12 else rng.choice(["zz", "", "zz yy"]) for w in items[item][1].split()]
+            at = rng.randrange(len(words))
+            words[at:at] = " ".join(edited).upper().split() if d % 8 else [w + "," for w in edited if w]
+            want.add((d, item))
+        docs.append((d, " ".join(words)))
+    docs += [(900, None), (901, ""), (902, items[3][1]), (902, items[3][1]), (903, "common start " * 5000 + items[4][1])]
+    want |= {(902, 3), (903, 4)}
+    for chars in (4 << 20, 600):
+        monkeypatch.setattr(decontaminate, "BLOCK_CHARS", chars)
+        got = decontaminate.pairs(spark.createDataFrame([(*d, "clash") for d in docs], "doc_id long, text string, item_id string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+        assert {(r["doc_id"], r["item_id"]) for r in got if r["item_id"] < 50} == want
+        assert sum(r["doc_id"] == 902 for r in got) == 2
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert decontaminate.pairs(spark.createDataFrame([], "doc_id long, text string"), bench).count() == 0
+    assert decontaminate.pairs(spark.createDataFrame(docs[:3], "doc_id long, text string"), bench.limit(0)).count() == 0
+
+
+def test_brute_force_on_the_table(spark):
+    docs, bench = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
+    got = {(r["doc_id"], r["item_id"]): round(r["score"], 6) for r in decontaminate.pairs(docs, bench).collect()}
+    items = decontaminate.Items([(r["item_id"], r["text"]) for r in bench.collect()])
+    want = {}
+    for r in docs.collect():
+        words = items.numbered(r["text"])
+        for i, w in zip(items.ids, items.words, strict=True):
+            if np.isin(w, words).mean() >= 0.5:
+                score, matched, _, _ = decontaminate.align(w, words)
+                if score >= decontaminate.LEAK * 2 * len(w) and matched >= min(decontaminate.LEAST_WORDS, len(w)):
+                    want[r["doc_id"], i] = round(score / (2 * len(w)), 6)
+    assert got == want
+
+
+def test_pipeline(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    final = corpus_pipeline.run(spark, SF)
+    assert final.columns == [*docs.columns, "ids", "n_tokens"]
+    rows, first = {r["doc_id"]: r for r in final.collect()}, {r["doc_id"]: r["text"] for r in docs.collect()}
+    bad = {r["doc_id"] for r in spark.read.parquet(f"{SF}/labels.parquet").where("quality = 0").collect()}
+    good = {r["doc_id"] for r in spark.read.parquet(f"{SF}/labels.parquet").where("quality = 1").collect()}
+    assert len(bad & set(rows)) <= 0.1 * len(bad) and len(rows) > 0.6 * len(good) / (len(good) + len(bad)) * len(first)
+    assert len({r["text"] for r in rows.values()}) == len(rows)
+    assert not {(r["doc_id"]) for r in decontaminate.pairs(final, spark.read.parquet(f"{SF}/benchmark.parquet")).collect()}
+    lib = encoder(corpus_pipeline.vocabulary("piece_bpe_32k.model")).lib
+    for i, r in rows.items():
+        assert r["text"] == first[i] or "[SECRET]" in r["text"]
+        assert r["ids"] == lib.encode(r["text"], add_bos=True, add_eos=True) and r["n_tokens"] == len(r["ids"]) and r["n_chars"] == len(r["text"])
