@@ -68,3 +68,32 @@ def prefix_sums(lengths: Column) -> Column:
     offset = lambda: F.aggregate(chunks, zero(), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + F.element_at(x, -1))))
     shifted = F.transform(F.arrays_zip(chunks.alias("c"), F.slice(offset(), 1, F.size(chunks)).alias("o")), lambda z: F.transform(F.slice(z["c"], 1, F.size(z["c"]) - 1), lambda v: v + z["o"]))
     return F.when(F.size(lengths) > 0, F.flatten(shifted)).otherwise(F.array().cast("array<bigint>"))
+
+
+#: Bits of the filter that stands before joins of whole texts: 8 MB at most, whatever the input.
+FILTER_BITS = 1 << 26
+
+
+def _filtered(df: DataFrame, key: str, ids: DataFrame, id_col: str) -> DataFrame:
+    """df with _maybe: whether its key may be among ids. A bitmap of hashed ids of fixed size is broadcast, so no row moves."""
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS)) + 1
+    bits = ids.select(place(F.col(f"`{id_col}`")).alias("p")).select(F.bitmap_bucket_number("p").alias("_bucket"), F.bitmap_bit_position("p").alias("b"))
+    maps = bits.groupBy("_bucket").agg(F.bitmap_construct_agg("b").alias("_bits"))
+    placed = df.withColumn("_place", place(F.col(f"`{key}`"))).withColumns({"_bucket": F.bitmap_bucket_number("_place"), "_bit": F.bitmap_bit_position("_place")})
+    byte = F.conv(F.hex(F.substr("_bits", (F.col("_bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = byte.bitwiseAND(F.pow(F.lit(2), F.col("_bit") % 8).cast("int")) != 0
+    joined = placed.join(F.broadcast(maps), "_bucket", "left").withColumn("_maybe", F.coalesce(hit, F.lit(False)))
+    return joined.select(*[f"`{c}`" for c in df.columns], "_maybe")
+
+
+def among(df: DataFrame, key: str, ids: DataFrame, id_col: str) -> DataFrame:
+    """Rows of df whose key is among ids (null equals null). Rows that the filter rules out aren't shuffled."""
+    few = _filtered(df, key, ids, id_col).where("_maybe").drop("_maybe")
+    return few.join(ids.select(F.col(f"`{id_col}`").alias("_id")).distinct(), F.col(f"`{key}`").eqNullSafe(F.col("_id")), "left_semi")
+
+
+def without(df: DataFrame, key: str, ids: DataFrame, id_col: str) -> DataFrame:
+    """Rows of df whose key isn't among ids (null equals null). Rows that the filter rules out aren't shuffled."""
+    marked = _filtered(df, key, ids, id_col)
+    few = marked.where("_maybe").drop("_maybe").join(ids.select(F.col(f"`{id_col}`").alias("_id")).distinct(), F.col(f"`{key}`").eqNullSafe(F.col("_id")), "left_anti")
+    return marked.where("not _maybe").drop("_maybe").unionAll(few)

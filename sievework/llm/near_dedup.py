@@ -33,7 +33,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievework.llm.common import staged
+from sievework.llm.common import among, staged
 
 WORDS, THRESHOLD = 5, (80, 100)
 BANDS, ROWS = 32, 4
@@ -309,7 +309,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     signed = classes.select(F.col("rep").alias("doc"), "sig")
     suspects = components(linked(buckets, signed, F.lit(1), BLOCK_CLASSES, threshold))
     groups = staged(suspects.join(classes, F.col("node") == F.col("rep")).select(F.col("root").alias("bucket"), F.col("rep").alias("doc"), "n", "sig"), "suspects")
-    wanted = docs.select(f"`{key}`", f"`{text}`").join(groups.select(F.col("doc").alias("_d")).distinct(), F.col(f"`{key}`") == F.col("_d"), "left_semi")
+    wanted = among(docs.select(f"`{key}`", f"`{text}`"), key, groups, "doc")
     sets = staged(full_sets(wanted, key, text, words).groupBy("doc").agg(F.first("items").alias("items")), "sets")
     links = linked(groups.drop("sig"), sets.join(groups.select("doc", "sig"), "doc"), F.col("n"), BLOCK_SHINGLES, threshold)
     found = components(links)
