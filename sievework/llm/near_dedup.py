@@ -41,7 +41,7 @@ HASHES = BANDS * ROWS
 #: Signature entries compared at once, and the chance at which a pair of the threshold's similarity may be pruned.
 BATCH, MISS = 32, 1e-5
 #: Classes of a block in step 2, shingles of a block in step 3.
-BLOCK_CLASSES, BLOCK_SHINGLES = 1_024, 1_000_000
+BLOCK_CLASSES, BLOCK_SHINGLES = 1_024, 100_000
 _CACHED_WORDS = 400_000
 _PLACES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
 
