@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievework.llm.common import staged
+from sievework.llm.common import staged, without
 
 N, WINDOW = 3, 3
 #: Share of the item's own score that makes a leak.
@@ -254,4 +254,4 @@ def pairs(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
 def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", leak: float = LEAK) -> DataFrame:
     """docs without the documents that leak an item."""
     found = staged(pairs(docs, benchmark, key, text, item, item_text, leak).select(F.col(f"`{key}`").alias("_leak")).distinct(), "leaks")
-    return docs.join(found, F.col(f"`{key}`").eqNullSafe(F.col("_leak")), "left_anti")
+    return without(docs, key, found, "_leak")
