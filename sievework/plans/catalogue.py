@@ -420,8 +420,10 @@ def q_route_table(spark, sf_dir):
     pick = lambda k, names: F.element_at(F.array(*map(F.lit, names)), (k % len(names) + 1).cast("int"))
     op, who = pick(c("l_suppkey"), ["remove", "replace", "fill", "attribute_change", "tint"]), pick(c("l_partkey"), ["red car", "tall man", "bag", "sign"])
     none = F.lit("")
-    way = routing.route(op, routing.anchor_meta(who, none, none, none), c("l_quantity") / 100, c("l_tax") * 60, c("l_discount") * 5, c("l_linenumber") % 4, F.lit(False))
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", way["reason"].alias("reason"))
+    # the flags are a column of their own, so that each rule reads them instead of working them out again
+    jobs = table(spark, sf_dir, "lineitem").withColumns({"op": op, "who": who}).withColumn("meta", routing.anchor_meta(c("who"), none, none, none))
+    way = routing.route(c("op"), c("meta"), c("l_quantity") / 100, c("l_tax") * 60, c("l_discount") * 5, c("l_linenumber") % 4, F.lit(False))
+    return jobs.select("l_orderkey", "l_partkey", "l_linenumber", way.alias("way")).select("l_orderkey", "l_partkey", "l_linenumber", "way.reason")
 
 
 def boxes(spark, sf_dir) -> DataFrame:
