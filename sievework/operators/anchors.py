@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sievework.functions import geometry, scoring, text
-from sievework.functions.coerce import STRINGS, clean_string_list, distinct_by, nonempty, rooted, safe_str
+from sievework.functions.coerce import STRINGS, clean_string_list, distinct_by, let, nonempty, rooted, safe_str
 from sievework.operators import gates, relational
 
 RELATION = "array<struct<type:string,target_anchor_id:string>>"
@@ -24,17 +24,15 @@ def _allowed(c: Column, values: list[str], default: str) -> Column:
 
 def sanitized(a: Column, i: Column) -> Column:
     """A cleaned anchor, numbered by place; null if its span is generic."""
-    span = text.squeeze(a["span"])
-    tags = text.semantic_tags(a["semantic_tags_raw"], a["semantic_tags"], a["span"])
-    level = text.squeeze(a["localization"]["level"])
-    clean = F.struct(
+    span, level = text.squeeze(a["span"]), text.squeeze(a["localization"]["level"])
+    clean = lambda tags: F.struct(
         F.coalesce(nonempty(text.squeeze(a["anchor_id"])), F.concat(F.lit("a"), (i + 1).cast("string"))).alias("old_id"), span.alias("span"), tags["raw"].alias("semantic_tags_raw"), tags["tags"].alias("semantic_tags"),
         text.functional_role(a["functional_role"], a["span"], tags["tags"]).alias("functional_role"),
         F.struct(F.when(level == "", "object").otherwise(level).alias("level"), _allowed(a["localization"]["region_hint"], text.REGION_HINTS, "center").alias("region_hint")).alias("localization"),
         clean_string_list(a["attributes"]).alias("attributes"), F.coalesce(a["relations"], F.array().cast(RELATION)).alias("relations"),
         _allowed(a["visibility"], text.VISIBILITIES, "partial").alias("visibility"), _allowed(a["salience"], text.LEVELS, "medium").alias("salience"), _allowed(a["confidence"], text.LEVELS, "medium").alias("confidence"),
     )
-    return F.when(~text.is_generic_span(a["span"]), clean)
+    return F.when(~text.is_generic_span(a["span"]), let(text.semantic_tags(a["semantic_tags_raw"], a["semantic_tags"], a["span"]), clean))
 
 
 def postprocessed(anchors: Column) -> Column:
@@ -42,11 +40,16 @@ def postprocessed(anchors: Column) -> Column:
     A relation to an anchor that went keeps its name, and so may meet a renumbered one: as in the data this reads."""
     kept = distinct_by(F.filter(F.transform(anchors, sanitized), lambda a: a.isNotNull()), lambda a: text.normal_span(a["span"]))
     numbered = F.transform(kept, lambda a, i: a.withField("anchor_id", F.concat(F.lit("a"), (i + 1).cast("string"))))
-    ids = F.transform(numbered, lambda a: a["anchor_id"])
-    # of equal old names the last counts
-    renamed = lambda t: F.coalesce(F.try_element_at(F.transform(F.filter(numbered, lambda b: b["old_id"] == t), lambda b: b["anchor_id"]), F.lit(-1)), t)
-    moved = lambda a: F.transform(a["relations"], lambda r: F.struct(r["type"].alias("type"), renamed(r["target_anchor_id"]).alias("target_anchor_id")))
-    return F.transform(numbered, lambda a: F.struct(a["anchor_id"].alias("anchor_id"), *[a[n].alias(n) for n in ("span", "semantic_tags_raw", "semantic_tags", "functional_role", "localization", "attributes")], text.relations(moved(a), ids).alias("relations"), *[a[n].alias(n) for n in ("visibility", "salience", "confidence")]))
+
+    def related(all_: Column) -> Column:
+        ids = F.transform(all_, lambda a: a["anchor_id"])
+        # of equal old names the last counts
+        renamed = lambda t: F.coalesce(F.try_element_at(F.transform(F.filter(all_, lambda b: b["old_id"] == t), lambda b: b["anchor_id"]), F.lit(-1)), t)
+        moved = lambda a: F.transform(a["relations"], lambda r: F.struct(r["type"].alias("type"), renamed(r["target_anchor_id"]).alias("target_anchor_id")))
+        same = lambda a, names: [a[n].alias(n) for n in names]
+        return F.transform(all_, lambda a: F.struct(*same(a, ("anchor_id", "span", "semantic_tags_raw", "semantic_tags", "functional_role", "localization", "attributes")), text.relations(moved(a), ids).alias("relations"), *same(a, ("visibility", "salience", "confidence"))))
+
+    return let(numbered, related)
 
 
 def _made(span: Column, tag: Column, role: Column, visibility: str) -> Column:
@@ -68,8 +71,7 @@ def _spans(anchors: Column) -> Column:
 
 def with_visible_text(anchors: Column, items: Column, visible: Column) -> Column:
     """Anchors and those of visible texts that no span names yet."""
-    given = clean_string_list(items)
-    units = F.when(F.size(given) > 0, given).otherwise(text.visible_units(visible))
+    units = let(clean_string_list(items), lambda given: F.when(F.size(given) > 0, given).otherwise(text.visible_units(visible)))
     more = F.transform(_fresh(units, _spans(anchors)), lambda s: _made(s, F.lit("sign_text"), F.lit("text element"), "full"))
     return postprocessed(F.concat(anchors, more))
 
@@ -77,7 +79,7 @@ def with_visible_text(anchors: Column, items: Column, visible: Column) -> Column
 def without_weak(anchors: Column, supported: list[Column], visible: Column) -> Column:
     """Anchors without the small, unsure ones that no list of the caption names."""
     named = F.transform(F.concat(*[clean_string_list(c) for c in supported], text.visible_units(visible)), text.normal_span)
-    return postprocessed(F.filter(anchors, lambda a: ~text.is_weak(a["visibility"], a["confidence"]) | F.array_contains(named, text.normal_span(a["span"]))))
+    return postprocessed(let(named, lambda known: F.filter(anchors, lambda a: ~text.is_weak(a["visibility"], a["confidence"]) | F.array_contains(known, text.normal_span(a["span"])))))
 
 
 def with_missed(anchors: Column, missed: Column) -> Column:
@@ -94,8 +96,7 @@ def from_caption(notable: Column, candidates: Column, regions: Column, items: Co
     scene, writing = "visible scene element", "text element"
     rows = F.concat(tagged(notable, 1 << 30, scene), tagged(candidates, 8, scene), tagged(regions, 10, "scene region"), tagged(items, 12, writing), tagged(text.visible_units(visible), 14, writing))
     usable = distinct_by(F.filter(rows, lambda r: ~text.is_generic_span(r["s"])), lambda r: text.normal_span(r["s"]))
-    empty = F.slice(usable, 1, 0)
-    taken = F.aggregate(usable, empty, lambda acc, r: F.when(F.size(acc) < r["most"], F.concat(acc, F.array(r))).otherwise(acc))
+    taken = let(usable, lambda u: F.aggregate(u, F.slice(u, 1, 0), lambda acc, r: F.when(F.size(acc) < r["most"], F.concat(acc, F.array(r))).otherwise(acc)))
     return postprocessed(F.transform(taken, lambda r: _made(r["s"], text.span_tag(r["s"]), r["role"], "partial")))
 
 

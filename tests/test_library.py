@@ -83,7 +83,7 @@ def test_detections(spark):
     rows = [([0.0, 0.0, 100.0, 100.0], 0.9, "object", False), ([0.0, 0.0, 1.0, 1.0], 0.1, "object", False), ([0.0, 0.0, 5.0, 5.0], 0.9, "people", True), ([0.0, 0.0, 97.0, 90.0], 0.9, "people", True), ([0.0, 0.0, 97.0, 96.0], 0.9, "building", False), ([0.0, 0.0, 100.0, 100.0], 0.9, "background", False)]
     df = spark.createDataFrame(rows, "box array<double>, score double, cat string, multi boolean").select(geometry.evaluated(c("box"), c("score"), c("cat"), c("multi"), F.lit(1000), F.lit(1000)).alias("small"), geometry.evaluated(c("box"), c("score"), c("cat"), c("multi"), F.lit(100), F.lit(100)).alias("e"))
     got = df.collect()
-    assert [r["e"]["rejection_reasons"] for r in got] == [["scene_level_box", "full_frame_box"], ["low_score"], ["too_small_for_group"], ["scene_level_box"], ["scene_level_box"], []]
+    assert [r["e"]["rejection_reasons"] for r in got] == [["scene_level_box", "full_frame_box"], ["low_score", "tiny_box"], ["too_small_for_group"], ["scene_level_box"], ["scene_level_box"], []]
     assert got[0]["e"]["precision_score"] == pytest.approx(0.9 - 0.45 - 0.40 - 0.10) and got[1]["small"]["rejection_reasons"] == ["low_score", "tiny_box"]
 
 
