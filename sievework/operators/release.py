@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievework.functions import scoring, text
-from sievework.functions.coerce import clamp, first_nonempty, nonempty, safe_str
+from sievework.functions.coerce import clamp, distinct_by, first_nonempty, let, nonempty, safe_str
 from sievework.operators import gates, relational
 
 MODALITIES = ["pristine", "image_only", "text_only", "image_text"]
@@ -57,27 +57,32 @@ def original(manifest: Column, plan: Column) -> Column:
 def payload(rewrites: Column, mode: str) -> Column:
     """A mode's rewrite; fields that it lacks come from its raw JSON text. rewrites: map of struct with rewritten_headline,
     text_edit_operation, nli_direction, rewrite_rationale, error, raw_rewrite_output."""
-    p = F.try_element_at(rewrites, F.lit(mode))
-    raw = p["raw_rewrite_output"]
-    spoken = F.coalesce(F.try_parse_json(raw), F.try_parse_json(F.regexp_extract(raw, r"(?s)\{.*\}", 0)))
-    value = lambda f: F.coalesce(p[f], F.try_variant_get(spoken, f"$.{f}", "string"), F.lit(""))
-    return F.when(p.isNotNull(), F.struct(*[value(f).alias(f) for f in ("rewritten_headline", "text_edit_operation", "nli_direction", "rewrite_rationale", "error")]))
+    fields = ("rewritten_headline", "text_edit_operation", "nli_direction", "rewrite_rationale", "error")
+    spoken = lambda raw: F.coalesce(F.try_parse_json(raw), F.try_parse_json(F.regexp_extract(raw, r"(?s)\{.*\}", 0)))
+    value = lambda x, f: F.coalesce(x["p"][f], F.try_variant_get(x["v"], f"$.{f}", "string"), F.lit(""))
+    both = let(F.try_element_at(rewrites, F.lit(mode)), lambda p: F.struct(p.alias("p"), spoken(p["raw_rewrite_output"]).alias("v")))
+    return let(both, lambda x: F.when(x["p"].isNotNull(), F.struct(*[value(x, f).alias(f) for f in fields])))
+
+
+def _usable(rewrites: Column, mode: str, source: str) -> Column:
+    """A mode's rewrite with its source, if it has a headline."""
+    return let(payload(rewrites, mode), lambda p: F.when(p["rewritten_headline"] != "", p.withField("source", F.lit(source))))
 
 
 def rewrite(rewrites: Column, preferred: str, cross: bool = True) -> Column:
     """Struct of the preferred mode's rewrite, else the other mode's, with its source; null where neither has a headline."""
     other = {"joint": "text_only", "text_only": "joint"}[preferred]
-    usable = lambda mode, source: F.when(payload(rewrites, mode)["rewritten_headline"] != "", payload(rewrites, mode).withField("source", F.lit(source)))
-    return F.coalesce(usable(preferred, preferred), usable(other, f"{other}_fallback")) if cross else usable(preferred, preferred)
+    own = _usable(rewrites, preferred, preferred)
+    return F.coalesce(own, _usable(rewrites, other, f"{other}_fallback")) if cross else own
 
 
 def variants(rewrites: Column, cfg: BuildConfig) -> Column:
     """Text-only rewrites of a candidate, each headline once; one empty variant if there is none."""
-    joint = F.when(payload(rewrites, "joint")["rewritten_headline"] != "", payload(rewrites, "joint").withField("source", F.lit("joint_as_text_only")))
-    found = F.array_compact(F.array(rewrite(rewrites, "text_only", cfg.cross_mode), *([joint] if cfg.joint_as_text else [])))
-    once = F.filter(found, lambda v, i: (i == 0) | (text.words_only(v["rewritten_headline"]) != text.words_only(F.get(found, F.lit(0))["rewritten_headline"])))
+    joint = [_usable(rewrites, "joint", "joint_as_text_only")] if cfg.joint_as_text else []
+    found = F.array_compact(F.array(rewrite(rewrites, "text_only", cfg.cross_mode), *joint))
     none = F.struct(*[F.lit("").alias(f) for f in ("rewritten_headline", "text_edit_operation", "nli_direction", "rewrite_rationale", "error")], F.lit("missing").alias("source"))
-    return F.when(F.size(once) > 0, once).otherwise(F.array(none))
+    once = distinct_by(found, lambda v: text.words_only(v["rewritten_headline"]))
+    return let(once, lambda o: F.when(F.size(o) > 0, o).otherwise(F.array(none)))
 
 
 def components(candidate: Column, plan: Column, tier: Column, direction: Column, model: scoring.SeverityModel) -> Column:

@@ -179,7 +179,8 @@ def test_release_build(spark, tmp_path):
     results = spark.createDataFrame([good, good[:7] + (0.1,) + good[8:], ("s1", "a1", "image_only", "high", 0, True, "boom", 0.1, 0.99, 0.1, "replace", None, None, "p.png", None, None, "")], result)
     looked = relational.lookups(results, plans, anchors_, manifests)
     cfg = release.BuildConfig(require_valid=False)
-    edited = release.edited_examples(looked, None, cfg)
+    held = lambda df: spark.createDataFrame(df.collect(), df.schema)
+    edited = held(release.edited_examples(looked, None, cfg))
     rows = edited.collect()
     assert sorted(r["filter_reason"] for r in rows) == ["edit_error;low_realism;changed_ratio_too_high;masked_delta_too_low", "low_realism", "passed"]
     ok = next(r for r in rows if r["filter_reason"] == "passed")
@@ -187,10 +188,10 @@ def test_release_build(spark, tmp_path):
     assert ok["pair_id"].startswith("s1__a1__image_text__replace__high__high__0__") and len(ok["pair_id"].split("__")[-1]) == 10
     strict = release.edited_examples(looked, None, release.BuildConfig(require_valid=True)).collect()
     assert all("anchor_invalid:mask_too_small" in r["filter_reason"] for r in strict)
-    texts = release.text_examples(plans, anchors_, manifests, cfg)
+    texts = held(release.text_examples(plans, anchors_, manifests, cfg))
     assert [(r["headline_edited"], r["filter_reason"]) for r in texts.collect()] == [("other words stand here", "passed")]
     pristine = release.pristine_examples(manifests)
-    kept, refused = release.release(pristine, edited, texts, cfg)
+    kept, refused = map(held, release.release(pristine, edited, texts, cfg))
     assert kept.count() == 3 and refused.count() == 2 and {r["split"] for r in kept.collect()} <= {"train", "val", "test"}
     counts = {(r["counter"], r["value"]): r["n"] for r in release.stats(kept, refused).collect()}
     assert counts["modality", "pristine"] == 1 and counts["quarantine_reason", "low_realism"] == 2 and counts["requested_to_final", "high->high"] >= 1
