@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievework.functions.coerce import clamp, safe_str
+from sievework.functions.coerce import clamp, let, safe_str
 from sievework.functions.text import is_vague, lexical_change, lower_squeezed, squeeze
 
 # Limits, and terms that mark articles and edits for review.
@@ -19,13 +19,21 @@ EDIT_TERMS = ["ethnicity", "ethnic", "race", "racial", "religion", "religious",
 
 def text_reason(text: Column, original: Column | None = None, least: int = 3, most: int = 80, change: float = 0.01) -> Column:
     """The first rule that a text breaks, else 'ok'."""
-    t = squeeze(text)
-    low, n = F.lower(t), F.size(F.split(t, " "))
-    out = F.when(t == "", "empty_text").when(low.contains("[mask]") | low.contains("[fill]") | low.contains("[visual]"), "prompt_markup_left_in_text")
-    out = out.when(n < least, "too_short").when(n > most, "too_long").when(t.rlike(r"(.)\1{4,}"), "repeated_chars")
-    if original is not None:
-        out = out.when(original.isNotNull() & (lexical_change(original, t) < change), "too_similar_to_original")
-    return out.otherwise("ok")
+
+    def first(x: Column) -> Column:
+        t, n = x["t"], x["n"]
+        out = F.when(t == "", "empty_text").when(F.lower(t).rlike(r"\[(?:mask|fill|visual)\]"), "prompt_markup_left_in_text")
+        out = out.when(n < least, "too_short").when(n > most, "too_long").when(t.rlike(r"(.)\1{4,}"), "repeated_chars")
+        if original is not None:
+            out = out.when(original.isNotNull() & (lexical_change(original, t) < change), "too_similar_to_original")
+        return out.otherwise("ok")
+
+    return let(let(squeeze(text), lambda t: F.struct(t.alias("t"), F.size(F.split(t, " ")).alias("n"))), first)
+
+
+def broken(reason: Column) -> Column:
+    """The reason of a text that breaks a rule, null for 'ok'."""
+    return let(reason, lambda r: F.when(r != "ok", r))
 
 
 def technical_reason(status: Column, grounding_status: Column, mask_path: Column, mask_ratio: Column, grounding: Column, verify: Column, text: Column) -> Column:
@@ -38,13 +46,13 @@ def technical_reason(status: Column, grounding_status: Column, mask_path: Column
 
 
 def reasons(*rules: tuple[Column, str | Column]) -> Column:
-    """All reasons whose condition holds, in order."""
+    """All reasons whose condition holds and that aren't null, in order."""
     return F.array_compact(F.array(*[F.when(hit, why if isinstance(why, Column) else F.lit(why)) for hit, why in rules]))
 
 
 def filter_reason(found: Column) -> Column:
     """Distinct reasons joined, or 'passed'."""
-    return F.when(F.size(found) == 0, "passed").otherwise(F.array_join(F.array_distinct(found), ";"))
+    return let(found, lambda r: F.when(F.size(r) == 0, "passed").otherwise(F.array_join(F.array_distinct(r), ";")))
 
 
 def kept_and_quarantined(df: DataFrame, reason: str = "filter_reason") -> tuple[DataFrame, DataFrame]:

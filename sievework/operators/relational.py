@@ -130,10 +130,11 @@ def relation_count(relations: Column, anchor_id: Column) -> Column:
 
 
 def relation_edges(anchors: DataFrame, sample: str = "sample_id", anchor: str = "anchor_id", relations: str = "relations") -> DataFrame:
-    """Distinct edges between anchors of a sample that both exist, numbered in order of the source anchor and its relations."""
+    """Distinct edges between anchors of a sample that both exist, numbered in order of the source anchor and its relations.
+    Both sides grow with the input and Spark's estimate doesn't see the explosion, so neither may be broadcast."""
     edges = anchors.select(sample, F.col(anchor).alias("subject"), F.posexplode(relations).alias("pos", "r")).select(sample, "subject", "pos", F.col("r.type").alias("predicate"), F.col("r.target_anchor_id").alias("object"))
     ends = anchors.select(sample, F.col(anchor).alias("object")).distinct()
-    known = edges.join(ends, [sample, "object"])
+    known = edges.join(ends.hint("merge"), [sample, "object"])
     firsts = known.groupBy(sample, "subject", "predicate", "object").agg(F.min("pos").alias("pos"))
     return firsts.withColumn("relation_index", F.row_number().over(W.partitionBy(sample).orderBy("subject", "pos")) - 1).drop("pos")
 

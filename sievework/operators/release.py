@@ -139,7 +139,7 @@ def edited_examples(looked_up: DataFrame, images: DataFrame | None, cfg: BuildCo
     visual = F.transform(seen, lambda r: F.concat(F.lit("visual:"), F.substring(text.words_only(r), 1, 64)))
     pictured = c("kind").isin("image_only", "image_text")
     rules = [*gates.edit_reasons(row, cfg), (c("image_reason").isNotNull(), c("image_reason")), (pictured & (F.size(seen) > 0), "visual_defect_detected")]
-    worded_rules = [(worded & (said != "ok"), said), (~worded & (own != "ok"), F.concat(F.lit("orig_"), own))]
+    worded_rules = [(worded, gates.broken(said)), (~worded, F.concat(F.lit("orig_"), gates.broken(own)))]
     rows = rows.withColumn("_reasons", F.concat(gates.reasons(*rules), F.when(pictured, visual).otherwise(F.array().cast("array<string>")), gates.reasons(*worded_rules)))
     rows = _scored(rows.withColumn("parts", components(c("candidate"), c("plan"), c("tier"), first_nonempty([safe_str(c("nli_direction")), safe_str(c("_rw.nli_direction"))]), cfg.model)), cfg)
     asked, effective = safe_str(c("requested_operation")), first_nonempty([safe_str(c("effective_operation")), safe_str(c("requested_operation"))])
@@ -179,7 +179,7 @@ def text_examples(plans: DataFrame, anchors: DataFrame, manifests: DataFrame, cf
     invalid = F.concat(F.lit("anchor_invalid:"), F.coalesce(nonempty(safe_str(c("anchor.technical_reject_reason"))), F.lit("unknown")))
     why = gates.reasons(
         (c("_said") == "", "missing_text_only_rewrite"), (c("_rw.error") != "", "rewrite_error"), (F.lit(cfg.exclude_sensitive) & F.coalesce(c("plan.sensitive"), F.lit(False)), "sensitive_flagged"),
-        (F.lit(cfg.require_valid) & (c("anchor.technical_valid") == F.lit(False)), invalid), (c("image_original") == "", "missing_image"), (said != "ok", said),
+        (F.lit(cfg.require_valid) & (c("anchor.technical_valid") == F.lit(False)), invalid), (c("image_original") == "", "missing_image"), (F.lit(True), gates.broken(said)),
     )
     rows = _scored(rows.withColumn("_reasons", why).withColumn("parts", components(c("candidate"), c("plan"), c("plan.tier_name"), c("_rw.nli_direction"), cfg.model)), cfg)
     op = safe_str(c("candidate.operation"))

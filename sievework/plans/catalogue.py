@@ -79,7 +79,7 @@ def q_text_gate(spark, sf_dir):
 @query(f"SELECT reason, count(*) AS n FROM ({GATED}) WHERE reason <> 'ok' GROUP BY reason")
 def q_reason_counts(spark, sf_dir):
     why = gates.text_reason(c("text"), most=400)
-    found = table(spark, sf_dir, "documents").select(gates.filter_reason(gates.reasons((why != "ok", why))).alias("filter_reason"))
+    found = table(spark, sf_dir, "documents").select(gates.filter_reason(gates.reasons((F.lit(True), gates.broken(why)))).alias("filter_reason"))
     _, refused = gates.kept_and_quarantined(found)
     return refused.select(F.explode(F.split("filter_reason", ";")).alias("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
