@@ -1,20 +1,21 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: Smith-Waterman alignment of all that an exact bound doesn't rule out.
 
-Items and documents are sequences of lower-cased words without edge punctuation. Every n-gram of the items
-is counted over all documents first. Of each run of WINDOW consecutive n-grams of an item, the rarest is a
-seed (ties: the first), so that seeds cover an item evenly, common phrases are seeds only where nothing
-rarer stands near, and whatever keeps WINDOW + N - 1 consecutive words of an item has a seed. Documents are
-then scanned for seeds; a seed that occurs places the item on a diagonal of the document. Around each
-cluster of diagonals, the item and that stretch of the document are aligned locally (match +2, mismatch -1,
-gap -1); the score is the alignment's share of the item's own. Stretches whose hits are common words only
-are aligned too: no hit is dropped.
+Items and documents are sequences of lower-cased words without edge punctuation. An item and a document are
+aligned locally (match +2, mismatch -1, gap -1); the score is the alignment's share of the item's own, and a
+share of LEAK with LEAST_WORDS matches makes a leak.
+
+Nothing is left out before alignment that could reach that score. Each word of a document's part that an
+alignment covers either matches, and then is a word of the item, or costs a point at least. So counting +2 for
+words of the item and -1 for others, the best sum of a run of words is never below the alignment's score, and
+an alignment ends where a run reaches the score asked for. Documents with too few words of an item, and places
+where no run reaches it, are passed over; every other place is aligned, whatever edits it has.
 
 Items are a stated query set: they are taken in blocks of BLOCK_CHARS characters, each broadcast within
 that bound. Whole documents are scanned; an alignment takes memory for
 item words times the larger of 4,096 and six times the item's words.
 
-Null or empty texts and items align with nothing. Items of fewer than N words are one n-gram of their own
-length. Items of equal text each get their pairs. Repeated documents give repeated pairs.
+Null or empty texts and items align with nothing. Items of equal text each get their pairs. Repeated documents
+give repeated pairs.
 """
 
 from __future__ import annotations
@@ -28,13 +29,14 @@ from pyspark.sql import functions as F
 
 from sievework.llm.common import staged, without
 
-N, WINDOW = 3, 3
 #: Share of the item's own score that makes a leak.
 LEAK = 0.35
 #: Words that must match at least, for items so long.
 LEAST_WORDS = 8
 MATCH, MISMATCH, GAP = 2, -1, -1
 BLOCK_CHARS = 4 << 20
+#: Pairs of item and place that are held at once; words and parts of texts that wait for alignment; cells of a row of alignments.
+EVENTS, HELD_WORDS, HELD_JOBS, CELLS = 1 << 20, 1 << 20, 4_096, 1 << 14
 _EDGE = b"".join(bytes([c]) for c in range(33, 127) if not chr(c).isalnum())
 _PAIR = "item_id long, score double, matched int, item_words int, start_word long, end_word long"
 
@@ -45,9 +47,9 @@ def tokens(text: str | None) -> list[bytes]:
 
 
 class Items:
-    """A block of items: word numbers, n-grams and, once rarities are known, seeds."""
+    """A block of items: word numbers, and of each word the items that have it."""
 
-    def __init__(self, rows: list[tuple[int, str | None]]):
+    def __init__(self, rows: list[tuple[int, str | None]], leak: float = LEAK):
         self.ids = [i for i, _ in rows]
         split = [tokens(t) for _, t in rows]
         self.vocabulary: dict[bytes, int] = {}
@@ -55,85 +57,125 @@ class Items:
             for w in words:
                 self.vocabulary.setdefault(w, len(self.vocabulary))
         self.words = [np.array([self.vocabulary[w] for w in words], np.int64) for words in split]
-        self.base = len(self.vocabulary) + 1
-        self.sizes = sorted({min(N, len(w)) for w in self.words} - {0})
-        #: Of each n-gram size, the sorted codes.
-        self.grams = {n: np.unique(np.concatenate([self.codes(w, n) for w in self.words if min(N, len(w)) == n])) for n in self.sizes}
-
-    def codes(self, words: np.ndarray, n: int) -> np.ndarray:
-        """A number for each n-gram; -1 where a word isn't in the vocabulary."""
-        if len(words) < n:
-            return np.zeros(0, np.int64)
-        out, bad = np.zeros(len(words) - n + 1, np.int64), np.zeros(len(words) - n + 1, bool)
-        for k in range(n):
-            part = words[k : len(words) - n + 1 + k]
-            out = out * self.base + part
-            bad |= part < 0
-        out[bad] = -1
-        return out
+        self.distinct = [np.unique(w) for w in self.words]
+        size = np.array([len(w) for w in self.words], np.int64)
+        #: Of each item, the least score and the least number of its words in a document that can make a leak.
+        self.need = np.maximum(1, np.ceil(leak * MATCH * size - 1e-9).astype(np.int64))
+        self.fewest = np.maximum(-(-self.need // MATCH), np.minimum(LEAST_WORDS, size))
+        # items of word w: holders[first[w] : first[w + 1]]
+        pairs = np.concatenate([np.zeros(0, np.int64), *self.distinct])
+        order = pairs.argsort(kind="stable")
+        self.holders = np.repeat(np.arange(len(rows), dtype=np.int16 if len(rows) < 32_768 else np.int32), [len(d) for d in self.distinct])[order]
+        self.first = np.searchsorted(pairs[order], np.arange(len(self.vocabulary) + 1))
+        #: The last place stands for words outside the vocabulary, which are numbered -1.
+        self.flag = np.zeros(len(self.vocabulary) + 1, bool)
 
     def numbered(self, text: str | None) -> np.ndarray:
         get = self.vocabulary.get
         return np.array([get(w, -1) for w in tokens(text)], np.int64)
 
-    def gram_counts(self, words: np.ndarray) -> dict[int, np.ndarray]:
-        """Of each size, places in grams of the distinct n-grams that a document has."""
-        out = {}
-        for n, known in self.grams.items():
-            at = self._find(known, self.codes(words, n))
-            out[n] = np.unique(at[at >= 0])
-        return out
-
-    @staticmethod
-    def _find(known: np.ndarray, codes: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(known, codes), len(known) - 1)
-        return np.where((known[at] == codes) & (codes >= 0), at, -1)
-
-    def choose(self, counts: dict[int, np.ndarray]) -> None:
-        """Seeds: the rarest n-gram of each window of each item."""
-        seeds: dict[int, dict[int, list[tuple[int, int]]]] = {n: {} for n in self.sizes}
-        for k, words in enumerate(self.words):
-            if not len(words):
-                continue
-            n = min(N, len(words))
-            at = self._find(self.grams[n], self.codes(words, n))
-            rarity = counts[n][at]
-            picked = {int(a + rarity[a : a + WINDOW].argmin()) for a in range(max(1, len(at) - WINDOW + 1))}
-            for p in picked:
-                seeds[n].setdefault(int(at[p]), []).append((k, p))
-        self.seeds = seeds
-        self.is_seed = {n: np.isin(np.arange(len(self.grams[n])), list(seeds[n])) for n in self.sizes}
-
-    def hits(self, words: np.ndarray) -> dict[int, list[tuple[int, int]]]:
-        """Of each item, the document's places of its seeds with their places in the item."""
-        found: dict[int, list[tuple[int, int]]] = {}
-        for n in self.sizes:
-            at = self._find(self.grams[n], self.codes(words, n))
-            for place in np.flatnonzero((at >= 0) & self.is_seed[n][np.maximum(at, 0)]):
-                for item, p in self.seeds[n][int(at[place])]:
-                    found.setdefault(item, []).append((int(place), p))
-        return found
-
-    def aligned(self, words: np.ndarray) -> Iterator[tuple]:
-        """The best alignment of each item that has a seed in the document."""
-        for item, places in self.hits(words).items():
-            best, size = None, len(self.words[item])
-            for a, b in cut(stretches(places, size, len(words)), size):
-                score, matched, start, end = align(self.words[item], words[a:b])
-                if matched and (best is None or score > best[0]):
-                    best = (score, matched, a + start, a + end)
-            if best:
-                yield (self.ids[item], best[0] / (MATCH * size), best[1], size, best[2], best[3])
-
-
-def stretches(places: list[tuple[int, int]], size: int, length: int) -> list[tuple[int, int]]:
-    """Parts of a document in which an item may lie, given where its seeds stand; overlapping parts make one."""
-    slack = size // 2 + 4
+    def ends(self, words: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """Items, and the places at which an alignment of each may end with the score that it needs."""
+        places = np.flatnonzero(words >= 0)
+        known = words[places]
+        sizes = self.first[known + 1] - self.first[known]
+        if sizes.sum() > EVENTS:
+            for item in self.possible(known):
+                self.flag[self.distinct[item]] = True
+                at = np.flatnonzero(self.flag[words])
+                self.flag[self.distinct[item]] = False
+                found = at[points(at) >= self.need[item]]
+                if len(found):
+                    yield int(item), found
+            return
+        # all items at once: pairs of item and place, by item
+        owner = self.holders[np.repeat(self.first[known] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())]
+        enough = np.bincount(owner, minlength=len(self.ids)) >= self.fewest
+        few = np.flatnonzero(enough[owner])
+        few = few[owner[few].argsort(kind="stable")]
+        owner, at = owner[few].astype(np.int64), np.repeat(places, sizes)[few]
+        hit = np.flatnonzero(points(at, owner) >= self.need[owner])
+        owner, at = owner[hit], at[hit]
+        starts = np.flatnonzero(np.diff(owner, prepend=-1))
+        yield from zip(owner[starts].tolist(), np.split(at, starts[1:]), strict=False)
+
+    def possible(self, known: np.ndarray) -> np.ndarray:
+        """Items of which the document has words enough."""
+        total = np.zeros(len(self.ids), np.int64)
+        for w, times in zip(*np.unique(known, return_counts=True), strict=True):
+            total[self.holders[self.first[w] : self.first[w + 1]]] += times
+        return np.flatnonzero(total >= self.fewest)
+
+    def aligned(self, texts: list[str | None]) -> Iterator[tuple]:
+        """Number of the text and best alignment, for each text and each item that may leak into it."""
+        jobs, held = [], 0
+        for k, text in enumerate(texts):
+            words = self.numbered(text)
+            for item, ends in self.ends(words):
+                size = len(self.words[item])
+                jobs += [(k, item, a, words[a:b]) for a, b in cut(stretches(ends, size), size)]
+            held += len(words)
+            if held > HELD_WORDS or len(jobs) > HELD_JOBS:
+                yield from self.best(jobs)
+                jobs, held = [], 0
+        yield from self.best(jobs)
+
+    def best(self, jobs: list[tuple]) -> Iterator[tuple]:
+        """jobs: number of the text, item, start and words of a part. Only parts that score enough are traced."""
+        got: dict[tuple[int, int], tuple] = {}
+        scored = scores([self.words[j[1]] for j in jobs], [j[3] for j in jobs])
+        for (k, item, a, part), reached in zip(jobs, scored.tolist(), strict=True):
+            if reached >= self.need[item] and ((k, item) not in got or reached > got[k, item][0]):
+                score, matched, start, end = align(self.words[item], part)
+                got[k, item] = (score, matched, a + start, a + end)
+        for (k, item), (score, matched, start, end) in got.items():
+            size = len(self.words[item])
+            yield k, (self.ids[item], score / (MATCH * size), matched, size, start, end)
+
+
+def points(at: np.ndarray, owner: np.ndarray | int = 0) -> np.ndarray:
+    """Best sum of a run of words that ends at each place of an item's words; owner: numbers of items, in order."""
+    total = (MATCH - MISMATCH) * np.arange(len(at)) + MISMATCH * at
+    # each item's totals lie below those of the item before it, so that the running minimum starts anew
+    total = total - owner * ((MATCH - MISMATCH) * len(at) + int(at.max(initial=0)) + 1)
+    return total - np.minimum.accumulate(total) + MATCH
+
+
+def scores(items: list[np.ndarray], texts: list[np.ndarray]) -> np.ndarray:
+    """Smith-Waterman scores of pairs, many at a time. Cell j of a row holds its score + j, so that a gap along the row is a running maximum."""
+    out = np.zeros(len(items), np.int64)
+    order = sorted(range(len(items)), key=lambda i: (len(texts[i]), len(items[i])))
+    while order:
+        m = len(texts[order[-1]])
+        some, order = order[-max(1, CELLS // (m + 1)) :], order[: -max(1, CELLS // (m + 1))]
+        n = max(len(items[i]) for i in some)
+        kind = np.int16 if m + (MATCH + 1) * n < 32_000 else np.int32
+        item, text = np.full((n, len(some), 1), -2, np.int32), np.full((len(some), m), -3, np.int32)
+        for c, i in enumerate(some):
+            item[: len(items[i]), c, 0] = items[i]
+            text[c, : len(texts[i])] = texts[i]
+        ramp = np.arange(m + 1, dtype=kind)
+        row = np.repeat(ramp[None], len(some), 0)
+        best = row.copy()
+        for word in item:
+            step = (text == word).view(np.int8) * kind(MATCH - MISMATCH)
+            step += row[:, :-1]
+            row += kind(GAP)
+            np.maximum(row, ramp, out=row)
+            np.maximum(row[:, 1:], step, out=row[:, 1:])
+            np.maximum.accumulate(row, axis=1, out=row)
+            np.maximum(best, row, out=best)
+        out[some] = (best - ramp).max(1)
+    return out
+
+
+def stretches(ends: np.ndarray, size: int) -> list[tuple[int, int]]:
+    """Parts of a document that hold all alignments with these ends (each covers less than 3 * size words); overlapping parts make one."""
     out: list[tuple[int, int]] = []
-    for a in sorted(place - p for place, p in places):
-        start, end = max(0, a - slack), min(length, a + size + slack)
+    for e in ends.tolist():
+        start, end = max(0, e + 1 - 3 * size), e + 1
         if out and start <= out[-1][1]:
-            out[-1] = (out[-1][0], max(end, out[-1][1]))
+            out[-1] = (out[-1][0], end)
         else:
             out.append((start, end))
     return out
@@ -177,8 +219,8 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int, int]:
 
 
 @lru_cache(maxsize=2)
-def _items(rows: tuple) -> Items:
-    return Items(list(rows))
+def _items(rows: tuple, leak: float) -> Items:
+    return Items(list(rows), leak)
 
 
 def _blocks(benchmark: DataFrame, item: str, text: str) -> Iterator[tuple]:
@@ -194,28 +236,6 @@ def _blocks(benchmark: DataFrame, item: str, text: str) -> Iterator[tuple]:
         yield tuple(block)
 
 
-def _rarities(docs: DataFrame, rows, text: str) -> dict[int, np.ndarray]:
-    """Documents that have each n-gram of the block's items; counts are summed in each task, then over tasks."""
-    import pyarrow as pa
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = _items(rows.value)
-        total = {n: np.zeros(len(g), np.int64) for n, g in items.grams.items()}
-        for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                for t in batch.column(text).slice(i, 500).to_pylist():
-                    for n, at in items.gram_counts(items.numbered(t)).items():
-                        total[n][at] += 1
-        for n, c in total.items():
-            at = np.flatnonzero(c)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), n), pa.int32()), pa.array(at, pa.int64()), pa.array(c[at], pa.int64())], ["n", "at", "docs"])
-
-    out = {n: np.zeros(len(g), np.int64) for n, g in _items(rows.value).grams.items()}
-    for r in docs.select(f"`{text}`").mapInArrow(run, "n int, at long, docs long").groupBy("n", "at").agg(F.sum("docs").alias("docs")).toLocalIterator():
-        out[r["n"]][r["at"]] = r["docs"]
-    return out
-
-
 def pairs(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", leak: float = LEAK) -> DataFrame:
     """key, item_id, score, matched, item_words, start_word, end_word of each document and item that align to the leak share."""
     import pyarrow as pa
@@ -227,20 +247,17 @@ def pairs(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
     kept, out = docs.select(f"`{key}`", f"`{text}`"), None
     for block in _blocks(benchmark, item, item_text):
         rows = sc.broadcast(block)
-        counts = sc.broadcast(_rarities(docs, rows, text))
 
-        def run(batches: Iterator[pa.RecordBatch], rows=rows, counts=counts) -> Iterator[pa.RecordBatch]:
-            items = Items(list(rows.value))
-            items.choose(counts.value)
+        def run(batches: Iterator[pa.RecordBatch], rows=rows) -> Iterator[pa.RecordBatch]:
+            items = _items(rows.value, leak)
             for batch in batches:
                 ids = batch.column(key)
                 for i in range(0, batch.num_rows, 500):
                     at, found = [], []
-                    for k, t in enumerate(batch.column(text).slice(i, 500).to_pylist(), i):
-                        for p in items.aligned(items.numbered(t)):
-                            if p[1] >= leak and p[2] >= min(LEAST_WORDS, p[3]):
-                                at.append(k)
-                                found.append(p)
+                    for k, p in items.aligned(batch.column(text).slice(i, 500).to_pylist()):
+                        if p[1] >= leak and p[2] >= min(LEAST_WORDS, p[3]):
+                            at.append(i + k)
+                            found.append(p)
                     if found:
                         yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), *(pa.array(c, t) for c, t in zip(zip(*found, strict=True), types, strict=True))], [key, *names])
 

@@ -69,6 +69,39 @@ def test_brute_force_on_the_table(spark):
     assert got == want
 
 
+def test_regularly_edited_copies_against_all_pairs(spark, monkeypatch):
+    """Every k-th word replaced, and a word put in after each: no three words in a row need be left."""
+    rng, vocabulary = random.Random(6), [f"w{i}" for i in range(400)]
+    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randint(16, 60)))) for i in range(12)]
+    docs, common = [], [w for _, t in items for w in t.split()]
+    for d in range(84):
+        words, kind = [rng.choice(vocabulary + common) for _ in range(rng.randint(10, 150))], d % 7
+        item = items[d % 12][1].split()
+        if kind < 4:
+            item = [w if i % (kind + 2) else f"new{i}" for i, w in enumerate(item)]
+        elif kind < 6:
+            item = [x for w in item for x in (w, "in")[: 1 + (kind == 4)]][: None if kind == 4 else len(item) // 2]
+        words[len(words) // 2 : len(words) // 2] = item if kind < 6 else []
+        docs.append((d, " ".join(words)))
+    want, kinds = {}, set()
+    for d, text in docs:
+        for i, t in items:
+            score = plain(t.split(), text.split()) / (2 * len(t.split()))
+            if score >= decontaminate.LEAK and len(t.split()) * score >= decontaminate.LEAST_WORDS:
+                want[d, i] = round(score, 6)
+                kinds.add(d % 7)
+    got = decontaminate.pairs(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    found = {(r["doc_id"], r["item_id"]): round(r["score"], 6) for r in got}
+    assert {1, 2, 3, 4, 5} <= kinds and want.items() <= found.items()
+    assert all(plain(dict(items)[i].split(), dict(docs)[d].split()) / (2 * len(dict(items)[i].split())) >= decontaminate.LEAK for d, i in found)
+    block, texts = decontaminate.Items(items), [t for _, t in docs] + [None, "", "w1 " * 9000]
+    whole = sorted(block.aligned(texts))
+    assert {(k, p[0]) for k, p in whole} >= set(want)
+    for name in ("EVENTS", "HELD_WORDS", "HELD_JOBS", "CELLS"):
+        monkeypatch.setattr(decontaminate, name, 1)
+        assert sorted(block.aligned(texts)) == whole
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     final = corpus_pipeline.run(spark, SF)
