@@ -6,7 +6,8 @@ one automaton over all pieces of all notices gives candidate places, and the reg
 matching verifies each and gives the span with its number of edits. Whole texts are searched.
 
 Null texts are empty; empty texts have no places. Rows are independent: repeated rows give repeated rows.
-Overlapping candidates of one notice are verified once, as one window.
+Overlapping candidates of one notice are verified as one window: its best match is a span, and so are the best
+of what stands before it and of what stands after it, and so on. Spans of one notice don't overlap.
 """
 
 from __future__ import annotations
@@ -86,10 +87,14 @@ class Scanner:
         spans = set()
         for n, a, b in self.windows(text):
             label, length, k, pattern = self.notices[n]
-            if b - a < length - k:
-                continue
-            for m in pattern.finditer(text, a, b):
-                spans.add((label, m.start(), m.end(), sum(m.fuzzy_counts)))
+            parts = [(a, b)]
+            while parts:
+                a, b = parts.pop()
+                # the best match of a part, wherever it stands; worse ones stand before it and after it
+                m = pattern.search(text, a, b) if b - a >= length - k else None
+                if m:
+                    spans.add((label, m.start(), m.end(), sum(m.fuzzy_counts)))
+                    parts += [(a, m.start()), (m.end(), b)]
         return sorted(spans, key=lambda s: (s[1], s[2], s[0], s[3]))
 
     def scan(self, text: str | None) -> tuple:

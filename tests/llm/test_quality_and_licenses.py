@@ -73,3 +73,26 @@ def test_bounded_errors_lose_no_place():
             t[at : at + (what < 2)] = [] if what == 0 else ["q"]
         text = "z" * rng.integers(40) + "".join(t) + "z" * rng.integers(40)
         assert any(s[0] == label and s[3] <= k for s in one.verified(text)), "".join(t)
+
+
+def test_edited_notices_beside_better_ones_are_found():
+    one = license_scan.Scanner()
+    for n, (notice, label) in enumerate(license_scan.NOTICES.items()):
+        k, at = one.notices[n][2], len(notice) // 2
+        one_edit, two_edits = notice[:at] + notice[at + 1 :], notice[:3] + "#" + notice[4:at] + notice[at + 1 :]
+        for gap in (" ", ". ", "\n" + "-" * k + "\n", "-" * (2 * k + 1)):
+            for copies in ([one_edit, notice], [two_edits, one_edit, notice, one_edit], [one_edit, notice, two_edits, notice, two_edits], [two_edits] * 3):
+                want, text = [], ""
+                for c in copies:
+                    text += gap
+                    want.append((len(text), len(text) + len(c)))
+                    text += c
+                got = [s for s in one.verified(text + gap) if s[0] == label]
+                # an edit may be placed at an end of a span, so places may be off by the edits
+                for (a, b), c in zip(want, copies, strict=True):
+                    edits = 0 if c == notice else 1 if c == one_edit else 2
+                    if edits <= k:
+                        assert any(abs(s[1] - a) <= edits and abs(s[2] - b) <= edits and s[3] <= edits for s in got), (text, got, (a, b))
+    text = "released undr the mit license. released under the mit license, releasd under the mit licence."
+    assert [s[1:] for s in one.verified(text) if s[0] == "mit-notice"] == [(0, 29, 1), (31, 61, 0), (63, 92, 2)]
+    assert [s[1:] for s in one.verified("all rights resrved. all rights reserved")] == [(0, 18, 1), (20, 39, 0)]
