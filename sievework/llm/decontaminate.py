@@ -2,7 +2,8 @@
 
 Items and documents are sequences of lower-cased words without edge punctuation. An item and a document are
 aligned locally (match +2, mismatch -1, gap -1); the score is the alignment's share of the item's own, and a
-share of LEAK with LEAST_WORDS matches makes a leak.
+share of LEAK with LEAST_WORDS matches makes a leak. An item of fewer words than that may stand in any text by
+chance: all its words must match, and the document may have SHORT_TIMES its words at most.
 
 Nothing is left out before alignment that could reach that score. Each word of a document's part that an
 alignment covers either matches, and then is a word of the item, or costs a point at least. So counting +2 for
@@ -33,6 +34,8 @@ from sievework.llm.common import staged, without
 LEAK = 0.35
 #: Words that must match at least, for items so long.
 LEAST_WORDS = 8
+#: Shorter items leak only into documents of so many times their words at most.
+SHORT_TIMES = 2
 MATCH, MISMATCH, GAP = 2, -1, -1
 BLOCK_CHARS = 4 << 20
 #: Pairs of item and place that are held at once; words and parts of texts that wait for alignment; cells of a row of alignments.
@@ -62,6 +65,8 @@ class Items:
         #: Of each item, the least score and the least number of its words in a document that can make a leak.
         self.need = np.maximum(1, np.ceil(leak * MATCH * size - 1e-9).astype(np.int64))
         self.fewest = np.maximum(-(-self.need // MATCH), np.minimum(LEAST_WORDS, size))
+        #: Of each item, the most words of a document that it can leak into.
+        self.most = np.where(size < LEAST_WORDS, SHORT_TIMES * size, np.iinfo(np.int64).max)
         # items of word w: holders[first[w] : first[w + 1]]
         pairs = np.concatenate([np.zeros(0, np.int64), *self.distinct])
         order = pairs.argsort(kind="stable")
@@ -80,7 +85,7 @@ class Items:
         known = words[places]
         sizes = self.first[known + 1] - self.first[known]
         if sizes.sum() > EVENTS:
-            for item in self.possible(known):
+            for item in self.possible(words, known):
                 self.flag[self.distinct[item]] = True
                 at = np.flatnonzero(self.flag[words])
                 self.flag[self.distinct[item]] = False
@@ -91,6 +96,7 @@ class Items:
         # all items at once: pairs of item and place, by item
         owner = self.holders[np.repeat(self.first[known] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())]
         enough = np.bincount(owner, minlength=len(self.ids)) >= self.fewest
+        enough &= len(words) <= self.most
         few = np.flatnonzero(enough[owner])
         few = few[owner[few].argsort(kind="stable")]
         owner, at = owner[few].astype(np.int64), np.repeat(places, sizes)[few]
@@ -99,12 +105,12 @@ class Items:
         starts = np.flatnonzero(np.diff(owner, prepend=-1))
         yield from zip(owner[starts].tolist(), np.split(at, starts[1:]), strict=False)
 
-    def possible(self, known: np.ndarray) -> np.ndarray:
+    def possible(self, words: np.ndarray, known: np.ndarray) -> np.ndarray:
         """Items of which the document has words enough."""
         total = np.zeros(len(self.ids), np.int64)
         for w, times in zip(*np.unique(known, return_counts=True), strict=True):
             total[self.holders[self.first[w] : self.first[w + 1]]] += times
-        return np.flatnonzero(total >= self.fewest)
+        return np.flatnonzero((total >= self.fewest) & (len(words) <= self.most))
 
     def aligned(self, texts: list[str | None]) -> Iterator[tuple]:
         """Number of the text and best alignment, for each text and each item that may leak into it."""

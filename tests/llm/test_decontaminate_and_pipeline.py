@@ -102,6 +102,18 @@ def test_regularly_edited_copies_against_all_pairs(spark, monkeypatch):
         assert sorted(block.aligned(texts)) == whole
 
 
+def test_short_items_leak_only_into_little_more_than_themselves(spark, monkeypatch):
+    items = [(1, "yes"), (2, "one two"), (3, "a b c d e f g"), (4, "a b c d e f g h")]
+    long = "it says yes to one two and then a b c d e f g h " + "more words " * 30
+    docs = [(1, long), (2, "Yes."), (3, "yes, one two"), (4, "so a b c d e f g"), (5, "a b c d"), (6, long)]
+    got = decontaminate.pairs(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = [(1, 4), (2, 1), (3, 2), (4, 3), (6, 4)]
+    assert sorted((r["doc_id"], r["item_id"]) for r in got) == want
+    monkeypatch.setattr(decontaminate, "EVENTS", 0)
+    block = decontaminate.Items(items)
+    assert sorted((docs[k][0], p[0]) for k, p in block.aligned([t for _, t in docs]) if p[2] >= min(8, p[3])) == want
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     final = corpus_pipeline.run(spark, SF)
