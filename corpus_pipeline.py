@@ -2,6 +2,9 @@
 
 Rejected by the quality classifier: gone. Near-duplicates: the smallest id of each group stays. Leaks of
 benchmark items: gone. Secrets: replaced by a mark, n_chars follows. What is left is encoded.
+
+Empty documents pass every stage. Where the classifier has too few labels to learn from (less than two rows of
+one of the classes outside the held-out fold), it rejects nothing.
 """
 
 from __future__ import annotations
@@ -16,7 +19,10 @@ from sievework.llm.queries import vocabulary
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     vectors = staged(quality_classifier.features(docs), "statistics")
-    model = quality_classifier.fit(vectors, read(spark, sf_dir, "labels").select("doc_id", "quality"))
+    try:
+        model = quality_classifier.fit(vectors, read(spark, sf_dir, "labels").select("doc_id", "quality"))
+    except quality_classifier.TooFewLabels:
+        return docs
     return quality_classifier.keep(docs, model)
 
 

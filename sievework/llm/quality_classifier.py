@@ -67,6 +67,10 @@ def moments(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
     return np.array([(y == k).sum() for k in (0, 1)], float), np.array([x[y == k].sum(0) for k in (0, 1)]), np.array([x[y == k].T @ x[y == k] for k in (0, 1)])
 
 
+class TooFewLabels(ValueError):
+    """A class lacks the labelled rows that its density needs."""
+
+
 @dataclass
 class Gaussians:
     """The two classes' densities from their moments."""
@@ -84,7 +88,7 @@ class Gaussians:
 
     def __post_init__(self) -> None:
         if (self.counts < 2).any():
-            raise ValueError(f"both classes need two labelled rows at least; there are {self.counts.astype(int).tolist()}")
+            raise TooFewLabels(f"both classes need two labelled rows at least; there are {self.counts.astype(int).tolist()}")
         self.means = self.sums / self.counts[:, None]
         own = [p / n - np.outer(m, m) for p, n, m in zip(self.products, self.counts, self.means, strict=True)]
         pooled = sum(c * n for c, n in zip(own, self.counts, strict=True)) / self.counts.sum()
@@ -175,7 +179,7 @@ def fit(vectors: DataFrame, labels: DataFrame, key: str = "doc_id", label: str =
     width = len(NAMES)
     flat = _summed(rows, lambda x, y: np.concatenate([m.ravel() for m in moments(x, y)]))
     if not len(flat):
-        raise ValueError("no labelled rows")
+        raise TooFewLabels("no labelled rows")
     model = Gaussians(flat[:2], flat[2 : 2 + 2 * width].reshape(2, width), flat[2 + 2 * width :].reshape(2, width, width))
     bins = _summed(rows, lambda x, y: np.concatenate(histogram(model.difference(x), y)))
     model.slope, model.offset = calibrate(bins[:BINS], bins[BINS:])

@@ -128,3 +128,15 @@ def test_pipeline(spark):
     for i, r in rows.items():
         assert r["text"] == first[i] or "[SECRET]" in r["text"]
         assert r["ids"] == lib.encode(r["text"], add_bos=True, add_eos=True) and r["n_tokens"] == len(r["ids"]) and r["n_chars"] == len(r["text"])
+
+
+def test_pipeline_without_documents_or_labels(spark, tmp_path):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    for name, rows, known in (("empty", docs.limit(0), labels), ("none", docs, labels.limit(0)), ("one", docs, labels.where("quality = 1")), ("few", docs, labels.where("quality = 1").unionAll(labels.where("quality = 0").limit(1)))):
+        known.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        kept = corpus_pipeline.quality(spark, rows, f"{tmp_path}/{name}")
+        assert kept.columns == docs.columns and kept.count() == rows.count(), name
+    docs.limit(0).write.parquet(f"{tmp_path}/empty/documents.parquet")
+    spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(f"{tmp_path}/empty/benchmark.parquet")
+    final = corpus_pipeline.run(spark, f"{tmp_path}/empty")
+    assert final.columns == [*docs.columns, "ids", "n_tokens"] and final.count() == 0
