@@ -5,9 +5,11 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: ASCII white space that separates words, as a Java regex class body.
 SPACE = r"\x20\x09-\x0D"
@@ -70,13 +72,43 @@ def prefix_sums(lengths: Column) -> Column:
     return F.when(F.size(lengths) > 0, F.flatten(shifted)).otherwise(F.array().cast("array<bigint>"))
 
 
-#: Bits of the filter that stands before joins of whole texts: 8 MB at most, whatever the input.
-FILTER_BITS = 1 << 26
+#: Bytes of texts that go to Python in an Arrow batch, and that a slice of one holds.
+BATCH_BYTES = 4 << 20
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def in_arrow(df: DataFrame, run: Callable, schema: StructType | str) -> DataFrame:
+    """df.mapInArrow with batches bounded by bytes, since texts differ in size: unless the session sets another bound,
+    it gets this one. Both the JVM and Python hold some batches a task."""
+    spark = df.sparkSession
+    if _BATCH_CONF not in spark.conf.getAll:
+        spark.conf.set(_BATCH_CONF, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
+def slices(batches: Iterator, text: str, rows: int = 1_000) -> Iterator:
+    """Batches cut to bounded bytes of text, one row at least."""
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        start, size = 0, 0
+        for i, n in enumerate(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()):
+            if i > start and (size + n > BATCH_BYTES or i - start >= rows):
+                yield batch.slice(start, i - start)
+                start, size = i, 0
+            size += n
+        if start < batch.num_rows:
+            yield batch.slice(start)
+
+
+#: Bits of the filter that stands before joins of whole texts: so many for an id, within these bounds (32 MB at most).
+ID_BITS, LEAST_BITS, MOST_BITS = 16, 1 << 16, 1 << 28
 
 
 def _filtered(df: DataFrame, key: str, ids: DataFrame, id_col: str) -> DataFrame:
-    """df with _maybe: whether its key may be among ids. A bitmap of hashed ids of fixed size is broadcast, so no row moves."""
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS)) + 1
+    """df with _maybe: whether its key may be among ids. A bitmap of hashed ids, of bounded size, is broadcast, so no row moves."""
+    size = min(MOST_BITS, max(LEAST_BITS, ID_BITS << ids.count().bit_length()))
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(size)) + 1
     bits = ids.select(place(F.col(f"`{id_col}`")).alias("p")).select(F.bitmap_bucket_number("p").alias("_bucket"), F.bitmap_bit_position("p").alias("b"))
     maps = bits.groupBy("_bucket").agg(F.bitmap_construct_agg("b").alias("_bits"))
     placed = df.withColumn("_place", place(F.col(f"`{key}`"))).withColumns({"_bucket": F.bitmap_bucket_number("_place"), "_bit": F.bitmap_bit_position("_place")})

@@ -5,15 +5,16 @@ ties from left to right. The best pair is merged and its neighbours' entries are
 forms a piece. What is not a piece at the end falls back to bytes.
 
 No piece of such a vocabulary spans from a word into a following space mark, so a text falls apart at its
-space marks into words that are merged alone. Words repeat: their ids are kept in two bounded tables, the
-older of which goes when the younger is full. New words of a batch are merged together, one agenda row
-each, in arrays; longer words and texts with runs of space marks use a heap as agenda. Vocabularies with
+space marks, and at characters that are in no piece, into units that are merged alone. Words repeat: their
+ids are kept in two bounded tables, the older of which goes when the younger is full. New units of a slice
+are merged together, one agenda row each, in arrays; longer ones use a heap as agenda. Vocabularies with
 pieces across space marks are merged as whole texts.
 
 Every whole text of an Arrow batch is also encoded by the library; a difference raises.
 
-Null texts are empty ones; an empty text has begin and end ids only. Rows are independent: repeated rows
-give repeated rows, and columns named like the outputs are replaced.
+Null texts are empty ones; an empty text has begin and end ids only. Very long texts are encoded whole, in a
+slice of their own. Rows are independent: repeated rows give repeated rows, and columns named like the outputs
+are replaced. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ import hashlib
 import heapq
 import re
 import struct
+from array import array
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,11 +32,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from sievework.llm.common import in_arrow, slices
+
 MARK = "▁"
 #: Words in each of the two tables that a Python worker keeps.
-WORDS = 300_000
-#: Words up to this many symbols, space mark included, are merged in arrays.
-ROW = 24
+WORDS = 50_000
+#: Words up to the last of these numbers of symbols, space mark included, are merged in arrays of these widths.
+WIDTHS = (4, 6, 8, 10, 12, 16, 24)
 _NONE = np.iinfo(np.int32).max
 _OUT = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -48,32 +53,51 @@ class AgendaEncoder:
         n = sp.get_piece_size()
         plain = [i for i in range(n) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
         self.ids = {sp.id_to_piece(i): i for i in plain}
-        #: The agenda's order: rank by falling score.
-        self.rank = {p: r for r, p in enumerate(sorted(self.ids, key=lambda p: (-sp.get_score(self.ids[p]), self.ids[p])))}
+        #: The agenda's order: rank by falling score, one rank for equal scores.
+        scores = {p: sp.get_score(i) for p, i in self.ids.items()}
+        places = {x: r for r, x in enumerate(sorted(set(scores.values()), reverse=True))}
+        self.rank = {p: places[x] for p, x in scores.items()}
         self.bytes_ = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.first, self.last = struct.pack("<I", sp.bos_id()), struct.pack("<I", sp.eos_id())
         self.separable = not any(re.search(f"[^{MARK}]{MARK}", p) for p in self.ids)
         self.units = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+        joined = re.escape("".join(sorted(set().union(*self.ids))))
+        self.runs = re.compile(f"[{joined}]+|[^{joined}]", re.S)
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self._arrays(n)
 
     def _arrays(self, n: int) -> None:
-        """Symbols of code points, pieces of symbol pairs, ranks of pieces."""
+        """Symbols of code points, and the pieces that pairs of symbols form: row x of the table of pairs stands
+        at place[x] of one line, put where no rows collide; owner tells whose entry a place holds."""
         self.symbol = np.full(0x110000, -1, np.int32)
-        pairs = {}
+        rows: dict[int, list[tuple[int, int]]] = {}
         for p, i in self.ids.items():
             if len(p) == 1:
                 self.symbol[ord(p)] = i
             for k in range(1, len(p)):
                 if (x := self.ids.get(p[:k])) is not None and (y := self.ids.get(p[k:])) is not None:
-                    pairs[x * n + y] = i
-        self.n = n
-        self.pair_codes = np.array(sorted(pairs), np.int64)
-        self.pair_pieces = np.array([pairs[c] for c in sorted(pairs)], np.int32)
-        self.piece_rank = np.full(n, _NONE, np.int32)
+                    rows.setdefault(x, []).append((y, i))
+        room, rng = 8 * sum(map(len, rows.values())) + 64, np.random.default_rng(7)
+        self.place = np.zeros(n + 1, np.int32)
+        self.owner = np.full(room + 2 * n + 2, -2, np.int32)
+        for x, row in sorted(rows.items(), key=lambda r: (-len(r[1]), r[0])):
+            ys, at = np.array([y for y, _ in row]), []
+            while not len(at):
+                tried = rng.integers(0, room, 32)
+                at = tried[(self.owner[tried[:, None] + ys] == -2).all(1)]
+            self.place[x] = at[0]
+            self.owner[at[0] + ys] = x
+        # symbol -1 has the last row, where nothing is
+        self.place[n] = room + n + 1
+        rank_of = np.full(n, _NONE, np.int32)
         for p, i in self.ids.items():
-            self.piece_rank[i] = self.rank[p]
+            rank_of[i] = self.rank[p]
+        self.piece = np.zeros(len(self.owner), np.int32)
+        for x, row in rows.items():
+            for y, i in row:
+                self.piece[self.place[x] + y] = i
+        self.piece_rank = np.where(self.owner >= 0, rank_of[self.piece], _NONE).astype(np.int32)
 
     def merge(self, unit: str) -> list[int]:
         """Ids of one normalised unit, by a heap."""
@@ -105,90 +129,93 @@ class AgendaEncoder:
                     out.extend(self.bytes_[b] for b in s.encode())
         return out
 
-    def _piece(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The piece of each pair of symbols and its rank; -1 and none where there is no such piece."""
-        code = x.astype(np.int64) * self.n + y
-        at = np.minimum(np.searchsorted(self.pair_codes, code), len(self.pair_codes) - 1)
-        piece = np.where((self.pair_codes[at] == code) & (x >= 0) & (y >= 0), self.pair_pieces[at], -1)
-        return piece, np.where(piece >= 0, self.piece_rank[piece], _NONE)
+    def _ranks(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """The rank of the piece of each pair of symbols; none where there is no such piece."""
+        at = self.place[x] + y
+        return np.where(self.owner[at] == x, self.piece_rank[at], _NONE)
 
     def _merge_rows(self, units: list[str], width: int) -> list[bytes | None]:
-        """Packed ids of units of at most width symbols; None where a symbol isn't a piece."""
+        """Packed ids of units of at most width symbols; None where a symbol isn't a piece.
+
+        Each row is an agenda: the ranks of its adjacent pairs. In each round every row that still has a
+        piece to form merges its best pair, the leftmost of equals, so all rows get shorter by one symbol."""
         text = np.array(units, f"<U{width}").view(np.uint32).reshape(-1, width)
         left = np.array([len(u) for u in units])
-        cols = np.arange(width)
-        sym = np.where(cols < left[:, None], self.symbol[text], -1)
-        odd = ((sym < 0) & (cols < left[:, None])).any(1)
-        piece, rank = self._piece(sym[:, :-1], sym[:, 1:])
-        live, done = np.flatnonzero(~odd), sym.copy()
-        sym, piece, rank = sym[live], piece[live], rank[live]
-        edge = np.arange(width - 1)
-        while len(live):
-            best = rank.argmin(1)
-            go = rank[np.arange(len(live)), best] < _NONE
-            if not go.all():
-                done[live[~go]] = sym[~go]
-                live, sym, piece, rank, best = live[go], sym[go], piece[go], rank[go], best[go]
-                if not len(live):
-                    break
+        inside = np.arange(width) < left[:, None]
+        sym = np.where(inside, self.symbol[text], np.int32(-1))
+        odd = ((sym < 0) & inside).any(1)
+        live, done = np.flatnonzero(~odd), np.full(sym.shape, -1, np.int32)
+        sym = sym[live]
+        rank = self._ranks(sym[:, :-1], sym[:, 1:])
+        for w in range(width, 0, -1):
             row = np.arange(len(live))
-            sym[row, best] = piece[row, best]
-            # what stands right of the merged pair moves one to the left
-            moved = np.minimum(cols + (cols > best[:, None]), width - 1)
-            sym = np.take_along_axis(sym, moved, 1)
-            sym[:, -1] = -1
-            moved = np.minimum(edge + (edge > best[:, None]), width - 2)
-            piece, rank = np.take_along_axis(piece, moved, 1), np.take_along_axis(rank, moved, 1)
-            piece[:, -1], rank[:, -1] = -1, _NONE
-            for k in (best - 1, best):
-                ok = (k >= 0) & (k < width - 1)
-                at, r = k[ok], row[ok]
-                piece[r, at], rank[r, at] = self._piece(sym[r, at], sym[r, at + 1])
+            best = rank.argmin(1) if w > 1 else row
+            go = rank[row, best] < _NONE if w > 1 else row < 0
+            if not go.all():
+                done[live[~go], :w] = sym[~go]
+                live, sym, rank, best = live[go], sym[go], rank[go], best[go]
+                row = np.arange(len(live))
+            if not len(live):
+                break
             left[live] -= 1
+            sym[row, best] = self.piece[self.place[sym[row, best]] + sym[row, best + 1]]
+            sym = _but_one(sym, best + 1)
+            rank = _but_one(rank, np.minimum(best + 1, w - 2))
+            # the pairs on both sides of the new symbol
+            r, at = row[best > 0], best[best > 0] - 1
+            rank[r, at] = self._ranks(sym[r, at], sym[r, at + 1])
+            r, at = row[best < w - 2], best[best < w - 2]
+            rank[r, at] = self._ranks(sym[r, at], sym[r, at + 1])
         packed = done.astype("<i4").tobytes()
         return [None if o else packed[i : i + 4 * n] for i, n, o in zip(range(0, len(packed), 4 * width), left.tolist(), odd.tolist(), strict=True)]
 
+    def packed(self, units: list[str]) -> list[bytes]:
+        """Packed ids of units in which no piece spans a space mark, sorted by length."""
+        got: list[bytes | None] = []
+        for width in WIDTHS:
+            while (k := len(got)) < (end := bisect_right(units, width, lo=k, key=len)):
+                got += self._merge_rows(units[k : min(end, k + 20_000)], width)
+        got += [None] * (len(units) - len(got))
+        # a unit falls apart at characters that are in no piece
+        rest = [i for i, ids in enumerate(got) if ids is None]
+        runs = [self.runs.findall(units[i]) for i in rest]
+        apart = sorted({r for rs in runs if len(rs) > 1 for r in rs}, key=len)
+        known = dict(zip(apart, self.packed(apart), strict=True)) if apart else {}
+        for i, rs in zip(rest, runs, strict=True):
+            got[i] = b"".join(map(known.__getitem__, rs)) if len(rs) > 1 else array("I", self.merge(units[i])).tobytes()
+        return got
+
     def learn(self, words: set[str]) -> None:
         """Merge the words that no table holds; afterwards the young table has all of words."""
         if len(self.young) + len(words) > WORDS:
             self.young, self.old = {}, self.young
-        missing = []
-        for w in words:
-            if w not in self.young:
-                if (got := self.old.get(w)) is None:
-                    missing.append(MARK + w)
-                else:
-                    self.young[w] = got
-        for least, width in ((0, 8), (8, 12), (12, 16), (16, ROW)):
-            units = [u for u in missing if least < len(u) <= width and "\0" not in u]
-            for k in range(0, len(units), 20_000):
-                part = units[k : k + 20_000]
-                for u, got in zip(part, self._merge_rows(part, width), strict=True):
-                    if got is not None:
-                        self.young[u[1:]] = got
-        for u in missing:
-            if u[1:] not in self.young:
-                ids = self.merge(u)
-                self.young[u[1:]] = struct.pack(f"<{len(ids)}I", *ids)
+        missing = words - self.young.keys()
+        again = missing & self.old.keys()
+        self.young.update(zip(again, map(self.old.__getitem__, again), strict=True))
+        new = sorted(missing - again, key=len)
+        self.young.update(zip(new, self.packed([MARK + w for w in new]), strict=True))
 
     def encode_packed(self, texts: list[str]) -> list[bytes]:
         """Ids of each text with begin and end, as little-endian unsigned 32-bit integers."""
-        normal = [self.lib.normalize(t) for t in texts]
+        normal = self.lib.normalize(texts)
         simple = [self.separable and t.startswith(MARK) and MARK + MARK not in t for t in normal]
         split = [t[1:].split(MARK) if s else None for t, s in zip(normal, simple, strict=True)]
-        self.learn({w for words in split if words for w in words})
+        self.learn(set().union(*filter(None, split)))
+        whole = {t: self.units.findall(t) if self.separable else [t] for t, words in zip(normal, split, strict=True) if words is None}
+        units = sorted(set().union(*whole.values()), key=len)
+        known = dict(zip(units, self.packed(units), strict=True))
         out = []
         for t, words in zip(normal, split, strict=True):
-            if words is not None:
-                body = b"".join(map(self.young.__getitem__, words))
-            else:
-                ids = [i for u in (self.units.findall(t) if self.separable else [t]) for i in self.merge(u)]
-                body = struct.pack(f"<{len(ids)}I", *ids)
-            out.append(self.first + body + self.last)
+            body = map(self.young.__getitem__, words) if words is not None else map(known.__getitem__, whole[t])
+            out.append(b"".join([self.first, *body, self.last]))
         return out
 
-    def decode(self, ids: list[int]) -> str:
-        return self.lib.decode(ids)
+
+def _but_one(rows: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The rows, each without its entry at a place."""
+    keep = np.ones(rows.shape, bool)
+    keep[np.arange(len(rows)), at] = False
+    return rows[keep].reshape(len(rows), rows.shape[1] - 1)
 
 
 @lru_cache(maxsize=2)
@@ -198,13 +225,15 @@ def encoder(model_file: str) -> AgendaEncoder:
 
 def encode_texts(texts: list[str | None], model_file: str, check: bool = True) -> list[tuple[bytes, str]]:
     """Packed ids and decoded text of each text. check: the library encodes the texts too, and must agree."""
-    enc, texts, out = encoder(model_file), [t or "" for t in texts], []
-    for text, packed in zip(texts, enc.encode_packed(texts), strict=True):
-        ids = np.frombuffer(packed, "<u4").tolist()
-        if check and enc.lib.encode(text, add_bos=True, add_eos=True) != ids:
+    enc, texts = encoder(model_file), [t or "" for t in texts]
+    if not texts:
+        return []
+    packed = enc.encode_packed(texts)
+    ids = enc.lib.encode(texts, add_bos=True, add_eos=True, num_threads=1) if check else [np.frombuffer(p, "<u4").tolist() for p in packed]
+    for text, ours, theirs in zip(texts, packed, ids, strict=True):
+        if check and array("I", theirs).tobytes() != ours:
             raise ValueError(f"the agenda and the library differ on {text[:200]!r}")
-        out.append((packed, enc.decode(ids)))
-    return out
+    return list(zip(packed, enc.lib.decode(ids, num_threads=1), strict=True))
 
 
 def encode(df: DataFrame, model_file: str, text: str = "text", ids: str = "ids", decoded: str = "decoded", check: bool = True) -> DataFrame:
@@ -215,17 +244,16 @@ def encode(df: DataFrame, model_file: str, text: str = "text", ids: str = "ids",
     names = [c for c in df.columns if c not in (ids, decoded)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in _slices(batch, text):
-                packed, back = [], []
-                for p, d in encode_texts(part.column(text).to_pylist(), model_file, check):
-                    packed.append(np.frombuffer(p, "<i4"))
-                    back.append(d)
-                values = pa.array(packed, pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), values, pc.cast(pa.array(back, pa.string()), pa.string())], [*names, ids, decoded])
+        for part in slices(batches, text):
+            packed, back = [], []
+            for p, d in encode_texts(part.column(text).to_pylist(), model_file, check):
+                packed.append(np.frombuffer(p, "<i4"))
+                back.append(d)
+            values = pa.array(packed, pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), values, pc.cast(pa.array(back, pa.string()), pa.string())], [*names, ids, decoded])
 
     schema = df.select(*[f"`{c}`" for c in names]).schema.add(ids, T.ArrayType(T.IntegerType())).add(decoded, "string")
-    return df.mapInArrow(run, schema)
+    return in_arrow(df, run, schema)
 
 
 def digests(df: DataFrame, model_file: str, text: str = "text", key: str = "doc_id", check: bool = True) -> DataFrame:
@@ -233,17 +261,11 @@ def digests(df: DataFrame, model_file: str, text: str = "text", key: str = "doc_
     import pyarrow as pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in _slices(batch, text):
-                rows = [(len(p) // 4, hashlib.sha256(p).hexdigest(), hashlib.sha256(d.encode()).hexdigest()) for p, d in encode_texts(part.column(text).to_pylist(), model_file, check)]
-                cols = list(zip(*rows, strict=True)) or [(), (), ()]
-                yield pa.RecordBatch.from_arrays([part.column(key), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())], [key, "n_tokens", "ids_sha256", "decoded_sha256"])
+        for part in slices(batches, text):
+            rows = [(len(p) // 4, hashlib.sha256(p).hexdigest(), hashlib.sha256(d.encode()).hexdigest()) for p, d in encode_texts(part.column(text).to_pylist(), model_file, check)]
+            cols = list(zip(*rows, strict=True)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([part.column(key), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())], [key, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kept = df.select(f"`{key}`", f"`{text}`")
-    return kept.mapInArrow(run, f"`{key}` {kept.schema[key].dataType.simpleString()}, {_OUT}")
-
+    return in_arrow(kept, run, f"`{key}` {kept.schema[key].dataType.simpleString()}, {_OUT}")
 
-def _slices(batch, text: str, rows: int = 256):
-    """Small slices, so that a batch of very long texts doesn't multiply in memory."""
-    for i in range(0, batch.num_rows, rows):
-        yield batch.slice(i, rows)

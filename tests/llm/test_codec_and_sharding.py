@@ -1,14 +1,15 @@
 """Sentencepiece codec against the library; shard placement against its definition."""
 
 import hashlib
+import random
 import struct
 from collections import Counter
 
 import pytest
 import sentencepiece
 
-from sievework.llm import queries, sharding
-from sievework.llm.sentencepiece_codec import AgendaEncoder, encode
+from sievework.llm import queries, sentencepiece_codec, sharding
+from sievework.llm.sentencepiece_codec import AgendaEncoder, encode, encode_texts
 
 MODEL = queries.vocabulary("piece_bpe_32k.model")
 TEXTS = [None, "", " ", "  a  b  ", "▁x ▁", "😀 héé\n\n\tq\x00z \x00 a", "<s> </s> <0x41> [INST]", "Ⅷ ﬁ  ", "a　b", "x" * 3000, "ab " * 2000, "日本語のテキスト と", "ends ", "a" * 23 + " " + "é" * 24 + " " + "zq" * 30]
@@ -31,15 +32,66 @@ def test_codec_on_the_table_and_edges(spark, tmp_path):
     assert encode(full.limit(0).select("doc_id", "text"), MODEL).count() == 0
 
 
+WORDS = ["", "a", "hello", "wörld", "x#y", "naïveté", "aaaaaaaaaaaaaaaaaaaaaaa", "日本", "one\ntwo\n\nthree", "\n", "banana", "mississippi", "a" * 40, "ab\0"]
+
+
 def test_heap_and_rows_agree():
     enc = AgendaEncoder(MODEL)
-    words = ["", "a", "hello", "wörld", "x#y", "naïveté", "aaaaaaaaaaaaaaaaaaaaaaa", "日本"]
-    enc.learn(set(words))
-    for w in words:
+    enc.learn(set(WORDS))
+    for w in WORDS:
         assert list(struct.unpack(f"<{len(enc.young[w]) // 4}I", enc.young[w])) == enc.merge("▁" + w)
         assert not w or enc.merge("▁" + w) == enc.lib.encode(w)
 
 
+def fields(data: bytes):
+    """Number, kind, value and raw bytes of the fields of a protocol buffer message."""
+    at = 0
+
+    def number():
+        nonlocal at
+        out = shift = 0
+        while True:
+            b = data[at]
+            out, shift, at = out | (b & 127) << shift, shift + 7, at + 1
+            if b < 128:
+                return out
+
+    while at < len(data):
+        start, tag = at, number()
+        if tag & 7 == 0:
+            value = number()
+        else:
+            n = {1: 8, 5: 4}.get(tag & 7) or number()
+            value, at = data[at : at + n], at + n
+        yield tag >> 3, tag & 7, value, data[start:at]
+
+
+def test_equal_scores_merge_from_left_to_right(tmp_path):
+    """A copy of the vocabulary in which scores are cut to eight values, so that most pieces have many equals."""
+    out = b""
+    for field, _, value, raw in fields(open(MODEL, "rb").read()):
+        if field == 1:
+            parts = {f: (v, r) for f, _, v, r in fields(value)}
+            score = struct.unpack("<f", parts[2][0])[0]
+            value = parts[1][1] + b"\x15" + struct.pack("<f", float(int(score / 4000))) + (parts[3][1] if 3 in parts else b"")
+            raw = b"\x0a" + (bytes([len(value)]) if len(value) < 128 else bytes([len(value) & 127 | 128, len(value) >> 7])) + value
+        out += raw
+    (tmp_path / "ties.model").write_bytes(out)
+    enc = AgendaEncoder(str(tmp_path / "ties.model"))
+    assert len(set(enc.rank.values())) < 20
+    texts = [t or "" for t in TEXTS] + WORDS + ["the banana of mississippi is in the internationalisation department"]
+    for text, packed in zip(texts, enc.encode_packed(texts), strict=True):
+        assert list(struct.unpack(f"<{len(packed) // 4}I", packed)) == enc.lib.encode(text, add_bos=True, add_eos=True), text[:50]
+
+
+def test_very_long_text_of_distinct_words_and_small_tables(monkeypatch):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzäé0.\n") for _ in range(rng.randint(1, 30)))
+    texts = [" ".join(word() for _ in range(60_000)), " ".join(word() for _ in range(300)), "  ".join(word() for _ in range(300))]
+    monkeypatch.setattr(sentencepiece_codec, "WORDS", 1_000)
+    assert len(encode_texts(texts * 2, MODEL)) == 6
+
+
 def test_lookup_table():
     shards = [f"s{i}" for i in range(7)]
     table = sharding.lookup_table(shards, 1009)
