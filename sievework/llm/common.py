@@ -59,6 +59,11 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value worked out once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def prefix_sums(lengths: Column) -> Column:
     """Exclusive running totals of an array of longs. Two levels, so that long arrays don't cost their square."""
     grow = lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x))
@@ -77,12 +82,16 @@ BATCH_BYTES = 4 << 20
 _BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def in_arrow(df: DataFrame, run: Callable, schema: StructType | str) -> DataFrame:
-    """df.mapInArrow with batches bounded by bytes, since texts differ in size: unless the session sets another bound,
-    it gets this one. Both the JVM and Python hold some batches a task."""
-    spark = df.sparkSession
+def bound_batches(spark: SparkSession) -> None:
+    """Batches to Python are bounded by bytes, since texts differ in size: unless the session sets another bound, it
+    gets this one. Both the JVM and Python hold some batches a task."""
     if _BATCH_CONF not in spark.conf.getAll:
         spark.conf.set(_BATCH_CONF, str(BATCH_BYTES))
+
+
+def in_arrow(df: DataFrame, run: Callable, schema: StructType | str) -> DataFrame:
+    """df.mapInArrow with bounded batches."""
+    bound_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
@@ -105,27 +114,58 @@ def slices(batches: Iterator, text: str, rows: int = 1_000) -> Iterator:
 ID_BITS, LEAST_BITS, MOST_BITS = 16, 1 << 16, 1 << 28
 
 
-def _filtered(df: DataFrame, key: str, ids: DataFrame, id_col: str) -> DataFrame:
-    """df with _maybe: whether its key may be among ids. A bitmap of hashed ids, of bounded size, is broadcast, so no row moves."""
+def packed(df: DataFrame, **others: Column) -> DataFrame:
+    """df's columns in one struct, row, beside others, so that no name of df meets one of these."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *[c.alias(n) for n, c in others.items()])
+
+
+def unpacked(df: DataFrame, columns: list[str], **changed: Column) -> DataFrame:
+    """The columns out of row again; those in changed are given anew."""
+    return df.select(*[changed[c].alias(c) if c in changed else F.col("row").getField(c).alias(c) for c in columns])
+
+
+def maybe_among(df: DataFrame, key: str, ids: DataFrame, id_col: str) -> DataFrame:
+    """df with maybe: whether its key may be among ids. A bitmap of hashed ids, of bounded size, is broadcast, so no row moves."""
     size = min(MOST_BITS, max(LEAST_BITS, ID_BITS << ids.count().bit_length()))
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(size)) + 1
-    bits = ids.select(place(F.col(f"`{id_col}`")).alias("p")).select(F.bitmap_bucket_number("p").alias("_bucket"), F.bitmap_bit_position("p").alias("b"))
-    maps = bits.groupBy("_bucket").agg(F.bitmap_construct_agg("b").alias("_bits"))
-    placed = df.withColumn("_place", place(F.col(f"`{key}`"))).withColumns({"_bucket": F.bitmap_bucket_number("_place"), "_bit": F.bitmap_bit_position("_place")})
-    byte = F.conv(F.hex(F.substr("_bits", (F.col("_bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    hit = byte.bitwiseAND(F.pow(F.lit(2), F.col("_bit") % 8).cast("int")) != 0
-    joined = placed.join(F.broadcast(maps), "_bucket", "left").withColumn("_maybe", F.coalesce(hit, F.lit(False)))
-    return joined.select(*[f"`{c}`" for c in df.columns], "_maybe")
+    bits = ids.select(place(F.col(f"`{id_col}`")).alias("p")).select(F.bitmap_bucket_number("p").alias("at"), F.bitmap_bit_position("p").alias("b"))
+    maps = bits.groupBy("at").agg(F.bitmap_construct_agg("b").alias("bits"))
+    placed = df.withColumn("place", place(F.col(key))).withColumns({"at": F.bitmap_bucket_number("place"), "bit": F.bitmap_bit_position("place")})
+    byte = F.conv(F.hex(F.substr("bits", (F.col("bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = byte.bitwiseAND(F.pow(F.lit(2), F.col("bit") % 8).cast("int")) != 0
+    joined = placed.join(F.broadcast(maps), "at", "left").withColumn("maybe", F.coalesce(hit, F.lit(False)))
+    return joined.select(*df.columns, "maybe")
+
+
+def _listed(ids: DataFrame, id_col: str) -> DataFrame:
+    return ids.select(F.col(f"`{id_col}`").alias("id")).distinct()
 
 
 def among(df: DataFrame, key: str, ids: DataFrame, id_col: str) -> DataFrame:
     """Rows of df whose key is among ids (null equals null). Rows that the filter rules out aren't shuffled."""
-    few = _filtered(df, key, ids, id_col).where("_maybe").drop("_maybe")
-    return few.join(ids.select(F.col(f"`{id_col}`").alias("_id")).distinct(), F.col(f"`{key}`").eqNullSafe(F.col("_id")), "left_semi")
+    few = maybe_among(packed(df, key=F.col(f"`{key}`")), "key", ids, id_col).where("maybe")
+    return unpacked(few.join(_listed(ids, id_col), F.col("key").eqNullSafe(F.col("id")), "left_semi"), df.columns)
 
 
 def without(df: DataFrame, key: str, ids: DataFrame, id_col: str) -> DataFrame:
     """Rows of df whose key isn't among ids (null equals null). Rows that the filter rules out aren't shuffled."""
-    marked = _filtered(df, key, ids, id_col)
-    few = marked.where("_maybe").drop("_maybe").join(ids.select(F.col(f"`{id_col}`").alias("_id")).distinct(), F.col(f"`{key}`").eqNullSafe(F.col("_id")), "left_anti")
-    return marked.where("not _maybe").drop("_maybe").unionAll(few)
+    marked = maybe_among(packed(df, key=F.col(f"`{key}`")), "key", ids, id_col)
+    few = marked.where("maybe").join(_listed(ids, id_col), F.col("key").eqNullSafe(F.col("id")), "left_anti")
+    return unpacked(marked.where("not maybe").unionAll(few), df.columns)
+
+
+#: Keys of a table that are so frequent that they are broadcast: those of this share of all rows or more, so no more than its inverse.
+FREQUENT = 1e-3
+
+
+def with_table(df: DataFrame, table: DataFrame, on: str, n: str) -> DataFrame:
+    """df with the columns of table but n, by a left join on a column without nulls. table has one row for each key, n how
+    many rows of df the key has. Frequent keys are broadcast, so that no task gets all rows of one; others are shuffled."""
+    columns = [c for c in table.columns if c not in (on, n)]
+    least = (table.agg(F.sum(n)).first()[0] or 0) * FREQUENT
+    often, rarely = table.where(F.col(n) >= least).drop(n), table.where(F.col(n) < least).drop(n)
+    if rarely.isEmpty():
+        return df.join(F.broadcast(often), on, "left").select(*df.columns, *columns)
+    marked = df.join(F.broadcast(often.withColumn("_often", F.lit(True))), on, "left")
+    rest = marked.where("_often IS NULL").select(*df.columns).join(rarely, on, "left")
+    return marked.where("_often").select(*df.columns, *columns).unionAll(rest.select(*df.columns, *columns))

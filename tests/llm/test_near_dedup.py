@@ -67,6 +67,51 @@ def test_blocks_chains_and_edges(spark, monkeypatch):
     assert sorted((str(r["doc_id"]), r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(odd).collect()) == [("9", 9, True), ("9", 9, True), ("None", 9, False)]
 
 
+def texts_near(rng, base, k):
+    """k texts that differ from base in one word each."""
+    return [" ".join(base[:i] + [f"q{i}"] + base[i + 1 :]) for i in rng.sample(range(len(base)), k)]
+
+
+def test_ids_with_several_texts_and_null_ids(spark):
+    rng = random.Random(5)
+    a, b, c = ([f"{x}{i}" for i in range(120)] for x in "abc")
+    rows = [(9, " ".join(a)), (9, " ".join(b)), (9, None), (20, texts_near(rng, a, 1)[0]), (21, texts_near(rng, b, 1)[0]), (30, " ".join(c)), (None, texts_near(rng, c, 1)[0]), (None, "x y z"), (None, "x y z")]
+    got = sorted((str(r["doc_id"]), r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [("20", 116, 9, False), ("21", 116, 9, False), ("30", 116, 30, True), ("9", 0, 9, True), ("9", 116, 9, True), ("9", 116, 9, True), ("None", 1, None, False), ("None", 1, None, False), ("None", 116, 30, False)]
+    kept = near_dedup.one_of_each(spark.createDataFrame([(*r, "clash", 1) for r in rows * 2], "doc_id long, text string, row string, maybe int")).collect()
+    assert Counter((r["doc_id"], (r["text"] or "")[:2]) for r in kept) == {(9, "a0"): 1, (9, "b0"): 1, (9, ""): 2, (30, "c0"): 1, (None, "x "): 1}
+    assert all((r["row"], r["maybe"]) == ("clash", 1) for r in kept)
+
+
+def test_groups_over_many_blocks(spark, monkeypatch):
+    """A large group of near copies is linked through the heads of its parts; few rows are left to compare across blocks."""
+    rng = random.Random(6)
+    base, other = [f"a{i}" for i in range(150)], [f"b{i}" for i in range(150)]
+    rows = [(i, t) for i, t in enumerate(texts_near(rng, base, 140) + texts_near(rng, other, 100))]
+    want = brute(rows, 5)
+    monkeypatch.setattr(near_dedup, "BLOCK_CLASSES", 8)
+    monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", 1_200)
+    seen = []
+    monkeypatch.setattr(near_dedup, "staged", lambda df, name, f=near_dedup.staged: (out := f(df, name), seen.append((name, out)))[0])
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == want
+    assert [n for n, _ in seen].count("within") > 2 and all(out.count() <= 240 for n, out in seen if n == "across")
+
+
+def test_sorted_chains_take_few_rounds(spark, monkeypatch):
+    names = []
+    monkeypatch.setattr(near_dedup, "staged", lambda df, name, f=near_dedup.staged: (names.append(name), f(df, name))[1])
+    edges = [(i, i + 1) for i in range(1, 2_000)]
+    got = {r["node"]: r["root"] for r in near_dedup.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == dict.fromkeys(range(1, 2_001), 1)
+    assert names.count("hooks") == 1 and names.count("roots") <= 11
+    names.clear()
+    # small ids that meet through large ones only
+    edges = [(i, 10_000 + i) for i in range(1, 1_000)] + [(i + 1, 10_000 + i) for i in range(1, 1_000)]
+    got = {r["root"] for r in near_dedup.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {1} and names.count("hooks") <= 3
+
+
 def test_posterior_bound_is_the_beta_tail():
     rng = np.random.default_rng(5)
     draws = rng.random(400_000)
