@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievework.llm.common import staged, without
+from sievework.llm.common import in_arrow, slices, staged, without
 
 #: Share of the item's own score that makes a leak.
 LEAK = 0.35
@@ -256,18 +256,16 @@ def pairs(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
 
         def run(batches: Iterator[pa.RecordBatch], rows=rows) -> Iterator[pa.RecordBatch]:
             items = _items(rows.value, leak)
-            for batch in batches:
-                ids = batch.column(key)
-                for i in range(0, batch.num_rows, 500):
-                    at, found = [], []
-                    for k, p in items.aligned(batch.column(text).slice(i, 500).to_pylist()):
-                        if p[1] >= leak and p[2] >= min(LEAST_WORDS, p[3]):
-                            at.append(i + k)
-                            found.append(p)
-                    if found:
-                        yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), *(pa.array(c, t) for c, t in zip(zip(*found, strict=True), types, strict=True))], [key, *names])
-
-        one = kept.mapInArrow(run, f"`{key}` {kind}, {_PAIR}")
+            for part in slices(batches, text):
+                at, found = [], []
+                for k, p in items.aligned(part.column(text).to_pylist()):
+                    if p[1] >= leak and p[2] >= min(LEAST_WORDS, p[3]):
+                        at.append(k)
+                        found.append(p)
+                if found:
+                    yield pa.RecordBatch.from_arrays([part.column(key).take(pa.array(at)), *(pa.array(c, t) for c, t in zip(zip(*found, strict=True), types, strict=True))], [key, *names])
+
+        one = in_arrow(kept, run, f"`{key}` {kind}, {_PAIR}")
         out = one if out is None else out.unionAll(one)
     if out is None:
         return kept.limit(0).mapInArrow(lambda b: iter(()), f"`{key}` {kind}, {_PAIR}")

@@ -8,9 +8,9 @@ logistic of the difference of the two classes' log densities (Mahalanobis terms
 logistic is fitted on a histogram of differences of fixed size, so that scores are probabilities.
 
 Labels join on the key: rows with null labels or keys don't train, a document with several label rows
-trains once for each. Null texts are empty; empty texts get a score like any other. Repeated rows stay.
-Without rows of both classes the model can't be fitted, and fitting raises ValueError; an empty table gives
-no rows.
+trains once for each. Null texts are empty; empty and very long texts get a score like any other. Repeated
+rows stay. Of the documents only key and text are read, so other columns' names don't matter. Without rows of
+both classes the model can't be fitted, and fitting raises ValueError; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievework.llm.common import staged
+from sievework.llm.common import in_arrow, maybe_among, slices, staged
 
 NAMES = (
     "chars", "words", "word_chars", "symbols", "upper", "digits", "bangs", "stops", "bars", "other", "caps_words",
@@ -141,14 +141,12 @@ def features(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     import pyarrow as pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, 1000):
-                part = batch.slice(i, 1000)
-                rows = pa.array([np.array(statistics_of(t)) for t in part.column(text).to_pylist()], pa.list_(pa.float64()))
-                yield pa.RecordBatch.from_arrays([part.column(key), rows], [key, "vector"])
+        for part in slices(batches, text):
+            rows = pa.array([np.array(statistics_of(t)) for t in part.column(text).to_pylist()], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([part.column(key), rows], [key, "vector"])
 
     kept = docs.select(f"`{key}`", f"`{text}`")
-    return kept.mapInArrow(run, f"`{key}` {kept.schema[key].dataType.simpleString()}, vector array<double>")
+    return in_arrow(kept, run, f"`{key}` {kept.schema[key].dataType.simpleString()}, vector array<double>")
 
 
 def _summed(rows: DataFrame, of) -> np.ndarray:
@@ -195,7 +193,7 @@ def score(vectors: DataFrame, model: Gaussians, key: str = "doc_id") -> DataFram
                 x = b.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
                 yield pa.RecordBatch.from_arrays([b.column(key), pa.array(model.score(x), pa.float64())], [key, "score"])
 
-    return vectors.mapInArrow(run, f"`{key}` {vectors.schema[key].dataType.simpleString()}, score double")
+    return in_arrow(vectors, run, f"`{key}` {vectors.schema[key].dataType.simpleString()}, score double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
@@ -212,9 +210,19 @@ def keep(docs: DataFrame, model: Gaussians, text: str = "text", least: float = T
     import pyarrow as pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                part = batch.slice(i, 500)
-                yield part.filter(pa.array(model.score(np.array([statistics_of(t) for t in part.column(text).to_pylist()])) >= least))
-
-    return docs.mapInArrow(run, docs.schema)
+        for part in slices(batches, text):
+            yield part.filter(pa.array(model.score(np.array([statistics_of(t) for t in part.column(text).to_pylist()])) >= least))
+
+    return in_arrow(docs, run, docs.schema)
+
+
+def accepted(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", least: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that the model of their labels accepts. Statistics are worked out once for all rows, and once more
+    for labelled ones, which the model needs first. With too few labels for a model, all rows stay."""
+    learnt = labels.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{label}`").alias("quality"))
+    few = maybe_among(docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").alias("text")), "doc_id", learnt, "doc_id").where("maybe")
+    try:
+        model = fit(staged(features(few, "doc_id", "text"), "statistics"), learnt, "doc_id", "quality")
+    except TooFewLabels:
+        return docs
+    return keep(docs, model, text, least)

@@ -1,6 +1,8 @@
 """Quality classifier on held-out rows; license scans against brute force."""
 
+import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -96,3 +98,73 @@ def test_edited_notices_beside_better_ones_are_found():
     text = "released undr the mit license. released under the mit license, releasd under the mit licence."
     assert [s[1:] for s in one.verified(text) if s[0] == "mit-notice"] == [(0, 29, 1), (31, 61, 0), (63, 92, 2)]
     assert [s[1:] for s in one.verified("all rights resrved. all rights reserved")] == [(0, 18, 1), (20, 39, 0)]
+
+
+def test_distance_is_the_least_number_of_edits():
+    rng = random.Random(1)
+    for _ in range(500):
+        p, t = "".join(rng.choice("abc") for _ in range(rng.randint(1, 12))), "".join(rng.choice("abc") for _ in range(rng.randint(0, 20)))
+        row = [0] * (len(t) + 1)
+        for i, c in enumerate(p, 1):
+            before, row = row, [i]
+            for j, x in enumerate(t, 1):
+                row.append(min(before[j - 1] + (c != x), before[j] + 1, row[j - 1] + 1))
+        assert license_scan.Distance(p).least(t) == min(row)
+
+
+def test_notices_of_the_table_against_all_places(spark):
+    """Every notice within its edits of any place of a whole text gives its label, and no other does."""
+    one, found = license_scan.Scanner(), 0
+    for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect() + [(None, t) for _, t in ODD]:
+        low = re.sub("[A-Z]", lambda m: m[0].lower(), r[1] or "")
+        text = license_scan.squeeze(low)[0]
+        want = {label for label, _, k, distance, _ in one.notices if distance.least(text) <= k}
+        assert {s["label"] for s in one.scan(r[1])[-1]} == want
+        found += len(want)
+    assert found > 3
+
+
+def test_long_repetitive_texts_take_linear_time():
+    one = license_scan.Scanner()
+    for text in ("all rights reservd " * 55_000, "mit license x " * 75_000, "cc " * 350_000):
+        began = time.time()
+        one.scan(text)
+        assert time.time() - began < 5
+
+
+def test_notices_over_lines_and_behind_comment_marks():
+    one = license_scan.Scanner()
+    for text in ("/* Licensed under the\n *  Apache License,\n *\tVersion 2.0 */", "# Licensed   under the Apache\r\n#\r\n# License, Version 2.0", "// Licensd under the Apache License,\n//// Version 2.0"):
+        span = next(s for s in one.scan(text)[-1] if s["label"] == "apache-2.0-notice")
+        assert span["edits"] <= 1 and text[span["start"] : span["end"]].startswith("Licens") and text[span["start"] : span["end"]].endswith("2.0")
+
+
+def test_empty_table_and_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "MIT License", "x", 1)], "doc_id long, text string, labels string, n_words int")
+    assert [r["labels"] for r in license_scan.scan(docs).collect()] == ["mit"]
+    assert license_scan.scan(docs.limit(0)).count() == 0
+
+
+def test_quadratic_discriminant_by_its_definition(spark):
+    """Scores of the table against densities worked out class by class with numpy, from the same statistics."""
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    x = {i: np.array(quality_classifier.statistics_of(t)) for i, t in docs}
+    learnt = [[x[i] for i, q in labels.items() if q == k and zlib.crc32(str(i).encode()) % 5] for k in (0, 1)]
+    own = [np.cov(np.array(rows).T, bias=True) for rows in learnt]
+    pooled = sum(len(rows) * c for rows, c in zip(learnt, own, strict=True)) / sum(map(len, learnt))
+    a, d, r = quality_classifier.SHRINK, quality_classifier.DIAGONAL, quality_classifier.RIDGE
+    both = [(1 - a) * c + a * pooled for c in own]
+    both = [(1 - d) * c + (d + r) * np.diag(np.diag(c)) + r * np.eye(len(c)) for c in both]
+
+    def log_density(v, k):
+        m = v - np.mean(learnt[k], 0)
+        return -0.5 * (m @ np.linalg.solve(both[k], m) + np.linalg.slogdet(both[k])[1]) + np.log(len(learnt[k]))
+
+    difference = {i: np.clip(log_density(v, 1) - log_density(v, 0), -quality_classifier.CLIP, quality_classifier.CLIP) for i, v in x.items()}
+    got = {r["doc_id"]: r["score"] for r in queries.op5_quality_classifier(spark, SF).collect()}
+    # the logistic on top keeps the order, and is one line in log odds
+    inner = [i for i in got if abs(difference[i]) < 30 and 1e-9 < got[i] < 1 - 1e-9]
+    odds = np.array([np.log(got[i] / (1 - got[i])) for i in inner])
+    line = np.polyfit([difference[i] for i in inner], odds, 1)
+    assert line[0] > 0 and np.allclose(np.polyval(line, [difference[i] for i in inner]), odds, atol=1e-3)
