@@ -6,13 +6,20 @@ the shared folder. A task writes archives under names of its own attempt and rep
 of lost attempts are in no index.
 
 Index: entries (reversed-host URL key, page id, archive, offset, length) are sorted over the whole corpus
-and packed into compressed blocks of BLOCK entries; a sparse directory keeps each block's first key. A
-lookup binary-searches the directory, reads the range of a block, binary-searches that, and reads the range
-of the record. Reading everything back goes through all blocks; ranges that lie close together in one
-archive are read as one.
-
-Null payloads are empty; a null URL has the key of an empty host; a null page id stays null. Several rows
-of one page id are several records; copies of the response with its very id are responses too. An empty
+and packed into compressed blocks of BLOCK entries. Each index file has a sparse directory at its end, one
+line for each of its blocks: the first key and page, offset and length. A lookup finds the index file among
+the files' first keys (a row for each file, as many as the session's range partitions, so it is broadcast),
+binary-searches that file's directory, reads the range of a block, binary-searches that, and reads the range
+of the record. Captures.find does so in tasks, for a table of URLs or of URLs and page ids, sorted so that a
+task reads a block once; records that lie close together in one archive are read as one range.
+
+Payloads stay where they are unless their digest repeats; digests of a thousandth of all pages or more are
+broadcast, so only payloads of rarer repeats are shuffled.
+
+Null payloads are empty and very long ones are records like others; a null URL has the key of an empty host; a
+null page id stays null. Several rows of one page id are several records; copies of the response with its very
+id are responses too. Pages of null id refer to the smallest id of their payload like others; where no page
+of a payload has an id, all are responses. Other columns aren't read, so their names don't matter. An empty
 table gives an empty index.
 """
 
@@ -26,17 +33,18 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 from urllib.parse import urlsplit
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from sievework.llm.common import new_folder, staged
+from sievework.llm.common import bound_batches, maybe_among, new_folder, staged, with_table
 
 REVISIT_BYTES = 100
 #: Entries of an index block; bytes after which an archive is closed; bytes of a reading range and the largest gap in it.
 BLOCK, ARCHIVE_BYTES, RANGE_BYTES, GAP_BYTES = 2_000, 256 << 20, 8 << 20, 64 << 10
-SALTS = 16
 DATE = "2000-01-01T00:00:00Z"
 
 
@@ -98,41 +106,67 @@ def planned(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     """page_id, url, html, digest and the id that a revisit refers to."""
     text = F.coalesce(F.col(f"`{html}`"), F.lit(""))
     rows = pages.select(F.col(f"`{key}`").cast("long").alias("page_id"), F.col(f"`{url}`").alias("url"), text.alias("html"), F.sha2(F.encode(text, "UTF-8"), 256).alias("digest"))
-    first = rows.where(F.octet_length("html") >= REVISIT_BYTES).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    # copies of one page may be a third of all: they are dealt by salt, the few first ones go to each salt
-    spread = first.select(F.col("digest").alias("_d"), "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_s"))
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
-    both = salted.join(spread, (F.col("digest") == F.col("_d")) & (F.col("_salt") == F.col("_s")), "left")
-    return both.select("page_id", "url", "html", "digest", F.when(F.col("first") != F.col("page_id"), F.col("first")).alias("refers_to"))
+    long = F.octet_length("html") >= REVISIT_BYTES
+    first = rows.where(long).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
+    first = staged(first.where("n > 1 AND first IS NOT NULL"), "repeats")
+    marked = maybe_among(rows, "digest", first, "digest")
+    both = with_table(marked.where("maybe").drop("maybe"), first, "digest", "n")
+    none = F.lit(None).cast("long")
+    refers = F.when(~F.col("first").eqNullSafe(F.col("page_id")), F.col("first"))
+    names = ["page_id", "url", "html", "digest"]
+    return marked.where("not maybe").select(*names, none.alias("refers_to")).unionAll(both.select(*names, refers.alias("refers_to")))
+
+
+def _place(key: str, page: int | None) -> tuple:
+    """The order of entries: by key, then by page, no page before all."""
+    return key, page is not None, page or 0
 
 
 @dataclass
 class Captures:
-    """A written archive: its folder and the directory of its index blocks."""
+    """A written archive: its folder, and a row for each index file with its first key and page and its directory's place."""
 
     folder: str
-    directory: DataFrame
+    files: DataFrame
 
-    def entries(self) -> DataFrame:
-        """All index entries, out of their blocks."""
+    def keys(self, table: DataFrame, url: str = "url") -> DataFrame:
+        """table with key, the URL key of its url."""
         import pandas as pd
 
-        folder = self.folder
-
         def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for p in parts:
-                for b in p.itertuples(index=False):
-                    rows = [json.loads(line) for line in read_block(folder, b.file, b.offset, b.length)]
-                    yield pd.DataFrame(rows, columns=["key", "page", "archive", "at", "size"])[["archive", "at", "size"]]
+                yield p.assign(key=[url_key(u) for u in p[url]])
 
-        spread = self.directory.select("file", "offset", "length").repartition(self.directory.sparkSession.sparkContext.defaultParallelism * 2)
-        return spread.mapInPandas(run, "archive string, at long, size long")
+        bound_batches(table.sparkSession)
+        return table.mapInPandas(run, StructType([*table.schema.fields, StructField("key", StringType())]))
 
-    def records(self) -> DataFrame:
-        """Every record, read through the index: without payloads, whose digests are checked."""
+    def find(self, wanted: DataFrame, url: str = "url", page: str | None = None) -> DataFrame:
+        """key, page, archive, at and size of the captures of a table's URLs; with page, of its URLs and page ids only.
+        Each different one is looked up once."""
+        import pandas as pd
+
+        folder = self.folder
+        files = self.files.sparkSession.sparkContext.broadcast(sorted((tuple(r) for r in self.files.collect()), key=lambda r: _place(r[0], r[1])))
+
+        def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            index = Index(folder, files.value)
+            for p in parts:
+                found = (e for k, n in zip(p["key"], p["page"], strict=True) for e in index.find(k, None if pd.isna(n) else int(n), page is not None))
+                while some := list(islice(found, 10_000)):
+                    got = pd.DataFrame(some, columns=["key", "page", "archive", "at", "size"])
+                    yield got.astype({"page": "Int64", "at": "int64", "size": "int64"})
+
+        number = F.col(f"`{page}`").cast("long") if page else F.lit(None).cast("long")
+        asked = self.keys(wanted.select(F.col(f"`{url}`").alias("url"), number.alias("page"))).select("key", "page").distinct()
+        # sorted, so that neighbours are in one block
+        dealt = asked.repartitionByRange(max(1, 2 * asked.sparkSession.sparkContext.defaultParallelism), "key", "page").sortWithinPartitions("key", "page")
+        return dealt.mapInPandas(run, "key string, page long, archive string, at long, size long")
+
+    def read(self, entries: DataFrame, payloads: bool = False) -> DataFrame:
+        """The records of entries. Digests of payloads are checked; payloads come along if asked for."""
         import pandas as pd
 
-        folder, names = self.folder, ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+        folder, names = self.folder, ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", *["payload"] * payloads]
 
         def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for p in parts:
@@ -140,25 +174,61 @@ class Captures:
                     rows = [parse_record(m) for m in read_ranges(folder, archive, sorted(zip(mine["at"].tolist(), mine["size"].tolist(), strict=True)))]
                     yield pd.DataFrame({n: pd.array([r[n] for r in rows], dtype="Int64" if n in ("page_id", "refers_to", "payload_bytes") else "object") for n in names})
 
-        spark = self.directory.sparkSession
-        near = self.entries().withColumn("part", F.floor(F.col("at") / RANGE_BYTES))
-        dealt = near.repartition(spark.sparkContext.defaultParallelism * 2, "archive", "part").sortWithinPartitions("archive", "at").drop("part")
-        return dealt.mapInPandas(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+        spark = entries.sparkSession
+        near = entries.withColumn("part", F.floor(F.col("at") / RANGE_BYTES))
+        dealt = near.repartition(spark.sparkContext.defaultParallelism * 2, "archive", "part").sortWithinPartitions("archive", "at").select("archive", "at", "size")
+        kinds = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string" + ", payload binary" * payloads
+        return dealt.mapInPandas(run, kinds)
 
     def lookup(self, urls: list[str]) -> list[dict]:
-        """The captures of some URLs. The directory, one key for BLOCK captures, is searched on the driver."""
-        blocks = [(r["first"], r["file"], r["offset"], r["length"]) for r in self.directory.orderBy("first").toLocalIterator()]
-        firsts, out = [b[0] for b in blocks], []
-        for url in urls:
-            key = url_key(url)
-            at = max(0, bisect.bisect_left(firsts, key) - 1)
-            while at < len(blocks) and (firsts[at] <= key):
-                rows = [json.loads(line) for line in read_block(self.folder, *blocks[at][1:])]
-                keys = [r[0] for r in rows]
-                for r in rows[bisect.bisect_left(keys, key) : bisect.bisect_right(keys, key)]:
-                    out += [parse_record(m) for m in read_ranges(self.folder, r[2], [(r[3], r[4])])]
+        """The captures of some URLs, with payloads."""
+        spark = self.files.sparkSession
+        asked = spark.createDataFrame([(u,) for u in urls], "url string")
+        return [r.asDict() for r in self.read(self.find(asked), payloads=True).collect()]
+
+
+class Index:
+    """Looks keys up in the index files of a folder. It holds one directory and one block at a time."""
+
+    def __init__(self, folder: str, files: list[tuple]):
+        self.folder, self.files = folder, files
+        self.firsts = [_place(f[0], f[1]) for f in files]
+        self.open_file, self.directory, self.open_block, self.entries = -1, [], None, []
+
+    def blocks(self, file: int) -> list[tuple]:
+        """Order, offset and length of the blocks of a file."""
+        if self.open_file != file:
+            _, _, name, offset, length = self.files[file]
+            lines = map(json.loads, read_block(self.folder, name, offset, length))
+            self.directory = [(_place(k, n), at, size) for k, n, at, size in lines]
+            self.open_file = file
+        return self.directory
+
+    def block(self, file: int, number: int) -> list[list]:
+        if self.open_block != (file, number):
+            _, at, size = self.blocks(file)[number]
+            self.entries = [json.loads(line) for line in read_block(self.folder, self.files[file][2], at, size)]
+            self.open_block = file, number
+        return self.entries
+
+    def find(self, key: str, page: int | None, paged: bool) -> Iterator[list]:
+        """Entries of a key, in order; of one page only, if paged."""
+        place = _place(key, page) if paged else (key,)
+        # entries of that place may begin in the block before the first that starts with it or beyond it
+        file = max(0, bisect.bisect_left(self.firsts, place) - 1)
+        number = max(0, bisect.bisect_left(self.blocks(file), place, key=lambda b: b[0]) - 1) if self.files else 0
+        while file < len(self.files):
+            if number >= len(self.blocks(file)):
+                file, number = file + 1, 0
+                continue
+            if self.blocks(file)[number][0][: len(place)] > place:
+                return
+            entries = self.block(file, number)
+            at = bisect.bisect_left(entries, place, key=lambda e: _place(e[0], e[1])[: len(place)])
+            while at < len(entries) and _place(entries[at][0], entries[at][1])[: len(place)] == place:
+                yield entries[at]
                 at += 1
-        return out
+            number += 1
 
 
 def read_block(folder: str, file: str, offset: int, length: int) -> list[bytes]:
@@ -214,31 +284,33 @@ def write(pages: DataFrame, key: str = "page_id", url: str = "url", html: str =
             if out is not None:
                 out.close()
 
+    bound_batches(spark)
     entries = staged(planned(pages, key, url, html).mapInPandas(archive, "key string, page long, archive string, at long, size long"), "captures")
 
     def pack(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, root = _fs(folder)
-        name, held, found = f"{uuid.uuid4().hex}.idx", [], []
+        name, out, at, held, directory = f"{uuid.uuid4().hex}.idx", None, 0, [], []
 
-        def close() -> None:
-            if held:
-                data = zlib.compress("\n".join(json.dumps(r) for r in held).encode())
-                found.append((held[0][0], name, buffer_at[0], len(data), len(held)))
-                out.write(data)
-                buffer_at[0] += len(data)
-                held.clear()
+        def put(lines: list) -> tuple[int, int]:
+            nonlocal at
+            data = zlib.compress("\n".join(map(json.dumps, lines)).encode())
+            out.write(data)
+            at += len(data)
+            return at - len(data), len(data)
 
-        buffer_at, out = [0], None
         for p in parts:
-            for k, page, file, at, size in zip(p["key"], p["page"], p["archive"], p["at"], p["size"], strict=True):
+            for k, page, file, start, size in zip(p["key"], p["page"], p["archive"], p["at"], p["size"], strict=True):
                 out = out or fs.open_output_stream(f"{root}/{name}", compression=None)
-                held.append((k, None if pd.isna(page) else int(page), file, int(at), int(size)))
+                held.append((k, None if pd.isna(page) else int(page), file, int(start), int(size)))
                 if len(held) >= BLOCK:
-                    close()
-        close()
+                    directory.append((*held[0][:2], *put(held)))
+                    held = []
+        if held:
+            directory.append((*held[0][:2], *put(held)))
         if out is not None:
+            place = put(directory)
             out.close()
-            yield pd.DataFrame(found, columns=["first", "file", "offset", "length", "n"])
+            yield pd.DataFrame([(*directory[0][:2], name, *place)], columns=["first", "page", "file", "offset", "length"]).astype({"page": "Int64"})
 
     ordered = entries.repartitionByRange(max(1, spark.sparkContext.defaultParallelism), "key", "page", "archive", "at").sortWithinPartitions("key", "page", "archive", "at")
-    return Captures(folder, staged(ordered.mapInPandas(pack, "first string, file string, offset long, length long, n long"), "directory"))
+    return Captures(folder, staged(ordered.mapInPandas(pack, "first string, page long, file string, offset long, length long"), "files"))

@@ -27,7 +27,20 @@ def test_edges(spark, tmp_path):
     spark.createDataFrame([(*r, "clash") for r in rows], PAGES).write.parquet(f"{tmp_path}/pages.parquet")
     got = sorted(tuple(r) for r in queries.op7_warc(spark, str(tmp_path)).collect())
     assert got == brute(rows)
-    assert warc.write(spark.createDataFrame([], PAGES)).records().count() == 0
+    empty = spark.createDataFrame([], PAGES)
+    written = warc.write(empty)
+    assert written.read(written.find(empty, page="page_id")).count() == 0 and written.lookup(["http://a.org/x"]) == []
+
+
+def test_null_ids_and_frequent_payloads(spark, tmp_path):
+    """A payload of a third of all pages, rare repeats, and pages without an id."""
+    rows = [(i, f"http://h{i % 3}.org/{i}", "<a>" * 50 if i % 3 == 0 else f"<b>{i // 4}" + "x" * 100) for i in range(4, 3000)]
+    rows += [(None, "http://a.org/", "<a>" * 50), (None, None, "only" * 30), (None, "http://z.org/", "only" * 30), (5000, "http://a.org/", "w " * 400_000)]
+    spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, first string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = [tuple(r) for r in queries.op7_warc(spark, str(tmp_path)).collect()]
+    assert sorted(r for r in got if r[0] is not None) == brute([r for r in rows if r[0] is not None])
+    digest = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert sorted(r[1:] for r in got if r[0] is None) == sorted([(150, digest("<a>" * 50), "revisit", 6), *[(120, digest("only" * 30), "response", None)] * 2], key=str)
 
 
 def test_lookup_spans_blocks(spark, monkeypatch):
@@ -37,7 +50,22 @@ def test_lookup_spans_blocks(spark, monkeypatch):
     for url in ("http://h0.example.org/p0", "http://H3.example.org/p3", "http://none.org/"):
         want = sorted((i, h) for i, u, h in rows if u.lower() == url.lower())
         assert sorted((r["page_id"], r["payload"].decode()) for r in held.lookup([url])) == want
-    assert held.directory.count() >= 200 // 7
+    index = warc.Index(held.folder, sorted((tuple(r) for r in held.files.collect()), key=lambda r: (r[0], r[1])))
+    assert sum(len(index.blocks(f)) for f in range(len(index.files))) >= 200 // 7
+    # pages by URL and id: each from the block that holds it, nothing for one that isn't there
+    asked = spark.createDataFrame([(u, i) for i, u, _ in rows[::3]] + [("http://none.org/", 1), (rows[0][1], 77)], "url string, page long")
+    found = held.find(asked, "url", "page")
+    assert sorted(r["page"] for r in found.collect()) == [i for i, _, _ in rows[::3]]
+    assert sorted(r["page_id"] for r in held.read(found).collect()) == [i for i, _, _ in rows[::3]]
+
+
+def test_one_url_over_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(warc, "BLOCK", 5)
+    rows = [(None if i % 50 == 0 else i, "http://a.org/" if i % 10 else f"http://a.org/{i}", f"<p>{i}") for i in range(300)]
+    held = warc.write(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert len(held.lookup(["http://a.org/"])) == sum(u == "http://a.org/" for _, u, _ in rows)
+    asked = spark.createDataFrame([(u, i) for i, u, _ in rows], "url string, page long")
+    assert held.find(asked, "url", "page").count() == 300
 
 
 def test_url_key():
