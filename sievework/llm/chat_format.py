@@ -9,8 +9,9 @@ In roles and texts every control string gets a backslash after its first charact
 has some already, so that none stands in a text and the escape is undone exactly. The loss mask is a list
 of code point spans of the formatted text, one for each assistant text.
 
-Null texts and roles are empty strings. Turns of equal number are ordered by role and text; repeated rows
-stay. A null conversation id is a conversation of its own. Other columns of the input are not read.
+Null texts and roles are empty strings; very long texts are formatted whole. Turns of equal number are ordered by
+role and text; repeated rows stay. A null conversation id is a conversation of its own. Other columns of the input are
+not read, so their names don't matter. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,10 +23,11 @@ from sievework.llm.common import prefix_sums
 
 BEGIN, END, HEAD, BODY, NEXT = "<s>", "</s>", "[INST]", "[/INST]", "[TURN]"
 _TAIL = r"(/?s>|/?INST\]|TURN\])"
+ESCAPED = r"([<\[])(\\*)" + _TAIL
 
 
 def escape(text: Column) -> Column:
-    return F.regexp_replace(text, r"([<\[])(\\*)" + _TAIL, r"$1\\$2$3")
+    return F.regexp_replace(text, ESCAPED, r"$1\\$2$3")
 
 
 def unescape(text: Column) -> Column:

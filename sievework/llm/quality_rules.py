@@ -1,12 +1,16 @@
 """Quality rules of documents and hosts, with DataFrame operations only.
 
-Each whole text gets its measures and rule failures. Failures are summed by host; a host's failure rate is
-shrunk towards the corpus by a beta prior fitted to all hosts' rates by moments. Verdicts of hosts go back
-to documents: of a suspect host, documents that fail a rule of their own go; elsewhere only those that fail
-a base rule. Documents that fail no rule stay everywhere.
-
-The host table is joined over salted keys, so that a host with a third of all rows is spread. Null texts
-have no words; a null host is a host of its own; repeated rows stay; an empty table gives no rows.
+Each whole text gets its measures and rule failures. Failures are summed by host. Hosts' true rates are taken to
+follow a beta distribution: its mean is the corpus rate, and its spread is what the rates of hosts differ by beyond
+what so many documents differ by chance. So a host's rate is shrunk towards the corpus the more, the fewer documents
+it has and the less hosts differ. A host is suspect if its rate, by the posterior of its own failures, is above the
+limit with probability SURE. Verdicts of hosts go back to documents: of a suspect host, documents that fail a rule of
+their own go; elsewhere only those that fail a base rule. Documents that fail no rule stay everywhere.
+
+Hosts with a thousandth of all documents or more, a thousand at most, are broadcast; documents of the others are joined
+with their hosts by a shuffle. Null texts have no words; very long texts are measured whole; a null host is a host of its
+own, and so is an empty one; repeated rows stay; of the table only key, text and host are read, so other names don't
+matter; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -14,16 +18,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievework.llm.common import SPACE, staged
+from sievework.llm.common import SPACE, staged, with_table
 
 _WHITE = " \t\n\x0b\f\r"
 _MARKS = "#*$%&|<>"
 WINDOW = 8
-#: A host is suspect if its shrunk rate is this many times the corpus rate, or over half.
-SUSPECT = 1.5
-SALTS = 16
-#: A host's rate counts as so many documents of the corpus rate at least and at most.
-PRIOR = (2.0, 1000.0)
+#: A host's limit: this many times the corpus rate, half at most.
+TIMES, MOST_RATE = 1.5, 0.5
+#: The probability of being above it that makes a host suspect, and its place on the normal distribution.
+SURE, SURE_Z = 0.95, 1.6448536269514722
+#: Documents of the corpus rate that the prior counts as, at least and at most.
+PRIOR = (1.0, 1e6)
 
 
 def measures(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
@@ -62,21 +67,39 @@ def own_failed() -> Column:
     return (5 * F.col("n_symbols") > n) | (3 * F.col("n_dup_lines") > F.col("n_lines")) | (100 * F.col("n_repeat_words") > 20 * n) | (F.col("word_chars") < 2 * n) | (F.col("word_chars") > 20 * n)
 
 
+def prior(hosts: DataFrame) -> tuple[float, float]:
+    """Mean and weight of the beta prior, from n and bad of each host. By moments: the hosts' squared differences from the
+    mean, weighted by documents, less what they would be if all hosts had one rate."""
+    t = hosts.agg(F.count(F.lit(1)).alias("h"), F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.sum(F.col("n").cast("double") * F.col("n")).alias("nn"), F.sum(F.col("bad").cast("double") * F.col("bad") / F.col("n")).alias("bb")).first()
+    if not t["n"]:
+        return 0.0, PRIOR[1]
+    mean = t["bad"] / t["n"]
+    chance, between = mean * (1 - mean), t["bb"] - t["n"] * mean * mean
+    room = t["n"] - t["nn"] / t["n"] - (t["h"] - 1)
+    spread = (between - (t["h"] - 1) * chance) / room if room > 0 else 0.0
+    weight = chance / spread - 1 if spread > 0 else PRIOR[1]
+    return mean, min(max(weight, PRIOR[0]), PRIOR[1])
+
+
 def host_rates(rows: DataFrame, host: str) -> DataFrame:
-    """Each host's documents, failures, shrunk failure rate and verdict."""
-    hosts = rows.groupBy(F.coalesce(F.col(f"`{host}`").cast("string"), F.lit("")).alias("_h")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("failed").cast("long")).alias("bad"))
+    """_h (the host, null-safe), n, bad, host_rate (posterior mean) and host_suspect of each host."""
+    hosts = rows.groupBy(_host(host).alias("_h")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("failed").cast("long")).alias("bad"))
     hosts = staged(hosts, "hosts")
-    sums = hosts.agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"), F.avg(F.col("bad") / F.col("n")).alias("m"), F.var_pop(F.col("bad") / F.col("n")).alias("v")).first()
-    mean = (sums["bad"] or 0) / (sums["n"] or 1)
-    spread, centre = sums["v"] or 0.0, sums["m"] or 0.0
-    weight = min(max(centre * (1 - centre) / spread - 1, PRIOR[0]), PRIOR[1]) if spread > 0 else PRIOR[1]
+    mean, weight = prior(hosts)
     rate = (F.col("bad") + weight * mean) / (F.col("n") + weight)
-    return hosts.withColumn("host_rate", rate).withColumn("host_suspect", F.col("host_rate") > min(SUSPECT * mean, 0.5) if mean else F.lit(False))
+    # the posterior's own spread; a beta of some weight is near enough to a normal one for a bound
+    deviation = F.sqrt(rate * (1 - rate) / (F.col("n") + weight + 1))
+    limit = min(TIMES * mean, MOST_RATE)
+    return hosts.withColumn("host_rate", rate).withColumn("host_suspect", (rate - SURE_Z * deviation > limit) & F.lit(mean > 0))
+
+
+def _host(host: str) -> Column:
+    """A name for each host, apart for null and empty."""
+    return F.coalesce(F.concat(F.lit("="), F.col(f"`{host}`").cast("string")), F.lit(""))
 
 
 def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
     """measures() with base_failed, failed, host_rate, host_suspect and kept."""
     rows = staged(measures(docs, key, text, host).withColumn("base_failed", base_failed()).withColumn("failed", F.col("base_failed") | own_failed()), "rules")
-    hosts = host_rates(rows, host).select("_h", "host_rate", "host_suspect", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
-    salted = rows.withColumns({"_h": F.coalesce(F.col(f"`{host}`").cast("string"), F.lit("")), "_salt": F.pmod(F.xxhash64(F.col(f"`{key}`"), "n_words", "word_chars"), F.lit(SALTS)).cast("int")})
-    return salted.join(hosts, ["_h", "_salt"]).drop("_h", "_salt").withColumn("kept", ~F.col("base_failed") & ~(F.col("failed") & F.col("host_suspect")))
+    judged = with_table(rows.withColumn("_h", _host(host)), host_rates(rows, host), "_h", "n").drop("_h", "bad")
+    return judged.withColumn("kept", ~F.col("base_failed") & ~(F.col("failed") & F.col("host_suspect")))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import chat_format, decontaminate, license_scan, near_dedup, quality_classifier, quality_rules, secrets, sentencepiece_codec, sharding, warc
+from sievework.llm import chat_format, decontaminate, license_scan, near_dedup, oracles, quality_classifier, quality_rules, secrets, sentencepiece_codec, sharding, warc
 from sievework.llm.common import read
 
 SHARDS = [f"shard-{i:04d}" for i in range(64)]
@@ -27,7 +27,8 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     base = listed(F.filter("secrets", lambda s: s["base"]))
     live = F.size(F.filter("secrets", lambda s: s["live"])).cast("long")
-    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(base, 256).alias("base_sha256"), listed("secrets").alias("spans"), live.alias("n_live"), "n_copied")
+    most = lambda n: F.coalesce(F.array_max(F.transform("secrets", lambda s: s[n])), F.lit(0)).cast("long").alias(f"most_{n}")
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(base, 256).alias("base_sha256"), listed("secrets").alias("spans"), live.alias("n_live"), "n_copied", most("owners"), most("repos"))
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,13 +61,20 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(read(spark, sf_dir, "documents")).withColumn("spans", spans)
 
 
+def license_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op6 that SQL can express."""
+    return op6_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.write(read(spark, sf_dir, "pages")).records()
+    pages = read(spark, sf_dir, "pages")
+    written = warc.write(pages)
+    return written.read(written.find(pages, "url", "page_id")).drop("url")
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(read(spark, sf_dir, "documents").select("doc_id", "text", "source")).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_rate", "host_suspect"
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.bround("host_rate", 6).alias("host_rate"), "host_suspect"
     )
 
 
@@ -79,39 +87,11 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secrets, op2_decontaminate, op3_near_dedup, op4_chat_format, op5_quality_classifier, op6_license_scan, op7_warc, op8_quality_rules, op9_sentencepiece, op10_sharding)}
-
-
-def _sharding_sql() -> str:
-    """The table filled slot by slot, turn by turn, from the definition; then one lookup a row."""
-    import hashlib
-
-    number = lambda t: int(hashlib.md5(t.encode()).hexdigest()[:15], 16)
-
-    def order(shard: str):
-        at, step = number(f"start:{shard}"), number(f"step:{shard}") % (SLOTS - 1) + 1
-        return ((at + k * step) % SLOTS for k in range(SLOTS))
-
-    orders = [order(s) for s in SHARDS]
-    owner: dict[int, str] = {}
-    while len(owner) < SLOTS:
-        for shard, order in zip(SHARDS, orders, strict=True):
-            if (slot := next((x for x in order if x not in owner), None)) is not None:
-                owner[slot] = shard
-    values = ", ".join(f"({k}, '{v}')" for k, v in sorted(owner.items()))
-    return f"""WITH t(slot, shard) AS (VALUES {values}),
-d AS (SELECT doc_id, ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15))::BIGINT % {SLOTS} AS slot FROM documents)
-SELECT d.doc_id, CAST(d.slot AS BIGINT) AS slot, t.shard FROM d JOIN t ON d.slot = t.slot"""
-
-
-WARC_SQL = """WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
-d AS (SELECT page_id, CAST(octet_length(encode(body)) AS BIGINT) AS payload_bytes, sha256(body) AS payload_digest FROM p),
-f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM d)
-SELECT page_id, payload_bytes, payload_digest,
-  CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
-  CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
-FROM f"""
+    return {f.__name__: f for f in (op1_secrets, op2_decontaminate, op3_near_dedup, op4_chat_format, op5_quality_classifier, op6_license_scan, license_phrases, op7_warc, op8_quality_rules, op9_sentencepiece, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_warc": WARC_SQL, "op10_sharding": _sharding_sql()}
+    return {
+        "op1_secrets": oracles.secret_spans(), "op4_chat_format": oracles.chats(), "license_phrases": oracles.license_phrases(), "op7_warc": oracles.WARC_SQL, "op8_quality_rules": oracles.rules(),
+        "op10_sharding": oracles.sharding(SHARDS, SLOTS),
+    }

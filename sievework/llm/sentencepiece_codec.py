@@ -236,10 +236,10 @@ def encode_texts(texts: list[str | None], model_file: str, check: bool = True) -
     return list(zip(packed, enc.lib.decode(ids, num_threads=1), strict=True))
 
 
-def encode(df: DataFrame, model_file: str, text: str = "text", ids: str = "ids", decoded: str = "decoded", check: bool = True) -> DataFrame:
-    """df with the ids (array of ints) and the decoded text of each row appended."""
+def encode(df: DataFrame, model_file: str, text: str = "text", ids: str = "ids", decoded: str | None = "decoded", check: bool = True) -> DataFrame:
+    """df with the ids (array of ints) and the decoded text of each row appended. Without a name for it, the decoded
+    text isn't kept; texts are decoded all the same."""
     import pyarrow as pa
-    import pyarrow.compute as pc
 
     names = [c for c in df.columns if c not in (ids, decoded)]
 
@@ -250,9 +250,11 @@ def encode(df: DataFrame, model_file: str, text: str = "text", ids: str = "ids",
                 packed.append(np.frombuffer(p, "<i4"))
                 back.append(d)
             values = pa.array(packed, pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), values, pc.cast(pa.array(back, pa.string()), pa.string())], [*names, ids, decoded])
+            texts = [pa.array(back, pa.string())] if decoded else []
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), values, *texts], [*names, ids, *[decoded] * len(texts)])
 
-    schema = df.select(*[f"`{c}`" for c in names]).schema.add(ids, T.ArrayType(T.IntegerType())).add(decoded, "string")
+    schema = df.select(*[f"`{c}`" for c in names]).schema.add(ids, T.ArrayType(T.IntegerType()))
+    schema = schema.add(decoded, "string") if decoded else schema
     return in_arrow(df, run, schema)
 
 

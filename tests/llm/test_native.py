@@ -1,9 +1,11 @@
 """Secrets, chat format and quality rules against brute-force versions in plain Python."""
 
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from sievework.llm import chat_format, quality_rules, queries, secrets
@@ -133,3 +135,87 @@ def test_suspect_hosts_lose_failing_documents(spark):
     data = [(i, good, "a") for i in range(200)] + [(1000 + i, bad, "b") for i in range(90)] + [(2000 + i, good, "b") for i in range(10)] + [(3000, bad, "a")]
     kept = {r["doc_id"]: r["kept"] for r in quality_rules.judge(spark.createDataFrame(data, "doc_id long, text string, source string")).collect()}
     assert all(kept[i] for i in range(200)) and kept[3000] and kept[2000] and not kept[1000]
+
+
+def hosts_of(spark, counts):
+    """Rates and verdicts of hosts with so many documents and failures."""
+    rows = spark.createDataFrame([(f"h{k}", n, bad) for k, (n, bad) in enumerate(counts)], "source string, n int, bad int")
+    rows = rows.select("source", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("i"), "bad").select("source", (F.col("i") <= F.col("bad")).alias("failed"))
+    return {r["_h"]: r for r in quality_rules.host_rates(rows, "source").collect()}
+
+
+def test_prior_takes_chance_out(spark):
+    rng = random.Random(3)
+    draw = lambda n, p: sum(rng.random() < p for _ in range(n))
+    # hosts of one rate: what they differ by is chance, so all get nearly the corpus rate and none is suspect
+    same = hosts_of(spark, [(n, draw(n, 0.2)) for n in [20] * 60 + [200] * 40])
+    assert not any(r["host_suspect"] for r in same.values()) and max(r["host_rate"] for r in same.values()) < 0.27
+    # hosts of two rates: the prior finds the spread, and large bad hosts are suspect, but no host of one document
+    mixed = [(300, draw(300, 0.1)) for _ in range(40)] + [(300, draw(300, 0.6)) for _ in range(8)] + [(1, 1)] * 10
+    got = hosts_of(spark, mixed)
+    assert [got[f"=h{k}"]["host_suspect"] for k in range(len(mixed))] == [False] * 40 + [True] * 8 + [False] * 10
+    mean, weight = quality_rules.prior(spark.createDataFrame([(n, b) for n, b in mixed], "n long, bad long"))
+    rates = np.array([0.1] * 40 + [0.6] * 8)
+    assert abs(weight - (mean * (1 - mean) / rates.var() - 1)) < 2.0
+
+
+def test_host_verdicts_by_definition(spark, tmp_path):
+    """The whole query on a table whose hosts differ, with a hot, a null and an empty host, against plain Python."""
+    rng, words = random.Random(4), [f"w{i}" for i in range(2000)]
+    data = []
+    for i in range(3000):
+        host = rng.choice(["hot"] * 10 + [f"s{k}" for k in range(20)] + [None, ""])
+        odd = rng.random() < (0.6 if host in ("s3", "s4", None) else 0.08)
+        data.append((i, " ".join(rng.choice(words) + ("#" if odd else "") for _ in range(rng.choice([12, 40, 40, 60, 80]))), "en", host, None, "clash"))
+    spark.createDataFrame(data, DOC).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in queries.op8_quality_rules(spark, str(tmp_path)).collect()}
+    hosts = defaultdict(lambda: [0, 0])
+    fails = {}
+    for i, t, _, host, _, _ in data:
+        m = brute_rules(t)
+        n = m["n_words"]
+        base = n < 20 or 100 * m["n_repeat_words"] > 30 * n
+        fails[i] = base, base or 5 * m["n_symbols"] > n or 3 * m["n_dup_lines"] > 1 or 100 * m["n_repeat_words"] > 20 * n or not 2 * n <= m["word_chars"] <= 20 * n
+        hosts[host][0] += 1
+        hosts[host][1] += fails[i][1]
+    total, bad = (sum(v[k] for v in hosts.values()) for k in (0, 1))
+    p, h = bad / total, len(hosts)
+    between = sum(n * (b / n - p) ** 2 for n, b in hosts.values())
+    spread = (between - (h - 1) * p * (1 - p)) / (total - sum(n * n for n, _ in hosts.values()) / total - (h - 1))
+    weight = p * (1 - p) / spread - 1
+    suspects = set()
+    for host, (n, b) in hosts.items():
+        rate = (b + weight * p) / (n + weight)
+        if rate - 1.6448536269514722 * (rate * (1 - rate) / (n + weight + 1)) ** 0.5 > min(1.5 * p, 0.5):
+            suspects.add(host)
+    assert suspects == {"s3", "s4", None}
+    changed = 0
+    for i, _, _, host, _, _ in data:
+        assert got[i]["host_suspect"] == (host in suspects) and got[i]["kept"] == (not fails[i][0] and not (fails[i][1] and host in suspects)), i
+        changed += not got[i]["kept"] and not fails[i][0]
+    assert changed > 50
+
+
+def test_copied_and_owned_values(spark):
+    """Owners and repositories of values: widely copied ones aren't live, a value of one owner is, wherever it stands."""
+    rows = [(i, "secret=owned-value-1", f"r{i}", "o1") for i in range(6)] + [(10 + i, "secret=copied-value-2", f"r{i}", f"o{i % 2}") for i in range(4)] + [(20 + i, "secret=copied-value-3", "r", f"o{i}") for i in range(3)]
+    rows += [(30 + i, "secret=shared-value-4", f"r{i}", f"o{i}") for i in range(2)] + [(None, "token=nullid-value-5", None, None)] * 2
+    df = spark.createDataFrame([(*r, "clash", "x") for r in rows], "doc_id long, text string, repo string, owner string, secrets string, spans string")
+    got = secrets.scan(df, repo="repo", owner="owner").collect()
+    assert len(got) == len(rows) and got[0].asDict().keys() == {"doc_id", "repo", "owner", "spans", "secrets", "n_copied"}
+    seen = {(r["doc_id"], r["secrets"][0]["live"], r["secrets"][0]["owners"], r["secrets"][0]["repos"]) for r in got}
+    assert seen == {*((i, True, 1, 6) for i in range(6)), *((10 + i, False, 2, 4) for i in range(4)), *((20 + i, False, 3, 1) for i in range(3)), *((30 + i, True, 2, 2) for i in range(2)), (None, True, 1, 1)}
+
+
+def test_redacted_table(spark):
+    rows = [(1, "a secret=0123456789ab z", 23), (1, "clean", 5), (2, None, None), (None, "token: abcdefghijklmnop", 23), (None, "token: abcdefghijklmnop", 23), (3, "", 0)]
+    df = spark.createDataFrame([(*r, "en", "s", "clash", True) for r in rows], "doc_id long, text string, n_chars long, lang string, source string, own string, maybe boolean")
+    out = secrets.redacted(df, length="n_chars")
+    assert out.columns == df.columns and Counter((r["doc_id"], r["text"], r["n_chars"], r["own"]) for r in out.collect()) == Counter(
+        [(1, "a [SECRET] z", 12, "clash"), (1, "clean", 5, "clash"), (2, None, None, "clash"), (None, "[SECRET]", 8, "clash"), (None, "[SECRET]", 8, "clash"), (3, "", 0, "clash")]
+    )
+    assert secrets.redacted(df.limit(0)).count() == 0
+
+
+def test_empty_conversations(spark):
+    assert chat_format.format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
