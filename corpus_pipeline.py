@@ -1,10 +1,15 @@
 """A corpus pipeline of five stages over documents; each reads what the one before it kept, as Parquet.
 
-Rejected by the quality classifier: gone. Near-duplicates: the smallest id of each group stays. Leaks of
-benchmark items: gone. Secrets: replaced by a mark, n_chars follows. What is left is encoded.
-
-Empty documents pass every stage. Where the classifier has too few labels to learn from (less than two rows of
-one of the classes outside the held-out fold), it rejects nothing.
+Rejected by the quality classifier: gone. Near-duplicates: one row of each group stays, of the smallest id (see
+near_dedup.one_of_each). Leaks of benchmark items: gone. Secrets: replaced by a mark, n_chars follows. What is
+left is encoded.
+
+Null and empty texts pass every stage, and very long ones are taken whole. Rows of one id and different texts are
+documents of their own; of repeated rows one is left by near_dedup, but those without words all stay. Leaks go by
+id: rows that share the id of a leak go with it. Columns beyond those of documents are handed on, whatever their
+names; encoding replaces columns named ids and n_tokens. Where the classifier has too few labels to learn from
+(less than two rows of one of the classes outside the held-out fold), it rejects nothing. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -13,22 +18,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.llm import decontaminate, near_dedup, quality_classifier, secrets, sentencepiece_codec
-from sievework.llm.common import read, staged, without
+from sievework.llm.common import read, staged
 from sievework.llm.queries import vocabulary
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    vectors = staged(quality_classifier.features(docs), "statistics")
-    try:
-        model = quality_classifier.fit(vectors, read(spark, sf_dir, "labels").select("doc_id", "quality"))
-    except quality_classifier.TooFewLabels:
-        return docs
-    return quality_classifier.keep(docs, model)
+    return quality_classifier.accepted(docs, read(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    gone = near_dedup.near_duplicates(docs).where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
-    return without(docs, "doc_id", staged(gone, "gone"), "_gone")
+    return near_dedup.one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,18 +35,12 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    marked = docs.withColumn("_digest", F.md5(F.coalesce("text", F.lit(""))))
-    found = secrets.scan(marked.select("doc_id", "text", "lang", "source", "_digest"), repo=F.concat_ws("/", "source", "lang"), owner="source")
-    spans = found.where(F.size("secrets") > 0).select(F.col("doc_id").alias("_id"), F.col("_digest").alias("_d"), "secrets").dropDuplicates(["_id", "_d"])
-    both = marked.join(spans, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_d")), "left")
-    hit = F.col("secrets").isNotNull()
-    text = F.when(hit, secrets.redact(F.col("text"), F.coalesce("secrets", F.array().cast(both.schema["secrets"].dataType)))).otherwise(F.col("text"))
-    kept = both.withColumn("_text", text)
-    return kept.select(*[F.col("_text").alias("text") if c == "text" else F.when(hit, F.length("_text").cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    return secrets.redacted(docs, length="n_chars", repo=F.concat_ws("/", "source", "lang"), owner="source")
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return sentencepiece_codec.encode(docs, vocabulary("piece_bpe_32k.model")).drop("decoded").withColumn("n_tokens", F.size("ids").cast("long"))
+    encoded = sentencepiece_codec.encode(docs.drop("n_tokens"), vocabulary("piece_bpe_32k.model"), decoded=None)
+    return encoded.withColumn("n_tokens", F.size("ids").cast("long"))
 
 
 STAGES = [("quality", quality), ("near_dedup", near_duplicates), ("decontamination", decontamination), ("secrets", secret_scan), ("sentencepiece", encoding)]
