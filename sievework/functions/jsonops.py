@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import json
+import re
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sievework.functions.text import without_fences
-
-#: Cuts that a repair tries at most.
-CUTS = 1_000
+from sievework.functions.text import is_generic_span, without_fences
 
+#: Strings, ended or not, and brackets.
+_TOKEN = re.compile(r'"(?:[^"\\]|\\.)*(?:"|$)|[{}\[\]]', re.S)
 
 def parsed(s: Column) -> Column:
     """VARIANT of a text: as it is, else its widest object or array; null where neither parses."""
@@ -28,31 +29,42 @@ def parsed_object(s: Column) -> Column:
     return F.coalesce(for_sure(F.try_parse_json(F.trim(t))), for_sure(F.try_parse_json(fenced)), for_sure(F.try_parse_json(F.regexp_extract(t, r"(?s)\{.*\}", 0))))
 
 
+def _closes(body: str) -> list[tuple[int, str]]:
+    """Places of the closing braces of objects outside strings, each with what would close all that is still open."""
+    out, open_ = [], []
+    for m in _TOKEN.finditer(body):
+        ch = m[0]
+        if ch in "{[":
+            open_.append("}" if ch == "{" else "]")
+        elif ch in "}]":
+            if open_:
+                open_.pop()
+            if ch == "}":
+                out.append((m.start(), "".join(reversed(open_))))
+    return out
+
+
 def repaired(text: str | None) -> str | None:
-    """A cut-off object closed after one of its last complete parts, as JSON; null if none parses."""
+    """A cut-off object closed after the last complete part up to which it parses, as JSON; null if none parses.
+
+    One scan keeps what is open at each closing brace. A parse that fails tells where; as every longer part fails at
+    that place too, the next one tried is the last that ends before it."""
     start = (text or "").find("{")
     if start < 0:
         return None
     body = text[start:]
-    ends = [i for i, ch in enumerate(body) if ch == "}"][-CUTS:]
-    for end in reversed(ends):
-        part = body[: end + 1]
-        depth, quoted, escaped = [], False, False
-        for ch in part:
-            if quoted:
-                quoted, escaped = (ch != '"' or escaped), ch == "\\" and not escaped
-            elif ch == '"':
-                quoted = True
-            elif ch in "{[":
-                depth.append("}" if ch == "{" else "]")
-            elif ch in "}]" and depth:
-                depth.pop()
+    closes = _closes(body)
+    while closes:
+        end, rest = closes.pop()
         try:
-            found = json.loads(part + "".join(reversed(depth)))
-        except ValueError:
+            found = json.loads(body[: end + 1] + rest)
+        except json.JSONDecodeError as e:
+            while closes and closes[-1][0] >= e.pos:
+                closes.pop()
+            continue
+        except (ValueError, RecursionError):
             continue
-        if isinstance(found, dict):
-            return json.dumps(found, ensure_ascii=False)
+        return json.dumps(found, ensure_ascii=False) if isinstance(found, dict) else None
     return None
 
 
@@ -75,3 +87,73 @@ def has_fields(v: Column, kinds: dict[str, str]) -> Column:
     got = lambda k: F.schema_of_variant(F.try_variant_get(v, f"$.{k}", "variant"))
     codes = [F.when(got(k).isNull(), f"missing_{k}").when(~got(k).startswith(kind), f"invalid_{k}") for k, kind in kinds.items()]
     return F.array_compact(F.array(*codes))
+
+
+# The fields of extracted payloads with the types that they need, in the order of checking.
+CAPTION_FIELDS = {"image_caption_literal": "string", "visible_text": "string", "people_count": "int", "notable_objects": "list"}
+CAPTION_LISTS = ["visible_text_items", "visible_regions", "candidate_objects_all"]
+ANCHOR_FIELDS = ["span", "semantic_tags", "functional_role", "localization", "attributes", "relations"]
+ANCHOR_TYPES = {"semantic_tags": "list", "functional_role": "string", "localization": "object", "attributes": "list", "relations": "list"}
+_KINDS = {"string": "STRING", "int": "(BIGINT|INT|SMALLINT|TINYINT|BOOLEAN)", "list": "ARRAY", "object": "OBJECT"}
+
+
+def _field(v: Column, name: str) -> Column:
+    return F.try_variant_get(v, f"$.{name}", "variant")
+
+
+def _has(v: Column, name: str) -> Column:
+    """Whether an object has a field, be it null."""
+    return F.coalesce(F.array_contains(F.json_object_keys(F.to_json(v)), name), F.lit(False))
+
+
+def _is(v: Column, kind: str) -> Column:
+    return F.coalesce(F.schema_of_variant(v).rlike(f"^{_KINDS[kind]}"), F.lit(False))
+
+
+def caption_error(v: Column) -> Column:
+    """The first rule that a caption (VARIANT) breaks; null if none."""
+    missing = [F.when(~_has(v, k), F.lit(f"caption_missing_key:{k}")) for k in CAPTION_FIELDS]
+    invalid = [F.when(~_is(_field(v, k), kind), F.lit(f"caption_invalid_{k}")) for k, kind in CAPTION_FIELDS.items()]
+    lists = [F.when(_has(v, k) & ~_is(_field(v, k), "list"), F.lit(f"caption_invalid_{k}")) for k in CAPTION_LISTS]
+    return F.coalesce(F.when(~_is(v, "object"), F.lit("caption_not_dict")), *missing, *invalid, *lists)
+
+
+def context_error(v: Column) -> Column:
+    key = "article_context_rewrite"
+    return F.when(~_is(v, "object"), F.lit("context_not_dict")).when(~_has(v, key), F.lit(f"context_missing_{key}")).when(~_is(_field(v, key), "string"), F.lit(f"context_invalid_{key}"))
+
+
+def missed_error(v: Column) -> Column:
+    return F.when(~_is(v, "object"), F.lit("missed_not_dict")).when(~_is(_field(v, "missed_anchors"), "list"), F.lit("missed_invalid_list"))
+
+
+def _anchor_error(a: Column, i: Column, before: Column) -> Column:
+    """The first rule that an anchor (VARIANT) breaks. before: ids of the anchors before it."""
+    name, span, place = F.try_variant_get(a, "$.anchor_id", "string"), F.try_variant_get(a, "$.span", "string"), _field(a, "localization")
+    said = lambda what, *more: F.concat(F.lit(f"{what}:"), name, *more)
+    inside = ("level", "region_hint")
+    every = lambda test: reduce(lambda x, y: x & y, [test(k) for k in inside])
+    return F.coalesce(
+        F.when(~_is(a, "object"), F.concat(F.lit("anchor_not_dict:"), i.cast("string"))),
+        F.when(~_is(_field(a, "anchor_id"), "string") | (name == ""), F.concat(F.lit("anchor_invalid_id:"), i.cast("string"))),
+        F.when(F.array_contains(before, name), said("duplicate_anchor_id")),
+        *[F.when(~_has(a, k), said("anchor_missing_key", F.lit(f":{k}"))) for k in ANCHOR_FIELDS],
+        F.when(~_is(_field(a, "span"), "string") | (F.trim(span) == ""), said("anchor_invalid_span")),
+        F.when(is_generic_span(span), said("anchor_generic_span", F.lit(":"), span)),
+        *[F.when(~_is(_field(a, k), kind), said(f"anchor_invalid_{k}")) for k, kind in ANCHOR_TYPES.items()],
+        F.when(~every(lambda k: _has(place, k)), said("anchor_missing_localization_fields")),
+        F.when(~every(lambda k: _is(_field(place, k), "string")), said("anchor_invalid_localization_fields")),
+    )
+
+
+def anchors_error(v: Column, least: int = 1) -> Column:
+    """The first rule that extracted anchors (VARIANT) break, with the place or id of the anchor; null if none."""
+    items = F.try_variant_get(v, "$.anchors", "array<variant>")
+    ids = F.transform(items, lambda a: F.try_variant_get(a, "$.anchor_id", "string"))
+    first = F.get(F.array_compact(F.transform(items, lambda a, i: _anchor_error(a, i, F.slice(ids, F.lit(1), i)))), F.lit(0))
+    caption = "grounded_context_caption"
+    return F.coalesce(
+        F.when(~_is(v, "object"), F.lit("anchors_not_dict")), F.when(~_has(v, caption) | ~_has(v, "anchors"), F.lit("anchors_missing_top_keys")),
+        F.when(~_is(_field(v, caption), "string"), F.lit(f"anchors_invalid_{caption}")), F.when(~_is(_field(v, "anchors"), "list"), F.lit("anchors_invalid_list")),
+        F.when(F.size(items) < least, F.concat(F.lit("too_few_anchors:"), F.size(items).cast("string"))), first,
+    )

@@ -17,6 +17,13 @@ WEIGHTS = {"tier": 0.35, "incongruity": 0.25, "contradiction": 0.20, "salience":
 RELEASE_BUCKETS, PLAN_BUCKETS = (0.30, 0.60), (0.18, 0.45)
 RELEASE_PRIORS = {"tier_a": 0.15, "tier_b": 0.50, "tier_c": 0.85}
 PLAN_PRIORS = {"tier_c": 0.90, "tier_b": 0.55, "tier_a": 0.15}
+SHIFT_WEIGHTS = {"semantic": 0.50, "role": 0.30, "impact": 0.20}
+VISIBILITY_WEIGHTS, FULL_MASK = {"mask": 0.65, "grounding": 0.35}, 0.15
+SALIENCE_WEIGHTS, MANY_RELATIONS, FULL_SIZE = {"mention": 0.40, "relations": 0.25, "size": 0.20, "category": 0.15}, 3.0, 0.10
+BONUS_CATEGORIES = {0.20: ["person", "face", "logo", "text", "sign"], 0.15: ["vehicle", "flag", "weapon"]}
+BLENDS, SIZE_STEPS, HIDDEN = {"salience": (0.65, 0.35), "visibility": (0.70, 0.30)}, {"dominant": 0.15, "moderate": 0.05, "small": -0.05, "tiny": -0.15}, 0.4
+CONFIDENCE_WEIGHTS = {"realism": 0.45, "localizability": 0.35, "editability": 0.20}
+FALLBACKS = {"low": ("attribute_change", 0.1, 0.1, 0.1, 0.1), "medium": ("replace", 0.5, 0.4, 0.4, 0.4), "high": ("remove", 0.8, 0.7, 0.6, 0.7)}
 TIER_GAP, LEAST_SALIENCE, SALIENCE_GATE = 0.05, 0.15, 0.25
 SEVERITIES = ["low", "medium", "high"]
 TIER_WORDS = {
@@ -74,7 +81,8 @@ def severity_rank(severity: Column) -> Column:
 
 def semantic_shift(semantic: Column, role: Column, impact: Column, strict: bool = False) -> Column:
     c = strict_clamp if strict else clamp
-    return c(0.50 * c(semantic) + 0.30 * c(role) + 0.20 * c(impact))
+    w = SHIFT_WEIGHTS
+    return c(w["semantic"] * c(semantic) + w["role"] * c(role) + w["impact"] * c(impact))
 
 
 def contradiction(given: Column, direction: Column) -> Column:
@@ -105,16 +113,18 @@ def calibrated(score: Column, points: tuple) -> Column:
 
 
 def visibility_proxy(mask_ratio: Column, grounding: Column) -> Column:
-    return clamp(0.65 * clamp(clamp(mask_ratio) / 0.15) + 0.35 * clamp(grounding))
+    w = VISIBILITY_WEIGHTS
+    return clamp(w["mask"] * clamp(clamp(mask_ratio) / FULL_MASK) + w["grounding"] * clamp(grounding))
 
 
 def salience_terms(relations: Column, mask_ratio: Column, category: Column, headline: Column, summary: Column, anchor: Column) -> Column:
     """Struct mention, relation_term, size_term, category_bonus and the proxy."""
     blob, named, cat = lower_squeezed(F.concat_ws(" ", headline, summary)), lower_squeezed(anchor), lower_squeezed(category)
     mention = F.when((named != "") & blob.contains(named), 1.0).otherwise(0.0)
-    related, sized = clamp(relations / F.lit(3.0)), clamp(F.coalesce(mask_ratio, F.lit(0.0)) / 0.10)
-    bonus = F.when(has_any(cat, ["person", "face", "logo", "text", "sign"]), 0.20).when(has_any(cat, ["vehicle", "flag", "weapon"]), 0.15).otherwise(0.0)
-    proxy = clamp(0.40 * mention + 0.25 * related + 0.20 * sized + 0.15 * bonus)
+    related, sized = clamp(relations / F.lit(MANY_RELATIONS)), clamp(F.coalesce(mask_ratio, F.lit(0.0)) / FULL_SIZE)
+    bonus = reduce(lambda w, kv: w.when(has_any(cat, kv[1]), kv[0]), BONUS_CATEGORIES.items(), F.when(F.lit(False), 0.0)).otherwise(0.0)
+    w = SALIENCE_WEIGHTS
+    proxy = clamp(w["mention"] * mention + w["relations"] * related + w["size"] * sized + w["category"] * bonus)
     return F.struct(mention.alias("mention"), related.alias("relation_term"), sized.alias("size_term"), bonus.alias("category_bonus"), proxy.alias("proxy"))
 
 
@@ -125,13 +135,15 @@ def planned_score(tier: Column, shift: Column, contradicted: Column, salience: C
 
 def blended(salience: Column, visibility: Column, centrality: Column, editability: Column, visible: Column, size: Column) -> Column:
     """Struct salience and visibility, of proxies and what grounding has seen."""
-    sal, vis = clamp(0.65 * salience + 0.35 * strict_clamp(centrality)), clamp(0.70 * visibility + 0.30 * strict_clamp(editability))
-    step = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for x in ("dominant", 0.15, "moderate", 0.05, "small", -0.05, "tiny", -0.15)]), lower_squeezed(size)), F.lit(0.0))
-    return F.struct(clamp(sal + step).alias("salience"), F.when(F.coalesce(visible, F.lit(True)), vis).otherwise(clamp(vis * 0.4)).alias("visibility"))
+    (s0, s1), (v0, v1) = BLENDS["salience"], BLENDS["visibility"]
+    sal, vis = clamp(s0 * salience + s1 * strict_clamp(centrality)), clamp(v0 * visibility + v1 * strict_clamp(editability))
+    step = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in SIZE_STEPS.items() for x in kv]), lower_squeezed(size)), F.lit(0.0))
+    return F.struct(clamp(sal + step).alias("salience"), F.when(F.coalesce(visible, F.lit(True)), vis).otherwise(clamp(vis * HIDDEN)).alias("visibility"))
 
 
 def confidence(realism: Column, localizability: Column, editability: Column) -> Column:
-    return clamp(0.45 * clamp(realism) + 0.35 * clamp(localizability) + 0.20 * clamp(editability))
+    w = CONFIDENCE_WEIGHTS
+    return clamp(w["realism"] * clamp(realism) + w["localizability"] * clamp(localizability) + w["editability"] * clamp(editability))
 
 
 def object_tier(anchor: Column, category: Column, bank: dict[str, list[str]] | None = None) -> Column:
@@ -171,8 +183,7 @@ def text_operation(severity: Column, operation: Column) -> Column:
 
 def fallback_candidate(severity: str, anchor: Column, allowed: Column) -> Column:
     """A neutral candidate for a severity that has none left."""
-    level = {"low": (0.1, 0.1, 0.1, 0.1), "medium": (0.5, 0.4, 0.4, 0.4), "high": (0.8, 0.7, 0.6, 0.7)}[severity]
-    wanted = {"low": "attribute_change", "medium": "replace", "high": "remove"}[severity]
+    wanted, *level = FALLBACKS[severity]
     operation = F.when(F.array_contains(allowed, wanted) | (F.size(allowed) == 0), wanted).otherwise(F.get(allowed, F.lit(0)))
     shown = F.substring(anchor, 1, 60)
     values = zip(("semantic_shift", "role_shift", "contradiction_potential", "public_impact"), level, strict=True)

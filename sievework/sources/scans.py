@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sievework.functions.coerce import is_object, nonempty
+from sievework.functions.coerce import is_object, nonempty, rooted
 from sievework.operators.relational import ranked
 
 ALIASES = {"title": ["title"], "summary": ["summary", "description"], "published": ["published", "date"], "url": ["url"], "images": ["images", "image", "img"]}
@@ -32,11 +32,16 @@ def articles(spark: SparkSession, path: str, start: int = 0, end: int | None = N
     return kept.select("row_index", *[pick(names).alias(c) for c, names in ALIASES.items()])
 
 
-def json_objects(spark: SparkSession, path: str, pattern: str = "*.json", recursive: bool = False) -> DataFrame:
-    """file, name and VARIANT of each file that holds an object; other files give no row."""
+def json_objects(spark: SparkSession, path: str, pattern: str = "*.json", recursive: bool = False, strict: bool = False) -> DataFrame:
+    """file, name and VARIANT of each file that holds an object. Lenient: other files give no row. Strict: a file that
+    doesn't parse or holds no object raises."""
     text = spark.read.option("wholetext", True).option("pathGlobFilter", pattern).option("recursiveFileLookup", recursive).text(path)
-    rows = text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_name").alias("name"), F.try_parse_json("value").alias("v"))
-    return rows.where(is_object(F.col("v")) & ~F.col("name").endswith(".tmp"))
+    rows = text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_name").alias("name"), (F.parse_json("value") if strict else F.try_parse_json("value")).alias("v"))
+    rows = rows.where(~F.col("name").endswith(".tmp"))
+    if strict:
+        wrong = F.raise_error(F.concat(F.lit("no JSON object in "), F.col("file"))).cast("boolean")
+        return rows.where(F.when(is_object(F.col("v")), F.lit(True)).otherwise(wrong))
+    return rows.where(is_object(F.col("v")))
 
 
 def manifests(spark: SparkSession, folder: str, numeric: bool = False) -> DataFrame:
@@ -86,6 +91,25 @@ def records(payloads: DataFrame, record_schema: str) -> DataFrame:
     return rows.select("file", "images_dir", "pos", "r.*")
 
 
+#: Folder of the images of payloads that name none, below the root.
+IMAGES = "data/pristine_images/images/images"
+
+
+def grounding_records(payloads: DataFrame, root: str = "") -> DataFrame:
+    """Extraction records of payloads (file, VARIANT v) for grounding: file, pos, id, status, csv_fields and outputs as
+    VARIANT objects (empty where they aren't objects), and the path of the image, '' without a name for one. Of one id
+    the first by file and place counts; records without an id all stay; items that aren't objects are left out, and
+    files whose payload has no records."""
+    said = lambda v, path: F.trim(F.coalesce(F.try_variant_get(v, path, "string"), F.lit("")))
+    inner = lambda name: F.coalesce(F.when(is_object(F.try_variant_get("r", f"$.{name}", "variant")), F.try_variant_get("r", f"$.{name}", "variant")), F.parse_json(F.lit("{}")))
+    folder = F.when(is_object(F.try_variant_get("v", "$.meta", "variant")), said(F.col("v"), "$.meta.images_dir")).otherwise("")
+    rows = payloads.select("file", F.coalesce(rooted(folder, root) if root else nonempty(folder), F.lit(f"{root.rstrip('/')}/{IMAGES}" if root else IMAGES)).alias("_folder"), F.posexplode(F.try_variant_get("v", "$.records", "array<variant>")).alias("pos", "r"))
+    rows = rows.where(is_object(F.col("r"))).select("file", "pos", "_folder", said(F.col("r"), "$.id").alias("id"), F.lower(said(F.col("r"), "$.status")).alias("status"), inner("csv_fields").alias("csv_fields"), inner("outputs").alias("outputs"))
+    name = F.trim(F.coalesce(*[nonempty(F.try_variant_get("csv_fields", f"$.{k}", "string")) for k in ALIASES["images"]], F.lit("")))
+    placed = rows.withColumn("resolved_image_path", F.when(name == "", "").otherwise(F.concat(F.regexp_replace("_folder", "/+$", ""), F.lit("/"), name))).drop("_folder")
+    return first_records(placed, "id", ["file", "pos"])
+
+
 def id_list(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.trim("value").alias("id")).where("id <> ''")
 

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
+from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,9 +58,42 @@ def write_splits(df: DataFrame, path: str) -> None:
     json_lines(df).partitionBy("split").json(path)
 
 
-def append(df: DataFrame, path: str) -> None:
-    """New result rows beside older ones; what is done is found by pipeline resumption."""
-    json_lines(df, "append").json(path)
+def written(spark: SparkSession, path: str, keys: list[str]) -> DataFrame | None:
+    """The keys of the rows below path; nothing where nothing is written yet."""
+    try:
+        return spark.read.schema(", ".join(f"`{k}` string" for k in keys)).json(path)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
+def append(df: DataFrame, path: str, keys: list[str] | None = None, overwrite: bool = False) -> None:
+    """New result rows beside older ones. With keys, rows whose keys (as text) are written already are left out, so that a
+    job that is run again, after an end or a failure, doubles none. overwrite: older rows go."""
+    done = written(df.sparkSession, path, keys) if keys and not overwrite else None
+    if done is not None:
+        asked = [F.coalesce(F.col(k).cast("string"), F.lit("")).eqNullSafe(F.coalesce(F.col(f"_done_{k}"), F.lit(""))) for k in keys]
+        df = df.join(done.select(*[F.col(k).alias(f"_done_{k}") for k in keys]), reduce(lambda a, b: a & b, asked), "left_anti")
+    json_lines(df, "overwrite" if overwrite else "append").json(path)
+
+
+def write_masks(df: DataFrame, path: str, name: str = "name", data: str = "png") -> DataFrame:
+    """Files of a binary column below path, each under the name beside it; the names that were written, as rows."""
+    import pandas as pd
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(path if "://" in path or path.startswith("/") else f"file:///{path}")
+        for p in parts:
+            for file, content in zip(p[name], p[data], strict=True):
+                store.create_dir(f"{root}/{file}".rpartition("/")[0])
+                with store.open_output_stream(f"{root}/{file}") as out:
+                    out.write(content)
+            yield p[[name]]
+
+    return df.select(name, data).mapInPandas(run, f"`{name}` string")
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
