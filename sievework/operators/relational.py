@@ -75,22 +75,50 @@ def sample_order(seed: int, key: Column) -> Column:
     return F.sha2(F.concat_ws("|", F.lit(str(seed)), key.cast("string")), 256)
 
 
+#: Parts of the shuffled order that a cell is counted in.
+SLICES = 1 << 12
+
+
+def _slice(seed: int, key: Column) -> Column:
+    """The part of the shuffled order that a key falls in: its first three hexadecimal digits."""
+    return F.conv(F.substring(sample_order(seed, key), 1, 3), 16, 10).cast("int")
+
+
+def first_of_cells(df: DataFrame, cells: list[str], key: str, seed: int, most: DataFrame | Column | int) -> DataFrame:
+    """The first `most` rows of each cell in shuffled order (most: a number, a scalar, or cells and _most of each).
+
+    Slices of the order are counted for each cell, at most SLICES rows of a cell. Rows of slices that end within the
+    bound all stay, those of slices that begin beyond it go; only rows of the one slice in between are ranked. So no
+    task sorts a cell, and the rows that stay aren't shuffled for ranking."""
+    marked = df.withColumn("_slice", _slice(seed, F.col(key)))
+    counts = marked.groupBy(*cells, "_slice").agg(F.count(F.lit(1)).alias("_c"))
+    order = W.partitionBy(*cells).orderBy("_slice")
+    counts = counts.withColumn("_upto", F.sum("_c").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    counts = _null_safe(counts, most, cells) if isinstance(most, DataFrame) else counts.withColumn("_most", F.lit(most))
+    # of each cell, the slice in which the bound falls, and the rows before that slice
+    cut = counts.where(F.col("_upto") > F.col("_most")).groupBy(*cells).agg(F.min(F.struct("_slice", (F.col("_upto") - F.col("_c")).alias("before"), "_most")).alias("_cut"))
+    placed = _null_safe(marked, cut, cells, "left") if cells else marked.withColumn("_cut", cut.select("_cut").scalar())
+    whole = placed.where(F.col("_cut").isNull() | (F.col("_slice") < F.col("_cut._slice")))
+    part = placed.where(F.col("_slice") == F.col("_cut._slice"))
+    rank = F.row_number().over(W.partitionBy(*cells, "_slice").orderBy(sample_order(seed, F.col(key)), F.col(key)))
+    some = part.withColumn("_n", rank).where(F.col("_n") <= F.col("_cut._most") - F.col("_cut.before"))
+    return whole.select(*df.columns).unionAll(some.select(*df.columns))
+
+
 def sample(df: DataFrame, n: int, seed: int, key: str) -> DataFrame:
-    """n rows in shuffled order, or all if there are no more."""
-    return df.orderBy(sample_order(seed, F.col(key)), key).limit(n)
+    """n rows by a shuffled order, or all if there are no more; in no particular order."""
+    return first_of_cells(df, [], key, seed, n)
 
 
 def balance(df: DataFrame, cells: list[str], key: str, seed: int, inner: str | None = None) -> DataFrame:
     """As many rows of each cell as the smallest has. inner: first as many of each inner kind of a cell as its rarest has."""
-    order = [sample_order(seed, F.col(key)), F.col(key)]
     if inner:
-        kind = F.coalesce(F.when(F.col(inner) != "", F.col(inner)), F.lit("unknown"))
-        df = df.withColumn("_kind", kind).withColumn("_n", F.row_number().over(W.partitionBy(*cells, "_kind").orderBy(*order)))
-        least = df.groupBy(*cells, "_kind").count().groupBy(*cells).agg(F.min("count").alias("_least"))
-        df = _null_safe(df, least, cells).where("_n <= _least").drop("_kind", "_n", "_least")
-    least = df.groupBy(*cells).count().agg(F.min("count").alias("_least"))
-    placed = df.withColumn("_n", F.row_number().over(W.partitionBy(*cells).orderBy(*order)))
-    return placed.where(F.col("_n") <= least.scalar()).drop("_n")
+        names = df.columns
+        df = df.withColumn("_kind", F.coalesce(F.when(F.col(inner) != "", F.col(inner)), F.lit("unknown")))
+        kinds = df.groupBy(*cells, "_kind").agg(F.count(F.lit(1)).alias("_c"))
+        least = _null_safe(kinds, kinds.groupBy(*cells).agg(F.min("_c").alias("_most")), cells).drop("_c")
+        df = first_of_cells(df, [*cells, "_kind"], key, seed, least).select(*names)
+    return first_of_cells(df, cells, key, seed, df.groupBy(*cells).count().agg(F.min("count")).scalar())
 
 
 def _null_safe(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -131,11 +159,15 @@ def relation_count(relations: Column, anchor_id: Column) -> Column:
 
 def relation_edges(anchors: DataFrame, sample: str = "sample_id", anchor: str = "anchor_id", relations: str = "relations") -> DataFrame:
     """Distinct edges between anchors of a sample that both exist, numbered in order of the source anchor and its relations.
-    Both sides grow with the input and Spark's estimate doesn't see the explosion, so neither may be broadcast."""
-    edges = anchors.select(sample, F.col(anchor).alias("subject"), F.posexplode(relations).alias("pos", "r")).select(sample, "subject", "pos", F.col("r.type").alias("predicate"), F.col("r.target_anchor_id").alias("object"))
-    ends = anchors.select(sample, F.col(anchor).alias("object")).distinct()
-    known = edges.join(ends.hint("merge"), [sample, "object"])
-    firsts = known.groupBy(sample, "subject", "predicate", "object").agg(F.min("pos").alias("pos"))
+
+    An anchor's targets meet the set of its sample's anchors (those of one image), so that only edges that exist become
+    rows, and the relations of an anchor move once."""
+    ends = anchors.groupBy(sample).agg(F.collect_set(anchor).alias("_ends"))
+    asked = F.transform(F.col(relations), lambda r, i: F.struct(r["type"].alias("predicate"), r["target_anchor_id"].alias("object"), i.alias("pos")))
+    lists = anchors.select(sample, F.col(anchor).alias("subject"), asked.alias("_asked"))
+    known = F.filter("_asked", lambda r: F.array_contains("_ends", r["object"]))
+    met = lists.join(ends, sample).select(sample, "subject", F.explode(known).alias("r"))
+    firsts = met.groupBy(sample, "subject", F.col("r.predicate").alias("predicate"), F.col("r.object").alias("object")).agg(F.min("r.pos").alias("pos"))
     return firsts.withColumn("relation_index", F.row_number().over(W.partitionBy(sample).orderBy("subject", "pos")) - 1).drop("pos")
 
 

@@ -205,17 +205,20 @@ def pristine_examples(manifests: DataFrame, images: DataFrame | None = None) ->
     )
 
 
-def release(pristine: DataFrame, edited: DataFrame, texts: DataFrame, cfg: BuildConfig, order: str = "pair_id") -> tuple[DataFrame, DataFrame]:
-    """(examples with split, quarantine): unions, the best of each id, optional balance and cap."""
+def release(pristine: DataFrame, edited: DataFrame, texts: DataFrame, cfg: BuildConfig, order: tuple = ("result_order",)) -> tuple[DataFrame, DataFrame]:
+    """(examples and quarantine, both with split): unions, the best of each id, optional balance and cap. Of equal scores
+    the first counts: edited images before texts, then by order (columns of edited, where it has them; else all columns)."""
     score = F.coalesce(F.col("quality.realism_score"), F.lit(0.0)) if "quality" in edited.columns else F.lit(0.0)
-    every = edited.unionByName(texts, allowMissingColumns=True).withColumn("_score", score)
-    kept, refused = (relational.dedupe_best(d, "pair_id", "_score", order).drop("_score") for d in gates.kept_and_quarantined(every))
+    numbered = lambda df, n: df.withColumn("_order", F.struct(F.lit(n).alias("n"), *[F.col(c).cast("string").alias(f"o{i}") if c in df.columns else F.lit(None).cast("string").alias(f"o{i}") for i, c in enumerate(order)], F.to_json(F.struct("*")).alias("row")))
+    every = numbered(edited, 0).unionByName(numbered(texts, 1), allowMissingColumns=True).withColumn("_score", score)
+    kept, refused = (relational.dedupe_best(d, "pair_id", "_score", "_order").drop("_score", "_order") for d in gates.kept_and_quarantined(every))
     if cfg.balance:
         kept = relational.balance(kept, ["modality", "severity_label"], "pair_id", cfg.seed, "edit_type_effective" if cfg.balance_kinds else None)
     if cfg.max_pristine is not None:
         pristine = relational.sample(pristine, cfg.max_pristine, cfg.seed, "pair_id")
     both = pristine.unionByName(kept, allowMissingColumns=True)
-    return both.withColumn("split", relational.split_of(F.col("sample_id"), *cfg.splits[:2])), refused
+    split = relational.split_of(F.col("sample_id"), *cfg.splits[:2])
+    return both.drop("result_order").withColumn("split", split), refused.drop("result_order").withColumn("split", split)
 
 
 def counted(df: DataFrame, value: Column, name: str) -> DataFrame:
