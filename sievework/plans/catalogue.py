@@ -1,18 +1,19 @@
 """Queries of the library's own operators over the provided tables, and their SQL.
 
-The tables hold no images or anchors: each operator runs on columns that stand in for its inputs.
+The tables hold no images or anchors: each operator runs on columns that stand in for its inputs. Every query reads its
+tables whole; annotations, builds and files hold further ones.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.functions import coerce, geometry, jsonops, routing, scoring, text
 from sievework.operators import anchors, gates, relational, release
-from sievework.streaming import gates as stream_gates
 
 c = F.col
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,11 +33,17 @@ def query(sql: str | None = None):
     return add
 
 
+def _registered() -> None:
+    from sievework.plans import annotations, builds, files  # noqa: F401
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _registered()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _registered()
     return dict(_SQL)
 
 
@@ -182,15 +189,20 @@ def q_candidate_queries(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(text.candidate_queries(t, F.lit("object")), "|").alias("queries"))
 
 
-@query(f"SELECT doc_id, array_to_string(list_filter({sql_list(gates.CONTEXT_TERMS)}, lambda w: contains(t, w)), ',') AS hits FROM (SELECT doc_id, {LOWER.format('text')} AS t FROM documents) WHERE len(list_filter({sql_list(gates.CONTEXT_TERMS)}, lambda w: contains(t, w))) > 0")
+_NAMED = "text || CASE doc_id % 3 WHEN 0 THEN ' the Refugee  council' WHEN 1 THEN ' on race and religion' ELSE '' END"
+
+
+@query(f"SELECT doc_id, array_to_string(list_filter({sql_list(gates.CONTEXT_TERMS)}, lambda w: contains(t, w)), ',') AS hits FROM (SELECT doc_id, {LOWER.format(_NAMED)} AS t FROM documents) WHERE len(list_filter({sql_list(gates.CONTEXT_TERMS)}, lambda w: contains(t, w))) > 0")
 def q_sensitive_hits(spark, sf_dir):
-    hits = table(spark, sf_dir, "documents").select("doc_id", gates.term_hits(c("text"), gates.CONTEXT_TERMS).alias("h"))
+    """Texts of the table name no term, so some get one."""
+    hits = table(spark, sf_dir, "documents").select("doc_id", gates.term_hits(F.expr(_NAMED), gates.CONTEXT_TERMS).alias("h"))
     return hits.where(F.size("h") > 0).select("doc_id", F.array_join("h", ",").alias("hits"))
 
 
-@query()
+@query(f"""WITH a AS (SELECT doc_id, list_filter(list_transform(string_split_regex(text, '[.\\n]'), lambda x: {SQUEEZED.format('x')}), lambda x: x <> '') AS l FROM documents)
+SELECT doc_id, md5(array_to_string(list_filter(l, lambda x, i: list_position(list_transform(l, lambda y: lower(y)), lower(x)) = i), '|')) AS units_md5 FROM a""")
 def q_clean_list(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(F.array_join(coerce.clean_string_list(F.split("text", r"[.\n]")), "|")).alias("units_md5"), F.size(text.visible_units(c("text"))).alias("n_units"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(F.array_join(coerce.clean_string_list(F.split("text", r"[.\n]")), "|")).alias("units_md5"))
 
 
 @query("SELECT conv_id, turn, md5(coalesce(text, '')) AS repaired_md5 FROM conversations")
@@ -225,12 +237,12 @@ def q_dedupe_best(spark, sf_dir):
     return relational.dedupe_best(both, "cell", "quality", "doc_id").select("doc_id", "source", "lang")
 
 
-@query("""SELECT doc_id, n > 1 AS is_duplicate, valid AND n = 1 AS technical_valid, CASE WHEN n > 1 THEN 'duplicate' WHEN NOT valid THEN 'short' END AS technical_reject_reason
-FROM (SELECT doc_id, n_chars >= 500 AS valid, row_number() OVER (PARTITION BY lang || substr(text, 1, 3) ORDER BY coalesce(quality, -1) DESC, n_chars DESC, doc_id) AS n FROM documents LEFT JOIN labels USING (doc_id))""")
+@query(f"""SELECT doc_id, n > 1 AS is_duplicate, valid AND n = 1 AS technical_valid, CASE WHEN n > 1 THEN 'duplicate' WHEN NOT valid THEN 'short' END AS technical_reject_reason
+FROM (SELECT doc_id, n_chars >= 500 AS valid, row_number() OVER (PARTITION BY md5({WORDS.format('text')}) ORDER BY coalesce(quality, -1) DESC, n_chars DESC, doc_id) AS n FROM documents LEFT JOIN labels USING (doc_id))""")
 def q_mark_duplicates(spark, sf_dir):
     both = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
     valid = c("n_chars") >= 500
-    rows = both.select("doc_id", "quality", "n_chars", F.concat("lang", F.substring("text", 1, 3)).alias("g"), valid.alias("technical_valid"), F.when(~valid, "short").alias("technical_reject_reason"), valid.alias("keep_for_step2"))
+    rows = both.select("doc_id", "quality", "n_chars", F.md5(text.words_only(c("text"))).alias("g"), valid.alias("technical_valid"), F.when(~valid, "short").alias("technical_reject_reason"), valid.alias("keep_for_step2"))
     return relational.mark_duplicates(rows, "g", ["quality", "n_chars"], "doc_id").select("doc_id", "is_duplicate", "technical_valid", "technical_reject_reason")
 
 
@@ -273,6 +285,13 @@ def q_balance_cells(spark, sf_dir):
     return relational.balance(both, ["lang", "quality"], "doc_id", 7).select("doc_id", "lang", "quality")
 
 
+@query("""WITH o AS (SELECT o_orderkey, o_orderstatus, o_orderpriority AS kind, sha256('5|' || o_orderkey) AS s FROM orders), a AS (SELECT *, row_number() OVER (PARTITION BY o_orderstatus, kind ORDER BY s, o_orderkey) AS k, count(*) OVER (PARTITION BY o_orderstatus, kind) AS m FROM o),
+b AS (SELECT * FROM a JOIN (SELECT o_orderstatus, min(m) AS least FROM a GROUP BY o_orderstatus) USING (o_orderstatus) WHERE k <= least), d AS (SELECT *, row_number() OVER (PARTITION BY o_orderstatus ORDER BY s, o_orderkey) AS n, count(*) OVER (PARTITION BY o_orderstatus) AS c FROM b)
+SELECT o_orderkey, o_orderstatus, kind FROM d WHERE n <= (SELECT min(c) FROM d)""")
+def q_balance_kinds(spark, sf_dir):
+    return relational.balance(table(spark, sf_dir, "orders").withColumn("kind", c("o_orderpriority")), ["o_orderstatus"], "o_orderkey", 5, "kind").select("o_orderkey", "o_orderstatus", "kind")
+
+
 @query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')")
 def q_resume_anti(spark, sf_dir):
     done = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(c("o_custkey").alias("c_custkey"))
@@ -284,13 +303,6 @@ def q_id_semi(spark, sf_dir):
     return relational.only(table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders").where("o_totalprice > 400000"), "c_custkey", "o_custkey").select("c_custkey", "c_name")
 
 
-@query("""SELECT l_orderkey, l_partkey, l_linenumber, o_orderpriority, p_name, c_mktsegment FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey LEFT JOIN part ON l_partkey = p_partkey LEFT JOIN customer ON o_custkey = c_custkey""")
-def q_release_lookup(spark, sf_dir):
-    t = lambda n: table(spark, sf_dir, n)
-    rows = t("lineitem").join(t("orders"), c("l_orderkey") == c("o_orderkey"), "left").join(t("part"), c("l_partkey") == c("p_partkey"), "left").join(t("customer"), c("o_custkey") == c("c_custkey"), "left")
-    return rows.select("l_orderkey", "l_partkey", "l_linenumber", "o_orderpriority", "p_name", "c_mktsegment")
-
-
 def line_anchors(spark, sf_dir) -> DataFrame:
     """Parts of an order as anchors; each points to the two next part numbers."""
     lines = table(spark, sf_dir, "lineitem").select(c("l_orderkey").alias("sample_id"), c("l_partkey").alias("anchor_id")).distinct()
@@ -427,50 +439,61 @@ def q_route_table(spark, sf_dir):
 
 
 def boxes(spark, sf_dir) -> DataFrame:
-    """Vectors as boxes of a 100 by 100 image."""
-    at = lambda i: F.abs(F.get("embedding", F.lit(i)).cast("double")) * 100
-    return table(spark, sf_dir, "embeddings").select("vec_id", "label", F.array(at(0), at(1), at(0) + 20 + at(2) * 4, at(1) + 10 + at(3) * 4).alias("box"), F.abs(F.get("embedding", F.lit(4)).cast("double")).alias("score"))
+    """Sixteen boxes of a 100 by 100 image from each vector of 64 numbers, each of four: corner, sides and, by their sum, score."""
+    at = lambda i: F.abs(F.get("embedding", (c("k") * 4 + i).cast("int")).cast("double"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("k"))
+    return rows.select("vec_id", "k", F.array(at(0) * 200, at(1) * 200, at(0) * 200 + 20 + at(2) * 300, at(1) * 200 + 10 + at(3) * 300).alias("box"), F.least(F.lit(1.0), at(0) + at(1) + at(2) + at(3)).alias("score"))
 
 
-_BOX = """b AS (SELECT vec_id, label, abs(embedding[1]::DOUBLE) * 100 AS x1, abs(embedding[2]::DOUBLE) * 100 AS y1, abs(embedding[1]::DOUBLE) * 100 + 20 + abs(embedding[3]::DOUBLE) * 100 * 4 AS x2, abs(embedding[2]::DOUBLE) * 100 + 10 + abs(embedding[4]::DOUBLE) * 100 * 4 AS y2, abs(embedding[5]::DOUBLE) AS score FROM embeddings)"""
+_BOX = """v AS (SELECT vec_id, k, abs(embedding[4 * k + 1]::DOUBLE) AS p, abs(embedding[4 * k + 2]::DOUBLE) AS q, abs(embedding[4 * k + 3]::DOUBLE) AS r, abs(embedding[4 * k + 4]::DOUBLE) AS s FROM embeddings, (SELECT CAST(unnest(range(16)) AS INTEGER) AS k)),
+b AS (SELECT vec_id, k, p * 200 AS x1, q * 200 AS y1, p * 200 + 20 + r * 300 AS x2, q * 200 + 10 + s * 300 AS y2, least(1.0, p + q + r + s) AS score FROM v)"""
 
 
-@query(f"""WITH {_BOX}, p AS (SELECT a.vec_id AS a, c.vec_id AS b, greatest(0.0, least(a.x2, c.x2) - greatest(a.x1, c.x1)) * greatest(0.0, least(a.y2, c.y2) - greatest(a.y1, c.y1)) AS i, (a.x2 - a.x1) * (a.y2 - a.y1) + (c.x2 - c.x1) * (c.y2 - c.y1) AS s FROM b a JOIN b c ON a.label = c.label AND c.vec_id = a.vec_id + 1)
-SELECT a, b, i / (s - i) AS iou FROM p""")
+@query(f"""WITH {_BOX}, p AS (SELECT a.vec_id, a.k, greatest(0.0, least(a.x2, c.x2) - greatest(a.x1, c.x1)) * greatest(0.0, least(a.y2, c.y2) - greatest(a.y1, c.y1)) AS i, (a.x2 - a.x1) * (a.y2 - a.y1) + (c.x2 - c.x1) * (c.y2 - c.y1) AS s FROM b a JOIN b c ON a.vec_id = c.vec_id AND c.k = a.k + 1)
+SELECT vec_id, k, i / (s - i) AS iou FROM p""")
 def q_box_iou(spark, sf_dir):
     rows = boxes(spark, sf_dir)
-    next_ = rows.select((c("vec_id") - 1).alias("vec_id"), "label", c("box").alias("other"))
-    return rows.join(next_, ["vec_id", "label"]).select(c("vec_id").alias("a"), (c("vec_id") + 1).alias("b"), geometry.iou(c("box"), c("other")).alias("iou"))
+    next_ = rows.select("vec_id", (c("k") - 1).alias("k"), c("box").alias("other"))
+    return rows.join(next_, ["vec_id", "k"]).select("vec_id", "k", geometry.iou(c("box"), c("other")).alias("iou"))
 
 
-@query(f"""WITH {_BOX}, e AS (SELECT vec_id, score, (x2 - x1) * (y2 - y1) / 10000.0 AS a, (x2 - x1) / 100.0 AS w, (y2 - y1) / 100.0 AS h FROM b),
-r AS (SELECT *, score < 0.25 AS low, a >= 0.65 AS scene, a <= 0.0007 AS tiny, w >= 0.98 AND h >= 0.98 AS full_, a >= 0.65 OR (w >= 0.93 AND h >= 0.93) AS big FROM e)
-SELECT vec_id, round_even(a, 6) AS area_ratio, concat_ws(',', CASE WHEN low THEN 'low_score' END, CASE WHEN scene THEN 'scene_level_box' END, CASE WHEN tiny THEN 'tiny_box' END, CASE WHEN full_ THEN 'full_frame_box' END) AS reasons,
-round_even(score - CASE WHEN low THEN 0.2 ELSE 0.0 END - CASE WHEN scene THEN 0.45 ELSE 0.0 END - CASE WHEN tiny THEN 0.18 ELSE 0.0 END - CASE WHEN full_ THEN 0.4 ELSE 0.0 END - CASE WHEN big THEN 0.1 ELSE 0.0 END, 6) AS precision_score FROM r""")
+def evaluated_sql(mode: str) -> str:
+    """Rules of detections by category and mode, of a 60 by 60 image."""
+    m = geometry.PRECISION[mode]
+    people, large, scene, group = "cat = 'people'", "cat = 'building'", "cat = 'background'", "(cat = 'people' AND multi)"
+    rules = [
+        ("low_score", f"score < {m['score']}", 0.2), ("scene_level_box", f"cat IN ('people', 'object') AND a >= {m['sensitive']} AND NOT {group}", 0.45), ("scene_level_box", f"{group} AND a >= {m['people_group']}", 0.35), ("scene_level_box", f"{large} AND a >= {m['large']} AND NOT multi", 0.25),
+        ("tiny_box", f"NOT {scene} AND a <= CASE WHEN {large} THEN {m['tiny_large']} ELSE {m['tiny']} END", 0.18), ("too_small_for_group", f"multi AND {people} AND a < {m['tiny'] * 8}", 0.2), ("full_frame_box", f"NOT {scene} AND w >= 0.98 AND h >= 0.98", 0.4), (None, f"NOT {scene} AND (a >= {m['sensitive']} OR (w >= {m['side']} AND h >= {m['side']}))", 0.1),
+    ]
+    why = ", ".join(f"CASE WHEN {hit} THEN '{name}' END" for name, hit, _ in rules if name)
+    less = " ".join(f"- CASE WHEN {hit} THEN {cost} ELSE 0.0 END" for _, hit, cost in rules)
+    return f"SELECT vec_id, k, '{mode}' AS mode, round_even(a, 6) AS area_ratio, concat_ws(',', {why}) AS reasons, round_even(score {less}, 6) AS precision_score FROM e"
+
+
+@query(f"""WITH {_BOX}, e AS (SELECT vec_id, k, score, CASE k % 4 WHEN 0 THEN 'object' WHEN 1 THEN 'people' WHEN 2 THEN 'building' ELSE 'background' END AS cat, vec_id % 2 = 0 AS multi, (x2 - x1) * (y2 - y1) / 3600.0 AS a, (x2 - x1) / 60.0 AS w, (y2 - y1) / 60.0 AS h FROM b)
+""" + " UNION ALL ".join(map(evaluated_sql, geometry.PRECISION)))
 def q_evaluate_box(spark, sf_dir):
-    e = geometry.evaluated(c("box"), c("score"), F.lit("object"), F.lit(False), F.lit(100), F.lit(100))
-    return boxes(spark, sf_dir).select("vec_id", e.alias("e")).select("vec_id", "e.area_ratio", F.array_join("e.rejection_reasons", ",").alias("reasons"), "e.precision_score")
+    rows = boxes(spark, sf_dir).withColumns({"cat": F.get(F.array(*map(F.lit, ["object", "people", "building", "background"])), c("k") % 4), "multi": c("vec_id") % 2 == 0})
+    each = [rows.select("vec_id", "k", F.lit(m).alias("mode"), geometry.evaluated(c("box"), c("score"), c("cat"), c("multi"), F.lit(60), F.lit(60), m).alias("e")) for m in geometry.PRECISION]
+    return reduce(DataFrame.unionAll, each).select("vec_id", "k", "mode", "e.area_ratio", F.array_join("e.rejection_reasons", ",").alias("reasons"), "e.precision_score")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_BOX}, o AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, k) AS r FROM b),
+s AS (SELECT vec_id, r, [{{'k': k, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}}] AS held FROM o WHERE r = 1 UNION ALL
+SELECT s.vec_id, o.r, CASE WHEN len(list_filter(s.held, lambda h: greatest(0.0, least(h.x2, o.x2) - greatest(h.x1, o.x1)) * greatest(0.0, least(h.y2, o.y2) - greatest(h.y1, o.y1)) / ((h.x2 - h.x1) * (h.y2 - h.y1) + (o.x2 - o.x1) * (o.y2 - o.y1) - greatest(0.0, least(h.x2, o.x2) - greatest(h.x1, o.x1)) * greatest(0.0, least(h.y2, o.y2) - greatest(h.y1, o.y1))) > 0.3)) > 0
+THEN s.held ELSE list_append(s.held, {{'k': o.k, 'x1': o.x1, 'y1': o.y1, 'x2': o.x2, 'y2': o.y2}}) END FROM s JOIN o ON s.vec_id = o.vec_id AND o.r = s.r + 1)
+SELECT vec_id, unnest(list_transform(held, lambda h: h.k)) AS k FROM s WHERE r = 16""")
 def q_nms(spark, sf_dir):
-    return geometry.nms(boxes(spark, sf_dir), ["label"], limit=0.5).select("vec_id", "label", "score")
+    return geometry.nms(boxes(spark, sf_dir), ["vec_id"], limit=0.3).select("vec_id", "k")
 
 
-@query("""WITH e AS (SELECT vec_id, list_transform(embedding[1:4], lambda x: exp(x::DOUBLE * 5 - list_max(embedding[1:4])::DOUBLE * 5)) AS z FROM embeddings), s AS (SELECT vec_id, z[1] / list_sum(z) AS score, greatest(z[2], z[3], z[4]) / list_sum(z) AS best_other FROM e)
+@query("""WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: exp(x::DOUBLE * 25 - list_max(embedding)::DOUBLE * 25)) AS z FROM embeddings), s AS (SELECT vec_id, z[1] / list_sum(z) AS score, list_max(z[2:]) / list_sum(z) AS best_other FROM e)
 SELECT vec_id, score, best_other, score >= 0.3 AND score - best_other >= 0.08 AS match FROM s""")
 def q_clip_verify(spark, sf_dir):
-    logits = F.transform(F.slice("embedding", 1, 4), lambda x: x.cast("double") * 5)
+    logits = F.transform("embedding", lambda x: x.cast("double") * 25)
     return table(spark, sf_dir, "embeddings").select("vec_id", geometry.softmax_match(logits, 0).alias("m")).select("vec_id", "m.score", "m.best_other", "m.match")
 
 
-@query("""SELECT doc_id::VARCHAR || '__pristine' AS pair_id, 'pristine' AS modality, lang FROM documents UNION ALL SELECT page_id::VARCHAR || '__page', 'text_only', NULL FROM pages""")
-def q_union_release(spark, sf_dir):
-    a = table(spark, sf_dir, "documents").select(F.concat(c("doc_id").cast("string"), F.lit("__pristine")).alias("pair_id"), F.lit("pristine").alias("modality"), "lang")
-    b = table(spark, sf_dir, "pages").select(F.concat(c("page_id").cast("string"), F.lit("__page")).alias("pair_id"), F.lit("text_only").alias("modality"))
-    return a.unionByName(b, allowMissingColumns=True)
-
-
 @query("SELECT o_orderkey::VARCHAR AS pair_id, c_custkey::VARCHAR AS sample_id, o_totalprice AS severity_score, o_orderpriority AS severity_label, c_name AS headline_original FROM orders JOIN customer ON o_custkey = c_custkey")
 def q_flat_export(spark, sf_dir):
     from sievework.sources.sinks import flat_rows
@@ -480,17 +503,6 @@ def q_flat_export(spark, sf_dir):
     return flat_rows(nested, rich=True).select("pair_id", "sample_id", "severity_score", "severity_label", "headline_original")
 
 
-@query("SELECT event_type, count(*) AS n, sum(value) AS value, min(user_id) AS first_user FROM events GROUP BY event_type")
-def q_job_counter(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("value"), F.min("user_id").alias("first_user"))
-
-
-@query(f"SELECT doc_id, reason, {split_sql('doc_id::VARCHAR')} AS split FROM ({GATED.replace('400', '80')})")
-def q_stream_gate(spark, sf_dir):
-    """The stream's stateless transformation, on the table."""
-    return stream_gates.gated(table(spark, sf_dir, "documents")).select("doc_id", "reason", "split")
-
-
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gate, dedupe, balance, split and count."""
     docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")

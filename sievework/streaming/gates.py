@@ -31,11 +31,12 @@ def windowed_counts(rows: DataFrame, time: str, value: str, length: str = "1 hou
     return rows.withWatermark(time, late).groupBy(w, value).agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), value, "n")
 
 
-def start(rows: DataFrame, path: str, checkpoint: str, transform: Callable[[DataFrame], DataFrame] = lambda d: d, available: bool = True) -> StreamingQuery:
-    """Append batches below path, one folder for each batch number, so that a repeated batch replaces itself."""
+def start(rows: DataFrame, path: str, checkpoint: str, transform: Callable[[DataFrame], DataFrame] = lambda d: d, available: bool = True, mode: str = "append") -> StreamingQuery:
+    """Write batches below path, one folder for each batch number, so that a repeated batch replaces itself. mode complete:
+    each batch is the whole result, so one folder is left."""
 
     def write(batch: DataFrame, number: int) -> None:
-        transform(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        transform(batch).write.mode("overwrite").parquet(path if mode == "complete" else f"{path}/batch={number}")
 
-    out = rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    out = rows.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint)
     return (out.trigger(availableNow=True) if available else out).start()
