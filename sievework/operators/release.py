@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +12,8 @@ from sievework.functions import scoring, text
 from sievework.functions.coerce import clamp, distinct_by, first_nonempty, let, nonempty, safe_str
 from sievework.operators import gates, relational
 
+# Modalities, and how a made headline names the edited anchor.
+SYNTHETIC = {"remove": " without ", "attribute_change": " after change to ", "replace": " featuring "}
 MODALITIES = ["pristine", "image_only", "text_only", "image_text"]
 
 
@@ -28,6 +31,7 @@ class BuildConfig:
     lexical_min: float = 0.01
     cross_mode: bool = True
     joint_as_text: bool = False
+    synthesize: bool = False
     visual_confidence: float = 0.85
     hard_reject: bool = False
     balance: bool = False
@@ -76,13 +80,25 @@ def rewrite(rewrites: Column, preferred: str, cross: bool = True) -> Column:
     return F.coalesce(own, _usable(rewrites, other, f"{other}_fallback")) if cross else own
 
 
-def variants(rewrites: Column, cfg: BuildConfig) -> Column:
-    """Text-only rewrites of a candidate, each headline once; one empty variant if there is none."""
+def synthesized(headline: Column, candidate: Column) -> Column:
+    """A headline made from the original and a candidate, where a build asks for it; empty without an original."""
+    base, op = text.squeeze(headline), text.words_only(safe_str(candidate["operation"]))
+    anchor, said = text.squeeze(safe_str(candidate["edited_anchor"])), text.squeeze(safe_str(candidate["edit_instruction"]))
+    link = reduce(lambda w, kv: w.when(op == kv[0], kv[1]), SYNTHETIC.items(), F.when(F.lit(False), "")).otherwise(" involving ")
+    return F.when(base == "", "").when(anchor != "", F.concat(base, link, anchor)).when(said != "", F.concat(base, F.lit(": "), said)).otherwise("")
+
+
+def variants(rewrites: Column, cfg: BuildConfig, headline: Column | None = None, candidate: Column | None = None) -> Column:
+    """Text-only rewrites of a candidate, each headline once; without one a made one, if asked for; else one empty variant."""
     joint = [_usable(rewrites, "joint", "joint_as_text_only")] if cfg.joint_as_text else []
     found = F.array_compact(F.array(rewrite(rewrites, "text_only", cfg.cross_mode), *joint))
     none = F.struct(*[F.lit("").alias(f) for f in ("rewritten_headline", "text_edit_operation", "nli_direction", "rewrite_rationale", "error")], F.lit("missing").alias("source"))
     once = distinct_by(found, lambda v: text.words_only(v["rewritten_headline"]))
-    return let(once, lambda o: F.when(F.size(o) > 0, o).otherwise(F.array(none)))
+    instead = none
+    if cfg.synthesize and headline is not None:
+        made = none.withField("text_edit_operation", safe_str(candidate["operation"])).withField("rewrite_rationale", F.lit("synthetic_fallback_from_builder")).withField("source", F.lit("synthetic"))
+        instead = let(synthesized(headline, candidate), lambda h: F.when(h != "", made.withField("rewritten_headline", h)).otherwise(none))
+    return let(once, lambda o: F.when(F.size(o) > 0, o).otherwise(F.array(instead)))
 
 
 def components(candidate: Column, plan: Column, tier: Column, direction: Column, model: scoring.SeverityModel) -> Column:
@@ -126,7 +142,8 @@ def edited_examples(looked_up: DataFrame, images: DataFrame | None, cfg: BuildCo
         "headline_original": original(c("manifest.headline"), c("plan.headline")), "summary_original": original(c("manifest.summary"), c("plan.summary")), "image_edited": first_nonempty([safe_str(c("output_path")), safe_str(c("image_path"))]),
     })
     rows = rows.withColumn("_rw", rewrite(c("candidate.headline_rewrite"), "joint", cfg.cross_mode))
-    rows = rows.withColumn("_said", first_nonempty([safe_str(c("rewritten_caption")), safe_str(c("_rw.rewritten_headline")), c("headline_original")]))
+    made = [F.when(c("kind") == "image_text", synthesized(c("headline_original"), c("candidate"))).otherwise("")] if cfg.synthesize else []
+    rows = rows.withColumn("_said", first_nonempty([safe_str(c("rewritten_caption")), safe_str(c("_rw.rewritten_headline")), *made, c("headline_original")]))
     if images is not None:
         rows = rows.join(images.select(c("origin").alias("image_edited"), "image_reason", "visual_reasons"), "image_edited", "left")
     else:
@@ -152,6 +169,7 @@ def edited_examples(looked_up: DataFrame, images: DataFrame | None, cfg: BuildCo
         "summary_original", c("summary_original").alias("summary_edited"), safe_str(c("image_path")).alias("image_original"), image.alias("image_edited"),
         explanation(c("candidate"), c("_rw"), {n: c(n) for n in ("edited_anchor", "fill_clause", "edit_instruction", "route_reason", "text_edit_operation", "nli_direction") if n in looked_up.columns}).alias("explanation"),
         quality.alias("quality"), F.struct(c("manifest").isNotNull().alias("manifest_present"), c("anchor").isNotNull().alias("anchor_row_present"), c("plan").isNotNull().alias("planner_row_present"), F.lit(True).alias("edit_result_present"), F.coalesce(c("plan.sensitive"), F.lit(False)).alias("sensitive_flagged"), c("candidate_index").cast("int").alias("candidate_index")).alias("provenance"), "filter_reason",
+        *(["result_order"] if "result_order" in looked_up.columns else []),
     )
 
 
@@ -173,8 +191,9 @@ def text_examples(plans: DataFrame, anchors: DataFrame, manifests: DataFrame, cf
     pack = lambda df, keys, name: df.select(*keys, F.struct(*df.columns).alias(name))
     looked = looked.join(pack(anchors, ["sample_id", "anchor_id"], "anchor"), ["sample_id", "anchor_id"], "left").join(pack(manifests, ["sample_id"], "manifest"), "sample_id", "left")
     rows = looked.select("*", F.explode("plan.candidates").alias("severity", "_cs")).select("*", F.posexplode("_cs").alias("candidate_index", "candidate")).drop("_cs").where("candidate is not null")
-    rows = rows.select("*", F.posexplode(variants(c("candidate.headline_rewrite"), cfg)).alias("variant", "_rw"))
-    rows = rows.withColumns({"headline_original": original(c("manifest.headline"), c("plan.headline")), "summary_original": original(c("manifest.summary"), c("plan.summary")), "image_original": first_nonempty([safe_str(c("plan.image_path")), safe_str(c("manifest.image_path"))]), "_said": c("_rw.rewritten_headline")})
+    rows = rows.withColumn("headline_original", original(c("manifest.headline"), c("plan.headline")))
+    rows = rows.select("*", F.posexplode(variants(c("candidate.headline_rewrite"), cfg, c("headline_original"), c("candidate"))).alias("variant", "_rw"))
+    rows = rows.withColumns({"summary_original": original(c("manifest.summary"), c("plan.summary")), "image_original": first_nonempty([safe_str(c("plan.image_path")), safe_str(c("manifest.image_path"))]), "_said": c("_rw.rewritten_headline")})
     said = gates.text_reason(c("_said"), c("headline_original"), cfg.text_min, cfg.text_max, cfg.lexical_min)
     invalid = F.concat(F.lit("anchor_invalid:"), F.coalesce(nonempty(safe_str(c("anchor.technical_reject_reason"))), F.lit("unknown")))
     why = gates.reasons(
