@@ -15,8 +15,9 @@ Items are a stated query set: they are taken in blocks of BLOCK_CHARS characters
 that bound. Whole documents are scanned; an alignment takes memory for
 item words times the larger of 4,096 and six times the item's words.
 
-Null or empty texts and items align with nothing. Items of equal text each get their pairs. Repeated documents
-give repeated pairs.
+Null or empty texts and items align with nothing; very long texts are scanned whole. Items of equal text each get
+their pairs. Repeated documents give repeated pairs. Of documents only key and text are read, so other columns' names
+don't matter. Without documents or without items there are no pairs, and nothing leaks.
 """
 
 from __future__ import annotations
@@ -72,6 +73,11 @@ class Items:
         order = pairs.argsort(kind="stable")
         self.holders = np.repeat(np.arange(len(rows), dtype=np.int16 if len(rows) < 32_768 else np.int32), [len(d) for d in self.distinct])[order]
         self.first = np.searchsorted(pairs[order], np.arange(len(self.vocabulary) + 1))
+        # words of the items that have any, item by item, with the times that each stands in its item
+        self.filled = np.flatnonzero(size)
+        counted = [np.unique(self.words[i], return_counts=True) for i in self.filled]
+        self.item_words, self.item_times = (np.concatenate([np.zeros(0, np.int64), *c]) for c in (zip(*counted, strict=True) if counted else ((), ())))
+        self.begins = np.cumsum([0, *(len(w) for w, _ in counted)])[:-1]
         #: The last place stands for words outside the vocabulary, which are numbered -1.
         self.flag = np.zeros(len(self.vocabulary) + 1, bool)
 
@@ -79,25 +85,37 @@ class Items:
         get = self.vocabulary.get
         return np.array([get(w, -1) for w in tokens(text)], np.int64)
 
+    def possible(self, words: np.ndarray) -> np.ndarray:
+        """Items of which the document has words enough: an alignment matches a word as often as both sides have it at most."""
+        known = words[words >= 0]
+        if not len(known):
+            return np.zeros(0, np.int64)
+        held = np.bincount(known, minlength=len(self.vocabulary))[self.item_words]
+        shared = np.add.reduceat(np.minimum(held, self.item_times), self.begins)
+        return self.filled[(shared >= self.fewest[self.filled]) & (len(words) <= self.most[self.filled])]
+
     def ends(self, words: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         """Items, and the places at which an alignment of each may end with the score that it needs."""
+        items = self.possible(words)
+        if not len(items):
+            return
         places = np.flatnonzero(words >= 0)
         known = words[places]
         sizes = self.first[known + 1] - self.first[known]
         if sizes.sum() > EVENTS:
-            for item in self.possible(words, known):
+            for item in items.tolist():
                 self.flag[self.distinct[item]] = True
                 at = np.flatnonzero(self.flag[words])
                 self.flag[self.distinct[item]] = False
                 found = at[points(at) >= self.need[item]]
                 if len(found):
-                    yield int(item), found
+                    yield item, found
             return
         # all items at once: pairs of item and place, by item
         owner = self.holders[np.repeat(self.first[known] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())]
-        enough = np.bincount(owner, minlength=len(self.ids)) >= self.fewest
-        enough &= len(words) <= self.most
-        few = np.flatnonzero(enough[owner])
+        asked = np.zeros(len(self.ids), bool)
+        asked[items] = True
+        few = np.flatnonzero(asked[owner])
         few = few[owner[few].argsort(kind="stable")]
         owner, at = owner[few].astype(np.int64), np.repeat(places, sizes)[few]
         hit = np.flatnonzero(points(at, owner) >= self.need[owner])
@@ -105,13 +123,6 @@ class Items:
         starts = np.flatnonzero(np.diff(owner, prepend=-1))
         yield from zip(owner[starts].tolist(), np.split(at, starts[1:]), strict=False)
 
-    def possible(self, words: np.ndarray, known: np.ndarray) -> np.ndarray:
-        """Items of which the document has words enough."""
-        total = np.zeros(len(self.ids), np.int64)
-        for w, times in zip(*np.unique(known, return_counts=True), strict=True):
-            total[self.holders[self.first[w] : self.first[w + 1]]] += times
-        return np.flatnonzero((total >= self.fewest) & (len(words) <= self.most))
-
     def aligned(self, texts: list[str | None]) -> Iterator[tuple]:
         """Number of the text and best alignment, for each text and each item that may leak into it."""
         jobs, held = [], 0
@@ -177,14 +188,9 @@ def scores(items: list[np.ndarray], texts: list[np.ndarray]) -> np.ndarray:
 
 def stretches(ends: np.ndarray, size: int) -> list[tuple[int, int]]:
     """Parts of a document that hold all alignments with these ends (each covers less than 3 * size words); overlapping parts make one."""
-    out: list[tuple[int, int]] = []
-    for e in ends.tolist():
-        start, end = max(0, e + 1 - 3 * size), e + 1
-        if out and start <= out[-1][1]:
-            out[-1] = (out[-1][0], end)
-        else:
-            out.append((start, end))
-    return out
+    breaks = np.flatnonzero(ends[1:] - ends[:-1] > 3 * size)
+    firsts, lasts = ends[np.append(0, breaks + 1)], ends[np.append(breaks, len(ends) - 1)]
+    return list(zip(np.maximum(0, firsts + 1 - 3 * size).tolist(), (lasts + 1).tolist(), strict=True))
 
 
 def cut(parts: list[tuple[int, int]], size: int) -> Iterator[tuple[int, int]]:
