@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -78,7 +79,7 @@ def prefix_sums(lengths: Column) -> Column:
 
 
 #: Bytes of texts that go to Python in an Arrow batch, and that a slice of one holds.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES, SLICE_BYTES = 4 << 20, 1 << 20
 _BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
@@ -95,19 +96,40 @@ def in_arrow(df: DataFrame, run: Callable, schema: StructType | str) -> DataFram
     return df.mapInArrow(run, schema)
 
 
+@lru_cache(maxsize=1)
+def _trim() -> Callable[[], None]:
+    """Gives memory that was freed back to the system, where the C library can: workers live on between tasks, and what
+    their allocators keep would count against the executor."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pool, trim = pa.default_memory_pool(), getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+    def run() -> None:
+        pool.release_unused()
+        if trim:
+            trim(0)
+
+    return run
+
+
 def slices(batches: Iterator, text: str, rows: int = 1_000) -> Iterator:
-    """Batches cut to bounded bytes of text, one row at least."""
+    """Batches cut to bounded bytes of text, one row at least. What a slice has taken is given back after it."""
     import pyarrow.compute as pc
 
+    trim = _trim()
     for batch in batches:
         start, size = 0, 0
         for i, n in enumerate(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()):
-            if i > start and (size + n > BATCH_BYTES or i - start >= rows):
+            if i > start and (size + n > SLICE_BYTES or i - start >= rows):
                 yield batch.slice(start, i - start)
+                trim()
                 start, size = i, 0
             size += n
         if start < batch.num_rows:
             yield batch.slice(start)
+        trim()
 
 
 #: Bits of the filter that stands before joins of whole texts: so many for an id, within these bounds (32 MB at most).
@@ -158,13 +180,14 @@ def without(df: DataFrame, key: str, ids: DataFrame, id_col: str) -> DataFrame:
 FREQUENT = 1e-3
 
 
-def with_table(df: DataFrame, table: DataFrame, on: str, n: str) -> DataFrame:
-    """df with the columns of table but n, by a left join on a column without nulls. table has one row for each key, n how
-    many rows of df the key has. Frequent keys are broadcast, so that no task gets all rows of one; others are shuffled."""
+def with_table(df: DataFrame, table: DataFrame, on: str, n: str, total: int | None = None) -> DataFrame:
+    """df with the columns of table but n, by a left join on a column; null keys find nothing. table has one row for each
+    key, n how many rows of df the key has. Frequent keys are broadcast, so that no task gets all rows of one; others are
+    shuffled. total: the sum of n, where it is known; else table, which should be a written one then, is looked at."""
     columns = [c for c in table.columns if c not in (on, n)]
-    least = (table.agg(F.sum(n)).first()[0] or 0) * FREQUENT
+    least = ((table.agg(F.sum(n)).first()[0] or 0) if total is None else total) * FREQUENT
     often, rarely = table.where(F.col(n) >= least).drop(n), table.where(F.col(n) < least).drop(n)
-    if rarely.isEmpty():
+    if total is None and rarely.isEmpty():
         return df.join(F.broadcast(often), on, "left").select(*df.columns, *columns)
     marked = df.join(F.broadcast(often.withColumn("_often", F.lit(True))), on, "left")
     rest = marked.where("_often IS NULL").select(*df.columns).join(rarely, on, "left")

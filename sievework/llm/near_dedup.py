@@ -35,7 +35,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievework.llm.common import among, in_arrow, packed, slices, staged, unpacked, without
+from sievework.llm.common import among, in_arrow, packed, slices, staged, unpacked, with_table, without
 
 WORDS, THRESHOLD = 5, (80, 100)
 BANDS, ROWS = 32, 4
@@ -345,7 +345,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     """key, n_shingles, component_id and kept of each row."""
     rows = staged(profile(docs, key, text, words), "profiles")
     full = rows.where(F.col("set").isNotNull())
-    classes = full.groupBy("set").agg(F.min("doc").alias("least"), F.min("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+    classes = full.groupBy("set").agg(F.min("doc").alias("least"), F.min("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("copies"))
     # the numbers are written, so that they stay
     classes = staged(classes.withColumn("doc", F.monotonically_increasing_id()), "classes")
     buckets = classes.select("doc", "n", F.posexplode("bands").alias("band", "hash")).select("doc", "n", F.xxhash64("band", "hash").alias("bucket"))
@@ -368,8 +368,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     named = found.join(classes.select("doc", "set", "least"), F.col("node") == F.col("doc")).select("set", "root", "least")
     tops = named.groupBy("root").agg(F.min("least").alias("top"))
     tops = staged(named.select(F.col("set").alias("_set"), "root").join(tops, "root").select("_set", "top"), "components")
-    names = classes.select("set", "least").join(tops, F.col("set") == F.col("_set"), "left").select(F.col("set").alias("_set"), F.coalesce("top", "least").alias("_component"))
-    out = rows.select("doc", "n", "set").join(names, F.col("set") == F.col("_set"), "left")
+    names = classes.select("set", "least", "copies").join(tops, F.col("set") == F.col("_set"), "left").select("set", F.coalesce("top", "least").alias("_component"), "copies")
+    # a text of which there are very many copies has a row of its own in every task
+    total = classes.agg(F.sum("copies")).first()[0] or 0
+    out = with_table(rows.select("doc", "n", "set"), names, "set", "copies", total)
     component = F.coalesce("_component", "doc")
     return out.select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc") == component, F.lit(False)).alias("kept"))
 
