@@ -34,19 +34,31 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"([<\[])\\(\\*)" + _TAIL, r"$1$2$3")
 
 
-def format_chats(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", learner: str = "assistant") -> DataFrame:
+def format_chats(
+    rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text",
+    learner: str = "assistant"
+) -> DataFrame:
     """One row per conversation: its id, formatted (string), loss_mask (array of start and end)."""
     clean = rows.select(
         F.col(f"`{conv}`").alias("conv"),
-        F.struct(F.col(f"`{turn}`").alias("turn"), escape(F.coalesce(F.col(f"`{role}`"), F.lit(""))).alias("role"), escape(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("text")).alias("t"),
+        F.struct(
+            F.col(f"`{turn}`").alias("turn"), escape(F.coalesce(F.col(f"`{role}`"), F.lit(""))).alias("role"),
+            escape(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("text")
+        ).alias("t"),
     )
     turns = clean.groupBy("conv").agg(F.array_sort(F.collect_list("t")).alias("turns"))
     # a block starts where the role differs from that of the turn before
-    starts = F.filter(F.sequence(F.lit(0), F.size("turns") - 1), lambda i: (i == 0) | (F.get(F.col("turns"), i)["role"] != F.get(F.col("turns"), i - 1)["role"]))
+    starts = F.filter(
+        F.sequence(F.lit(0), F.size("turns") - 1),
+        lambda i: (i == 0) | (F.get(F.col("turns"), i)["role"] != F.get(F.col("turns"), i - 1)["role"])
+    )
     runs = turns.withColumn("starts", starts)
     block = lambda b, k: F.struct(
         F.get(F.col("turns"), b)["role"].alias("role"),
-        F.transform(F.slice(F.col("turns"), b + 1, F.coalesce(F.get(F.col("starts"), k + 1), F.size("turns")) - b), lambda t: t["text"]).alias("texts"),
+        F.transform(
+            F.slice(F.col("turns"), b + 1, F.coalesce(F.get(F.col("starts"), k + 1), F.size("turns")) - b),
+            lambda t: t["text"]
+        ).alias("texts"),
     )
     blocks = runs.select("conv", F.transform("starts", block).alias("blocks"))
     written = lambda b: F.concat(F.lit(BEGIN + HEAD), b["role"], F.lit(BODY), F.array_join(b["texts"], NEXT), F.lit(END))
@@ -57,9 +69,15 @@ def format_chats(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", rol
         F.when(i == F.size(b["texts"]) - 1, F.lit(len(END))).otherwise(F.lit(0)).cast("long").alias("trail"),
         (b["role"] == learner).alias("learnt"),
     ))
-    parts = blocks.select("conv", F.array_join(F.transform("blocks", written), "").alias("formatted"), F.flatten(F.transform("blocks", lead)).alias("parts"))
+    parts = blocks.select(
+        "conv", F.array_join(F.transform("blocks", written), "").alias("formatted"),
+        F.flatten(F.transform("blocks", lead)).alias("parts")
+    )
     placed = parts.withColumn("at", prefix_sums(F.transform("parts", lambda p: p["lead"] + p["len"] + p["trail"])))
-    spans = F.zip_with("parts", "at", lambda p, a: F.struct((a + p["lead"]).alias("start"), (a + p["lead"] + p["len"]).alias("end"), p["learnt"].alias("learnt")))
+    spans = F.zip_with(
+        "parts", "at",
+        lambda p, a: F.struct((a + p["lead"]).alias("start"), (a + p["lead"] + p["len"]).alias("end"), p["learnt"].alias("learnt"))
+    )
     mask = F.transform(F.filter(spans, lambda s: s["learnt"]), lambda s: F.struct(s["start"], s["end"]))
     return placed.select(F.col("conv").alias(conv), "formatted", mask.alias("loss_mask"))
 
@@ -70,7 +88,12 @@ def read_turns(formatted: Column) -> Column:
     role = lambda b: unescape(F.substring_index(F.substr(b, F.lit(len(BEGIN + HEAD) + 1)), BODY, 1))
     body = lambda b: F.substr(b, F.locate(BODY, b) + len(BODY))
     texts = lambda b: F.split(body(b), r"\[TURN\]", -1)
-    return F.flatten(F.transform(F.slice(blocks, 1, F.size(blocks) - 1), lambda b: F.transform(texts(b), lambda t: F.struct(role(b).alias("role"), unescape(t).alias("text")))))
+    return F.flatten(
+        F.transform(
+            F.slice(blocks, 1, F.size(blocks) - 1),
+            lambda b: F.transform(texts(b), lambda t: F.struct(role(b).alias("role"), unescape(t).alias("text")))
+        )
+    )
 
 
 def read_loss(formatted: Column, mask: Column) -> Column:

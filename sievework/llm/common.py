@@ -74,7 +74,10 @@ def prefix_sums(lengths: Column) -> Column:
         lambda c: F.aggregate(F.slice(lengths, c * _CHUNK + 1, _CHUNK), zero(), grow),
     )
     offset = lambda: F.aggregate(chunks, zero(), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + F.element_at(x, -1))))
-    shifted = F.transform(F.arrays_zip(chunks.alias("c"), F.slice(offset(), 1, F.size(chunks)).alias("o")), lambda z: F.transform(F.slice(z["c"], 1, F.size(z["c"]) - 1), lambda v: v + z["o"]))
+    shifted = F.transform(
+        F.arrays_zip(chunks.alias("c"), F.slice(offset(), 1, F.size(chunks)).alias("o")),
+        lambda z: F.transform(F.slice(z["c"], 1, F.size(z["c"]) - 1), lambda v: v + z["o"])
+    )
     return F.when(F.size(lengths) > 0, F.flatten(shifted)).otherwise(F.array().cast("array<bigint>"))
 
 

@@ -76,7 +76,9 @@ class Items:
         # words of the items that have any, item by item, with the times that each stands in its item
         self.filled = np.flatnonzero(size)
         counted = [np.unique(self.words[i], return_counts=True) for i in self.filled]
-        self.item_words, self.item_times = (np.concatenate([np.zeros(0, np.int64), *c]) for c in (zip(*counted, strict=True) if counted else ((), ())))
+        self.item_words, self.item_times = (
+            np.concatenate([np.zeros(0, np.int64), *c]) for c in (zip(*counted, strict=True) if counted else ((), ()))
+        )
         self.begins = np.cumsum([0, *(len(w) for w, _ in counted)])[:-1]
         #: The last place stands for words outside the vocabulary, which are numbered -1.
         self.flag = np.zeros(len(self.vocabulary) + 1, bool)
@@ -248,7 +250,10 @@ def _blocks(benchmark: DataFrame, item: str, text: str) -> Iterator[tuple]:
         yield tuple(block)
 
 
-def pairs(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", leak: float = LEAK) -> DataFrame:
+def pairs(
+    docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id",
+    item_text: str = "text", leak: float = LEAK
+) -> DataFrame:
     """key, item_id, score, matched, item_words, start_word, end_word of each document and item that align to the leak share."""
     import pyarrow as pa
 
@@ -269,7 +274,10 @@ def pairs(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
                         at.append(k)
                         found.append(p)
                 if found:
-                    yield pa.RecordBatch.from_arrays([part.column(key).take(pa.array(at)), *(pa.array(c, t) for c, t in zip(zip(*found, strict=True), types, strict=True))], [key, *names])
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column(key).take(pa.array(at)), *(pa.array(c, t) for c, t in zip(zip(*found, strict=True), types, strict=True))],
+                        [key, *names]
+                    )
 
         one = in_arrow(kept, run, f"`{key}` {kind}, {_PAIR}")
         out = one if out is None else out.unionAll(one)
@@ -278,7 +286,10 @@ def pairs(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
     return out
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", leak: float = LEAK) -> DataFrame:
+def clean(
+    docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id",
+    item_text: str = "text", leak: float = LEAK
+) -> DataFrame:
     """docs without the documents that leak an item."""
     found = staged(pairs(docs, benchmark, key, text, item, item_text, leak).select(F.col(f"`{key}`").alias("_leak")).distinct(), "leaks")
     return without(docs, key, found, "_leak")

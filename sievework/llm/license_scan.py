@@ -92,7 +92,10 @@ class Scanner:
 
         # a word of a phrase ends where a word ends; characters beyond ASCII are parts of words
         inside = r"0-9a-z\x80-\U0010ffff"
-        self.phrases = [(p.split()[0], re.compile(rf"(?<![{inside}])" + _GAP.join(map(re.escape, p.split())) + rf"(?![{inside}])"), label) for p, label in phrases.items()]
+        self.phrases = [
+            (p.split()[0], re.compile(rf"(?<![{inside}])" + _GAP.join(map(re.escape, p.split())) + rf"(?![{inside}])"), label) for p,
+            label in phrases.items()
+        ]
         self.notices, self.pieces, at = [], ahocorasick.Automaton(), {}
         for n, (notice, label) in enumerate(notices.items()):
             k = min(MOST_EDITS, len(notice) // PER_EDIT)
@@ -183,7 +186,11 @@ class Scanner:
         spans = [(label, place(a), place(b - 1) + 1, edits) for label, a, b, edits in self.verified(squeezed)]
         score = 1.0 if labels else max((1 - s[3] / (s[2] - s[1]) for s in spans), default=0.0)
         base = sorted(labels)
-        return (count(data), len(starts), min(starts, default=None), max(starts, default=None), ",".join(base), ",".join(sorted(labels | {s[0] for s in spans})), max(0.0, score), [dict(zip(("label", "start", "end", "edits"), s, strict=True)) for s in spans])
+        return (
+            count(data), len(starts), min(starts, default=None), max(starts, default=None), ",".join(base),
+            ",".join(sorted(labels | {s[0] for s in spans})), max(0.0, score),
+            [dict(zip(("label", "start", "end", "edits"), s, strict=True)) for s in spans]
+        )
 
 
 def squeeze(text: str) -> tuple[str, Callable[[int], int]]:

@@ -118,8 +118,16 @@ def profile(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
                 sets.append(set_key(found))
                 sigs.append(None if sig is None else sig.astype("<u2").tobytes())
                 raw = b"" if sig is None else sig.tobytes()
-                bands.append(None if sig is None else [xxhash.xxh3_64_intdigest(raw[b * ROWS * 4 : (b + 1) * ROWS * 4], b) - 2**63 for b in range(BANDS)])
-            yield pa.RecordBatch.from_arrays([part.column(key), pa.array(n, pa.int64()), pa.array(sets, pa.binary()), pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc", "n", "set", "sig", "bands"])
+                bands.append(
+                    None if sig is None else [xxhash.xxh3_64_intdigest(raw[b * ROWS * 4 : (b + 1) * ROWS * 4], b) - 2**63 for b in range(BANDS)]
+                )
+            yield pa.RecordBatch.from_arrays(
+                [
+                    part.column(key), pa.array(n, pa.int64()), pa.array(sets, pa.binary()),
+                    pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))
+                ],
+                ["doc", "n", "set", "sig", "bands"]
+            )
 
     kept = docs.select(f"`{key}`", f"`{text}`")
     return in_arrow(kept, run, f"doc {kept.schema[key].dataType.simpleString()}, n long, set binary, sig binary, bands array<long>")
@@ -132,7 +140,10 @@ def full_sets(docs: DataFrame, text: str, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, text):
             found = [shingles(t, words) for t in part.column(text).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(map(set_key, found)), pa.binary()), pa.array([f.tobytes() for f in found], pa.binary())], ["set", "items"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(map(set_key, found)), pa.binary()), pa.array([f.tobytes() for f in found], pa.binary())],
+                ["set", "items"]
+            )
 
     return in_arrow(docs.select(f"`{text}`"), run, "set binary, items binary").where("set IS NOT NULL")
 
@@ -140,7 +151,10 @@ def full_sets(docs: DataFrame, text: str, words: int) -> DataFrame:
 class Block:
     """Classes of a block, linked in memory. Parts are known to belong together; each has a number for its name."""
 
-    def __init__(self, docs: list, parts: list, sizes: np.ndarray, sigs: list[bytes], items: list[bytes] | None, ours: np.ndarray | None, threshold: tuple[int, int]):
+    def __init__(
+        self, docs: list, parts: list, sizes: np.ndarray, sigs: list[bytes], items: list[bytes] | None,
+        ours: np.ndarray | None, threshold: tuple[int, int]
+    ):
         self.docs, self.sizes, self.threshold = docs, sizes, threshold
         self.sig = np.frombuffer(b"".join(sigs), "<u2").reshape(len(docs), HASHES)
         self.names, self.part = np.unique(np.array(parts, np.int64), return_inverse=True)
@@ -234,7 +248,10 @@ def _linker(threshold: tuple[int, int]) -> Callable:
     kinds = [pa.int64()] * 4 + [pa.int32()]
 
     def emit(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["u", "v", "bucket", "n", "blocks"])
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)],
+            ["u", "v", "bucket", "n", "blocks"]
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, many = [], 10_000
@@ -276,7 +293,9 @@ def components(edges: DataFrame) -> DataFrame:
     known = None
     while not edges.isEmpty():
         both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        hooks = _to_roots(staged(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("root")), "hooks"))
+        hooks = _to_roots(
+            staged(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("root")), "hooks")
+        )
         if known is None:
             known = hooks
         else:
@@ -309,7 +328,10 @@ def linked(members: DataFrame, payload: DataFrame, weight: Column, most: int, th
 
     def within(rows: DataFrame) -> DataFrame:
         at = F.col("block")
-        return staged(link(rows.select("bucket", at.alias("p"), at.alias("q"), "doc", F.col("doc").alias("part"), "n", none.alias("ours"), "blocks")), "within")
+        return staged(
+            link(rows.select("bucket", at.alias("p"), at.alias("q"), "doc", F.col("doc").alias("part"), "n", none.alias("ours"), "blocks")),
+            "within"
+        )
 
     blocked = staged(in_blocks(members), "members")
     found = within(blocked)
@@ -326,14 +348,22 @@ def linked(members: DataFrame, payload: DataFrame, weight: Column, most: int, th
     # across blocks: what is outside the largest part of its bucket, with everything of another part
     parted = large.join(known, F.col("doc") == F.col("node"), "left").withColumn("part", F.coalesce("root", "doc")).drop("node", "root")
     parted = staged(parted, "parted")
-    main = parted.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("c")).groupBy("bucket").agg(F.max_by("part", F.struct("c", "part")).alias("main"))
+    main = parted.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("c")).groupBy("bucket").agg(
+        F.max_by("part", F.struct("c", "part")).alias("main")
+    )
     minor = staged(parted.join(main, "bucket").where("part <> main").drop("main"), "minor")
     if minor.isEmpty():
         return known
     few = minor.groupBy("bucket").agg(F.ceil(F.sum(weight) / most).cast("int").alias("rows"))
     spread = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    ours = minor.join(few, "bucket").select("bucket", F.pmod(F.xxhash64("doc", F.lit(1)), F.col("rows")).cast("int").alias("p"), spread(F.col("blocks")).alias("q"), "doc", "part", "n", F.lit(True).alias("ours"), "blocks")
-    theirs = parted.join(few, "bucket").select("bucket", spread(F.col("rows")).alias("p"), F.col("block").alias("q"), "doc", "part", "n", F.lit(False).alias("ours"), "blocks")
+    ours = minor.join(few, "bucket").select(
+        "bucket", F.pmod(F.xxhash64("doc", F.lit(1)), F.col("rows")).cast("int").alias("p"),
+        spread(F.col("blocks")).alias("q"), "doc", "part", "n", F.lit(True).alias("ours"), "blocks"
+    )
+    theirs = parted.join(few, "bucket").select(
+        "bucket", spread(F.col("rows")).alias("p"), F.col("block").alias("q"), "doc", "part", "n",
+        F.lit(False).alias("ours"), "blocks"
+    )
     more = components(staged(link(ours.unionAll(theirs)), "across").select("u", "v"))
     # roots that are joined by now, and nodes that had no link before
     above = more.select(F.col("node").alias("root"), F.col("root").alias("_top"))
@@ -341,11 +371,17 @@ def linked(members: DataFrame, payload: DataFrame, weight: Column, most: int, th
     return staged(moved.unionAll(more.join(known.select("node"), "node", "left_anti").select("node", "root")), "linked")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS,
+    threshold: tuple[int, int] = THRESHOLD
+) -> DataFrame:
     """key, n_shingles, component_id and kept of each row."""
     rows = staged(profile(docs, key, text, words), "profiles")
     full = rows.where(F.col("set").isNotNull())
-    classes = full.groupBy("set").agg(F.min("doc").alias("least"), F.min("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("copies"))
+    classes = full.groupBy("set").agg(
+        F.min("doc").alias("least"), F.min("n").alias("n"), F.first("sig").alias("sig"),
+        F.first("bands").alias("bands"), F.count(F.lit(1)).alias("copies")
+    )
     # the numbers are written, so that they stay
     classes = staged(classes.withColumn("doc", F.monotonically_increasing_id()), "classes")
     buckets = classes.select("doc", "n", F.posexplode("bands").alias("band", "hash")).select("doc", "n", F.xxhash64("band", "hash").alias("bucket"))
@@ -368,12 +404,17 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     named = found.join(classes.select("doc", "set", "least"), F.col("node") == F.col("doc")).select("set", "root", "least")
     tops = named.groupBy("root").agg(F.min("least").alias("top"))
     tops = staged(named.select(F.col("set").alias("_set"), "root").join(tops, "root").select("_set", "top"), "components")
-    names = classes.select("set", "least", "copies").join(tops, F.col("set") == F.col("_set"), "left").select("set", F.coalesce("top", "least").alias("_component"), "copies")
+    names = classes.select("set", "least", "copies").join(tops, F.col("set") == F.col("_set"), "left").select(
+        "set", F.coalesce("top", "least").alias("_component"), "copies"
+    )
     # a text of which there are very many copies has a row of its own in every task
     total = classes.agg(F.sum("copies")).first()[0] or 0
     out = with_table(rows.select("doc", "n", "set"), names, "set", "copies", total)
     component = F.coalesce("_component", "doc")
-    return out.select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc") == component, F.lit(False)).alias("kept"))
+    return out.select(
+        F.col("doc").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"),
+        F.coalesce(F.col("doc") == component, F.lit(False)).alias("kept")
+    )
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:

@@ -45,7 +45,8 @@ def secret_spans() -> str:
     names = "|".join(either(w) for w in ("password", "passwd", "secret", "token", "api_?key"))
     patterns = [(rf"""({names})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2), ("AKIA[A-Z0-9]+", 0), ("[0-9a-f]+", 0), (secrets.VENDOR, 0)]
     found = "\nUNION ALL ".join(
-        f"SELECT uid, {rank} AS rank, string_split_regex(t, {_quoted(p)}) AS g, regexp_extract_all(t, {_quoted(p)}, 0) AS f, regexp_extract_all(t, {_quoted(p)}, {group}) AS v FROM d WHERE regexp_matches(t, {_quoted(p)})" for rank, (p, group) in enumerate(patterns)
+        f"SELECT uid, {rank} AS rank, string_split_regex(t, {_quoted(p)}) AS g, regexp_extract_all(t, {_quoted(p)}, 0) AS f, regexp_extract_all(t, {_quoted(p)}, {group}) AS v FROM d WHERE regexp_matches(t, {_quoted(p)})" for rank,
+        (p, group) in enumerate(patterns)
     )
     kinds = "[" + ", ".join(f"'{k}'" for k in secrets.KINDS) + "]"
     span = "kind || ':' || start || ':' || stop"
@@ -79,7 +80,8 @@ FROM w GROUP BY conv_id"""
 def license_phrases() -> str:
     """Places where a phrase's words stand consecutively, from the lists of words."""
     places = " UNION ALL ".join(
-        f"SELECT uid, i, '{label}' AS label FROM i WHERE " + " AND ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(phrase.split())) for phrase, label in license_scan.PHRASES.items()
+        f"SELECT uid, i, '{label}' AS label FROM i WHERE " + " AND ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(phrase.split())) for phrase,
+        label in license_scan.PHRASES.items()
     )
     return f"""WITH d AS (SELECT row_number() OVER () AS uid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
 i AS (SELECT uid, w, unnest(range(1, len(w) + 1)) AS i FROM d), p AS ({places})

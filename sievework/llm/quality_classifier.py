@@ -55,16 +55,32 @@ def statistics_of(text: str | None) -> list[float]:
         worst = [max(worst[0], _less(x, _SYMBOLS) / s), max(worst[1], _less(x, _UPPER) / s), max(worst[2], x.count(b"|") / s)]
     upper = _less(data, _UPPER)
     return [
-        float(np.log(size)), float(np.log(n)), float(np.log((size - n) / n + 1)), share(_less(data, _SYMBOLS), size), share(upper, size), share(_less(data, _DIGITS), size), share(data.count(b"!"), size),
-        share(_less(data, b".,;:?"), size), share(data.count(b"|"), size), share(_less(data, bytes(range(32)) + b"\x7f"), size), share(sum(map(bytes.isupper, words)), n), float(np.log((len(seen) + 1) / n)),
-        share(len(lines), n), share(len(lines) - len(set(lines)), len(lines) + 1.0, 0.05), *(float(np.log(w + 0.02)) for w in worst), share(sum(len(w) > 24 for w in words), n), share(max(seen.values(), default=0), n, 0.01),
+        float(np.log(size)),
+        float(np.log(n)),
+        float(np.log((size - n) / n + 1)),
+        share(_less(data, _SYMBOLS), size),
+        share(upper, size),
+        share(_less(data, _DIGITS), size),
+        share(data.count(b"!"), size),
+        share(_less(data, b".,;:?"), size),
+        share(data.count(b"|"), size),
+        share(_less(data, bytes(range(32)) + b"\x7f"), size),
+        share(sum(map(bytes.isupper, words)), n),
+        float(np.log((len(seen) + 1) / n)),
+        share(len(lines), n),
+        share(len(lines) - len(set(lines)), len(lines) + 1.0, 0.05),
+        *(float(np.log(w + 0.02)) for w in worst),
+        share(sum(len(w) > 24 for w in words), n),
+        share(max(seen.values(), default=0), n, 0.01),
         share(sum(map(bytes.__eq__, words, words[1:])), n, 0.01),
     ]
 
 
 def moments(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Counts, sums and sums of products by class."""
-    return np.array([(y == k).sum() for k in (0, 1)], float), np.array([x[y == k].sum(0) for k in (0, 1)]), np.array([x[y == k].T @ x[y == k] for k in (0, 1)])
+    return np.array([(y == k).sum() for k in (0, 1)], float), np.array([x[y == k].sum(0) for k in (0, 1)]), np.array(
+        [x[y == k].T @ x[y == k] for k in (0, 1)]
+    )
 
 
 class TooFewLabels(ValueError):
@@ -172,7 +188,9 @@ def _summed(rows: DataFrame, of) -> np.ndarray:
 
 def fit(vectors: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "quality") -> Gaussians:
     """The model of all labelled rows outside the held-out fold."""
-    known = labels.select(F.col(f"`{key}`").alias("_k"), F.col(f"`{label}`").cast("int").alias("y")).where(F.col("y").isin(0, 1) & ~held_out(F.col("_k")))
+    known = labels.select(
+        F.col(f"`{key}`").alias("_k"), F.col(f"`{label}`").cast("int").alias("y")
+    ).where(F.col("y").isin(0, 1) & ~held_out(F.col("_k")))
     rows = staged(vectors.join(known, F.col(f"`{key}`") == F.col("_k")).select("vector", "y"), "labelled")
     width = len(NAMES)
     flat = _summed(rows, lambda x, y: np.concatenate([m.ravel() for m in moments(x, y)]))
@@ -202,7 +220,10 @@ def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     if docs.isEmpty():
         return vectors.select(f"`{key}`", F.lit(False).alias("held_out"), F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
     scored = score(vectors, fit(vectors, labels, key, label), key)
-    return scored.select(f"`{key}`", held_out(F.col(f"`{key}`")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return scored.select(
+        f"`{key}`", held_out(F.col(f"`{key}`")).alias("held_out"), "score",
+        (F.col("score") >= THRESHOLD).cast("int").alias("predicted")
+    )
 
 
 def keep(docs: DataFrame, model: Gaussians, text: str = "text", least: float = THRESHOLD) -> DataFrame:
@@ -216,7 +237,10 @@ def keep(docs: DataFrame, model: Gaussians, text: str = "text", least: float = T
     return in_arrow(docs, run, docs.schema)
 
 
-def accepted(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", least: float = THRESHOLD) -> DataFrame:
+def accepted(
+    docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality",
+    least: float = THRESHOLD
+) -> DataFrame:
     """The rows of docs that the model of their labels accepts. Statistics are worked out once for all rows, and once more
     for labelled ones, which the model needs first. With too few labels for a model, all rows stay."""
     learnt = labels.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{label}`").alias("quality"))

@@ -43,17 +43,29 @@ def measures(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str
         F.transform(F.filter(F.split(t, f"[{SPACE}]+", -1), lambda w: w != ""), lambda w: F.xxhash64(w)).alias("_words"),
     )
     word = lambda i, k: F.get(F.col("_words"), i + k)
-    windows = F.when(F.size("_words") >= WINDOW, F.transform(F.sequence(F.lit(0), F.size("_words") - WINDOW), lambda i: F.xxhash64(*[word(i, k) for k in range(WINDOW)])))
+    windows = F.when(
+        F.size("_words") >= WINDOW,
+        F.transform(F.sequence(F.lit(0), F.size("_words") - WINDOW), lambda i: F.xxhash64(*[word(i, k) for k in range(WINDOW)]))
+    )
     b = a.withColumn("_windows", windows)
     # only texts with a repeated window are sorted: by hash and place, equal neighbours are repeats
     repeats = F.size(F.array_distinct("_windows")) < F.size("_windows")
     c = b.withColumn("_sorted", F.when(repeats, F.sort_array(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
     same = lambda x, i: (F.get(F.col("_sorted"), i - 1)["h"] == x["h"]) | (F.get(F.col("_sorted"), i + 1)["h"] == x["h"])
     d = c.withColumn("_at", F.sort_array(F.transform(F.filter("_sorted", lambda x, i: F.coalesce(same(x, i), F.lit(False))), lambda x: x["i"])))
-    covered = F.aggregate(F.transform("_at", lambda p, i: F.least(F.lit(WINDOW), F.coalesce(F.get(F.col("_at"), i + 1) - p, F.lit(WINDOW)))), F.lit(0), lambda x, y: x + y)
+    covered = F.aggregate(
+        F.transform("_at", lambda p, i: F.least(F.lit(WINDOW), F.coalesce(F.get(F.col("_at"), i + 1) - p, F.lit(WINDOW)))),
+        F.lit(0), lambda x, y: x + y
+    )
     return d.select(
-        F.col("_key").alias(key), F.col("_host").alias(host), F.size("_words").cast("long").alias("n_words"), "word_chars", "n_symbols", F.size("_lines").cast("long").alias("n_lines"),
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"), F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
+        F.col("_key").alias(key),
+        F.col("_host").alias(host),
+        F.size("_words").cast("long").alias("n_words"),
+        "word_chars",
+        "n_symbols",
+        F.size("_lines").cast("long").alias("n_lines"),
+        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
+        F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
     )
 
 
@@ -64,13 +76,19 @@ def base_failed() -> Column:
 def own_failed() -> Column:
     """A rule of the method fails: many symbols, many equal lines, many repeats, or odd word lengths."""
     n = F.col("n_words")
-    return (5 * F.col("n_symbols") > n) | (3 * F.col("n_dup_lines") > F.col("n_lines")) | (100 * F.col("n_repeat_words") > 20 * n) | (F.col("word_chars") < 2 * n) | (F.col("word_chars") > 20 * n)
+    return (5 * F.col("n_symbols") > n) | (
+        3 * F.col("n_dup_lines") > F.col("n_lines")
+    ) | (100 * F.col("n_repeat_words") > 20 * n) | (F.col("word_chars") < 2 * n) | (F.col("word_chars") > 20 * n)
 
 
 def prior(hosts: DataFrame) -> tuple[float, float]:
     """Mean and weight of the beta prior, from n and bad of each host. By moments: the hosts' squared differences from the
     mean, weighted by documents, less what they would be if all hosts had one rate."""
-    t = hosts.agg(F.count(F.lit(1)).alias("h"), F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.sum(F.col("n").cast("double") * F.col("n")).alias("nn"), F.sum(F.col("bad").cast("double") * F.col("bad") / F.col("n")).alias("bb")).first()
+    t = hosts.agg(
+        F.count(F.lit(1)).alias("h"), F.sum("n").alias("n"), F.sum("bad").alias("bad"),
+        F.sum(F.col("n").cast("double") * F.col("n")).alias("nn"),
+        F.sum(F.col("bad").cast("double") * F.col("bad") / F.col("n")).alias("bb")
+    ).first()
     if not t["n"]:
         return 0.0, PRIOR[1]
     mean = t["bad"] / t["n"]
@@ -100,6 +118,9 @@ def _host(host: str) -> Column:
 
 def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
     """measures() with base_failed, failed, host_rate, host_suspect and kept."""
-    rows = staged(measures(docs, key, text, host).withColumn("base_failed", base_failed()).withColumn("failed", F.col("base_failed") | own_failed()), "rules")
+    rows = staged(
+        measures(docs, key, text, host).withColumn("base_failed", base_failed()).withColumn("failed", F.col("base_failed") | own_failed()),
+        "rules"
+    )
     judged = with_table(rows.withColumn("_h", _host(host)), host_rates(rows, host), "_h", "n").drop("_h", "bad")
     return judged.withColumn("kept", ~F.col("base_failed") & ~(F.col("failed") & F.col("host_suspect")))

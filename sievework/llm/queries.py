@@ -28,7 +28,10 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = listed(F.filter("secrets", lambda s: s["base"]))
     live = F.size(F.filter("secrets", lambda s: s["live"])).cast("long")
     most = lambda n: F.coalesce(F.array_max(F.transform("secrets", lambda s: s[n])), F.lit(0)).cast("long").alias(f"most_{n}")
-    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(base, 256).alias("base_sha256"), listed("secrets").alias("spans"), live.alias("n_live"), "n_copied", most("owners"), most("repos"))
+    return found.select(
+        "doc_id", count("assign"), count("access"), count("hex"), F.sha2(base, 256).alias("base_sha256"),
+        listed("secrets").alias("spans"), live.alias("n_live"), "n_copied", most("owners"), most("repos")
+    )
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,11 +46,17 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "'</s>[INST] ok [/INST]'"
     extra = spark.sql(f"SELECT -1L AS conv_id, 0L AS turn, 'user' AS role, {said} AS text UNION ALL SELECT -1L, 1L, 'assistant', {said}")
     chats = chat_format.format_chats(read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra))
-    back = chats.select("conv_id", "formatted", chat_format.read_turns(F.col("formatted")).alias("turns"), chat_format.read_loss(F.col("formatted"), F.col("loss_mask")).alias("loss"))
+    back = chats.select(
+        "conv_id", "formatted", chat_format.read_turns(F.col("formatted")).alias("turns"),
+        chat_format.read_loss(F.col("formatted"), F.col("loss_mask")).alias("loss")
+    )
     written = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     learnt = F.array_join("loss", "")
     return back.select(
-        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(written, 256).alias("turns_sha256"), F.length(learnt).cast("long").alias("loss_chars"),
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(written, 256).alias("turns_sha256"),
+        F.length(learnt).cast("long").alias("loss_chars"),
         F.sha2(learnt, 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
     )
 
@@ -74,7 +83,16 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(read(spark, sf_dir, "documents").select("doc_id", "text", "source")).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.bround("host_rate", 6).alias("host_rate"), "host_suspect"
+        "doc_id",
+        "n_words",
+        "word_chars",
+        "n_symbols",
+        "n_dup_lines",
+        "n_repeat_words",
+        "base_failed",
+        "kept",
+        F.bround("host_rate", 6).alias("host_rate"),
+        "host_suspect"
     )
 
 
@@ -87,11 +105,20 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secrets, op2_decontaminate, op3_near_dedup, op4_chat_format, op5_quality_classifier, op6_license_scan, license_phrases, op7_warc, op8_quality_rules, op9_sentencepiece, op10_sharding)}
+    return {
+        f.__name__: f for f in (
+            op1_secrets, op2_decontaminate, op3_near_dedup, op4_chat_format, op5_quality_classifier,
+            op6_license_scan, license_phrases, op7_warc, op8_quality_rules, op9_sentencepiece, op10_sharding
+        )
+    }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "op1_secrets": oracles.secret_spans(), "op4_chat_format": oracles.chats(), "license_phrases": oracles.license_phrases(), "op7_warc": oracles.WARC_SQL, "op8_quality_rules": oracles.rules(),
+        "op1_secrets": oracles.secret_spans(),
+        "op4_chat_format": oracles.chats(),
+        "license_phrases": oracles.license_phrases(),
+        "op7_warc": oracles.WARC_SQL,
+        "op8_quality_rules": oracles.rules(),
         "op10_sharding": oracles.sharding(SHARDS, SLOTS),
     }

@@ -35,15 +35,27 @@ _SPAN = "array<struct<start:bigint,rank:int,end:bigint,value:string>>"
 def _matches(text: Column, pattern: str, group: int) -> Column:
     """Lengths of the gap before each match and of the match, and the group's text; empty without a match."""
     gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g).cast("long"))
-    found = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("v"))
-    joined = F.zip_with(F.slice(gaps, 1, F.size(gaps) - 1), found, lambda g, f: F.struct(g.alias("gap"), F.length(f["m"]).cast("long").alias("len"), f["v"].alias("value")))
+    found = F.arrays_zip(
+        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"),
+        F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("v")
+    )
+    joined = F.zip_with(
+        F.slice(gaps, 1, F.size(gaps) - 1), found,
+        lambda g, f: F.struct(g.alias("gap"), F.length(f["m"]).cast("long").alias("len"), f["v"].alias("value"))
+    )
     return F.when(text.rlike(pattern), joined)
 
 
 def _spans(found: str, kind: Column) -> Column:
     """kind: of a value, the rank of its kind, or null to drop the match."""
     at = F.col(f"{found}_at")
-    put = F.zip_with(found, at, lambda f, a: F.struct((a + f["gap"]).alias("start"), kind(f["value"]).cast("int").alias("rank"), (a + f["gap"] + f["len"]).alias("end"), f["value"].alias("value")))
+    put = F.zip_with(
+        found, at,
+        lambda f, a: F.struct(
+            (a + f["gap"]).alias("start"), kind(f["value"]).cast("int").alias("rank"),
+            (a + f["gap"] + f["len"]).alias("end"), f["value"].alias("value")
+        )
+    )
     return F.coalesce(F.filter(put, lambda s: s["rank"].isNotNull()), F.array().cast(_SPAN))
 
 
@@ -57,7 +69,10 @@ def candidates(docs: DataFrame, text: str, repo: Column, owner: Column) -> DataF
     found = found.withColumns({f"{c}_at": F.when(F.col(c).isNotNull(), prefix_sums(F.transform(c, lambda f: f["gap"] + f["len"]))) for c in kinds})
     rank = {k: i for i, k in enumerate(KINDS)}
     assigned = lambda v: F.when(F.length(v) >= 12, rank["assign"]).when(F.length(v) >= 8, rank["weak"])
-    spans = F.concat(_spans("a", assigned), _spans("k", lambda _: F.lit(rank["access"])), _spans("h", lambda _: F.lit(rank["hex"])), _spans("v", lambda _: F.lit(rank["vendor"])))
+    spans = F.concat(
+        _spans("a", assigned), _spans("k", lambda _: F.lit(rank["access"])),
+        _spans("h", lambda _: F.lit(rank["hex"])), _spans("v", lambda _: F.lit(rank["vendor"]))
+    )
     hashed = F.transform(F.array_sort(spans), lambda s: F.struct(s["start"], s["rank"], s["end"], F.md5(s["value"]).alias("hash")))
     return found.select("row", "repo", "owner", hashed.alias("spans"))
 
@@ -66,14 +81,19 @@ def ownership(found: DataFrame) -> DataFrame:
     """Of each candidate hash: distinct repositories and owners."""
     named = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     each = found.select(F.explode(_hashes()).alias("hash"), named("owner").alias("owner"), named("repo").alias("repo"))
-    return each.groupBy("hash", "owner", "repo").count().groupBy("hash").agg(F.countDistinct("owner").alias("owners"), F.countDistinct("repo").alias("repos"))
+    return each.groupBy("hash", "owner", "repo").count().groupBy("hash").agg(
+        F.countDistinct("owner").alias("owners"), F.countDistinct("repo").alias("repos")
+    )
 
 
 def _hashes() -> Column:
     return F.array_distinct(F.transform("spans", lambda s: s["hash"]))
 
 
-def scan(docs: DataFrame, text: str = "text", repo: str | Column = "source", owner: str | Column = "source", copied_owners: int = COPIED_OWNERS, copied_repos: int = COPIED_REPOS) -> DataFrame:
+def scan(
+    docs: DataFrame, text: str = "text", repo: str | Column = "source", owner: str | Column = "source",
+    copied_owners: int = COPIED_OWNERS, copied_repos: int = COPIED_REPOS
+) -> DataFrame:
     """docs without text, with secrets (array of start, end, kind, live, base, owners, repos, by start and kind) and
     n_copied, the spans whose value is a copied example."""
     as_col = lambda c: F.col(f"`{c}`") if isinstance(c, str) else c
@@ -95,18 +115,30 @@ def scan(docs: DataFrame, text: str = "text", repo: str | Column = "source", own
 
     judged = marked.withColumn("judged", F.transform("spans", verdict))
     others = [F.col("row").getField(c).alias(c) for c in docs.columns if c not in (text, "secrets", "n_copied")]
-    return judged.select(*others, F.filter("judged", lambda s: s["base"] | s["live"]).alias("secrets"), F.size(F.filter("judged", lambda s: ~s["live"])).cast("long").alias("n_copied"))
+    return judged.select(
+        *others, F.filter("judged", lambda s: s["base"] | s["live"]).alias("secrets"),
+        F.size(F.filter("judged", lambda s: ~s["live"])).cast("long").alias("n_copied")
+    )
 
 
 def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
     """The text with its spans replaced by the mark; overlapping spans make one."""
     zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
     cut = lambda a, b: F.substr(text, (a + 1).cast("int"), F.greatest(b - a, F.lit(0)).cast("int"))
-    step = lambda acc, s: F.when(s["start"] >= acc["at"], F.struct(s["end"].alias("at"), F.concat(acc["out"], F.array(F.concat(cut(acc["at"], s["start"]), F.lit(mark)))).alias("out"))).otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out")))
-    return F.when(F.size(spans) > 0, F.aggregate(spans, zero, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(text, (acc["at"] + 1).cast("int"))))).otherwise(text)
-
-
-def redacted(docs: DataFrame, key: str = "doc_id", text: str = "text", length: str | None = None, repo: str | Column = "source", owner: str | Column = "source", mark: str = "[SECRET]") -> DataFrame:
+    step = lambda acc, s: F.when(
+        s["start"] >= acc["at"],
+        F.struct(s["end"].alias("at"), F.concat(acc["out"], F.array(F.concat(cut(acc["at"], s["start"]), F.lit(mark)))).alias("out"))
+    ).otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out")))
+    return F.when(
+        F.size(spans) > 0,
+        F.aggregate(spans, zero, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(text, (acc["at"] + 1).cast("int"))))
+    ).otherwise(text)
+
+
+def redacted(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", length: str | None = None,
+    repo: str | Column = "source", owner: str | Column = "source", mark: str = "[SECRET]"
+) -> DataFrame:
     """docs with the spans of their texts replaced by the mark; length names a column that follows the text's. Only rows
     that may hold a secret are shuffled: they meet their spans by id and text's hash. Null texts stay null."""
     as_col = lambda c: F.col(f"`{c}`") if isinstance(c, str) else c

@@ -264,9 +264,15 @@ def digests(df: DataFrame, model_file: str, text: str = "text", key: str = "doc_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, text):
-            rows = [(len(p) // 4, hashlib.sha256(p).hexdigest(), hashlib.sha256(d.encode()).hexdigest()) for p, d in encode_texts(part.column(text).to_pylist(), model_file, check)]
+            rows = [
+                (len(p) // 4, hashlib.sha256(p).hexdigest(), hashlib.sha256(d.encode()).hexdigest()) for p,
+                d in encode_texts(part.column(text).to_pylist(), model_file, check)
+            ]
             cols = list(zip(*rows, strict=True)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([part.column(key), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())], [key, "n_tokens", "ids_sha256", "decoded_sha256"])
+            yield pa.RecordBatch.from_arrays(
+                [part.column(key), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())],
+                [key, "n_tokens", "ids_sha256", "decoded_sha256"]
+            )
 
     kept = df.select(f"`{key}`", f"`{text}`")
     return in_arrow(kept, run, f"`{key}` {kept.schema[key].dataType.simpleString()}, {_OUT}")

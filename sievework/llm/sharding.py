@@ -58,7 +58,9 @@ def place(df: DataFrame, key: str, shards: list[str], slots: int = 65_537, slot_
     spark, owner = df.sparkSession, lookup_table(shards, slots)
     at = df.drop(*[c for c in (slot_col, shard_col) if c in df.columns and c != key])
     table = spark.createDataFrame([(i, shards[s]) for i, s in enumerate(owner)], f"`{slot_col}` long, `{shard_col}` string")
-    return at.withColumn(slot_col, slot_of(F.col(f"`{key}`"), slots)).join(F.broadcast(table), slot_col).select(*[f"`{c}`" for c in at.columns], slot_col, shard_col)
+    return at.withColumn(slot_col, slot_of(F.col(f"`{key}`"), slots)).join(F.broadcast(table), slot_col).select(
+        *[f"`{c}`" for c in at.columns], slot_col, shard_col
+    )
 
 
 def write_shards(df: DataFrame, path: str, key: str, shards: list[str], slots: int = 65_537, files_per_shard: int = 1) -> None:

@@ -76,11 +76,19 @@ def make_record(page: int | None, url: str | None, payload: bytes, digest: str,
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
     head = [
-        "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {record_id(page, digest)}", f"WARC-Date: {DATE}",
-        "WARC-Target-URI: " + re.sub(r"[\x00-\x20]", lambda m: f"%{ord(m[0]):02X}", url or ""), f"WARC-Payload-Digest: sha256:{digest}", f"X-Page-Id: {'' if page is None else page}",
+        "WARC/1.1",
+        f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
+        f"WARC-Record-ID: {record_id(page, digest)}",
+        f"WARC-Date: {DATE}",
+        "WARC-Target-URI: " + re.sub(r"[\x00-\x20]", lambda m: f"%{ord(m[0]):02X}", url or ""),
+        f"WARC-Payload-Digest: sha256:{digest}",
+        f"X-Page-Id: {'' if page is None else page}",
     ]
     if refers_to is not None:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(refers_to, digest)}", f"X-Refers-To-Page-Id: {refers_to}"]
+        head += [
+            "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
+            f"WARC-Refers-To: {record_id(refers_to, digest)}", f"X-Refers-To-Page-Id: {refers_to}"
+        ]
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     gz = zlib.compressobj(level, wbits=31)
     return gz.compress("\r\n".join(head).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + block + b"\r\n\r\n") + gz.flush()
@@ -99,13 +107,20 @@ def parse_record(member: bytes) -> dict:
     size = int(re.search(rb"Content-Length: (\d+)", http)[1])
     if kind == "response" and (hashlib.sha256(payload).hexdigest() != digest or len(payload) != size):
         raise ValueError(f"record of page {fields['x-page-id']} is damaged")
-    return {"page_id": number("x-page-id"), "payload_bytes": size, "payload_digest": digest, "record_type": kind, "refers_to": number("x-refers-to-page-id"), "url": fields["warc-target-uri"], "payload": payload if kind == "response" else None}
+    return {
+        "page_id": number("x-page-id"), "payload_bytes": size, "payload_digest": digest, "record_type": kind,
+        "refers_to": number("x-refers-to-page-id"), "url": fields["warc-target-uri"],
+        "payload": payload if kind == "response" else None
+    }
 
 
 def planned(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """page_id, url, html, digest and the id that a revisit refers to."""
     text = F.coalesce(F.col(f"`{html}`"), F.lit(""))
-    rows = pages.select(F.col(f"`{key}`").cast("long").alias("page_id"), F.col(f"`{url}`").alias("url"), text.alias("html"), F.sha2(F.encode(text, "UTF-8"), 256).alias("digest"))
+    rows = pages.select(
+        F.col(f"`{key}`").cast("long").alias("page_id"), F.col(f"`{url}`").alias("url"), text.alias("html"),
+        F.sha2(F.encode(text, "UTF-8"), 256).alias("digest")
+    )
     long = F.octet_length("html") >= REVISIT_BYTES
     first = rows.where(long).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
     first = staged(first.where("n > 1 AND first IS NOT NULL"), "repeats")
@@ -159,7 +174,9 @@ class Captures:
         number = F.col(f"`{page}`").cast("long") if page else F.lit(None).cast("long")
         asked = self.keys(wanted.select(F.col(f"`{url}`").alias("url"), number.alias("page"))).select("key", "page").distinct()
         # sorted, so that neighbours are in one block
-        dealt = asked.repartitionByRange(max(1, 2 * asked.sparkSession.sparkContext.defaultParallelism), "key", "page").sortWithinPartitions("key", "page")
+        dealt = asked.repartitionByRange(
+            max(1, 2 * asked.sparkSession.sparkContext.defaultParallelism), "key", "page"
+        ).sortWithinPartitions("key", "page")
         return dealt.mapInPandas(run, "key string, page long, archive string, at long, size long")
 
     def read(self, entries: DataFrame, payloads: bool = False) -> DataFrame:
@@ -171,12 +188,23 @@ class Captures:
         def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for p in parts:
                 for archive, mine in p.groupby("archive", sort=False):
-                    rows = [parse_record(m) for m in read_ranges(folder, archive, sorted(zip(mine["at"].tolist(), mine["size"].tolist(), strict=True)))]
-                    yield pd.DataFrame({n: pd.array([r[n] for r in rows], dtype="Int64" if n in ("page_id", "refers_to", "payload_bytes") else "object") for n in names})
+                    rows = [
+                        parse_record(m) for m in read_ranges(folder, archive, sorted(zip(mine["at"].tolist(), mine["size"].tolist(), strict=True)))
+                    ]
+                    yield pd.DataFrame(
+                        {
+                            n: pd.array(
+                                [r[n] for r in rows],
+                                dtype="Int64" if n in ("page_id", "refers_to", "payload_bytes") else "object"
+                            ) for n in names
+                        }
+                    )
 
         spark = entries.sparkSession
         near = entries.withColumn("part", F.floor(F.col("at") / RANGE_BYTES))
-        dealt = near.repartition(spark.sparkContext.defaultParallelism * 2, "archive", "part").sortWithinPartitions("archive", "at").select("archive", "at", "size")
+        dealt = near.repartition(
+            spark.sparkContext.defaultParallelism * 2, "archive", "part"
+        ).sortWithinPartitions("archive", "at").select("archive", "at", "size")
         kinds = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string" + ", payload binary" * payloads
         return dealt.mapInPandas(run, kinds)
 
@@ -312,5 +340,7 @@ def write(pages: DataFrame, key: str = "page_id", url: str = "url", html: str =
             out.close()
             yield pd.DataFrame([(*directory[0][:2], name, *place)], columns=["first", "page", "file", "offset", "length"]).astype({"page": "Int64"})
 
-    ordered = entries.repartitionByRange(max(1, spark.sparkContext.defaultParallelism), "key", "page", "archive", "at").sortWithinPartitions("key", "page", "archive", "at")
+    ordered = entries.repartitionByRange(
+        max(1, spark.sparkContext.defaultParallelism), "key", "page", "archive", "at"
+    ).sortWithinPartitions("key", "page", "archive", "at")
     return Captures(folder, staged(ordered.mapInPandas(pack, "first string, page long, file string, offset long, length long"), "files"))

@@ -12,12 +12,17 @@ from sievework.llm import queries, sentencepiece_codec, sharding
 from sievework.llm.sentencepiece_codec import AgendaEncoder, encode, encode_texts
 
 MODEL = queries.vocabulary("piece_bpe_32k.model")
-TEXTS = [None, "", " ", "  a  b  ", "▁x ▁", "😀 héé\n\n\tq\x00z \x00 a", "<s> </s> <0x41> [INST]", "Ⅷ ﬁ  ", "a　b", "x" * 3000, "ab " * 2000, "日本語のテキスト と", "ends ", "a" * 23 + " " + "é" * 24 + " " + "zq" * 30]
+TEXTS = [
+    None, "", " ", "  a  b  ", "▁x ▁", "😀 héé\n\n\tq\x00z \x00 a", "<s> </s> <0x41> [INST]", "Ⅷ ﬁ  ", "a　b",
+    "x" * 3000, "ab " * 2000, "日本語のテキスト と", "ends ", "a" * 23 + " " + "é" * 24 + " " + "zq" * 30
+]
 
 
 def test_codec_on_the_table_and_edges(spark, tmp_path):
     lib = sentencepiece.SentencePieceProcessor(model_file=MODEL)
-    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()] + [(10_000 + i, t) for i, t in enumerate(TEXTS)]
+    docs = [
+        (r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
+    ] + [(10_000 + i, t) for i, t in enumerate(TEXTS)]
     spark.createDataFrame([(*d, "clash") for d in docs], "doc_id long, text string, ids string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["doc_id"]: r for r in queries.op9_sentencepiece(spark, str(tmp_path)).collect()}
     assert len(got) == len(docs)
@@ -32,7 +37,10 @@ def test_codec_on_the_table_and_edges(spark, tmp_path):
     assert encode(full.limit(0).select("doc_id", "text"), MODEL).count() == 0
 
 
-WORDS = ["", "a", "hello", "wörld", "x#y", "naïveté", "aaaaaaaaaaaaaaaaaaaaaaa", "日本", "one\ntwo\n\nthree", "\n", "banana", "mississippi", "a" * 40, "ab\0"]
+WORDS = [
+    "", "a", "hello", "wörld", "x#y", "naïveté", "aaaaaaaaaaaaaaaaaaaaaaa", "日本", "one\ntwo\n\nthree", "\n",
+    "banana", "mississippi", "a" * 40, "ab\0"
+]
 
 
 def test_heap_and_rows_agree():

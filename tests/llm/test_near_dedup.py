@@ -56,7 +56,9 @@ def test_blocks_chains_and_edges(spark, monkeypatch):
     for i in range(40):  # each is near the one before it only
         chain[(i * 3) % 100] = f"c{i}"
         rows.append((50 - i if i < 20 else 300 + i, " ".join(chain)))
-    rows += [(500 + i, " ".join(base[:60] + [rng.choice(vocabulary) for _ in range(60)])) for i in range(60)] + [(600, " ".join(base).upper()), (601, " ".join(base))]
+    rows += [
+        (500 + i, " ".join(base[:60] + [rng.choice(vocabulary) for _ in range(60)])) for i in range(60)
+    ] + [(600, " ".join(base).upper()), (601, " ".join(base))]
     rng.shuffle(rows)
     df = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, doc string").repartition(3)
     for words in (5,):
@@ -64,7 +66,9 @@ def test_blocks_chains_and_edges(spark, monkeypatch):
         assert got == brute(rows, words)
     assert near_dedup.near_duplicates(df.limit(0)).count() == 0
     odd = spark.createDataFrame([(None, "a b c d e f"), (9, "a b c d e f"), (9, "a b c d e f")], "doc_id long, text string")
-    assert sorted((str(r["doc_id"]), r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(odd).collect()) == [("9", 9, True), ("9", 9, True), ("None", 9, False)]
+    assert sorted(
+        (str(r["doc_id"]), r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(odd).collect()
+    ) == [("9", 9, True), ("9", 9, True), ("None", 9, False)]
 
 
 def texts_near(rng, base, k):
@@ -75,10 +79,24 @@ def texts_near(rng, base, k):
 def test_ids_with_several_texts_and_null_ids(spark):
     rng = random.Random(5)
     a, b, c = ([f"{x}{i}" for i in range(120)] for x in "abc")
-    rows = [(9, " ".join(a)), (9, " ".join(b)), (9, None), (20, texts_near(rng, a, 1)[0]), (21, texts_near(rng, b, 1)[0]), (30, " ".join(c)), (None, texts_near(rng, c, 1)[0]), (None, "x y z"), (None, "x y z")]
-    got = sorted((str(r["doc_id"]), r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
-    assert got == [("20", 116, 9, False), ("21", 116, 9, False), ("30", 116, 30, True), ("9", 0, 9, True), ("9", 116, 9, True), ("9", 116, 9, True), ("None", 1, None, False), ("None", 1, None, False), ("None", 116, 30, False)]
-    kept = near_dedup.one_of_each(spark.createDataFrame([(*r, "clash", 1) for r in rows * 2], "doc_id long, text string, row string, maybe int")).collect()
+    rows = [
+        (9, " ".join(a)), (9, " ".join(b)), (9, None), (20, texts_near(rng, a, 1)[0]),
+        (21, texts_near(rng, b, 1)[0]), (30, " ".join(c)), (None, texts_near(rng, c, 1)[0]), (None, "x y z"),
+        (None, "x y z")
+    ]
+    got = sorted(
+        (
+            str(r["doc_id"]), r["n_shingles"], r["component_id"], r["kept"]
+        ) for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    )
+    assert got == [
+        ("20", 116, 9, False), ("21", 116, 9, False), ("30", 116, 30, True), ("9", 0, 9, True),
+        ("9", 116, 9, True), ("9", 116, 9, True), ("None", 1, None, False), ("None", 1, None, False),
+        ("None", 116, 30, False)
+    ]
+    kept = near_dedup.one_of_each(
+        spark.createDataFrame([(*r, "clash", 1) for r in rows * 2], "doc_id long, text string, row string, maybe int")
+    ).collect()
     assert Counter((r["doc_id"], (r["text"] or "")[:2]) for r in kept) == {(9, "a0"): 1, (9, "b0"): 1, (9, ""): 2, (30, "c0"): 1, (None, "x "): 1}
     assert all((r["row"], r["maybe"]) == ("clash", 1) for r in kept)
 
@@ -93,7 +111,11 @@ def test_groups_over_many_blocks(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", 1_200)
     seen = []
     monkeypatch.setattr(near_dedup, "staged", lambda df, name, f=near_dedup.staged: (out := f(df, name), seen.append((name, out)))[0])
-    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    got = sorted(
+        (
+            r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]
+        ) for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    )
     assert got == want
     assert [n for n, _ in seen].count("within") > 2 and all(out.count() <= 240 for n, out in seen if n == "across")
 

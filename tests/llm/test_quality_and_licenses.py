@@ -27,7 +27,13 @@ def test_held_out_quality(spark):
 
 def test_quality_edges(spark):
     schema = "doc_id long, text string, vector string"
-    docs = spark.createDataFrame([(1, None, "clash"), (2, "", "x"), (2, "", "x"), (None, "a b", "x"), (3, "w " * 50_000, "x"), *[(i, f"word number {i} is here." if i % 2 else f"## {i} $$ !!", "x") for i in range(10, 60)]], schema)
+    docs = spark.createDataFrame(
+        [
+            (1, None, "clash"), (2, "", "x"), (2, "", "x"), (None, "a b", "x"), (3, "w " * 50_000, "x"),
+            *[(i, f"word number {i} is here." if i % 2 else f"## {i} $$ !!", "x") for i in range(10, 60)]
+        ],
+        schema
+    )
     labels = spark.createDataFrame([(i, i % 2) for i in range(10, 60)] + [(1, None)], "doc_id long, quality int")
     got = quality_classifier.classify(docs, labels).collect()
     assert len(got) == 55 and all(0 <= r["score"] <= 1 for r in got)
@@ -45,7 +51,13 @@ def brute_base(text):
 
 
 ODD = [
-    (1, None), (2, ""), (3, "CC BY cc-by\ncc  by ccby"), (4, "a cc by é cc éby"), (5, "MIT License. mit licenses xmit license"), (6, "GNU\nGENERAL Public-License gnu general public"), (7, "x " * 30_000 + "Apache License"),
+    (1, None),
+    (2, ""),
+    (3, "CC BY cc-by\ncc  by ccby"),
+    (4, "a cc by é cc éby"),
+    (5, "MIT License. mit licenses xmit license"),
+    (6, "GNU\nGENERAL Public-License gnu general public"),
+    (7, "x " * 30_000 + "Apache License"),
     (8, "Licensd under the Apache Licence, Version 2.O"), (9, "Released undr the MIT Licence"), (10, "İ MIT LICENSE ſ K"), (10, "İ MIT LICENSE ſ K"),
 ]
 
@@ -83,7 +95,10 @@ def test_edited_notices_beside_better_ones_are_found():
         k, at = one.notices[n][2], len(notice) // 2
         one_edit, two_edits = notice[:at] + notice[at + 1 :], notice[:3] + "#" + notice[4:at] + notice[at + 1 :]
         for gap in (" ", ". ", "\n" + "-" * k + "\n", "-" * (2 * k + 1)):
-            for copies in ([one_edit, notice], [two_edits, one_edit, notice, one_edit], [one_edit, notice, two_edits, notice, two_edits], [two_edits] * 3):
+            for copies in (
+                [one_edit, notice], [two_edits, one_edit, notice, one_edit],
+                [one_edit, notice, two_edits, notice, two_edits], [two_edits] * 3
+            ):
                 want, text = [], ""
                 for c in copies:
                     text += gap
@@ -134,7 +149,11 @@ def test_long_repetitive_texts_take_linear_time():
 
 def test_notices_over_lines_and_behind_comment_marks():
     one = license_scan.Scanner()
-    for text in ("/* Licensed under the\n *  Apache License,\n *\tVersion 2.0 */", "# Licensed   under the Apache\r\n#\r\n# License, Version 2.0", "// Licensd under the Apache License,\n//// Version 2.0"):
+    for text in (
+        "/* Licensed under the\n *  Apache License,\n *\tVersion 2.0 */",
+        "# Licensed   under the Apache\r\n#\r\n# License, Version 2.0",
+        "// Licensd under the Apache License,\n//// Version 2.0"
+    ):
         span = next(s for s in one.scan(text)[-1] if s["label"] == "apache-2.0-notice")
         assert span["edits"] <= 1 and text[span["start"] : span["end"]].startswith("Licens") and text[span["start"] : span["end"]].endswith("2.0")
 

@@ -23,7 +23,12 @@ def brute(rows):
 
 def test_edges(spark, tmp_path):
     big = "<p>é😀" * 5000
-    rows = [(1, "http://a.org/x", None), (2, "https://WWW.a.org:443/x?q=1#f", ""), (3, None, "short"), (4, "bad://[x", "short"), (9, "http://a.org/x", big), (7, "http://b.org:8080", big), (8, "http://b.org\r\nX: 1", big), (8, "http://b.org/2", big), (7, "http://b.org:8080", big), (11, "http://a.org/x", "z" * 100), (10, "u", "y" * 99), (12, "u", "y" * 99)]
+    rows = [
+        (1, "http://a.org/x", None), (2, "https://WWW.a.org:443/x?q=1#f", ""), (3, None, "short"),
+        (4, "bad://[x", "short"), (9, "http://a.org/x", big), (7, "http://b.org:8080", big),
+        (8, "http://b.org\r\nX: 1", big), (8, "http://b.org/2", big), (7, "http://b.org:8080", big),
+        (11, "http://a.org/x", "z" * 100), (10, "u", "y" * 99), (12, "u", "y" * 99)
+    ]
     spark.createDataFrame([(*r, "clash") for r in rows], PAGES).write.parquet(f"{tmp_path}/pages.parquet")
     got = sorted(tuple(r) for r in queries.op7_warc(spark, str(tmp_path)).collect())
     assert got == brute(rows)
@@ -35,12 +40,20 @@ def test_edges(spark, tmp_path):
 def test_null_ids_and_frequent_payloads(spark, tmp_path):
     """A payload of a third of all pages, rare repeats, and pages without an id."""
     rows = [(i, f"http://h{i % 3}.org/{i}", "<a>" * 50 if i % 3 == 0 else f"<b>{i // 4}" + "x" * 100) for i in range(4, 3000)]
-    rows += [(None, "http://a.org/", "<a>" * 50), (None, None, "only" * 30), (None, "http://z.org/", "only" * 30), (5000, "http://a.org/", "w " * 400_000)]
-    spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, first string").write.parquet(f"{tmp_path}/pages.parquet")
+    rows += [
+        (None, "http://a.org/", "<a>" * 50), (None, None, "only" * 30), (None, "http://z.org/", "only" * 30),
+        (5000, "http://a.org/", "w " * 400_000)
+    ]
+    spark.createDataFrame(
+        [(*r, "clash") for r in rows], "page_id long, url string, html string, first string"
+    ).write.parquet(f"{tmp_path}/pages.parquet")
     got = [tuple(r) for r in queries.op7_warc(spark, str(tmp_path)).collect()]
     assert sorted(r for r in got if r[0] is not None) == brute([r for r in rows if r[0] is not None])
     digest = lambda t: hashlib.sha256(t.encode()).hexdigest()
-    assert sorted(r[1:] for r in got if r[0] is None) == sorted([(150, digest("<a>" * 50), "revisit", 6), *[(120, digest("only" * 30), "response", None)] * 2], key=str)
+    assert sorted(r[1:] for r in got if r[0] is None) == sorted(
+        [(150, digest("<a>" * 50), "revisit", 6), *[(120, digest("only" * 30), "response", None)] * 2],
+        key=str
+    )
 
 
 def test_lookup_spans_blocks(spark, monkeypatch):
