@@ -43,7 +43,10 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return encoded.withColumn("n_tokens", F.size("ids").cast("long"))
 
 
-STAGES = [("quality", quality), ("near_dedup", near_duplicates), ("decontamination", decontamination), ("secrets", secret_scan), ("sentencepiece", encoding)]
+STAGES = [
+    ("quality", quality), ("near_dedup", near_duplicates), ("decontamination", decontamination),
+    ("secrets", secret_scan), ("sentencepiece", encoding)
+]
 ORACLE_SQL = None
 
 
