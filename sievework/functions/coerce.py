@@ -34,7 +34,10 @@ def is_array(v: Column) -> Column:
 
 def clamp(c: Column, low: float = 0.0, high: float = 1.0) -> Column:
     """Clipped to [low, high]; what isn't a number counts as low. NaN gives high."""
-    return F.greatest(F.lit(low), F.least(F.lit(high), F.coalesce(F.expr("try_cast(null as double)") if c is None else c.try_cast("double"), F.lit(low))))
+    return F.greatest(
+        F.lit(low),
+        F.least(F.lit(high), F.coalesce(F.expr("try_cast(null as double)") if c is None else c.try_cast("double"), F.lit(low)))
+    )
 
 
 def strict_clamp(c: Column, low: float = 0.0, high: float = 1.0) -> Column:
@@ -56,8 +59,13 @@ def first_nonempty(cols: Iterable[Column]) -> Column:
 def distinct_by(items: Column, key) -> Column:
     """Items in order, the first of each key(item)."""
     start = F.struct(F.array().cast(STRINGS).alias("keys"), F.slice(items, 1, 0).alias("out"))
-    new = lambda acc, k, x: F.when(F.array_contains(acc["keys"], k), acc).otherwise(F.struct(F.concat(acc["keys"], F.array(k)).alias("keys"), F.concat(acc["out"], F.array(x)).alias("out")))
-    return F.aggregate(F.transform(items, lambda x: F.struct(key(x).alias("k"), x.alias("x"))), start, lambda acc, s: new(acc, s["k"], s["x"]), lambda acc: acc["out"])
+    new = lambda acc, k, x: F.when(F.array_contains(acc["keys"], k), acc).otherwise(
+        F.struct(F.concat(acc["keys"], F.array(k)).alias("keys"), F.concat(acc["out"], F.array(x)).alias("out"))
+    )
+    return F.aggregate(
+        F.transform(items, lambda x: F.struct(key(x).alias("k"), x.alias("x"))), start,
+        lambda acc, s: new(acc, s["k"], s["x"]), lambda acc: acc["out"]
+    )
 
 
 def let(value: Column, use) -> Column:
@@ -67,7 +75,10 @@ def let(value: Column, use) -> Column:
 
 def clean_string_list(items: Column, lower: bool = True) -> Column:
     """Squeezed strings without blanks; the first spelling of each, case aside."""
-    squeezed = F.filter(F.transform(safe_list(items), lambda x: F.trim(F.regexp_replace(F.coalesce(x, F.lit("")), r"(?U)\s+", " "))), lambda x: x != "")
+    squeezed = F.filter(
+        F.transform(safe_list(items), lambda x: F.trim(F.regexp_replace(F.coalesce(x, F.lit("")), r"(?U)\s+", " "))),
+        lambda x: x != ""
+    )
     return distinct_by(squeezed, F.lower if lower else (lambda x: x))
 
 
@@ -84,7 +95,9 @@ def repaired_utf8(s: Column) -> Column:
 
 def rooted(path: Column, root: str) -> Column:
     """Null for an empty path; a relative one is put under root."""
-    return F.when(F.coalesce(path, F.lit("")) == "", F.lit(None)).when(path.startswith("/"), path).otherwise(F.concat(F.lit(root.rstrip("/") + "/"), path))
+    return F.when(
+        F.coalesce(path, F.lit("")) == "", F.lit(None)
+    ).when(path.startswith("/"), path).otherwise(F.concat(F.lit(root.rstrip("/") + "/"), path))
 
 
 def compact_json(c: Column) -> Column:

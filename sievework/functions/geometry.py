@@ -45,17 +45,25 @@ def from_centre(box: Column, width: Column, height: Column) -> Column:
 
 def expanded(box: Column, width: Column, height: Column, pad: float = 0.12) -> Column:
     """A closed pixel box with a margin of a share of its sides, four pixels at least."""
-    margin = lambda lo, hi: F.greatest(F.lit(4.0), F.floor(F.greatest(F.lit(1.0), corner(box, hi) - corner(box, lo) + 1) * pad).cast("double"))
+    margin = lambda lo, hi: F.greatest(
+        F.lit(4.0),
+        F.floor(F.greatest(F.lit(1.0), corner(box, hi) - corner(box, lo) + 1) * pad).cast("double")
+    )
     px, py = margin(0, 2), margin(1, 3)
     zero = F.lit(0.0)
-    return F.array(F.greatest(zero, corner(box, 0) - px), F.greatest(zero, corner(box, 1) - py), F.least(width - F.lit(1.0), corner(box, 2) + px), F.least(height - F.lit(1.0), corner(box, 3) + py))
+    return F.array(
+        F.greatest(zero, corner(box, 0) - px), F.greatest(zero, corner(box, 1) - py),
+        F.least(width - F.lit(1.0), corner(box, 2) + px), F.least(height - F.lit(1.0), corner(box, 3) + py)
+    )
 
 
 def evaluated(box: Column, score: Column, category: Column, multi: Column, width: Column, height: Column, mode: str = "high") -> Column:
     """Struct area_ratio, width_ratio, height_ratio, precision_score and rejection_reasons of a detection."""
     cfg, one = PRECISION.get(mode, PRECISION["high"]), F.lit(1.0)
     w, h = F.greatest(one, corner(box, 2) - corner(box, 0)), F.greatest(one, corner(box, 3) - corner(box, 1))
-    area, wide, high = (w * h) / F.greatest(one, (width * height).cast("double")), w / F.greatest(one, width.cast("double")), h / F.greatest(one, height.cast("double"))
+    area, wide, high = (w * h) / F.greatest(
+        one, (width * height).cast("double")
+    ), w / F.greatest(one, width.cast("double")), h / F.greatest(one, height.cast("double"))
     people, scene, group = category.isin(PEOPLE), category.isin(SCENE), category.isin(PEOPLE) & multi
     scene_box = (area >= cfg["sensitive"]) | ((wide >= cfg["side"]) & (high >= cfg["side"]))
     tiny = F.when(category.isin(LARGE), cfg["tiny_large"]).otherwise(cfg["tiny"])
@@ -74,7 +82,10 @@ def evaluated(box: Column, score: Column, category: Column, multi: Column, width
         adjusted = F.when(hit, adjusted - penalty).otherwise(adjusted)
     reasons = F.array_compact(F.array(*[F.when(hit, name) for name, hit, _ in rules if name]))
     six = lambda c: F.bround(c, 6)
-    return F.struct(six(area).alias("area_ratio"), six(wide).alias("width_ratio"), six(high).alias("height_ratio"), six(adjusted).alias("precision_score"), reasons.alias("rejection_reasons"))
+    return F.struct(
+        six(area).alias("area_ratio"), six(wide).alias("width_ratio"), six(high).alias("height_ratio"),
+        six(adjusted).alias("precision_score"), reasons.alias("rejection_reasons")
+    )
 
 
 def greedy_nms(boxes, scores, limit: float) -> list[int]:

@@ -26,7 +26,10 @@ def parsed_object(s: Column) -> Column:
     t = F.regexp_replace(s, r"(?s)^.*</think>", "")
     fenced = F.regexp_extract(t, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1)
     for_sure = lambda v: F.when(F.schema_of_variant(v).startswith("OBJECT"), v)
-    return F.coalesce(for_sure(F.try_parse_json(F.trim(t))), for_sure(F.try_parse_json(fenced)), for_sure(F.try_parse_json(F.regexp_extract(t, r"(?s)\{.*\}", 0))))
+    return F.coalesce(
+        for_sure(F.try_parse_json(F.trim(t))), for_sure(F.try_parse_json(fenced)),
+        for_sure(F.try_parse_json(F.regexp_extract(t, r"(?s)\{.*\}", 0)))
+    )
 
 
 def _closes(body: str) -> list[tuple[int, str]]:
@@ -120,7 +123,9 @@ def caption_error(v: Column) -> Column:
 
 def context_error(v: Column) -> Column:
     key = "article_context_rewrite"
-    return F.when(~_is(v, "object"), F.lit("context_not_dict")).when(~_has(v, key), F.lit(f"context_missing_{key}")).when(~_is(_field(v, key), "string"), F.lit(f"context_invalid_{key}"))
+    return F.when(~_is(v, "object"), F.lit("context_not_dict")).when(~_has(v, key), F.lit(f"context_missing_{key}")).when(
+        ~_is(_field(v, key), "string"), F.lit(f"context_invalid_{key}")
+    )
 
 
 def missed_error(v: Column) -> Column:
@@ -154,6 +159,7 @@ def anchors_error(v: Column, least: int = 1) -> Column:
     caption = "grounded_context_caption"
     return F.coalesce(
         F.when(~_is(v, "object"), F.lit("anchors_not_dict")), F.when(~_has(v, caption) | ~_has(v, "anchors"), F.lit("anchors_missing_top_keys")),
-        F.when(~_is(_field(v, caption), "string"), F.lit(f"anchors_invalid_{caption}")), F.when(~_is(_field(v, "anchors"), "list"), F.lit("anchors_invalid_list")),
+        F.when(~_is(_field(v, caption), "string"), F.lit(f"anchors_invalid_{caption}")),
+        F.when(~_is(_field(v, "anchors"), "list"), F.lit("anchors_invalid_list")),
         F.when(F.size(items) < least, F.concat(F.lit("too_few_anchors:"), F.size(items).cast("string"))), first,
     )

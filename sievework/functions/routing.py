@@ -8,14 +8,47 @@ from pyspark.sql import functions as F
 from sievework.functions.text import has_any, has_phrase, lower_joined
 
 # Keywords of anchors and area limits.
-FACE = ["face", "expression", "eye", "eyes", "eyebrow", "eyebrows", "mouth", "smile", "frown", "nose", "chin", "forehead", "skin", "complexion", "beard", "moustache", "mustache", "hair colour", "hair color", "lip", "lips"]
+FACE = [
+    "face", "expression", "eye", "eyes", "eyebrow", "eyebrows", "mouth", "smile", "frown", "nose", "chin",
+    "forehead", "skin", "complexion", "beard", "moustache", "mustache", "hair colour", "hair color", "lip",
+    "lips"
+]
 PERSON = [
-    "person", "man", "woman", "boy", "girl", "human", "subject", "individual", "people", "adult", "child", "pedestrian", "worker", "soldier", "police", "officer", "officer uniform", "face", "head", "torso", "body", "arm", "hand",
+    "person",
+    "man",
+    "woman",
+    "boy",
+    "girl",
+    "human",
+    "subject",
+    "individual",
+    "people",
+    "adult",
+    "child",
+    "pedestrian",
+    "worker",
+    "soldier",
+    "police",
+    "officer",
+    "officer uniform",
+    "face",
+    "head",
+    "torso",
+    "body",
+    "arm",
+    "hand",
     "leg", "foot", "helmet", "cap", "hat", "shirt", "jacket", "vest", "uniform",
 ]
-ATTACHED = ["shirt", "jacket", "vest", "uniform", "cap", "hat", "helmet", "badge", "patch", "strap", "backpack", "bag", "watch", "glove", "glasses", "belt", "radio", "bodycam", "device", "shoulder", "chest", "torso", "arm", "hand"]
+ATTACHED = [
+    "shirt", "jacket", "vest", "uniform", "cap", "hat", "helmet", "badge", "patch", "strap", "backpack",
+    "bag", "watch", "glove", "glasses", "belt", "radio", "bodycam", "device", "shoulder", "chest", "torso",
+    "arm", "hand"
+]
 IDENTITY = ["face", "head", "hair", "eye", "eyes", "nose", "mouth", "beard", "mustache", "moustache", "skin", "expression", "forehead", "chin", "ear"]
-SAFE_REMOVE = ["logo", "sign", "poster", "graffiti", "sticker", "text", "marking", "label", "symbol", "wall object", "small object", "cone", "bin", "box"]
+SAFE_REMOVE = [
+    "logo", "sign", "poster", "graffiti", "sticker", "text", "marking", "label", "symbol", "wall object",
+    "small object", "cone", "bin", "box"
+]
 SWAPS = ["man ", "woman ", "person ", "police", "officer", "soldier", "figure", "individual", "military", "guard"]
 WHOLE = ["person", "man", "woman", "officer", "soldier", "individual", "subject"]
 REPLACE_AREA, PERSON_REPLACE_AREA, SCENE_REPLACE_AREA = 0.28, 0.14, 0.40
@@ -30,23 +63,56 @@ FACTORS = {"low": [1.0, 1.15], "medium": [1.10, 1.25, 1.40], "high": [1.25, 1.45
 SCHEDULES = {"attribute_change": (0.92, 8.0, 42), "fresh": (0.98, 12.0, 52), "replace": (0.95, 8.0, 42)}
 FEATHERS = {"face": 3, "attribute_change": 5, "fresh": 6, "replace": 5}
 RESULT = [
-    "sample_id", "anchor_id", "requested_operation", "effective_operation", "route_reason", "severity", "candidate_index", "tier", "planning_score", "edit_instruction", "edited_anchor", "fill_clause", "visual_prompt", "image_path",
-    "union_mask_path", "bbox_xyxy", "output_path", "lama_intermediate", "realism_score", "masked_mean_delta", "masked_changed_ratio", "accepted", "reject_reason", "error", "duration_s", "rewritten_caption", "nli_direction",
+    "sample_id",
+    "anchor_id",
+    "requested_operation",
+    "effective_operation",
+    "route_reason",
+    "severity",
+    "candidate_index",
+    "tier",
+    "planning_score",
+    "edit_instruction",
+    "edited_anchor",
+    "fill_clause",
+    "visual_prompt",
+    "image_path",
+    "union_mask_path",
+    "bbox_xyxy",
+    "output_path",
+    "lama_intermediate",
+    "realism_score",
+    "masked_mean_delta",
+    "masked_changed_ratio",
+    "accepted",
+    "reject_reason",
+    "error",
+    "duration_s",
+    "rewritten_caption",
+    "nli_direction",
     "text_edit_operation", "modality",
 ]
 
 
 def anchor_meta(anchor: Column, fill: Column, visual: Column, instruction: Column) -> Column:
     """Struct of eight flags of what an edit touches."""
-    text, named, filled = lower_joined(anchor, fill, visual, instruction), F.trim(F.lower(F.coalesce(anchor, F.lit("")))), F.trim(F.lower(F.coalesce(fill, F.lit(""))))
+    text, named, filled = lower_joined(anchor, fill, visual, instruction), F.trim(
+        F.lower(F.coalesce(anchor, F.lit("")))
+    ), F.trim(F.lower(F.coalesce(fill, F.lit(""))))
     face, person, attached = has_phrase(named, FACE), has_phrase(text, PERSON), has_phrase(text, ATTACHED)
     identity = face | has_phrase(text, IDENTITY)
     swap = F.lit(False)
     for p in SWAPS:
         swap = swap | filled.startswith(p)
     return F.struct(
-        face.alias("face_edit"), person.alias("person_like"), (person & has_any(named, WHOLE)).alias("whole_person"), attached.alias("body_attached"), identity.alias("identity_sensitive"),
-        has_phrase(text, SAFE_REMOVE).alias("safe_remove"), swap.alias("role_swap"), (person & (attached | identity | has_any(text, ["vest", "shirt", "uniform"]))).alias("hidden_structure"),
+        face.alias("face_edit"),
+        person.alias("person_like"),
+        (person & has_any(named, WHOLE)).alias("whole_person"),
+        attached.alias("body_attached"),
+        identity.alias("identity_sensitive"),
+        has_phrase(text, SAFE_REMOVE).alias("safe_remove"),
+        swap.alias("role_swap"),
+        (person & (attached | identity | has_any(text, ["vest", "shirt", "uniform"]))).alias("hidden_structure"),
     )
 
 
@@ -95,7 +161,9 @@ def replace_strength(area: Column, near_person: Column) -> Column:
     pair = lambda s, p: F.struct(F.lit(s).alias("strength"), F.lit(p).alias("pad"))
     small, medium = STRENGTHS["replace_small"], STRENGTHS["replace_medium"]
     return (
-        F.when(near_person & (area <= SMALL_AREA), pair(small * NEAR_FACTOR, NEAR_PADS[0])).when(near_person, pair(medium * NEAR_FACTOR, NEAR_PADS[1]))
+        F.when(
+            near_person & (area <= SMALL_AREA), pair(small * NEAR_FACTOR, NEAR_PADS[0])
+        ).when(near_person, pair(medium * NEAR_FACTOR, NEAR_PADS[1]))
         .when(area <= SMALL_AREA, pair(small, PADS[0])).when(area <= MEDIUM_AREA, pair(small, PADS[1])).otherwise(pair(medium, PADS[2]))
     )
 
@@ -105,16 +173,23 @@ def attempts(effective: Column, severity: Column, face: Column, area: Column, ne
 
     def plan(kind: str, base: Column, factors: str, feather: Column) -> Column:
         most, guidance, steps = SCHEDULES[kind]
-        one = lambda i, m: F.struct(F.least(F.lit(most), base * m).alias("strength"), F.lit(guidance + 0.5 * i).alias("guidance"), F.lit(steps + 4 * i).alias("steps"), feather.cast("int").alias("feather"))
+        one = lambda i, m: F.struct(
+            F.least(F.lit(most), base * m).alias("strength"), F.lit(guidance + 0.5 * i).alias("guidance"),
+            F.lit(steps + 4 * i).alias("steps"), feather.cast("int").alias("feather")
+        )
         return F.array(*[one(i, m) for i, m in enumerate(FACTORS[factors])])
 
-    soft, light = F.when(face, STRENGTHS["attribute_change_face"]).otherwise(STRENGTHS["attribute_change"]), F.when(face, FEATHERS["face"]).otherwise(FEATHERS["attribute_change"])
+    soft, light = F.when(
+        face, STRENGTHS["attribute_change_face"]
+    ).otherwise(STRENGTHS["attribute_change"]), F.when(face, FEATHERS["face"]).otherwise(FEATHERS["attribute_change"])
     change = lambda factors: plan("attribute_change", soft, factors, light)
     fresh = lambda op: plan("fresh", F.lit(STRENGTHS[op]), "fresh", F.lit(FEATHERS["fresh"]))
     none = F.array().cast("array<struct<strength:double,guidance:double,steps:int,feather:int>>")
     changed = F.when(severity == "low", change("low")).when(severity == "medium", change("medium")).otherwise(change("high"))
     swapped = plan("replace", replace_strength(area, near_person)["strength"], "replace", F.lit(FEATHERS["replace"]))
-    return F.when(effective == "attribute_change", changed).when(effective == "fill", fresh("fill")).when(effective == "insert", fresh("insert")).when(effective == "replace", swapped).otherwise(none)
+    return F.when(
+        effective == "attribute_change", changed
+    ).when(effective == "fill", fresh("fill")).when(effective == "insert", fresh("insert")).when(effective == "replace", swapped).otherwise(none)
 
 
 def fallback_allowed(area: Column, meta: Column) -> Column:
@@ -123,7 +198,9 @@ def fallback_allowed(area: Column, meta: Column) -> Column:
 
 
 def is_visible(severity: Column, mean_delta: Column, changed: Column) -> Column:
-    floor = lambda table, other: F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), severity), F.lit(other))
+    floor = lambda table, other: F.coalesce(
+        F.element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), severity), F.lit(other)
+    )
     return (mean_delta >= floor(DELTA_FLOOR, 4.0)) & (changed >= floor(CHANGED_FLOOR, 0.01))
 
 
@@ -135,14 +212,22 @@ def job_seed(*parts: Column) -> Column:
 def outcome(effective: Column, error: Column, visible: Column, realism: Column, least: float = REALISM) -> Column:
     """Struct accepted and reject_reason of an executed job; a missing realism score passes."""
     score = F.coalesce(realism, F.lit(1.0))
-    reason = F.when(F.coalesce(error, F.lit("")) != "", "error").when(effective == "skip", "skipped").when(~visible, "edit_not_visible").when(score < least, "low_realism")
+    reason = F.when(
+        F.coalesce(error, F.lit("")) != "", "error"
+    ).when(effective == "skip", "skipped").when(~visible, "edit_not_visible").when(score < least, "low_realism")
     return F.struct(reason.isNull().alias("accepted"), reason.alias("reject_reason"))
 
 
-def output_name(sample: Column, anchor: Column, requested: Column, effective: Column, severity: Column, index: Column, suffix: str = "", folder: str = "") -> Column:
+def output_name(
+    sample: Column, anchor: Column, requested: Column, effective: Column, severity: Column, index: Column,
+    suffix: str = "", folder: str = ""
+) -> Column:
     """Path of an edited image below the images' root."""
     clean = lambda c: F.replace(F.trim(F.lower(F.when(c != "", c).otherwise("unknown"))), F.lit(" "), F.lit("_"))
-    name = F.concat(anchor, F.lit("_req-"), clean(requested), F.lit("_eff-"), clean(effective), F.lit("_"), severity, F.lit("_"), index.cast("string"), F.lit(f"{suffix}.png"))
+    name = F.concat(
+        anchor, F.lit("_req-"), clean(requested), F.lit("_eff-"), clean(effective), F.lit("_"), severity,
+        F.lit("_"), index.cast("string"), F.lit(f"{suffix}.png")
+    )
     return F.concat(sample, F.lit(f"/{folder}"), name)
 
 

@@ -21,22 +21,59 @@ SHIFT_WEIGHTS = {"semantic": 0.50, "role": 0.30, "impact": 0.20}
 VISIBILITY_WEIGHTS, FULL_MASK = {"mask": 0.65, "grounding": 0.35}, 0.15
 SALIENCE_WEIGHTS, MANY_RELATIONS, FULL_SIZE = {"mention": 0.40, "relations": 0.25, "size": 0.20, "category": 0.15}, 3.0, 0.10
 BONUS_CATEGORIES = {0.20: ["person", "face", "logo", "text", "sign"], 0.15: ["vehicle", "flag", "weapon"]}
-BLENDS, SIZE_STEPS, HIDDEN = {"salience": (0.65, 0.35), "visibility": (0.70, 0.30)}, {"dominant": 0.15, "moderate": 0.05, "small": -0.05, "tiny": -0.15}, 0.4
+BLENDS, SIZE_STEPS, HIDDEN = {"salience": (0.65, 0.35), "visibility": (0.70, 0.30)}, {
+    "dominant": 0.15, "moderate": 0.05, "small": -0.05, "tiny": -0.15
+}, 0.4
 CONFIDENCE_WEIGHTS = {"realism": 0.45, "localizability": 0.35, "editability": 0.20}
 FALLBACKS = {"low": ("attribute_change", 0.1, 0.1, 0.1, 0.1), "medium": ("replace", 0.5, 0.4, 0.4, 0.4), "high": ("remove", 0.8, 0.7, 0.6, 0.7)}
 TIER_GAP, LEAST_SALIENCE, SALIENCE_GATE = 0.05, 0.15, 0.25
 SEVERITIES = ["low", "medium", "high"]
 TIER_WORDS = {
     "tier_a": [
-        "cup", "mug", "bottle", "bag", "backpack", "umbrella", "book", "notebook", "microphone", "paper", "phone", "laptop", "camera", "chair", "table", "helmet", "hat", "sign", "poster", "banner", "car", "bus", "van", "tie",
+        "cup",
+        "mug",
+        "bottle",
+        "bag",
+        "backpack",
+        "umbrella",
+        "book",
+        "notebook",
+        "microphone",
+        "paper",
+        "phone",
+        "laptop",
+        "camera",
+        "chair",
+        "table",
+        "helmet",
+        "hat",
+        "sign",
+        "poster",
+        "banner",
+        "car",
+        "bus",
+        "van",
+        "tie",
         "shirt", "jacket", "glasses",
     ],
-    "tier_b": ["beer", "alcohol", "wine", "cigarette", "vape", "cctv", "camera rig", "drone", "syringe", "pill", "police tape", "riot gear", "uniform", "surveillance", "mask", "flag", "cash", "suitcase", "fuel can", "military truck"],
-    "tier_c": ["gun", "rifle", "pistol", "weapon", "knife", "bomb", "grenade", "handcuff", "blood", "fire", "flames", "corpse", "body bag", "explosive", "molotov", "missile", "tank", "soldier", "armed", "hostage"],
+    "tier_b": [
+        "beer", "alcohol", "wine", "cigarette", "vape", "cctv", "camera rig", "drone", "syringe", "pill",
+        "police tape", "riot gear", "uniform", "surveillance", "mask", "flag", "cash", "suitcase", "fuel can",
+        "military truck"
+    ],
+    "tier_c": [
+        "gun", "rifle", "pistol", "weapon", "knife", "bomb", "grenade", "handcuff", "blood", "fire", "flames",
+        "corpse", "body bag", "explosive", "molotov", "missile", "tank", "soldier", "armed", "hostage"
+    ],
 }
 HINTED_OPERATIONS = {
-    "person": ["replace", "remove", "attribute_change"], "face": ["attribute_change", "replace"], "logo": ["replace", "remove"], "sign": ["replace", "attribute_change", "remove"],
-    "text": ["replace", "attribute_change", "remove"], "vehicle": ["replace", "attribute_change", "remove"], "weapon": ["replace", "remove", "insert"],
+    "person": ["replace", "remove", "attribute_change"],
+    "face": ["attribute_change", "replace"],
+    "logo": ["replace", "remove"],
+    "sign": ["replace", "attribute_change", "remove"],
+    "text": ["replace", "attribute_change", "remove"],
+    "vehicle": ["replace", "attribute_change", "remove"],
+    "weapon": ["replace", "remove", "insert"],
 }
 
 
@@ -67,7 +104,11 @@ def severity_model(text: str) -> SeverityModel:
     named = {"tier": "tier_obj", "incongruity": "ctx_incongruity", "contradiction": "nli_contradiction"}
     weights = {k: float(given.get("weights", {}).get(named.get(k, k), v)) for k, v in base.weights.items()}
     limits = given.get("thresholds", {})
-    return SeverityModel(weights, base.priors | {k: float(v) for k, v in given.get("tier_priors", {}).items()}, float(limits.get("low_max", base.low_max)), float(limits.get("medium_max", base.medium_max)), limits.get("none_max"), calibration_points(given.get("calibration", [])))
+    return SeverityModel(
+        weights, base.priors | {k: float(v) for k, v in given.get("tier_priors", {}).items()},
+        float(limits.get("low_max", base.low_max)), float(limits.get("medium_max", base.medium_max)),
+        limits.get("none_max"), calibration_points(given.get("calibration", []))
+    )
 
 
 def bucket(score: Column, limits: tuple[float, float] = RELEASE_BUCKETS) -> Column:
@@ -96,9 +137,14 @@ def tier_prior(given: Column, proxy: Column, name: Column, priors: dict[str, flo
     return clamp(F.coalesce(given, proxy, F.element_at(known, name), F.lit(0.50)))
 
 
-def severity_score(tier: Column, incongruity: Column, contradicted: Column, salience: Column, visibility: Column, weights: dict[str, float] | None = None) -> Column:
+def severity_score(
+    tier: Column, incongruity: Column, contradicted: Column, salience: Column, visibility: Column,
+    weights: dict[str, float] | None = None
+) -> Column:
     w = weights or WEIGHTS
-    return clamp(w["tier"] * clamp(tier) + w["incongruity"] * clamp(incongruity) + w["contradiction"] * clamp(contradicted) + w["salience"] * clamp(salience) + w["visibility"] * (1.0 - clamp(visibility)))
+    return clamp(
+        w["tier"] * clamp(tier) + w["incongruity"] * clamp(incongruity) + w["contradiction"] * clamp(contradicted) + w["salience"] * clamp(salience) + w["visibility"] * (1.0 - clamp(visibility))
+    )
 
 
 def calibrated(score: Column, points: tuple) -> Column:
@@ -125,7 +171,10 @@ def salience_terms(relations: Column, mask_ratio: Column, category: Column, head
     bonus = reduce(lambda w, kv: w.when(has_any(cat, kv[1]), kv[0]), BONUS_CATEGORIES.items(), F.when(F.lit(False), 0.0)).otherwise(0.0)
     w = SALIENCE_WEIGHTS
     proxy = clamp(w["mention"] * mention + w["relations"] * related + w["size"] * sized + w["category"] * bonus)
-    return F.struct(mention.alias("mention"), related.alias("relation_term"), sized.alias("size_term"), bonus.alias("category_bonus"), proxy.alias("proxy"))
+    return F.struct(
+        mention.alias("mention"), related.alias("relation_term"), sized.alias("size_term"),
+        bonus.alias("category_bonus"), proxy.alias("proxy")
+    )
 
 
 def planned_score(tier: Column, shift: Column, contradicted: Column, salience: Column, visibility: Column, blended: Column) -> Column:
@@ -138,7 +187,10 @@ def blended(salience: Column, visibility: Column, centrality: Column, editabilit
     (s0, s1), (v0, v1) = BLENDS["salience"], BLENDS["visibility"]
     sal, vis = clamp(s0 * salience + s1 * strict_clamp(centrality)), clamp(v0 * visibility + v1 * strict_clamp(editability))
     step = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in SIZE_STEPS.items() for x in kv]), lower_squeezed(size)), F.lit(0.0))
-    return F.struct(clamp(sal + step).alias("salience"), F.when(F.coalesce(visible, F.lit(True)), vis).otherwise(clamp(vis * HIDDEN)).alias("visibility"))
+    return F.struct(
+        clamp(sal + step).alias("salience"),
+        F.when(F.coalesce(visible, F.lit(True)), vis).otherwise(clamp(vis * HIDDEN)).alias("visibility")
+    )
 
 
 def confidence(realism: Column, localizability: Column, editability: Column) -> Column:
@@ -152,7 +204,10 @@ def object_tier(anchor: Column, category: Column, bank: dict[str, list[str]] | N
     answer = lambda t, p, why: F.struct(F.lit(t).alias("tier"), F.lit(p).alias("prior"), why.alias("reason"))
     out = F.when(F.lit(False), answer("", 0.0, F.lit("")))
     for tier, prior in PLAN_PRIORS.items():
-        hit = F.try_element_at(F.filter(F.array(*map(F.lit, words.get(tier, []))), lambda w: (w != "") & hay.contains(w)), F.lit(1)) if words.get(tier) else F.lit(None).cast("string")
+        hit = F.try_element_at(
+            F.filter(F.array(*map(F.lit, words.get(tier, []))), lambda w: (w != "") & hay.contains(w)),
+            F.lit(1)
+        ) if words.get(tier) else F.lit(None).cast("string")
         out = out.when(hit.isNotNull(), answer(tier, prior, hit))
     out = out.when(has_any(hay, ["person", "face", "logo", "sign", "text"]), answer("tier_b", 0.50, F.lit("category_fallback")))
     return out.otherwise(answer("tier_a", 0.20, F.lit("default_fallback")))
@@ -160,7 +215,10 @@ def object_tier(anchor: Column, category: Column, bank: dict[str, list[str]] | N
 
 def allowed_operations(category: Column, anchor: Column, mask_ratio: Column) -> Column:
     c, a = lower_squeezed(category), lower_squeezed(anchor)
-    hints = [F.when(c.contains(h) | a.contains(h), F.array(*map(F.lit, ops))).otherwise(F.array().cast("array<string>")) for h, ops in HINTED_OPERATIONS.items()]
+    hints = [
+        F.when(c.contains(h) | a.contains(h), F.array(*map(F.lit, ops))).otherwise(F.array().cast("array<string>")) for h,
+        ops in HINTED_OPERATIONS.items()
+    ]
     ops = F.array_distinct(reduce(lambda x, y: F.concat(x, y), hints, F.array(F.lit("replace"), F.lit("remove"), F.lit("attribute_change"))))
     return F.when(F.coalesce(mask_ratio, F.lit(0.0)) > 0.02, F.array_remove(ops, "insert")).otherwise(ops)
 
@@ -178,7 +236,9 @@ def grounding_hint(score: Column) -> Column:
 
 
 def text_operation(severity: Column, operation: Column) -> Column:
-    return F.when(severity == "low", "stance_shift").when(operation == "attribute_change", "claim_alteration").when(severity == "high", "narrative_reframe").when(operation == "remove", "claim_alteration").otherwise("attribution_change")
+    return F.when(severity == "low", "stance_shift").when(
+        operation == "attribute_change", "claim_alteration"
+    ).when(severity == "high", "narrative_reframe").when(operation == "remove", "claim_alteration").otherwise("attribution_change")
 
 
 def fallback_candidate(severity: str, anchor: Column, allowed: Column) -> Column:
@@ -187,4 +247,8 @@ def fallback_candidate(severity: str, anchor: Column, allowed: Column) -> Column
     operation = F.when(F.array_contains(allowed, wanted) | (F.size(allowed) == 0), wanted).otherwise(F.get(allowed, F.lit(0)))
     shown = F.substring(anchor, 1, 60)
     values = zip(("semantic_shift", "role_shift", "contradiction_potential", "public_impact"), level, strict=True)
-    return F.struct(operation.alias("operation"), F.when(shown == "", "anchor").otherwise(shown).alias("edited_anchor"), *[F.lit(v).alias(k) for k, v in values], F.lit(0.5).alias("realism"), F.lit(0.5).alias("localizability"), F.lit(True).alias("is_fallback"))
+    return F.struct(
+        operation.alias("operation"), F.when(shown == "", "anchor").otherwise(shown).alias("edited_anchor"),
+        *[F.lit(v).alias(k) for k, v in values], F.lit(0.5).alias("realism"),
+        F.lit(0.5).alias("localizability"), F.lit(True).alias("is_fallback")
+    )

@@ -53,7 +53,8 @@ def with_model(jobs: DataFrame, load: Callable[[], Callable[[list[dict]], list[d
 def verifier_stack(results: Column) -> Column:
     """All verifiers agree: struct match, score (the least) and reasons. results: array of struct match, score, reason."""
     return F.struct(
-        (F.forall(results, lambda r: F.coalesce(r["match"], F.lit(False))) & (F.size(results) > 0)).alias("match"), F.coalesce(F.array_min(F.transform(results, lambda r: r["score"])), F.lit(0.0)).alias("score"),
+        (F.forall(results, lambda r: F.coalesce(r["match"], F.lit(False))) & (F.size(results) > 0)).alias("match"),
+        F.coalesce(F.array_min(F.transform(results, lambda r: r["score"])), F.lit(0.0)).alias("score"),
         F.array_join(F.filter(F.transform(results, lambda r: r["reason"]), lambda x: x != ""), " | ").alias("reason"),
     )
 
@@ -67,11 +68,15 @@ def best_mask(masks: Column) -> Column:
 def rewrite_tasks(plans: DataFrame, ids: list[str], candidates: str = "severity_candidates", least: str = "low") -> DataFrame:
     """One row for each job, severity, candidate and mode that needs a rewrite, severities from least up."""
     ranks = {"low": 0, "medium": 1, "high": 2}
-    rows = plans.select(*ids, F.explode(candidates).alias("severity", "cands")).select(*ids, "severity", F.posexplode("cands").alias("candidate_index", "candidate"))
+    rows = plans.select(*ids, F.explode(candidates).alias("severity", "cands")).select(
+        *ids, "severity", F.posexplode("cands").alias("candidate_index", "candidate")
+    )
     wanted = [s for s, r in ranks.items() if r >= ranks[least]]
     return rows.where(F.col("severity").isin(wanted)).select("*", F.explode(F.array(F.lit("text_only"), F.lit("joint"))).alias("mode"))
 
 
 def rewrites_back(answers: DataFrame, ids: list[str], answer: str) -> DataFrame:
     """Answers of the modes of each candidate as a map."""
-    return answers.groupBy(*ids, "severity", "candidate_index").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("mode", answer)))).alias("headline_rewrite"))
+    return answers.groupBy(*ids, "severity", "candidate_index").agg(
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("mode", answer)))).alias("headline_rewrite")
+    )

@@ -51,12 +51,21 @@ def dedupe_best(df: DataFrame, key: str, score: str, order: str) -> DataFrame:
     return first_in_group(df, [key], [clamp(F.col(score)).desc(), F.col(order)])
 
 
-def mark_duplicates(df: DataFrame, group: str, ranks: list[str], order: str, valid: str = "technical_valid", reason: str = "technical_reject_reason", keep: str = "keep_for_step2") -> DataFrame:
+def mark_duplicates(
+    df: DataFrame, group: str, ranks: list[str], order: str, valid: str = "technical_valid",
+    reason: str = "technical_reject_reason", keep: str = "keep_for_step2"
+) -> DataFrame:
     """is_duplicate on all but the best row of a group (ranks falling, nulls as -1, then order); duplicates are invalid."""
     by = [F.coalesce(F.col(c), F.lit(-1)).desc() for c in ranks] + [F.col(order)]
     dup = F.row_number().over(W.partitionBy(group).orderBy(*by)) > 1
     marked = df.withColumn("is_duplicate", dup)
-    return marked.withColumns({valid: F.col(valid) & ~F.col("is_duplicate"), reason: F.when(F.col("is_duplicate"), "duplicate").otherwise(F.col(reason)), keep: F.col(keep) & ~F.col("is_duplicate")})
+    return marked.withColumns(
+        {
+            valid: F.col(valid) & ~F.col("is_duplicate"),
+            reason: F.when(F.col("is_duplicate"), "duplicate").otherwise(F.col(reason)),
+            keep: F.col(keep) & ~F.col("is_duplicate")
+        }
+    )
 
 
 def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
@@ -66,7 +75,10 @@ def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str
 def best_k(items: Column, less: list[tuple], k: int | Column) -> Column:
     """The k first of an array of structs by fields (name, descending), ties in array order."""
     n = F.size(items)
-    tagged = F.transform(items, lambda x, i: F.struct(*[(-x[f] if d else x[f]).alias(f"k{j}") for j, (f, d) in enumerate(less)], i.alias("i"), x.alias("x")))
+    tagged = F.transform(
+        items,
+        lambda x, i: F.struct(*[(-x[f] if d else x[f]).alias(f"k{j}") for j, (f, d) in enumerate(less)], i.alias("i"), x.alias("x"))
+    )
     return F.transform(F.slice(F.array_sort(tagged), F.lit(1), F.least(n, k if isinstance(k, Column) else F.lit(k))), lambda t: t["x"])
 
 
@@ -96,7 +108,9 @@ def first_of_cells(df: DataFrame, cells: list[str], key: str, seed: int, most: D
     counts = counts.withColumn("_upto", F.sum("_c").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
     counts = _null_safe(counts, most, cells) if isinstance(most, DataFrame) else counts.withColumn("_most", F.lit(most))
     # of each cell, the slice in which the bound falls, and the rows before that slice
-    cut = counts.where(F.col("_upto") > F.col("_most")).groupBy(*cells).agg(F.min(F.struct("_slice", (F.col("_upto") - F.col("_c")).alias("before"), "_most")).alias("_cut"))
+    cut = counts.where(F.col("_upto") > F.col("_most")).groupBy(*cells).agg(
+        F.min(F.struct("_slice", (F.col("_upto") - F.col("_c")).alias("before"), "_most")).alias("_cut")
+    )
     placed = _null_safe(marked, cut, cells, "left") if cells else marked.withColumn("_cut", cut.select("_cut").scalar())
     whole = placed.where(F.col("_cut").isNull() | (F.col("_slice") < F.col("_cut._slice")))
     part = placed.where(F.col("_slice") == F.col("_cut._slice"))
@@ -141,7 +155,10 @@ def only(df: DataFrame, ids: DataFrame, key: str, id_col: str = "id") -> DataFra
 def required(df: DataFrame, other: DataFrame, keys: list[str], what: str) -> DataFrame:
     """A left join that raises where the other side has no row."""
     got = df.join(other.withColumn("_found", F.lit(True)), keys, "left")
-    checked = F.when(F.col("_found").isNull(), F.raise_error(F.concat(F.lit(f"no {what} for "), F.concat_ws("/", *keys))).cast("boolean")).otherwise(F.lit(True))
+    checked = F.when(
+        F.col("_found").isNull(),
+        F.raise_error(F.concat(F.lit(f"no {what} for "), F.concat_ws("/", *keys))).cast("boolean")
+    ).otherwise(F.lit(True))
     return got.where(checked).drop("_found")
 
 
@@ -149,12 +166,19 @@ def lookups(results: DataFrame, plans: DataFrame, anchors: DataFrame, manifests:
     """Results with plan and anchor by sample and anchor, and manifest by sample, each as a struct or null."""
     pack = lambda df, keys, name: df.select(*keys, F.struct(*[F.col(c) for c in df.columns]).alias(name))
     both = ["sample_id", "anchor_id"]
-    return results.join(pack(plans, both, "plan"), both, "left").join(pack(anchors, both, "anchor"), both, "left").join(pack(manifests, ["sample_id"], "manifest"), "sample_id", "left")
+    return results.join(pack(plans, both, "plan"), both, "left").join(pack(anchors, both, "anchor"), both, "left").join(
+        pack(manifests, ["sample_id"], "manifest"), "sample_id", "left"
+    )
 
 
 def relation_count(relations: Column, anchor_id: Column) -> Column:
     """Edges that touch an anchor; a loop counts once."""
-    return F.size(F.filter(F.coalesce(relations, F.array().cast("array<struct<subject_anchor_id:string,object_anchor_id:string>>")), lambda r: (r["subject_anchor_id"] == anchor_id) | (r["object_anchor_id"] == anchor_id)))
+    return F.size(
+        F.filter(
+            F.coalesce(relations, F.array().cast("array<struct<subject_anchor_id:string,object_anchor_id:string>>")),
+            lambda r: (r["subject_anchor_id"] == anchor_id) | (r["object_anchor_id"] == anchor_id)
+        )
+    )
 
 
 def relation_edges(anchors: DataFrame, sample: str = "sample_id", anchor: str = "anchor_id", relations: str = "relations") -> DataFrame:
@@ -167,18 +191,25 @@ def relation_edges(anchors: DataFrame, sample: str = "sample_id", anchor: str =
     lists = anchors.select(sample, F.col(anchor).alias("subject"), asked.alias("_asked"))
     known = F.filter("_asked", lambda r: F.array_contains("_ends", r["object"]))
     met = lists.join(ends, sample).select(sample, "subject", F.explode(known).alias("r"))
-    firsts = met.groupBy(sample, "subject", F.col("r.predicate").alias("predicate"), F.col("r.object").alias("object")).agg(F.min("r.pos").alias("pos"))
+    firsts = met.groupBy(
+        sample, "subject", F.col("r.predicate").alias("predicate"), F.col("r.object").alias("object")
+    ).agg(F.min("r.pos").alias("pos"))
     return firsts.withColumn("relation_index", F.row_number().over(W.partitionBy(sample).orderBy("subject", "pos")) - 1).drop("pos")
 
 
-def resolve_entities(phrases: DataFrame, anchors: DataFrame, score: Column, order: str, sample: str = "sample_id", key: str = "phrase_id", least: float = 2.5) -> DataFrame:
+def resolve_entities(
+    phrases: DataFrame, anchors: DataFrame, score: Column, order: str, sample: str = "sample_id",
+    key: str = "phrase_id", least: float = 2.5
+) -> DataFrame:
     """Of each phrase, the anchor of its sample with the best score, the first of equals, if it reaches least."""
     pairs = phrases.join(anchors, sample).withColumn("match_score", score).where(F.col("match_score") >= least)
     return first_in_group(pairs, [sample, key], [F.desc("match_score"), F.col(order)])
 
 
 def eligible_groups(df: DataFrame, key: str, keep: str) -> DataFrame:
-    return df.where(F.coalesce(F.col(key), F.lit("")) != "").groupBy(key).agg(F.bool_or(F.coalesce(F.col(keep), F.lit(False))).alias("_any")).where("_any").select(key)
+    return df.where(F.coalesce(F.col(key), F.lit("")) != "").groupBy(key).agg(
+        F.bool_or(F.coalesce(F.col(keep), F.lit(False))).alias("_any")
+    ).where("_any").select(key)
 
 
 def dedupe_across(df: DataFrame, keys: list[str], fingerprint: Column, rank: Column, order: str) -> DataFrame:

@@ -47,11 +47,17 @@ def modality(c: Column) -> Column:
     return F.when(m.isin(MODALITIES), m).when(m == "imagetext", "image_text").otherwise("image_only")
 
 
-def pair_id(sample: Column, anchor: Column, kind: Column, requested: Column, effective: Column, asked: Column, final: Column, index: Column, headline: Column, image: Column) -> Column:
+def pair_id(
+    sample: Column, anchor: Column, kind: Column, requested: Column, effective: Column, asked: Column,
+    final: Column, index: Column, headline: Column, image: Column
+) -> Column:
     """A readable id with ten digits of the SHA-1 of all ten fields."""
     seed = F.concat_ws("|", sample, anchor, kind, requested, effective, asked, final, index.cast("string"), text.squeeze(headline), image)
     named = lambda *cs: first_nonempty(cs)
-    return F.concat_ws("__", sample, anchor, kind, named(effective, requested, F.lit("unknown")), named(asked, F.lit("na")), named(final, F.lit("na")), index.cast("string"), F.substring(relational.stable_hash(seed), 1, 10))
+    return F.concat_ws(
+        "__", sample, anchor, kind, named(effective, requested, F.lit("unknown")), named(asked, F.lit("na")),
+        named(final, F.lit("na")), index.cast("string"), F.substring(relational.stable_hash(seed), 1, 10)
+    )
 
 
 def original(manifest: Column, plan: Column) -> Column:
@@ -92,11 +98,16 @@ def variants(rewrites: Column, cfg: BuildConfig, headline: Column | None = None,
     """Text-only rewrites of a candidate, each headline once; without one a made one, if asked for; else one empty variant."""
     joint = [_usable(rewrites, "joint", "joint_as_text_only")] if cfg.joint_as_text else []
     found = F.array_compact(F.array(rewrite(rewrites, "text_only", cfg.cross_mode), *joint))
-    none = F.struct(*[F.lit("").alias(f) for f in ("rewritten_headline", "text_edit_operation", "nli_direction", "rewrite_rationale", "error")], F.lit("missing").alias("source"))
+    none = F.struct(
+        *[F.lit("").alias(f) for f in ("rewritten_headline", "text_edit_operation", "nli_direction", "rewrite_rationale", "error")],
+        F.lit("missing").alias("source")
+    )
     once = distinct_by(found, lambda v: text.words_only(v["rewritten_headline"]))
     instead = none
     if cfg.synthesize and headline is not None:
-        made = none.withField("text_edit_operation", safe_str(candidate["operation"])).withField("rewrite_rationale", F.lit("synthetic_fallback_from_builder")).withField("source", F.lit("synthetic"))
+        made = none.withField("text_edit_operation", safe_str(candidate["operation"])).withField(
+            "rewrite_rationale", F.lit("synthetic_fallback_from_builder")
+        ).withField("source", F.lit("synthetic"))
         instead = let(synthesized(headline, candidate), lambda h: F.when(h != "", made.withField("rewritten_headline", h)).otherwise(none))
     return let(once, lambda o: F.when(F.size(o) > 0, o).otherwise(F.array(instead)))
 
@@ -106,11 +117,17 @@ def components(candidate: Column, plan: Column, tier: Column, direction: Column,
     tier_name, salience_proxy, visibility_proxy, blended_salience, blended_visibility, has_proxies."""
     name = text.words_only(first_nonempty([safe_str(tier), safe_str(plan["tier_name"])]))
     given = clamp(candidate["delta_sem_plan"])
-    shift = F.when(given == 0.0, scoring.semantic_shift(candidate["semantic_shift"], candidate["role_shift"], candidate["public_impact"])).otherwise(given)
+    shift = F.when(
+        given == 0.0,
+        scoring.semantic_shift(candidate["semantic_shift"], candidate["role_shift"], candidate["public_impact"])
+    ).otherwise(given)
     proxied = F.coalesce(plan["has_proxies"], F.lit(False))
     return F.struct(
-        scoring.tier_prior(plan["tier_prior"], plan["proxy_tier_prior"], name, model.priors).alias("T_obj"), shift.alias("I_ctx"), scoring.contradiction(candidate["contradiction_potential"], direction).alias("C_nli"),
-        clamp(F.when(proxied, plan["blended_salience"]).otherwise(plan["salience_proxy"])).alias("Sal"), clamp(F.when(proxied, plan["blended_visibility"]).otherwise(plan["visibility_proxy"])).alias("Vis"),
+        scoring.tier_prior(plan["tier_prior"], plan["proxy_tier_prior"], name, model.priors).alias("T_obj"),
+        shift.alias("I_ctx"),
+        scoring.contradiction(candidate["contradiction_potential"], direction).alias("C_nli"),
+        clamp(F.when(proxied, plan["blended_salience"]).otherwise(plan["salience_proxy"])).alias("Sal"),
+        clamp(F.when(proxied, plan["blended_visibility"]).otherwise(plan["visibility_proxy"])).alias("Vis"),
     )
 
 
@@ -128,7 +145,10 @@ def _finished(rows: DataFrame, cfg: BuildConfig) -> DataFrame:
     why = F.concat(F.col("_reasons"), gates.reasons(*floor)) if floor else F.col("_reasons")
     six = lambda c: F.bround(c, 6)
     out = rows.withColumn("filter_reason", gates.filter_reason(why)).withColumns({c: six(F.col(c)) for c in ("severity_score_raw", "severity_score")})
-    return out.withColumn("severity_components", F.struct(*[six(F.col(f"parts.{k}")).alias(k) for k in ("T_obj", "I_ctx", "C_nli", "Sal", "Vis")])).drop("_reasons", "parts")
+    return out.withColumn(
+        "severity_components",
+        F.struct(*[six(F.col(f"parts.{k}")).alias(k) for k in ("T_obj", "I_ctx", "C_nli", "Sal", "Vis")])
+    ).drop("_reasons", "parts")
 
 
 def edited_examples(looked_up: DataFrame, images: DataFrame | None, cfg: BuildConfig) -> DataFrame:
@@ -139,11 +159,16 @@ def edited_examples(looked_up: DataFrame, images: DataFrame | None, cfg: BuildCo
     rows = looked_up.withColumn("candidate_index", F.coalesce(c("candidate_index").cast("int"), F.lit(0)))
     rows = rows.withColumns({
         "kind": modality(c("modality")), "candidate": F.get(F.try_element_at(c("plan.candidates"), safe_str(c("severity"))), c("candidate_index")),
-        "headline_original": original(c("manifest.headline"), c("plan.headline")), "summary_original": original(c("manifest.summary"), c("plan.summary")), "image_edited": first_nonempty([safe_str(c("output_path")), safe_str(c("image_path"))]),
+        "headline_original": original(c("manifest.headline"), c("plan.headline")),
+        "summary_original": original(c("manifest.summary"), c("plan.summary")),
+        "image_edited": first_nonempty([safe_str(c("output_path")), safe_str(c("image_path"))]),
     })
     rows = rows.withColumn("_rw", rewrite(c("candidate.headline_rewrite"), "joint", cfg.cross_mode))
     made = [F.when(c("kind") == "image_text", synthesized(c("headline_original"), c("candidate"))).otherwise("")] if cfg.synthesize else []
-    rows = rows.withColumn("_said", first_nonempty([safe_str(c("rewritten_caption")), safe_str(c("_rw.rewritten_headline")), *made, c("headline_original")]))
+    rows = rows.withColumn(
+        "_said",
+        first_nonempty([safe_str(c("rewritten_caption")), safe_str(c("_rw.rewritten_headline")), *made, c("headline_original")])
+    )
     if images is not None:
         rows = rows.join(images.select(c("origin").alias("image_edited"), "image_reason", "visual_reasons"), "image_edited", "left")
     else:
@@ -151,24 +176,80 @@ def edited_examples(looked_up: DataFrame, images: DataFrame | None, cfg: BuildCo
     worded = c("kind").isin("text_only", "image_text")
     said = gates.text_reason(c("_said"), c("headline_original"), cfg.text_min, cfg.text_max, cfg.lexical_min)
     own = gates.text_reason(c("headline_original"), None, cfg.text_min, cfg.text_max)
-    row = {n: c(n) for n in ("masked_changed_ratio", "masked_mean_delta", "accepted", "error", "realism_score")} | {"sensitive": c("plan.sensitive"), "anchor_valid": c("anchor.technical_valid"), "anchor_reason": c("anchor.technical_reject_reason")}
+    row = {n: c(n) for n in ("masked_changed_ratio", "masked_mean_delta", "accepted", "error", "realism_score")} | {
+        "sensitive": c("plan.sensitive"), "anchor_valid": c("anchor.technical_valid"),
+        "anchor_reason": c("anchor.technical_reject_reason")
+    }
     seen = F.coalesce(c("visual_reasons"), F.array().cast("array<string>"))
     visual = F.transform(seen, lambda r: F.concat(F.lit("visual:"), F.substring(text.words_only(r), 1, 64)))
     pictured = c("kind").isin("image_only", "image_text")
-    rules = [*gates.edit_reasons(row, cfg), (c("image_reason").isNotNull(), c("image_reason")), (pictured & (F.size(seen) > 0), "visual_defect_detected")]
+    rules = [
+        *gates.edit_reasons(row, cfg), (c("image_reason").isNotNull(), c("image_reason")),
+        (pictured & (F.size(seen) > 0), "visual_defect_detected")
+    ]
     worded_rules = [(worded, gates.broken(said)), (~worded, F.concat(F.lit("orig_"), gates.broken(own)))]
-    rows = rows.withColumn("_reasons", F.concat(gates.reasons(*rules), F.when(pictured, visual).otherwise(F.array().cast("array<string>")), gates.reasons(*worded_rules)))
-    rows = _scored(rows.withColumn("parts", components(c("candidate"), c("plan"), c("tier"), first_nonempty([safe_str(c("nli_direction")), safe_str(c("_rw.nli_direction"))]), cfg.model)), cfg)
+    rows = rows.withColumn(
+        "_reasons",
+        F.concat(gates.reasons(*rules), F.when(pictured, visual).otherwise(F.array().cast("array<string>")), gates.reasons(*worded_rules))
+    )
+    rows = _scored(
+        rows.withColumn(
+            "parts",
+            components(
+                c("candidate"), c("plan"), c("tier"),
+                first_nonempty([safe_str(c("nli_direction")), safe_str(c("_rw.nli_direction"))]), cfg.model
+            )
+        ),
+        cfg
+    )
     asked, effective = safe_str(c("requested_operation")), first_nonempty([safe_str(c("effective_operation")), safe_str(c("requested_operation"))])
     headline, image = F.when(worded, c("_said")).otherwise(c("headline_original")), F.when(pictured, c("image_edited")).otherwise(safe_str(c("image_path")))
-    quality = F.struct(clamp(c("realism_score")).alias("realism_score"), F.bround(F.coalesce(c("masked_changed_ratio"), F.lit(0.0)), 6).alias("masked_changed_ratio"), F.bround(F.coalesce(c("masked_mean_delta"), F.lit(0.0)), 6).alias("masked_mean_delta"))
+    quality = F.struct(
+        clamp(c("realism_score")).alias("realism_score"),
+        F.bround(F.coalesce(c("masked_changed_ratio"), F.lit(0.0)), 6).alias("masked_changed_ratio"),
+        F.bround(F.coalesce(c("masked_mean_delta"), F.lit(0.0)), 6).alias("masked_mean_delta")
+    )
     return _finished(rows, cfg).select(
-        pair_id(c("sample_id"), c("anchor_id"), c("kind"), asked, effective, safe_str(c("severity")), c("severity_label"), c("candidate_index"), headline, image).alias("pair_id"), "sample_id", "anchor_id",
-        F.lit("manipulated").alias("authenticity_label"), F.lit(False).alias("is_pristine"), c("kind").alias("modality"), "severity_label", "severity_score_raw", "severity_score", "severity_components",
-        safe_str(c("severity")).alias("requested_generation_severity"), asked.alias("edit_type_requested"), effective.alias("edit_type_effective"), "headline_original", headline.alias("headline_edited"),
-        "summary_original", c("summary_original").alias("summary_edited"), safe_str(c("image_path")).alias("image_original"), image.alias("image_edited"),
-        explanation(c("candidate"), c("_rw"), {n: c(n) for n in ("edited_anchor", "fill_clause", "edit_instruction", "route_reason", "text_edit_operation", "nli_direction") if n in looked_up.columns}).alias("explanation"),
-        quality.alias("quality"), F.struct(c("manifest").isNotNull().alias("manifest_present"), c("anchor").isNotNull().alias("anchor_row_present"), c("plan").isNotNull().alias("planner_row_present"), F.lit(True).alias("edit_result_present"), F.coalesce(c("plan.sensitive"), F.lit(False)).alias("sensitive_flagged"), c("candidate_index").cast("int").alias("candidate_index")).alias("provenance"), "filter_reason",
+        pair_id(
+            c("sample_id"), c("anchor_id"), c("kind"), asked, effective, safe_str(c("severity")),
+            c("severity_label"), c("candidate_index"), headline, image
+        ).alias("pair_id"),
+        "sample_id",
+        "anchor_id",
+        F.lit("manipulated").alias("authenticity_label"),
+        F.lit(False).alias("is_pristine"),
+        c("kind").alias("modality"),
+        "severity_label",
+        "severity_score_raw",
+        "severity_score",
+        "severity_components",
+        safe_str(c("severity")).alias("requested_generation_severity"),
+        asked.alias("edit_type_requested"),
+        effective.alias("edit_type_effective"),
+        "headline_original",
+        headline.alias("headline_edited"),
+        "summary_original",
+        c("summary_original").alias("summary_edited"),
+        safe_str(c("image_path")).alias("image_original"),
+        image.alias("image_edited"),
+        explanation(
+            c("candidate"), c("_rw"),
+            {
+                n: c(n) for n in (
+                    "edited_anchor", "fill_clause", "edit_instruction", "route_reason", "text_edit_operation",
+                    "nli_direction"
+                ) if n in looked_up.columns
+            }
+        ).alias("explanation"),
+        quality.alias("quality"),
+        F.struct(
+            c("manifest").isNotNull().alias("manifest_present"),
+            c("anchor").isNotNull().alias("anchor_row_present"),
+            c("plan").isNotNull().alias("planner_row_present"), F.lit(True).alias("edit_result_present"),
+            F.coalesce(c("plan.sensitive"), F.lit(False)).alias("sensitive_flagged"),
+            c("candidate_index").cast("int").alias("candidate_index")
+        ).alias("provenance"),
+        "filter_reason",
         *(["result_order"] if "result_order" in looked_up.columns else []),
     )
 
@@ -178,8 +259,13 @@ def explanation(candidate: Column, said: Column | None, row: dict[str, Column])
     own = lambda n: safe_str(row[n]) if n in row else F.lit("")
     told = lambda n: safe_str(said[n]) if said is not None else F.lit("")
     return F.struct(
-        first_nonempty([own("edited_anchor"), safe_str(candidate["edited_anchor"])]).alias("edited_anchor"), own("fill_clause").alias("fill_clause"), first_nonempty([own("edit_instruction"), safe_str(candidate["edit_instruction"])]).alias("edit_instruction"),
-        own("route_reason").alias("route_reason"), safe_str(candidate["rationale"]).alias("rationale"), told("rewrite_rationale").alias("rewrite_rationale"), first_nonempty([told("text_edit_operation"), own("text_edit_operation")]).alias("text_edit_operation"),
+        first_nonempty([own("edited_anchor"), safe_str(candidate["edited_anchor"])]).alias("edited_anchor"),
+        own("fill_clause").alias("fill_clause"),
+        first_nonempty([own("edit_instruction"), safe_str(candidate["edit_instruction"])]).alias("edit_instruction"),
+        own("route_reason").alias("route_reason"),
+        safe_str(candidate["rationale"]).alias("rationale"),
+        told("rewrite_rationale").alias("rewrite_rationale"),
+        first_nonempty([told("text_edit_operation"), own("text_edit_operation")]).alias("text_edit_operation"),
         first_nonempty([told("nli_direction"), own("nli_direction")]).alias("nli_direction"),
     )
 
@@ -189,24 +275,75 @@ def text_examples(plans: DataFrame, anchors: DataFrame, manifests: DataFrame, cf
     c = F.col
     looked = plans.select("sample_id", "anchor_id", F.struct(*plans.columns).alias("plan"))
     pack = lambda df, keys, name: df.select(*keys, F.struct(*df.columns).alias(name))
-    looked = looked.join(pack(anchors, ["sample_id", "anchor_id"], "anchor"), ["sample_id", "anchor_id"], "left").join(pack(manifests, ["sample_id"], "manifest"), "sample_id", "left")
-    rows = looked.select("*", F.explode("plan.candidates").alias("severity", "_cs")).select("*", F.posexplode("_cs").alias("candidate_index", "candidate")).drop("_cs").where("candidate is not null")
+    looked = looked.join(
+        pack(anchors, ["sample_id", "anchor_id"], "anchor"), ["sample_id", "anchor_id"], "left"
+    ).join(pack(manifests, ["sample_id"], "manifest"), "sample_id", "left")
+    rows = looked.select("*", F.explode("plan.candidates").alias("severity", "_cs")).select(
+        "*", F.posexplode("_cs").alias("candidate_index", "candidate")
+    ).drop("_cs").where("candidate is not null")
     rows = rows.withColumn("headline_original", original(c("manifest.headline"), c("plan.headline")))
-    rows = rows.select("*", F.posexplode(variants(c("candidate.headline_rewrite"), cfg, c("headline_original"), c("candidate"))).alias("variant", "_rw"))
-    rows = rows.withColumns({"summary_original": original(c("manifest.summary"), c("plan.summary")), "image_original": first_nonempty([safe_str(c("plan.image_path")), safe_str(c("manifest.image_path"))]), "_said": c("_rw.rewritten_headline")})
+    rows = rows.select(
+        "*",
+        F.posexplode(variants(c("candidate.headline_rewrite"), cfg, c("headline_original"), c("candidate"))).alias("variant", "_rw")
+    )
+    rows = rows.withColumns(
+        {
+            "summary_original": original(c("manifest.summary"), c("plan.summary")),
+            "image_original": first_nonempty([safe_str(c("plan.image_path")), safe_str(c("manifest.image_path"))]),
+            "_said": c("_rw.rewritten_headline")
+        }
+    )
     said = gates.text_reason(c("_said"), c("headline_original"), cfg.text_min, cfg.text_max, cfg.lexical_min)
     invalid = F.concat(F.lit("anchor_invalid:"), F.coalesce(nonempty(safe_str(c("anchor.technical_reject_reason"))), F.lit("unknown")))
     why = gates.reasons(
-        (c("_said") == "", "missing_text_only_rewrite"), (c("_rw.error") != "", "rewrite_error"), (F.lit(cfg.exclude_sensitive) & F.coalesce(c("plan.sensitive"), F.lit(False)), "sensitive_flagged"),
-        (F.lit(cfg.require_valid) & (c("anchor.technical_valid") == F.lit(False)), invalid), (c("image_original") == "", "missing_image"), (F.lit(True), gates.broken(said)),
+        (c("_said") == "", "missing_text_only_rewrite"),
+        (c("_rw.error") != "", "rewrite_error"),
+        (F.lit(cfg.exclude_sensitive) & F.coalesce(c("plan.sensitive"), F.lit(False)), "sensitive_flagged"),
+        (F.lit(cfg.require_valid) & (c("anchor.technical_valid") == F.lit(False)), invalid),
+        (c("image_original") == "", "missing_image"),
+        (F.lit(True), gates.broken(said)),
     )
-    rows = _scored(rows.withColumn("_reasons", why).withColumn("parts", components(c("candidate"), c("plan"), c("plan.tier_name"), c("_rw.nli_direction"), cfg.model)), cfg)
+    rows = _scored(
+        rows.withColumn("_reasons", why).withColumn(
+            "parts",
+            components(c("candidate"), c("plan"), c("plan.tier_name"), c("_rw.nli_direction"), cfg.model)
+        ),
+        cfg
+    )
     op = safe_str(c("candidate.operation"))
     return _finished(rows, cfg).select(
-        pair_id(c("sample_id"), c("anchor_id"), F.lit("text_only"), op, op, c("severity"), c("severity_label"), c("candidate_index") * 10 + c("variant"), c("_said"), c("image_original")).alias("pair_id"), "sample_id", "anchor_id", F.lit("manipulated").alias("authenticity_label"), F.lit(False).alias("is_pristine"),
-        F.lit("text_only").alias("modality"), "severity_label", "severity_score_raw", "severity_score", "severity_components", c("severity").alias("requested_generation_severity"), op.alias("edit_type_requested"), op.alias("edit_type_effective"), "headline_original",
-        first_nonempty([c("_said"), c("headline_original")]).alias("headline_edited"), "summary_original", c("summary_original").alias("summary_edited"), "image_original", c("image_original").alias("image_edited"), explanation(c("candidate"), c("_rw"), {}).alias("explanation"),
-        F.struct(c("manifest").isNotNull().alias("manifest_present"), c("anchor").isNotNull().alias("anchor_row_present"), F.lit(True).alias("planner_row_present"), F.lit(False).alias("edit_result_present"), F.coalesce(c("plan.sensitive"), F.lit(False)).alias("sensitive_flagged"), c("candidate_index").cast("int").alias("candidate_index"), c("variant").alias("rewrite_variant_index"), c("_rw.source").alias("rewrite_source")).alias("provenance"), "filter_reason",
+        pair_id(
+            c("sample_id"), c("anchor_id"), F.lit("text_only"), op, op, c("severity"), c("severity_label"),
+            c("candidate_index") * 10 + c("variant"), c("_said"), c("image_original")
+        ).alias("pair_id"),
+        "sample_id",
+        "anchor_id",
+        F.lit("manipulated").alias("authenticity_label"),
+        F.lit(False).alias("is_pristine"),
+        F.lit("text_only").alias("modality"),
+        "severity_label",
+        "severity_score_raw",
+        "severity_score",
+        "severity_components",
+        c("severity").alias("requested_generation_severity"),
+        op.alias("edit_type_requested"),
+        op.alias("edit_type_effective"),
+        "headline_original",
+        first_nonempty([c("_said"), c("headline_original")]).alias("headline_edited"),
+        "summary_original",
+        c("summary_original").alias("summary_edited"),
+        "image_original",
+        c("image_original").alias("image_edited"),
+        explanation(c("candidate"), c("_rw"), {}).alias("explanation"),
+        F.struct(
+            c("manifest").isNotNull().alias("manifest_present"),
+            c("anchor").isNotNull().alias("anchor_row_present"), F.lit(True).alias("planner_row_present"),
+            F.lit(False).alias("edit_result_present"),
+            F.coalesce(c("plan.sensitive"), F.lit(False)).alias("sensitive_flagged"),
+            c("candidate_index").cast("int").alias("candidate_index"),
+            c("variant").alias("rewrite_variant_index"), c("_rw.source").alias("rewrite_source")
+        ).alias("provenance"),
+        "filter_reason",
     )
 
 
@@ -219,16 +356,36 @@ def pristine_examples(manifests: DataFrame, images: DataFrame | None = None) ->
         rows = rows.join(images.where("image_reason is null").select(c("origin").alias("image_path")), "image_path", "left_semi")
     h, s, i = safe_str(c("headline")), safe_str(c("summary")), safe_str(c("image_path"))
     return rows.select(
-        F.concat("sample_id", F.lit("__pristine")).alias("pair_id"), "sample_id", F.lit("pristine").alias("authenticity_label"), F.lit(True).alias("is_pristine"), F.lit("pristine").alias("modality"), h.alias("headline_original"), h.alias("headline_edited"),
-        s.alias("summary_original"), s.alias("summary_edited"), i.alias("image_original"), i.alias("image_edited"), F.lit("passed").alias("filter_reason"),
+        F.concat("sample_id", F.lit("__pristine")).alias("pair_id"),
+        "sample_id",
+        F.lit("pristine").alias("authenticity_label"),
+        F.lit(True).alias("is_pristine"),
+        F.lit("pristine").alias("modality"),
+        h.alias("headline_original"),
+        h.alias("headline_edited"),
+        s.alias("summary_original"),
+        s.alias("summary_edited"),
+        i.alias("image_original"),
+        i.alias("image_edited"),
+        F.lit("passed").alias("filter_reason"),
     )
 
 
-def release(pristine: DataFrame, edited: DataFrame, texts: DataFrame, cfg: BuildConfig, order: tuple = ("result_order",)) -> tuple[DataFrame, DataFrame]:
+def release(
+    pristine: DataFrame, edited: DataFrame, texts: DataFrame, cfg: BuildConfig,
+    order: tuple = ("result_order",)
+) -> tuple[DataFrame, DataFrame]:
     """(examples and quarantine, both with split): unions, the best of each id, optional balance and cap. Of equal scores
     the first counts: edited images before texts, then by order (columns of edited, where it has them; else all columns)."""
     score = F.coalesce(F.col("quality.realism_score"), F.lit(0.0)) if "quality" in edited.columns else F.lit(0.0)
-    numbered = lambda df, n: df.withColumn("_order", F.struct(F.lit(n).alias("n"), *[F.col(c).cast("string").alias(f"o{i}") if c in df.columns else F.lit(None).cast("string").alias(f"o{i}") for i, c in enumerate(order)], F.to_json(F.struct("*")).alias("row")))
+    numbered = lambda df, n: df.withColumn(
+        "_order",
+        F.struct(
+            F.lit(n).alias("n"),
+            *[F.col(c).cast("string").alias(f"o{i}") if c in df.columns else F.lit(None).cast("string").alias(f"o{i}") for i, c in enumerate(order)],
+            F.to_json(F.struct("*")).alias("row")
+        )
+    )
     every = numbered(edited, 0).unionByName(numbered(texts, 1), allowMissingColumns=True).withColumn("_score", score)
     kept, refused = (relational.dedupe_best(d, "pair_id", "_score", "_order").drop("_score", "_order") for d in gates.kept_and_quarantined(every))
     if cfg.balance:
@@ -242,22 +399,37 @@ def release(pristine: DataFrame, edited: DataFrame, texts: DataFrame, cfg: Build
 
 def counted(df: DataFrame, value: Column, name: str) -> DataFrame:
     """counter, value and n of the values that aren't null or empty."""
-    return df.select(F.lit(name).alias("counter"), value.cast("string").alias("value")).where("value is not null and value <> ''").groupBy("counter", "value").agg(F.count(F.lit(1)).alias("n"))
+    return df.select(
+        F.lit(name).alias("counter"), value.cast("string").alias("value")
+    ).where("value is not null and value <> ''").groupBy("counter", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
 def stats(examples: DataFrame, quarantine: DataFrame) -> DataFrame:
     """counter, value, n: all counters of a release in one scan of each table."""
     c = F.col
-    arrow = lambda a, b, sep="->": F.when((F.coalesce(a, F.lit("")) != "") & (F.coalesce(b, F.lit("")) != ""), F.concat(a, F.lit(sep), b))
+    arrow = lambda a, b, sep="->": F.when(
+        (F.coalesce(a, F.lit("")) != "") & (F.coalesce(b, F.lit("")) != ""), F.concat(a, F.lit(sep), b)
+    )
     values = {
-        "modality": c("modality"), "severity": c("severity_label"), "requested_severity": c("requested_generation_severity"), "edit_type": c("edit_type_effective"), "split": c("split"), "requested_to_final": arrow(c("requested_generation_severity"), c("severity_label")),
-        "requested_to_effective": arrow(c("edit_type_requested"), c("edit_type_effective")), "modality_severity": arrow(c("modality"), c("severity_label"), "|"),
+        "modality": c("modality"),
+        "severity": c("severity_label"),
+        "requested_severity": c("requested_generation_severity"),
+        "edit_type": c("edit_type_effective"),
+        "split": c("split"),
+        "requested_to_final": arrow(c("requested_generation_severity"), c("severity_label")),
+        "requested_to_effective": arrow(c("edit_type_requested"), c("edit_type_effective")),
+        "modality_severity": arrow(c("modality"), c("severity_label"), "|"),
     }
-    long = examples.select(F.explode(F.array(*[F.struct(F.lit(k).alias("counter"), v.alias("value")) for k, v in values.items()])).alias("x")).select("x.*").where("value is not null and value <> ''")
+    long = examples.select(
+        F.explode(F.array(*[F.struct(F.lit(k).alias("counter"), v.alias("value")) for k, v in values.items()])).alias("x")
+    ).select("x.*").where("value is not null and value <> ''")
     why = quarantine.select(F.lit("quarantine_reason").alias("counter"), F.explode(F.split("filter_reason", ";")).alias("value")).where("value <> ''")
     return long.unionAll(why).groupBy("counter", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
 def score_summary(examples: DataFrame) -> DataFrame:
     s = F.col("severity_score")
-    return examples.agg(F.count(F.lit(1)).alias("num_examples"), F.bround(F.avg(s), 6).alias("mean"), F.bround(F.min(s), 6).alias("min"), F.bround(F.max(s), 6).alias("max"))
+    return examples.agg(
+        F.count(F.lit(1)).alias("num_examples"), F.bround(F.avg(s), 6).alias("mean"),
+        F.bround(F.min(s), 6).alias("min"), F.bround(F.max(s), 6).alias("max")
+    )

@@ -22,7 +22,11 @@ def status_counts(anchors: DataFrame) -> DataFrame:
     status = F.col("status")
     fallback = F.col("fallback_used") if "fallback_used" in anchors.columns else F.lit(False)
     return anchors.agg(
-        F.count(F.lit(1)).alias("anchors"), _count((status == "ok") & (F.size("detections") > 0), "ok"), _count(status == "no_box", "no_box"), _count(status == "sam_failed", "sam_failed"), _count(fallback, "fallback"),
+        F.count(F.lit(1)).alias("anchors"),
+        _count((status == "ok") & (F.size("detections") > 0), "ok"),
+        _count(status == "no_box", "no_box"),
+        _count(status == "sam_failed", "sam_failed"),
+        _count(fallback, "fallback"),
     )
 
 
@@ -30,13 +34,20 @@ def relation_counts(relations: DataFrame) -> DataFrame:
     """Relations: all, those with both ends ok, and those with an end that can't be grounded."""
     a, b = F.col("subject_status"), F.col("object_status")
     out = F.lit("non_groundable")
-    return relations.agg(F.count(F.lit(1)).alias("relations"), _count((a == "ok") & (b == "ok"), "both_ok"), _count(a.eqNullSafe(out) | b.eqNullSafe(out), "non_groundable"))
+    return relations.agg(
+        F.count(F.lit(1)).alias("relations"), _count((a == "ok") & (b == "ok"), "both_ok"),
+        _count(a.eqNullSafe(out) | b.eqNullSafe(out), "non_groundable")
+    )
 
 
 def record_counts(records: DataFrame) -> DataFrame:
     """Extraction records by outcome."""
     status = F.col("status")
-    return records.agg(F.count(F.lit(1)).alias("total"), _count(status == "ok", "ok"), _count(status == "missing_image", "missing_image"), _count(~status.isin("ok", "missing_image"), "failed"))
+    return records.agg(
+        F.count(F.lit(1)).alias("total"), _count(status == "ok", "ok"),
+        _count(status == "missing_image", "missing_image"),
+        _count(~status.isin("ok", "missing_image"), "failed")
+    )
 
 
 def joined(*reports: DataFrame) -> DataFrame:

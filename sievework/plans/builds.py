@@ -29,7 +29,10 @@ def hits_sql(t: str, terms: list[str]) -> str:
 @query(f"""WITH a AS (SELECT doc_id, {hits_sql(LOWER.format(_ARTICLE), gates.CONTEXT_TERMS)} AS terms, {hits_sql("lower('put in a gay flag ' || " + _EDITED + ")", gates.EDIT_TERMS)} AS first, {hits_sql("lower('plain ' || " + _EDITED + ")", gates.EDIT_TERMS)} AS second FROM documents)
 SELECT doc_id, array_to_string(terms, ',') AS terms, '0=' || array_to_string(first, ',') || CASE WHEN len(second) > 0 THEN '|1=' || array_to_string(second, ',') ELSE '' END AS hits FROM a WHERE len(terms) > 0""")
 def q_sensitive_flags(spark, sf_dir):
-    edit = lambda i, said: F.struct(F.lit("low").alias("severity"), F.lit(i).alias("candidate_index"), F.expr(_EDITED).alias("edited_anchor"), F.lit(said).alias("edit_instruction"))
+    edit = lambda i, said: F.struct(
+        F.lit("low").alias("severity"), F.lit(i).alias("candidate_index"),
+        F.expr(_EDITED).alias("edited_anchor"), F.lit(said).alias("edit_instruction")
+    )
     flag = gates.sensitive_flag(F.expr(_ARTICLE.replace("||", "||")), F.array(edit(0, "put in a gay flag"), edit(1, "plain")))
     rows = table(spark, sf_dir, "documents").select("doc_id", flag.alias("f")).where("f.flagged")
     shown = F.transform("f.edit_hits", lambda h: F.concat(h["candidate_index"].cast("string"), F.lit("="), F.array_join(h["matched_terms"], ",")))
@@ -40,11 +43,19 @@ _GATED_EDIT = f"""concat_ws(';', CASE WHEN l_quantity > 40 THEN 'edit_not_accept
 CASE WHEN l_tax * 15 > 0.95 THEN 'changed_ratio_too_high' END, CASE WHEN l_quantity / 10 < 1.5 THEN 'masked_delta_too_low' END, CASE WHEN l_suppkey % 7 = 0 THEN 'sensitive_flagged' END, CASE WHEN l_partkey % 5 = 0 THEN 'anchor_invalid:' || CASE WHEN l_partkey % 2 = 0 THEN 'small' ELSE 'unknown' END END)"""
 
 
-@query(f"SELECT {LINE}, CASE WHEN r = '' THEN 'passed' ELSE r END AS filter_reason FROM (SELECT {LINE}, {_GATED_EDIT.replace('l_tax < 0.0025', 'l_tax * 15 < 0.0025')} AS r FROM lineitem)")
+@query(
+    f"SELECT {LINE}, CASE WHEN r = '' THEN 'passed' ELSE r END AS filter_reason FROM (SELECT {LINE}, {_GATED_EDIT.replace('l_tax < 0.0025', 'l_tax * 15 < 0.0025')} AS r FROM lineitem)"
+)
 def q_edit_gates(spark, sf_dir):
     row = {
-        "accepted": c("l_quantity") <= 40, "error": F.when((c("l_linestatus") == "F") & (c("l_linenumber") == 1), "boom").otherwise(""), "realism_score": c("l_discount") * 8, "masked_changed_ratio": c("l_tax") * 15, "masked_mean_delta": c("l_quantity") / 10,
-        "sensitive": c("l_suppkey") % 7 == 0, "anchor_valid": c("l_partkey") % 5 != 0, "anchor_reason": F.when(c("l_partkey") % 2 == 0, "small").otherwise(""),
+        "accepted": c("l_quantity") <= 40,
+        "error": F.when((c("l_linestatus") == "F") & (c("l_linenumber") == 1), "boom").otherwise(""),
+        "realism_score": c("l_discount") * 8,
+        "masked_changed_ratio": c("l_tax") * 15,
+        "masked_mean_delta": c("l_quantity") / 10,
+        "sensitive": c("l_suppkey") % 7 == 0,
+        "anchor_valid": c("l_partkey") % 5 != 0,
+        "anchor_reason": F.when(c("l_partkey") % 2 == 0, "small").otherwise(""),
     }
     why = gates.reasons(*gates.edit_reasons(row, release.BuildConfig(require_accepted=True, require_valid=True)))
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", gates.filter_reason(why).alias("filter_reason"))
@@ -56,7 +67,10 @@ SELECT r.k AS l_orderkey, said || coalesce(' | verifier: ' || note, '') AS rejec
 def q_rejections(spark, sf_dir):
     tiny = F.concat(F.lit("tiny_"), "l_returnflag")
     why = F.when(c("l_linestatus") == "O", F.array(F.lit("verifier_rejected"), tiny)).otherwise(F.array(tiny))
-    line = F.struct("l_linenumber", "l_partkey", "l_suppkey", why.alias("rejection_reasons"), F.concat(F.lit(" note "), c("l_suppkey").cast("string")).alias("note"))
+    line = F.struct(
+        "l_linenumber", "l_partkey", "l_suppkey", why.alias("rejection_reasons"),
+        F.concat(F.lit(" note "), c("l_suppkey").cast("string")).alias("note")
+    )
     found = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("lines"))
     return found.select("l_orderkey", gates.rejection_summary(c("lines")).alias("rejected"))
 
@@ -64,9 +78,16 @@ def q_rejections(spark, sf_dir):
 @query("""WITH o AS (SELECT l_orderkey, list(CASE WHEN l_linestatus = 'O' THEN 'no_' || l_returnflag ELSE '' END ORDER BY l_linenumber, l_partkey, l_suppkey) AS w, list('[' || l_linenumber::DOUBLE || ', ' || round_even(l_tax * 10, 1) || ']' ORDER BY l_linenumber, l_partkey, l_suppkey) AS b FROM lineitem GROUP BY l_orderkey),
 f AS (SELECT l_orderkey, list_filter(w, lambda x, i: x <> '' AND list_position(w, x) = i) AS w, b FROM o) SELECT l_orderkey, 'reasons=' || array_to_string(w[1:3], '; ') || ' boxes=' || array_to_string(b[1:2], ', ') AS failed FROM f""")
 def q_segment_failures(spark, sf_dir):
-    line = F.struct("l_linenumber", "l_partkey", "l_suppkey", F.when(c("l_linestatus") == "O", F.concat(F.lit("no_"), "l_returnflag")).otherwise("").alias("why"), F.array(c("l_linenumber").cast("double"), c("l_tax") * 10).alias("box"))
+    line = F.struct(
+        "l_linenumber", "l_partkey", "l_suppkey",
+        F.when(c("l_linestatus") == "O", F.concat(F.lit("no_"), "l_returnflag")).otherwise("").alias("why"),
+        F.array(c("l_linenumber").cast("double"), c("l_tax") * 10).alias("box")
+    )
     found = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("x"))
-    return found.select("l_orderkey", gates.failure_summary(F.transform("x", lambda r: r["why"]), F.transform("x", lambda r: r["box"])).alias("failed"))
+    return found.select(
+        "l_orderkey",
+        gates.failure_summary(F.transform("x", lambda r: r["why"]), F.transform("x", lambda r: r["box"])).alias("failed")
+    )
 
 
 _SHIFT = f"{CLAMP.format(f'0.50 * {clamped("l_discount * 12")} + 0.30 * {clamped("l_tax * 10")} + 0.20 * {clamped("l_quantity / 60")}')}"
@@ -86,8 +107,17 @@ def q_shift_scores(spark, sf_dir):
     severity = F.when(c("l_returnflag") == "N", "low").when(c("l_returnflag") == "A", "medium").otherwise("high")
     operation = F.get(F.array(*map(F.lit, ["attribute_change", "remove", "replace"])), n % 3)
     return table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_linenumber", scoring.semantic_shift(d * 12, t * 10, q / 60).alias("shift"), scoring.contradiction(F.when(t > 0.02, t * 9), direction).alias("contradiction"),
-        scoring.tier_prior(F.when(n % 3 == 0, d * 20).otherwise(none), F.when(n % 3 == 1, 0.4).otherwise(none), F.when(c("l_linestatus") == "O", "tier_c").otherwise("other")).alias("prior"), mixed["salience"].alias("salience"), mixed["visibility"].alias("visibility"),
+        "l_orderkey",
+        "l_partkey",
+        "l_linenumber",
+        scoring.semantic_shift(d * 12, t * 10, q / 60).alias("shift"),
+        scoring.contradiction(F.when(t > 0.02, t * 9), direction).alias("contradiction"),
+        scoring.tier_prior(
+            F.when(n % 3 == 0, d * 20).otherwise(none), F.when(n % 3 == 1, 0.4).otherwise(none),
+            F.when(c("l_linestatus") == "O", "tier_c").otherwise("other")
+        ).alias("prior"),
+        mixed["salience"].alias("salience"),
+        mixed["visibility"].alias("visibility"),
         scoring.confidence(d * 12, t * 12, q / 45).alias("confidence"), scoring.text_operation(severity, operation).alias("text_op"),
     )
 
@@ -108,22 +138,39 @@ def q_attempts(spark, sf_dir):
     tries = routing.attempts(effective, severity, c("l_partkey") % 3 == 0, area, near)
     rows = table(spark, sf_dir, "lineitem").withColumns({"t": tries, "pad": routing.replace_strength(area, near)["pad"]})
     end = F.try_element_at("t", F.lit(-1))
-    return rows.select("l_orderkey", "l_partkey", "l_linenumber", F.size("t").alias("tries"), F.get("t", F.lit(0))["strength"].alias("first"), end["strength"].alias("last"), end["steps"].alias("steps"), end["feather"].alias("feather"), "pad")
+    return rows.select(
+        "l_orderkey", "l_partkey", "l_linenumber", F.size("t").alias("tries"),
+        F.get("t", F.lit(0))["strength"].alias("first"), end["strength"].alias("last"),
+        end["steps"].alias("steps"), end["feather"].alias("feather"), "pad"
+    )
 
 
 _ACCEPT = """CASE WHEN l_linenumber = 7 THEN 'error' WHEN l_suppkey % 9 = 0 THEN 'skipped' WHEN NOT (l_quantity / 5 >= CASE l_returnflag WHEN 'N' THEN 3.0 WHEN 'A' THEN 5.0 ELSE 8.0 END AND l_tax >= CASE l_returnflag WHEN 'N' THEN 0.01 WHEN 'A' THEN 0.018 ELSE 0.03 END) THEN 'edit_not_visible' WHEN l_discount > 0.01 AND l_discount * 10 < 0.45 THEN 'low_realism' END"""
 _NAME = "'_req-' || CASE WHEN l_linenumber % 2 = 0 THEN 'attribute_change' ELSE 'unknown' END || '_eff-replace_low_' || l_linenumber || '.png'"
 
 
-@query(f"""SELECT {LINE}, r IS NULL AS accepted, r AS reject_reason, l_orderkey || '/' || l_partkey || {_NAME} AS output, l_orderkey || '/rejects/' || l_partkey || {_NAME} AS refused, l_quantity / 100 <= 0.28 AND NOT (l_suppkey % 2 = 0 AND l_suppkey % 3 <> 0 AND l_quantity / 100 > 0.12) AS fallback FROM (SELECT *, {_ACCEPT} AS r FROM lineitem)""")
+@query(
+    f"""SELECT {LINE}, r IS NULL AS accepted, r AS reject_reason, l_orderkey || '/' || l_partkey || {_NAME} AS output, l_orderkey || '/rejects/' || l_partkey || {_NAME} AS refused, l_quantity / 100 <= 0.28 AND NOT (l_suppkey % 2 = 0 AND l_suppkey % 3 <> 0 AND l_quantity / 100 > 0.12) AS fallback FROM (SELECT *, {_ACCEPT} AS r FROM lineitem)"""
+)
 def q_edit_outcomes(spark, sf_dir):
     severity = F.when(c("l_returnflag") == "N", "low").when(c("l_returnflag") == "A", "medium").otherwise("high")
     visible = routing.is_visible(severity, c("l_quantity") / 5, c("l_tax"))
-    end = routing.outcome(F.when(c("l_suppkey") % 9 == 0, "skip").otherwise("replace"), F.when(c("l_linenumber") == 7, "boom"), visible, F.when(c("l_discount") > 0.01, c("l_discount") * 10))
+    end = routing.outcome(
+        F.when(c("l_suppkey") % 9 == 0, "skip").otherwise("replace"), F.when(c("l_linenumber") == 7, "boom"),
+        visible, F.when(c("l_discount") > 0.01, c("l_discount") * 10)
+    )
     meta = F.struct((c("l_suppkey") % 2 == 0).alias("person_like"), (c("l_suppkey") % 3 == 0).alias("safe_remove"))
-    named = lambda f: f(c("l_orderkey").cast("string"), c("l_partkey").cast("string"), F.when(c("l_linenumber") % 2 == 0, " Attribute Change").otherwise(""), F.lit("replace"), F.lit("low"), c("l_linenumber"))
+    named = lambda f: f(
+        c("l_orderkey").cast("string"), c("l_partkey").cast("string"),
+        F.when(c("l_linenumber") % 2 == 0, " Attribute Change").otherwise(""), F.lit("replace"), F.lit("low"),
+        c("l_linenumber")
+    )
     rows = table(spark, sf_dir, "lineitem").withColumn("end", end)
-    return rows.select("l_orderkey", "l_partkey", "l_linenumber", "end.accepted", "end.reject_reason", named(routing.output_name).alias("output"), named(routing.reject_name).alias("refused"), routing.fallback_allowed(c("l_quantity") / 100, meta).alias("fallback"))
+    return rows.select(
+        "l_orderkey", "l_partkey", "l_linenumber", "end.accepted", "end.reject_reason",
+        named(routing.output_name).alias("output"), named(routing.reject_name).alias("refused"),
+        routing.fallback_allowed(c("l_quantity") / 100, meta).alias("fallback")
+    )
 
 
 _OPS = "CASE WHEN l_tax > 0.02 THEN {0} ELSE {1} END"
@@ -136,15 +183,39 @@ CASE WHEN salience < 0.15 THEN 'skipped_low_salience' WHEN rc = 5 THEN 'skipped_
 def q_planning_context(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), c("l_partkey") == c("p_partkey"))
     held = rows.select(
-        c("l_orderkey").alias("sample_id"), c("l_partkey").alias("anchor_id"), "l_linenumber", c("p_name").alias("anchor_text"), F.lower("p_type").alias("category"), c("l_tax").alias("mask_ratio"), (c("l_discount") * 10).alias("grounding_score"), c("l_linenumber").alias("relation_count"),
-        F.when(c("l_linenumber") == 5, "").otherwise("m.png").alias("union_mask_path"), F.lit(None).cast("array<double>").alias("bbox_xyxy"), F.when(c("l_linenumber") == 6, "").otherwise("i.png").alias("image_path"), F.lit("old").alias("headline"), F.lit("old").alias("summary"), "p_name",
+        c("l_orderkey").alias("sample_id"),
+        c("l_partkey").alias("anchor_id"),
+        "l_linenumber",
+        c("p_name").alias("anchor_text"),
+        F.lower("p_type").alias("category"),
+        c("l_tax").alias("mask_ratio"),
+        (c("l_discount") * 10).alias("grounding_score"),
+        c("l_linenumber").alias("relation_count"),
+        F.when(c("l_linenumber") == 5, "").otherwise("m.png").alias("union_mask_path"),
+        F.lit(None).cast("array<double>").alias("bbox_xyxy"),
+        F.when(c("l_linenumber") == 6, "").otherwise("i.png").alias("image_path"),
+        F.lit("old").alias("headline"),
+        F.lit("old").alias("summary"),
+        "p_name",
     )
     orders = table(spark, sf_dir, "orders")
-    named = held.select("sample_id", "anchor_id", "p_name").distinct().join(orders, c("sample_id") == c("o_orderkey")).select("sample_id", "anchor_id", F.concat("o_orderpriority", F.lit(" with "), F.when(c("o_orderkey") % 2 == 0, c("p_name")).otherwise("")).alias("headline"), F.lit("").alias("summary"))
+    named = held.select("sample_id", "anchor_id", "p_name").distinct().join(orders, c("sample_id") == c("o_orderkey")).select(
+        "sample_id", "anchor_id",
+        F.concat("o_orderpriority", F.lit(" with "), F.when(c("o_orderkey") % 2 == 0, c("p_name")).otherwise("")).alias("headline"),
+        F.lit("").alias("summary")
+    )
     # a manifest for each line, so that a headline may name the anchor
     key = F.concat_ws("/", "sample_id", "anchor_id")
-    out = anchors.planning_context(held.withColumns({"order": c("sample_id"), "sample_id": key}), named.select(key.alias("sample_id"), "headline", "summary"))
-    return out.select(c("order").alias("l_orderkey"), c("anchor_id").alias("l_partkey"), "l_linenumber", c("salience_proxy").alias("salience"), c("visibility_proxy").alias("visibility"), c("tier_name").alias("tier"), F.size("allowed_operations").alias("ops"), c("early_status").alias("early"))
+    out = anchors.planning_context(
+        held.withColumns({"order": c("sample_id"), "sample_id": key}),
+        named.select(key.alias("sample_id"), "headline", "summary")
+    )
+    return out.select(
+        c("order").alias("l_orderkey"), c("anchor_id").alias("l_partkey"), "l_linenumber",
+        c("salience_proxy").alias("salience"), c("visibility_proxy").alias("visibility"),
+        c("tier_name").alias("tier"), F.size("allowed_operations").alias("ops"),
+        c("early_status").alias("early")
+    )
 
 
 _PLANNED = f"""WITH r AS (SELECT l_orderkey AS k, CASE l_returnflag WHEN 'N' THEN 'low' WHEN 'A' THEN 'medium' ELSE 'high' END AS severity, CASE l_returnflag WHEN 'N' THEN 0 WHEN 'A' THEN 1 ELSE 2 END AS rank, CAST(round(l_extendedprice * 100) AS BIGINT) AS pos, l_partkey % 3 AS what, {clamped('l_discount * 9.137')} AS s, {clamped('l_tax * 11.317')} AS t, {clamped('l_quantity / 50.773')} AS q FROM lineitem),
@@ -155,16 +226,35 @@ o AS (SELECT *, row_number() OVER (PARTITION BY k, severity ORDER BY round_even(
 w AS (SELECT *, coalesce(best < max(best) OVER (PARTITION BY k ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 0.05, false) AS warning FROM m)"""
 
 
-@query(_PLANNED + """ SELECT k AS l_orderkey, severity, CAST(place AS INTEGER) AS candidate_index, round_even(raw, 4) AS planned, round_even(conf, 4) AS confidence, CASE WHEN raw <= 0.18 THEN 'low' WHEN raw <= 0.45 THEN 'medium' ELSE 'high' END AS bucket, warning FROM o JOIN w USING (k, severity)""")
+@query(
+    _PLANNED + """ SELECT k AS l_orderkey, severity, CAST(place AS INTEGER) AS candidate_index, round_even(raw, 4) AS planned, round_even(conf, 4) AS confidence, CASE WHEN raw <= 0.18 THEN 'low' WHEN raw <= 0.45 THEN 'medium' ELSE 'high' END AS bucket, warning FROM o JOIN w USING (k, severity)"""
+)
 def q_scored_candidates(spark, sf_dir):
     d, t, q = F.least(F.lit(1.0), c("l_discount") * 9.137), F.least(F.lit(1.0), c("l_tax") * 11.317), F.least(F.lit(1.0), c("l_quantity") / 50.773)
-    candidate = F.struct(F.lit("replace").alias("operation"), F.concat(F.lit("hat "), (c("l_partkey") % 3).cast("string")).alias("edited_anchor"), F.lit("[FILL] x").alias("edit_instruction"), d.alias("semantic_shift"), t.alias("role_shift"), t.alias("contradiction_potential"), q.alias("public_impact"), q.alias("realism"), d.alias("localizability"))
+    candidate = F.struct(
+        F.lit("replace").alias("operation"),
+        F.concat(F.lit("hat "), (c("l_partkey") % 3).cast("string")).alias("edited_anchor"),
+        F.lit("[FILL] x").alias("edit_instruction"), d.alias("semantic_shift"), t.alias("role_shift"),
+        t.alias("contradiction_potential"), q.alias("public_impact"), q.alias("realism"),
+        d.alias("localizability")
+    )
     severity = F.when(c("l_returnflag") == "N", "low").when(c("l_returnflag") == "A", "medium").otherwise("high")
     rows = table(spark, sf_dir, "lineitem").select(
-        c("l_orderkey").alias("sample_id"), F.lit("a").alias("anchor_id"), severity.alias("severity"), F.round(c("l_extendedprice") * 100).cast("long").alias("pos"), candidate.alias("candidate"), F.lit(0.5).alias("tier_prior"), d.alias("salience_proxy"), t.alias("visibility_proxy"),
+        c("l_orderkey").alias("sample_id"),
+        F.lit("a").alias("anchor_id"),
+        severity.alias("severity"),
+        F.round(c("l_extendedprice") * 100).cast("long").alias("pos"),
+        candidate.alias("candidate"),
+        F.lit(0.5).alias("tier_prior"),
+        d.alias("salience_proxy"),
+        t.alias("visibility_proxy"),
         q.alias("centrality"), q.alias("editability"), F.lit(True).alias("visible"), F.lit("").alias("apparent_size"),
     )
-    return anchors.scored_candidates(rows).select(c("sample_id").alias("l_orderkey"), "severity", "candidate_index", c("planned_score_raw").alias("planned"), c("planner_confidence").alias("confidence"), c("planned_bucket").alias("bucket"), c("tier_ordering_warning").alias("warning"))
+    return anchors.scored_candidates(rows).select(
+        c("sample_id").alias("l_orderkey"), "severity", "candidate_index",
+        c("planned_score_raw").alias("planned"), c("planner_confidence").alias("confidence"),
+        c("planned_bucket").alias("bucket"), c("tier_ordering_warning").alias("warning")
+    )
 
 
 @query("""WITH p AS (SELECT p_partkey AS id, p_name AS phrase, string_split(p_name, ' ')[-1] AS head, p_size FROM part), d AS (SELECT id, 0 AS rank, i, phrase AS query, p_size FROM p, (SELECT unnest(range(4)) AS i) UNION ALL SELECT id, 1, i, head, p_size FROM p, (SELECT unnest(range(3)) AS i)),
@@ -172,34 +262,54 @@ e AS (SELECT *, CAST(10 * i AS DOUBLE) AS x1, CAST(10 * i + 20 + rank AS DOUBLE)
 r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round_even(score, 6) DESC, score DESC, rank) AS n FROM s) SELECT id AS p_partkey, query, x1, score FROM r WHERE n <= 3 AND n <= CASE WHEN p_size % 2 = 0 THEN 2 ELSE 1 END""")
 def q_selected_detections(spark, sf_dir):
     parts = table(spark, sf_dir, "part")
-    asked = parts.select(c("p_partkey").alias("sample_id"), F.lit("a").alias("anchor_id"), c("p_name").alias("phrase"), F.lit("object").alias("category"), (c("p_size") % 2 == 0).alias("multi"), F.lit(100).alias("width"), F.lit(100).alias("height"))
+    asked = parts.select(
+        c("p_partkey").alias("sample_id"), F.lit("a").alias("anchor_id"), c("p_name").alias("phrase"),
+        F.lit("object").alias("category"), (c("p_size") % 2 == 0).alias("multi"), F.lit(100).alias("width"),
+        F.lit(100).alias("height")
+    )
     tries = F.explode(F.array(*[F.struct(F.lit(r).alias("rank"), F.lit(i).alias("i")) for r, n in ((0, 4), (1, 3)) for i in range(n)]))
     rows = parts.select(c("p_partkey").alias("sample_id"), "p_name", tries.alias("t")).select("sample_id", "p_name", "t.*")
     x1 = c("i") * 10.0
     query_ = F.when(c("rank") == 0, c("p_name")).otherwise(F.element_at(F.split("p_name", " "), -1))
     score = F.lit(0.2) + ((c("sample_id") * 7 + c("i") * 13 + c("rank") * 29) % 50) / 100.0
-    boxes = rows.select("sample_id", query_.alias("query"), F.array(x1, F.lit(0.0), x1 + 20 + c("rank"), F.lit(30.0)).alias("box"), score.alias("score"))
+    boxes = rows.select(
+        "sample_id", query_.alias("query"),
+        F.array(x1, F.lit(0.0), x1 + 20 + c("rank"), F.lit(30.0)).alias("box"), score.alias("score")
+    )
     got = anchors.selected_detections(asked, boxes, limit=1.0, one=1, many=2)
     return got.select(c("sample_id").alias("p_partkey"), "query", F.get("box", F.lit(0)).alias("x1"), "score")
 
 
 def line_structs(spark, sf_dir):
     """Results, plans, anchors and manifests: lines are results, those still open are planned, those not returned have anchors, orders that are final have manifests."""
-    lines = table(spark, sf_dir, "lineitem").select(c("l_orderkey").alias("sample_id"), c("l_partkey").alias("anchor_id"), "l_linenumber", "l_linestatus", "l_returnflag")
+    lines = table(spark, sf_dir, "lineitem").select(
+        c("l_orderkey").alias("sample_id"), c("l_partkey").alias("anchor_id"), "l_linenumber", "l_linestatus",
+        "l_returnflag"
+    )
     keys = ["sample_id", "anchor_id"]
-    return lines, lines.where("l_linestatus = 'O'").select(*keys).distinct(), lines.where("l_returnflag = 'N'").select(*keys).distinct(), table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(c("o_orderkey").alias("sample_id"), "o_orderpriority")
+    return lines, lines.where("l_linestatus = 'O'").select(*keys).distinct(), lines.where("l_returnflag = 'N'").select(*keys).distinct(), table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(
+        c("o_orderkey").alias("sample_id"), "o_orderpriority"
+    )
 
 
-@query("""SELECT l_orderkey, l_partkey, l_linenumber, bool_or(l_linestatus = 'O') OVER w AS planned, bool_or(l_returnflag = 'N') OVER w AS anchored, o_orderpriority AS priority FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey AND o_orderstatus = 'F' WINDOW w AS (PARTITION BY l_orderkey, l_partkey)""")
+@query(
+    """SELECT l_orderkey, l_partkey, l_linenumber, bool_or(l_linestatus = 'O') OVER w AS planned, bool_or(l_returnflag = 'N') OVER w AS anchored, o_orderpriority AS priority FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey AND o_orderstatus = 'F' WINDOW w AS (PARTITION BY l_orderkey, l_partkey)"""
+)
 def q_release_lookup(spark, sf_dir):
     got = relational.lookups(*line_structs(spark, sf_dir))
-    return got.select(c("sample_id").alias("l_orderkey"), c("anchor_id").alias("l_partkey"), "l_linenumber", c("plan").isNotNull().alias("planned"), c("anchor").isNotNull().alias("anchored"), c("manifest.o_orderpriority").alias("priority"))
+    return got.select(
+        c("sample_id").alias("l_orderkey"), c("anchor_id").alias("l_partkey"), "l_linenumber",
+        c("plan").isNotNull().alias("planned"), c("anchor").isNotNull().alias("anchored"),
+        c("manifest.o_orderpriority").alias("priority")
+    )
 
 
 @query("SELECT l_orderkey, l_partkey, l_linenumber, o_orderpriority FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
 def q_required_lookup(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select(c("o_orderkey").alias("l_orderkey"), "o_orderpriority")
-    return relational.required(table(spark, sf_dir, "lineitem"), orders, ["l_orderkey"], "order").select("l_orderkey", "l_partkey", "l_linenumber", "o_orderpriority")
+    return relational.required(
+        table(spark, sf_dir, "lineitem"), orders, ["l_orderkey"], "order"
+    ).select("l_orderkey", "l_partkey", "l_linenumber", "o_orderpriority")
 
 
 @query("SELECT doc_id FROM documents ORDER BY sha256('13|' || doc_id), doc_id LIMIT 137")
@@ -217,23 +327,71 @@ def build_inputs(spark, sf_dir):
     keys = [c("o_custkey").cast("string").alias("sample_id"), c("o_orderkey").cast("string").alias("anchor_id")]
     none = F.lit(None)
     share = c("o_totalprice") / 617283.7
-    said = lambda h, raw=none.cast("string"): F.struct(h.alias("rewritten_headline"), none.cast("string").alias("text_edit_operation"), F.lit("neutral").alias("nli_direction"), none.cast("string").alias("rewrite_rationale"), none.cast("string").alias("error"), raw.alias("raw_rewrite_output")).cast(REWRITE)
+    said = lambda h, raw=none.cast("string"): F.struct(
+        h.alias("rewritten_headline"), none.cast("string").alias("text_edit_operation"),
+        F.lit("neutral").alias("nli_direction"), none.cast("string").alias("rewrite_rationale"),
+        none.cast("string").alias("error"), raw.alias("raw_rewrite_output")
+    ).cast(REWRITE)
     headline = F.concat(F.lit("new words of "), F.lower("o_orderpriority"), F.lit(" here"))
     spoken = F.concat(F.lit('sure {"rewritten_headline": "other words of '), F.lower("o_orderpriority"), F.lit('"}'))
-    rewrites = F.when(c("o_orderkey") % 4 == 0, F.create_map(F.lit("joint"), said(headline))).when(c("o_orderkey") % 4 == 1, F.create_map(F.lit("text_only"), said(none.cast("string"), spoken))).otherwise(F.create_map(F.lit("joint"), said(F.lit(""))))
+    rewrites = F.when(c("o_orderkey") % 4 == 0, F.create_map(F.lit("joint"), said(headline))).when(
+        c("o_orderkey") % 4 == 1, F.create_map(F.lit("text_only"), said(none.cast("string"), spoken))
+    ).otherwise(F.create_map(F.lit("joint"), said(F.lit(""))))
     candidate = F.struct(
-        F.lit("replace").alias("operation"), F.lit("hat").alias("edited_anchor"), F.lit("do").alias("edit_instruction"), F.lit("why").alias("rationale"), F.lit(0.0).alias("delta_sem_plan"), share.alias("semantic_shift"), share.alias("role_shift"), share.alias("public_impact"), F.lit(0.0).alias("contradiction_potential"), rewrites.alias("headline_rewrite"),
+        F.lit("replace").alias("operation"),
+        F.lit("hat").alias("edited_anchor"),
+        F.lit("do").alias("edit_instruction"),
+        F.lit("why").alias("rationale"),
+        F.lit(0.0).alias("delta_sem_plan"),
+        share.alias("semantic_shift"),
+        share.alias("role_shift"),
+        share.alias("public_impact"),
+        F.lit(0.0).alias("contradiction_potential"),
+        rewrites.alias("headline_rewrite"),
     )
     severity = F.when(c("o_orderstatus") == "O", "low").when(c("o_orderstatus") == "P", "medium").otherwise("high")
     plans = o.select(
-        *keys, F.lit("p.png").alias("image_path"), F.lit("").alias("headline"), F.lit("").alias("summary"), (c("o_orderkey") % 11 == 0).alias("sensitive"), none.cast("double").alias("tier_prior"), none.cast("double").alias("proxy_tier_prior"), F.when(c("o_orderkey") % 2 == 0, "Tier_C").otherwise("tier_b").alias("tier_name"),
-        share.alias("salience_proxy"), share.alias("visibility_proxy"), share.alias("blended_salience"), share.alias("blended_visibility"), (c("o_orderkey") % 3 == 0).alias("has_proxies"), F.create_map(severity, F.array(candidate)).alias("candidates"),
+        *keys,
+        F.lit("p.png").alias("image_path"),
+        F.lit("").alias("headline"),
+        F.lit("").alias("summary"),
+        (c("o_orderkey") % 11 == 0).alias("sensitive"),
+        none.cast("double").alias("tier_prior"),
+        none.cast("double").alias("proxy_tier_prior"),
+        F.when(c("o_orderkey") % 2 == 0, "Tier_C").otherwise("tier_b").alias("tier_name"),
+        share.alias("salience_proxy"),
+        share.alias("visibility_proxy"),
+        share.alias("blended_salience"),
+        share.alias("blended_visibility"),
+        (c("o_orderkey") % 3 == 0).alias("has_proxies"),
+        F.create_map(severity, F.array(candidate)).alias("candidates"),
+    )
+    held = o.select(
+        *keys, (c("o_orderkey") % 5 != 0).alias("technical_valid"),
+        F.when(c("o_orderkey") % 5 == 0, "mask_too_small").alias("technical_reject_reason")
+    )
+    manifests = cust.select(
+        c("c_custkey").cast("string").alias("sample_id"), F.lit("p.png").alias("image_path"),
+        F.concat(F.lit("old words of "), F.lower("c_mktsegment")).alias("headline"),
+        F.lit("sum").alias("summary"), F.struct(F.lit("lit").alias("image_caption_literal")).alias("caption")
     )
-    held = o.select(*keys, (c("o_orderkey") % 5 != 0).alias("technical_valid"), F.when(c("o_orderkey") % 5 == 0, "mask_too_small").alias("technical_reject_reason"))
-    manifests = cust.select(c("c_custkey").cast("string").alias("sample_id"), F.lit("p.png").alias("image_path"), F.concat(F.lit("old words of "), F.lower("c_mktsegment")).alias("headline"), F.lit("sum").alias("summary"), F.struct(F.lit("lit").alias("image_caption_literal")).alias("caption"))
     results = o.select(
-        *keys, F.when(c("o_orderkey") % 2 == 0, "imagetext").otherwise("image_only").alias("modality"), severity.alias("severity"), F.lit(0).alias("candidate_index"), F.lit(True).alias("accepted"), F.when(c("o_orderkey") % 13 == 0, "boom").otherwise("").alias("error"), (share * 2).alias("realism_score"), share.alias("masked_changed_ratio"), (share * 20).alias("masked_mean_delta"),
-        F.lit("replace").alias("requested_operation"), F.lit("replace").alias("effective_operation"), F.lit("o.png").alias("output_path"), F.lit("p.png").alias("image_path"), none.cast("string").alias("rewritten_caption"), none.cast("string").alias("nli_direction"), F.lit("").alias("tier"),
+        *keys,
+        F.when(c("o_orderkey") % 2 == 0, "imagetext").otherwise("image_only").alias("modality"),
+        severity.alias("severity"),
+        F.lit(0).alias("candidate_index"),
+        F.lit(True).alias("accepted"),
+        F.when(c("o_orderkey") % 13 == 0, "boom").otherwise("").alias("error"),
+        (share * 2).alias("realism_score"),
+        share.alias("masked_changed_ratio"),
+        (share * 20).alias("masked_mean_delta"),
+        F.lit("replace").alias("requested_operation"),
+        F.lit("replace").alias("effective_operation"),
+        F.lit("o.png").alias("output_path"),
+        F.lit("p.png").alias("image_path"),
+        none.cast("string").alias("rewritten_caption"),
+        none.cast("string").alias("nli_direction"),
+        F.lit("").alias("tier"),
     )
     return results, plans, held, manifests
 
@@ -261,7 +419,9 @@ def q_text_examples(spark, sf_dir):
     return got.select("anchor_id", "severity_score", "headline_edited", c("provenance.rewrite_source").alias("source"), "filter_reason")
 
 
-@query(f"SELECT c_custkey || '__pristine' AS pair_id, h AS headline, {split_sql('c_custkey::VARCHAR')} AS split FROM (SELECT c_custkey, 'old words of ' || lower(c_mktsegment) AS h FROM customer) WHERE {gate_sql('h', 80)} = 'ok'")
+@query(
+    f"SELECT c_custkey || '__pristine' AS pair_id, h AS headline, {split_sql('c_custkey::VARCHAR')} AS split FROM (SELECT c_custkey, 'old words of ' || lower(c_mktsegment) AS h FROM customer) WHERE {gate_sql('h', 80)} = 'ok'"
+)
 def q_pristine_examples(spark, sf_dir):
     got = release.pristine_examples(build_inputs(spark, sf_dir)[3])
     return got.select("pair_id", c("headline_edited").alias("headline"), relational.split_of(c("sample_id")).alias("split"))
@@ -272,9 +432,20 @@ k AS (SELECT *, row_number() OVER (PARTITION BY id, ok ORDER BY least(1.0, coale
 UNION ALL SELECT nation.n_name || '__pristine', n_nationkey::VARCHAR, true FROM nation""")
 def q_union_release(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
-    row = lambda df, score, ok: df.select(c("o_orderpriority").alias("pair_id"), c("o_orderkey").cast("string").alias("sample_id"), F.lit("image_only").alias("modality"), F.struct(score.alias("realism_score")).alias("quality"), F.lpad(c("o_orderkey").cast("string"), 12, "0").alias("result_order"), F.when(ok, "passed").otherwise("bad").alias("filter_reason"))
-    edited, texts = row(o, c("o_totalprice") / 600000, c("o_orderstatus") != "F"), row(o.where("o_orderkey % 100 = 0"), F.lit(None).cast("double"), F.lit(True))
-    pristine = table(spark, sf_dir, "nation").select(F.concat("n_name", F.lit("__pristine")).alias("pair_id"), c("n_nationkey").cast("string").alias("sample_id"), F.lit("pristine").alias("modality"), F.lit("passed").alias("filter_reason"))
+    row = lambda df, score, ok: df.select(
+        c("o_orderpriority").alias("pair_id"), c("o_orderkey").cast("string").alias("sample_id"),
+        F.lit("image_only").alias("modality"), F.struct(score.alias("realism_score")).alias("quality"),
+        F.lpad(c("o_orderkey").cast("string"), 12, "0").alias("result_order"),
+        F.when(ok, "passed").otherwise("bad").alias("filter_reason")
+    )
+    edited, texts = row(o, c("o_totalprice") / 600000, c("o_orderstatus") != "F"), row(
+        o.where("o_orderkey % 100 = 0"), F.lit(None).cast("double"), F.lit(True)
+    )
+    pristine = table(spark, sf_dir, "nation").select(
+        F.concat("n_name", F.lit("__pristine")).alias("pair_id"),
+        c("n_nationkey").cast("string").alias("sample_id"), F.lit("pristine").alias("modality"),
+        F.lit("passed").alias("filter_reason")
+    )
     kept, refused = release.release(pristine, edited, texts, release.BuildConfig())
     return kept.select("pair_id", "sample_id", F.lit(True).alias("kept")).unionAll(refused.select("pair_id", "sample_id", F.lit(False).alias("kept")))
 
@@ -283,16 +454,35 @@ def q_union_release(spark, sf_dir):
 SELECT o_orderkey, severity, CAST(i AS INTEGER) AS candidate_index, string_agg(m || '=' || m || o_orderkey, ';' ORDER BY m) AS rewrites FROM t GROUP BY ALL""")
 def q_rewrite_tasks(spark, sf_dir):
     severity = F.when(c("o_orderstatus") == "O", "low").when(c("o_orderstatus") == "P", "medium").otherwise("high")
-    plans = table(spark, sf_dir, "orders").select("o_orderkey", F.create_map(severity, F.array(F.struct(F.lit(1).alias("x")), F.struct(F.lit(2).alias("x")))).alias("severity_candidates"))
+    plans = table(spark, sf_dir, "orders").select(
+        "o_orderkey",
+        F.create_map(severity, F.array(F.struct(F.lit(1).alias("x")), F.struct(F.lit(2).alias("x")))).alias("severity_candidates")
+    )
     tasks = inference.rewrite_tasks(plans, ["o_orderkey"], least="medium")
-    answers = inference.with_recorded(tasks, tasks.select("o_orderkey", "mode", F.concat("mode", c("o_orderkey").cast("string")).alias("answer")), ["o_orderkey", "mode"])
+    answers = inference.with_recorded(
+        tasks,
+        tasks.select("o_orderkey", "mode", F.concat("mode", c("o_orderkey").cast("string")).alias("answer")),
+        ["o_orderkey", "mode"]
+    )
     back = inference.rewrites_back(answers, ["o_orderkey"], "answer")
-    return back.select("o_orderkey", "severity", "candidate_index", F.array_join(F.transform(F.map_entries("headline_rewrite"), lambda e: F.concat_ws("=", e["key"], e["value"])), ";").alias("rewrites"))
+    return back.select(
+        "o_orderkey", "severity", "candidate_index",
+        F.array_join(F.transform(F.map_entries("headline_rewrite"), lambda e: F.concat_ws("=", e["key"], e["value"])), ";").alias("rewrites")
+    )
 
 
-@query("""SELECT l_orderkey, bool_and(l_discount > 0.01) AS match, min(l_tax) AS score, string_agg(CASE WHEN l_returnflag <> 'N' THEN l_returnflag END, ' | ' ORDER BY l_linenumber, l_partkey, l_suppkey) AS reason, max(l_tax) AS best FROM lineitem GROUP BY l_orderkey""")
+@query(
+    """SELECT l_orderkey, bool_and(l_discount > 0.01) AS match, min(l_tax) AS score, string_agg(CASE WHEN l_returnflag <> 'N' THEN l_returnflag END, ' | ' ORDER BY l_linenumber, l_partkey, l_suppkey) AS reason, max(l_tax) AS best FROM lineitem GROUP BY l_orderkey"""
+)
 def q_verifiers(spark, sf_dir):
-    line = F.struct("l_linenumber", "l_partkey", "l_suppkey", (c("l_discount") > 0.01).alias("match"), c("l_tax").alias("score"), F.when(c("l_returnflag") != "N", c("l_returnflag")).otherwise("").alias("reason"))
+    line = F.struct(
+        "l_linenumber", "l_partkey", "l_suppkey", (c("l_discount") > 0.01).alias("match"),
+        c("l_tax").alias("score"),
+        F.when(c("l_returnflag") != "N", c("l_returnflag")).otherwise("").alias("reason")
+    )
     lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("x"))
-    rows = lines.select("l_orderkey", inference.verifier_stack(c("x")).alias("v"), inference.best_mask(F.transform("x", lambda r: F.struct(r["score"].alias("score"), r["match"].alias("mask"))))["score"].alias("best"))
+    rows = lines.select(
+        "l_orderkey", inference.verifier_stack(c("x")).alias("v"),
+        inference.best_mask(F.transform("x", lambda r: F.struct(r["score"].alias("score"), r["match"].alias("mask"))))["score"].alias("best")
+    )
     return rows.select("l_orderkey", "v.match", "v.score", F.when(c("v.reason") != "", c("v.reason")).alias("reason"), "best")

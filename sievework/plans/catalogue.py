@@ -104,16 +104,26 @@ def q_shard_items(spark, sf_dir):
 _ID = "l_orderkey::VARCHAR, l_partkey::VARCHAR, 'image_only', l_returnflag, l_linestatus, 'low', 'high', l_linenumber::VARCHAR, 'a b', 'x.png'"
 
 
-@query(f"""SELECT l_orderkey, l_partkey, l_linenumber, concat_ws('__', l_orderkey::VARCHAR, l_partkey::VARCHAR, 'image_only', l_linestatus, 'low', 'high', l_linenumber::VARCHAR, substr(sha1(concat_ws('|', {_ID})), 1, 10)) AS pair_id FROM lineitem""")
+@query(
+    f"""SELECT l_orderkey, l_partkey, l_linenumber, concat_ws('__', l_orderkey::VARCHAR, l_partkey::VARCHAR, 'image_only', l_linestatus, 'low', 'high', l_linenumber::VARCHAR, substr(sha1(concat_ws('|', {_ID})), 1, 10)) AS pair_id FROM lineitem"""
+)
 def q_pair_id(spark, sf_dir):
     s = lambda n: c(n).cast("string")
-    made = release.pair_id(s("l_orderkey"), s("l_partkey"), F.lit("image_only"), c("l_returnflag"), c("l_linestatus"), F.lit("low"), F.lit("high"), c("l_linenumber"), F.lit(" a  b"), F.lit("x.png"))
+    made = release.pair_id(
+        s("l_orderkey"), s("l_partkey"), F.lit("image_only"), c("l_returnflag"), c("l_linestatus"),
+        F.lit("low"), F.lit("high"), c("l_linenumber"), F.lit(" a  b"), F.lit("x.png")
+    )
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", made.alias("pair_id"))
 
 
-@query("SELECT l_orderkey, l_partkey, l_linenumber, ('0x' || substr(sha256(concat_ws('|', l_orderkey::VARCHAR, l_partkey::VARCHAR, l_linenumber::VARCHAR)), 1, 8))::BIGINT AS seed FROM lineitem")
+@query(
+    "SELECT l_orderkey, l_partkey, l_linenumber, ('0x' || substr(sha256(concat_ws('|', l_orderkey::VARCHAR, l_partkey::VARCHAR, l_linenumber::VARCHAR)), 1, 8))::BIGINT AS seed FROM lineitem"
+)
 def q_job_seed(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", routing.job_seed(*[c(n).cast("string") for n in ("l_orderkey", "l_partkey", "l_linenumber")]).alias("seed"))
+    return table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_linenumber",
+        routing.job_seed(*[c(n).cast("string") for n in ("l_orderkey", "l_partkey", "l_linenumber")]).alias("seed")
+    )
 
 
 @query(f"""WITH t AS (SELECT conv_id, turn, list_distinct(list_filter(string_split({WORDS.format("coalesce(text, '')")}, ' '), lambda x: x <> '')) AS w FROM conversations)
@@ -125,9 +135,15 @@ def q_lexical_change(spark, sf_dir):
     return rows.join(before, ["conv_id", "turn"]).select("conv_id", "turn", text.lexical_change(c("text"), c("before")).alias("change"))
 
 
-@query(f"SELECT doc_id, md5({WORDS.format('text')}) AS words_md5, md5({LOWER.format('text')}) AS lower_md5, md5(trim(lower(concat_ws(' ', lang, text)))) AS joined_md5 FROM documents")
+@query(
+    f"SELECT doc_id, md5({WORDS.format('text')}) AS words_md5, md5({LOWER.format('text')}) AS lower_md5, md5(trim(lower(concat_ws(' ', lang, text)))) AS joined_md5 FROM documents"
+)
 def q_normalize_text(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.words_only(c("text"))).alias("words_md5"), F.md5(text.lower_squeezed(c("text"))).alias("lower_md5"), F.md5(text.lower_joined(c("lang"), c("text"))).alias("joined_md5"))
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", F.md5(text.words_only(c("text"))).alias("words_md5"),
+        F.md5(text.lower_squeezed(c("text"))).alias("lower_md5"),
+        F.md5(text.lower_joined(c("lang"), c("text"))).alias("joined_md5")
+    )
 
 
 PHRASE = "'  The ' || p_name || ' of a ' || lower(p_type) || ' - ,'"
@@ -157,14 +173,24 @@ def q_infer_tag(spark, sf_dir):
 
 
 def tier_sql(t: str, part: str) -> str:
-    values = {"tier": ("'{0}'", "'tier_b'", "'tier_a'"), "prior": ("{1}", "0.5", "0.2"), "reason": ("list_filter({2}, lambda w: contains({3}, w))[1]", "'category_fallback'", "'default_fallback'")}[part]
-    cases = " ".join(f"WHEN {contains_any_sql(t, scoring.TIER_WORDS[k])} THEN {values[0].format(k, p, sql_list(scoring.TIER_WORDS[k]), t)}" for k, p in scoring.PLAN_PRIORS.items())
+    values = {
+        "tier": ("'{0}'", "'tier_b'", "'tier_a'"), "prior": ("{1}", "0.5", "0.2"),
+        "reason": ("list_filter({2}, lambda w: contains({3}, w))[1]", "'category_fallback'", "'default_fallback'")
+    }[part]
+    cases = " ".join(
+        f"WHEN {contains_any_sql(t, scoring.TIER_WORDS[k])} THEN {values[0].format(k, p, sql_list(scoring.TIER_WORDS[k]), t)}" for k,
+        p in scoring.PLAN_PRIORS.items()
+    )
     return f"CASE {cases} WHEN {contains_any_sql(t, ['person', 'face', 'logo', 'sign', 'text'])} THEN {values[1]} ELSE {values[2]} END"
 
 
-@query(f"SELECT p_partkey, {tier_sql('t', 'tier')} AS tier, CAST({tier_sql('t', 'prior')} AS DOUBLE) AS prior, {tier_sql('t', 'reason')} AS reason FROM (SELECT p_partkey, {LOWER.format('p_name' + chr(39).join(['||', ' | ', '||']) + 'p_type')} AS t FROM part)")
+@query(
+    f"SELECT p_partkey, {tier_sql('t', 'tier')} AS tier, CAST({tier_sql('t', 'prior')} AS DOUBLE) AS prior, {tier_sql('t', 'reason')} AS reason FROM (SELECT p_partkey, {LOWER.format('p_name' + chr(39).join(['||', ' | ', '||']) + 'p_type')} AS t FROM part)"
+)
 def q_object_tier(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", scoring.object_tier(c("p_name"), c("p_type")).alias("t")).select("p_partkey", "t.tier", "t.prior", "t.reason")
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", scoring.object_tier(c("p_name"), c("p_type")).alias("t")
+    ).select("p_partkey", "t.tier", "t.prior", "t.reason")
 
 
 LAST = "string_split(p_name, ' ')[-1]"
@@ -176,7 +202,10 @@ PLURAL = "CASE WHEN regexp_matches({0}, '[^aeiou]y$') AND length({0}) > 2 THEN l
 FROM (SELECT p_partkey, {LAST} || 's' AS w, substr(regexp_replace(regexp_replace(lower(trim(p_name || ' / ' || p_brand)), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), 1, 48) AS s FROM part)""")
 def q_word_forms(spark, sf_dir):
     word = F.concat(F.element_at(F.split("p_name", " "), -1), F.lit("s"))
-    return table(spark, sf_dir, "part").select("p_partkey", text.slug(F.concat_ws(" / ", "p_name", "p_brand")).alias("slug"), text.singular(word).alias("singular"), text.plural(word).alias("plural"))
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", text.slug(F.concat_ws(" / ", "p_name", "p_brand")).alias("slug"),
+        text.singular(word).alias("singular"), text.plural(word).alias("plural")
+    )
 
 
 @query(f"""WITH a AS (SELECT p_partkey, lower(p_name) || ' in the ' || lower(p_type) || ' scene view' AS t FROM part),
@@ -192,7 +221,9 @@ def q_candidate_queries(spark, sf_dir):
 _NAMED = "text || CASE doc_id % 3 WHEN 0 THEN ' the Refugee  council' WHEN 1 THEN ' on race and religion' ELSE '' END"
 
 
-@query(f"SELECT doc_id, array_to_string(list_filter({sql_list(gates.CONTEXT_TERMS)}, lambda w: contains(t, w)), ',') AS hits FROM (SELECT doc_id, {LOWER.format(_NAMED)} AS t FROM documents) WHERE len(list_filter({sql_list(gates.CONTEXT_TERMS)}, lambda w: contains(t, w))) > 0")
+@query(
+    f"SELECT doc_id, array_to_string(list_filter({sql_list(gates.CONTEXT_TERMS)}, lambda w: contains(t, w)), ',') AS hits FROM (SELECT doc_id, {LOWER.format(_NAMED)} AS t FROM documents) WHERE len(list_filter({sql_list(gates.CONTEXT_TERMS)}, lambda w: contains(t, w))) > 0"
+)
 def q_sensitive_hits(spark, sf_dir):
     """Texts of the table name no term, so some get one."""
     hits = table(spark, sf_dir, "documents").select("doc_id", gates.term_hits(F.expr(_NAMED), gates.CONTEXT_TERMS).alias("h"))
@@ -202,7 +233,10 @@ def q_sensitive_hits(spark, sf_dir):
 @query(f"""WITH a AS (SELECT doc_id, list_filter(list_transform(string_split_regex(text, '[.\\n]'), lambda x: {SQUEEZED.format('x')}), lambda x: x <> '') AS l FROM documents)
 SELECT doc_id, md5(array_to_string(list_filter(l, lambda x, i: list_position(list_transform(l, lambda y: lower(y)), lower(x)) = i), '|')) AS units_md5 FROM a""")
 def q_clean_list(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(F.array_join(coerce.clean_string_list(F.split("text", r"[.\n]")), "|")).alias("units_md5"))
+    return table(spark, sf_dir, "documents").select(
+        "doc_id",
+        F.md5(F.array_join(coerce.clean_string_list(F.split("text", r"[.\n]")), "|")).alias("units_md5")
+    )
 
 
 @query("SELECT conv_id, turn, md5(coalesce(text, '')) AS repaired_md5 FROM conversations")
@@ -224,16 +258,24 @@ def q_json_repair(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.try_variant_get(F.try_parse_json(got), "$.a[1].k", "bigint").alias("k"))
 
 
-@query("SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1")
+@query(
+    "SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1"
+)
 def q_keyed_last_wins(spark, sf_dir):
     from sievework.sources.scans import last_wins
 
-    return last_wins(table(spark, sf_dir, "events"), ["user_id", "event_type"], ["ts", "event_id"], blank=True).select("user_id", "event_type", "event_id", "value")
+    return last_wins(
+        table(spark, sf_dir, "events"), ["user_id", "event_type"], ["ts", "event_id"], blank=True
+    ).select("user_id", "event_type", "event_id", "value")
 
 
-@query("SELECT doc_id, source, lang FROM (SELECT d.*, row_number() OVER (PARTITION BY source, lang ORDER BY greatest(0.0, least(1.0, coalesce(quality, 0)::DOUBLE)) DESC, doc_id) AS n FROM documents d LEFT JOIN labels USING (doc_id)) WHERE n = 1")
+@query(
+    "SELECT doc_id, source, lang FROM (SELECT d.*, row_number() OVER (PARTITION BY source, lang ORDER BY greatest(0.0, least(1.0, coalesce(quality, 0)::DOUBLE)) DESC, doc_id) AS n FROM documents d LEFT JOIN labels USING (doc_id)) WHERE n = 1"
+)
 def q_dedupe_best(spark, sf_dir):
-    both = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left").withColumn("cell", F.concat_ws("|", "source", "lang"))
+    both = table(spark, sf_dir, "documents").join(
+        table(spark, sf_dir, "labels"), "doc_id", "left"
+    ).withColumn("cell", F.concat_ws("|", "source", "lang"))
     return relational.dedupe_best(both, "cell", "quality", "doc_id").select("doc_id", "source", "lang")
 
 
@@ -242,8 +284,14 @@ FROM (SELECT doc_id, n_chars >= 500 AS valid, row_number() OVER (PARTITION BY md
 def q_mark_duplicates(spark, sf_dir):
     both = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
     valid = c("n_chars") >= 500
-    rows = both.select("doc_id", "quality", "n_chars", F.md5(text.words_only(c("text"))).alias("g"), valid.alias("technical_valid"), F.when(~valid, "short").alias("technical_reject_reason"), valid.alias("keep_for_step2"))
-    return relational.mark_duplicates(rows, "g", ["quality", "n_chars"], "doc_id").select("doc_id", "is_duplicate", "technical_valid", "technical_reject_reason")
+    rows = both.select(
+        "doc_id", "quality", "n_chars", F.md5(text.words_only(c("text"))).alias("g"),
+        valid.alias("technical_valid"), F.when(~valid, "short").alias("technical_reject_reason"),
+        valid.alias("keep_for_step2")
+    )
+    return relational.mark_duplicates(rows, "g", ["quality", "n_chars"], "doc_id").select(
+        "doc_id", "is_duplicate", "technical_valid", "technical_reject_reason"
+    )
 
 
 SEVERITY = "CASE o_orderstatus WHEN 'O' THEN 'low' WHEN 'P' THEN 'medium' ELSE 'high' END"
@@ -253,28 +301,45 @@ def severity():
     return F.when(c("o_orderstatus") == "O", "low").when(c("o_orderstatus") == "P", "medium").otherwise("high")
 
 
-@query("""SELECT o_orderkey FROM (SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY CASE o_orderstatus WHEN 'O' THEN 0 WHEN 'P' THEN 1 ELSE 2 END, o_orderkey) AS n FROM orders) WHERE n = 1""")
+@query(
+    """SELECT o_orderkey FROM (SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY CASE o_orderstatus WHEN 'O' THEN 0 WHEN 'P' THEN 1 ELSE 2 END, o_orderkey) AS n FROM orders) WHERE n = 1"""
+)
 def q_dedupe_across_tiers(spark, sf_dir):
-    return relational.dedupe_across(table(spark, sf_dir, "orders"), ["o_custkey"], c("o_orderpriority"), scoring.severity_rank(severity()), "o_orderkey").select("o_orderkey")
+    return relational.dedupe_across(
+        table(spark, sf_dir, "orders"), ["o_custkey"], c("o_orderpriority"),
+        scoring.severity_rank(severity()), "o_orderkey"
+    ).select("o_orderkey")
 
 
 @query(f"""WITH a AS (SELECT *, {SEVERITY} AS severity, row_number() OVER (PARTITION BY o_custkey, o_orderstatus, o_orderpriority ORDER BY o_orderkey) AS f FROM orders),
 b AS (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY o_orderkey) - 1 AS k FROM a WHERE f = 1 AND o_totalprice / 500000.0 >= CASE severity WHEN 'low' THEN 0.2 WHEN 'medium' THEN 0.15 ELSE 0.0 END)
 SELECT o_orderkey, severity, CAST(k AS INTEGER) AS candidate_index FROM b WHERE k < 2""")
 def q_edit_jobs(spark, sf_dir):
-    rows = table(spark, sf_dir, "orders").select(c("o_custkey").alias("sample_id"), F.lit("a1").alias("anchor_id"), severity().alias("severity"), c("o_orderkey").alias("pos"), c("o_orderpriority").alias("edited_anchor"), F.lit("[FILL] x; [VISUAL] y").alias("edit_instruction"), (c("o_totalprice") / 500000.0).alias("planned_score_raw"), F.lit(0.1).alias("mask_ratio"), F.lit("").alias("occlusion"))
+    rows = table(spark, sf_dir, "orders").select(
+        c("o_custkey").alias("sample_id"), F.lit("a1").alias("anchor_id"), severity().alias("severity"),
+        c("o_orderkey").alias("pos"), c("o_orderpriority").alias("edited_anchor"),
+        F.lit("[FILL] x; [VISUAL] y").alias("edit_instruction"),
+        (c("o_totalprice") / 500000.0).alias("planned_score_raw"), F.lit(0.1).alias("mask_ratio"),
+        F.lit("").alias("occlusion")
+    )
     return anchors.edit_jobs(rows).select(c("raw_index").alias("o_orderkey"), "severity", "candidate_index")
 
 
-@query("""SELECT l_orderkey, l_partkey, l_extendedprice, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_partkey) AS r FROM lineitem) WHERE r <= 2""")
+@query(
+    """SELECT l_orderkey, l_partkey, l_extendedprice, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_partkey) AS r FROM lineitem) WHERE r <= 2"""
+)
 def q_topk_per_group(spark, sf_dir):
-    return relational.top_k(table(spark, sf_dir, "lineitem"), ["l_orderkey"], [F.desc("l_extendedprice"), c("l_partkey")], 2).select("l_orderkey", "l_partkey", "l_extendedprice", "rank")
+    return relational.top_k(
+        table(spark, sf_dir, "lineitem"), ["l_orderkey"], [F.desc("l_extendedprice"), c("l_partkey")], 2
+    ).select("l_orderkey", "l_partkey", "l_extendedprice", "rank")
 
 
 @query("""WITH b AS (SELECT o_custkey, CASE o_orderstatus WHEN 'O' THEN 0 WHEN 'P' THEN 1 ELSE 2 END AS rank, max(o_totalprice) AS best FROM orders GROUP BY ALL)
 SELECT o_custkey, rank, best, coalesce(best < max(best) OVER (PARTITION BY o_custkey ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 1000, false) AS tier_ordering_warning FROM b""")
 def q_candidate_sort_warning(spark, sf_dir):
-    best = table(spark, sf_dir, "orders").groupBy("o_custkey", scoring.severity_rank(severity()).alias("rank")).agg(F.max("o_totalprice").alias("best"))
+    best = table(spark, sf_dir, "orders").groupBy(
+        "o_custkey", scoring.severity_rank(severity()).alias("rank")
+    ).agg(F.max("o_totalprice").alias("best"))
     return relational.ordering_warnings(best, ["o_custkey"], "rank", "best", 1000)
 
 
@@ -289,7 +354,10 @@ def q_balance_cells(spark, sf_dir):
 b AS (SELECT * FROM a JOIN (SELECT o_orderstatus, min(m) AS least FROM a GROUP BY o_orderstatus) USING (o_orderstatus) WHERE k <= least), d AS (SELECT *, row_number() OVER (PARTITION BY o_orderstatus ORDER BY s, o_orderkey) AS n, count(*) OVER (PARTITION BY o_orderstatus) AS c FROM b)
 SELECT o_orderkey, o_orderstatus, kind FROM d WHERE n <= (SELECT min(c) FROM d)""")
 def q_balance_kinds(spark, sf_dir):
-    return relational.balance(table(spark, sf_dir, "orders").withColumn("kind", c("o_orderpriority")), ["o_orderstatus"], "o_orderkey", 5, "kind").select("o_orderkey", "o_orderstatus", "kind")
+    return relational.balance(
+        table(spark, sf_dir, "orders").withColumn("kind", c("o_orderpriority")), ["o_orderstatus"],
+        "o_orderkey", 5, "kind"
+    ).select("o_orderkey", "o_orderstatus", "kind")
 
 
 @query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')")
@@ -300,7 +368,10 @@ def q_resume_anti(spark, sf_dir):
 
 @query("SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)")
 def q_id_semi(spark, sf_dir):
-    return relational.only(table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders").where("o_totalprice > 400000"), "c_custkey", "o_custkey").select("c_custkey", "c_name")
+    return relational.only(
+        table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders").where("o_totalprice > 400000"),
+        "c_custkey", "o_custkey"
+    ).select("c_custkey", "c_name")
 
 
 def line_anchors(spark, sf_dir) -> DataFrame:
@@ -322,22 +393,50 @@ SELECT d.o AS l_orderkey, d.k AS l_suppkey, CAST(count(*) FILTER (WHERE e.a = d.
 def q_relation_count(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem")
     s = lambda n: c(n).cast("string")
-    edges = lines.groupBy("l_orderkey").agg(F.collect_list(F.struct(s("l_partkey").alias("subject_anchor_id"), s("l_suppkey").alias("object_anchor_id"))).alias("relations"))
-    return lines.select("l_orderkey", "l_suppkey").distinct().join(edges, "l_orderkey").select("l_orderkey", "l_suppkey", relational.relation_count(c("relations"), s("l_suppkey")).alias("relation_count"))
+    edges = lines.groupBy("l_orderkey").agg(
+        F.collect_list(F.struct(s("l_partkey").alias("subject_anchor_id"), s("l_suppkey").alias("object_anchor_id"))).alias("relations")
+    )
+    return lines.select("l_orderkey", "l_suppkey").distinct().join(edges, "l_orderkey").select(
+        "l_orderkey", "l_suppkey",
+        relational.relation_count(c("relations"), s("l_suppkey")).alias("relation_count")
+    )
 
 
 def order_manifests(spark, sf_dir) -> DataFrame:
     """Orders as manifests, their lines as anchors."""
     n = F.lit(None)
     stats = F.struct(F.lit(100.0).alias("width"), F.lit(100.0).alias("height"), (c("l_quantity") * 200).alias("foreground_area_px"))
-    best = F.struct((c("l_discount") * 10).alias("score"), c("l_tax").alias("precision_score"), n.cast("double").alias("qwen_verify_score"), F.array(F.lit(0.0), F.lit(0.0), c("l_quantity"), c("l_quantity")).alias("box_xyxy"))
+    best = F.struct(
+        (c("l_discount") * 10).alias("score"), c("l_tax").alias("precision_score"),
+        n.cast("double").alias("qwen_verify_score"),
+        F.array(F.lit(0.0), F.lit(0.0), c("l_quantity"), c("l_quantity")).alias("box_xyxy")
+    )
     anchor = F.struct(
-        c("l_linenumber").alias("ord"), c("l_partkey").alias("part"), c("l_suppkey").alias("supp"), F.concat(F.lit("l"), c("l_linenumber").cast("string")).alias("anchor_id"), F.concat(F.lit("part "), (c("l_partkey") % 3).cast("string")).alias("anchor_text"), n.cast("string").alias("anchor_norm"),
-        F.lit("Object").alias("category"), n.cast("array<string>").alias("semantic_tags"), n.cast("string").alias("functional_role"), n.cast("string").alias("attributes_text"), F.lit("ok").alias("status"), F.when(c("l_linestatus") == "O", "ok").otherwise("failed").alias("grounding_status"),
-        F.lit("m.png").alias("union_mask_path"), stats.alias("union_mask_stats"), best.alias("best_detection"), n.cast("array<struct<score:double>>").alias("detections"),
+        c("l_linenumber").alias("ord"),
+        c("l_partkey").alias("part"),
+        c("l_suppkey").alias("supp"),
+        F.concat(F.lit("l"), c("l_linenumber").cast("string")).alias("anchor_id"),
+        F.concat(F.lit("part "), (c("l_partkey") % 3).cast("string")).alias("anchor_text"),
+        n.cast("string").alias("anchor_norm"),
+        F.lit("Object").alias("category"),
+        n.cast("array<string>").alias("semantic_tags"),
+        n.cast("string").alias("functional_role"),
+        n.cast("string").alias("attributes_text"),
+        F.lit("ok").alias("status"),
+        F.when(c("l_linestatus") == "O", "ok").otherwise("failed").alias("grounding_status"),
+        F.lit("m.png").alias("union_mask_path"),
+        stats.alias("union_mask_stats"),
+        best.alias("best_detection"),
+        n.cast("array<struct<score:double>>").alias("detections"),
     )
     lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(anchor)).alias("anchors"))
-    return lines.select(c("l_orderkey").cast("string").alias("sample_id"), F.lit("i.png").alias("image_path"), F.lit("h").alias("headline"), F.lit("s").alias("summary"), F.struct(F.lit("c").alias("image_caption_literal")).alias("caption"), F.struct(F.lit("g").alias("grounded_context_caption")).alias("anchors_meta"), "anchors", n.cast("array<struct<subject_anchor_id:string,object_anchor_id:string>>").alias("relations"))
+    return lines.select(
+        c("l_orderkey").cast("string").alias("sample_id"), F.lit("i.png").alias("image_path"),
+        F.lit("h").alias("headline"), F.lit("s").alias("summary"),
+        F.struct(F.lit("c").alias("image_caption_literal")).alias("caption"),
+        F.struct(F.lit("g").alias("grounded_context_caption")).alias("anchors_meta"), "anchors",
+        n.cast("array<struct<subject_anchor_id:string,object_anchor_id:string>>").alias("relations")
+    )
 
 
 _FLAT = """WITH r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS pos, l_quantity * 200 / 10000.0 AS mr, l_discount * 10 AS gs FROM lineitem),
@@ -348,7 +447,10 @@ row_number() OVER (PARTITION BY l_orderkey, l_partkey % 3 ORDER BY gs DESC, l_qu
 @query(_FLAT + """ SELECT l_orderkey::VARCHAR AS sample_id, 'l' || l_linenumber AS anchor_id, 'part ' || (l_partkey % 3) AS anchor_norm, mr AS mask_ratio, CASE WHEN mr < 0.05 THEN 'small' WHEN mr < 0.25 THEN 'medium' ELSE 'large' END AS size_band, gs AS grounding_score,
 why IS NULL AND n = 1 AS keep_for_step2, n > 1 AS is_duplicate, CASE WHEN n > 1 THEN 'duplicate' ELSE why END AS technical_reject_reason FROM q""")
 def q_flatten_nested(spark, sf_dir):
-    return anchors.editable(order_manifests(spark, sf_dir)).select("sample_id", "anchor_id", "anchor_norm", "mask_ratio", "size_band", "grounding_score", "keep_for_step2", "is_duplicate", "technical_reject_reason")
+    return anchors.editable(order_manifests(spark, sf_dir)).select(
+        "sample_id", "anchor_id", "anchor_norm", "mask_ratio", "size_band", "grounding_score",
+        "keep_for_step2", "is_duplicate", "technical_reject_reason"
+    )
 
 
 @query(_FLAT + " SELECT l_orderkey::VARCHAR AS sample_id FROM q GROUP BY l_orderkey HAVING bool_or(why IS NULL AND n = 1)")
@@ -358,7 +460,14 @@ def q_eligible_groups(spark, sf_dir):
 
 def labelled_examples(spark, sf_dir) -> DataFrame:
     both = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
-    return both.select("doc_id", c("lang").alias("modality"), F.when(c("quality") == 1, "low").when(c("quality") == 0, "high").alias("severity_label"), F.when(c("toxic") == 1, "high").when(c("toxic") == 0, "low").alias("requested_generation_severity"), F.lit("replace").alias("edit_type_requested"), c("source").alias("edit_type_effective"), relational.split_of(c("doc_id").cast("string")).alias("split"), (c("n_chars") / 20000).alias("severity_score"))
+    return both.select(
+        "doc_id", c("lang").alias("modality"),
+        F.when(c("quality") == 1, "low").when(c("quality") == 0, "high").alias("severity_label"),
+        F.when(c("toxic") == 1, "high").when(c("toxic") == 0, "low").alias("requested_generation_severity"),
+        F.lit("replace").alias("edit_type_requested"), c("source").alias("edit_type_effective"),
+        relational.split_of(c("doc_id").cast("string")).alias("split"),
+        (c("n_chars") / 20000).alias("severity_score")
+    )
 
 
 @query(f"""WITH e AS (SELECT doc_id, text, lang, source, CASE quality WHEN 1 THEN 'low' WHEN 0 THEN 'high' END AS sev, CASE toxic WHEN 1 THEN 'high' WHEN 0 THEN 'low' END AS req, {split_sql('doc_id::VARCHAR')} AS split FROM documents LEFT JOIN labels USING (doc_id)),
@@ -370,7 +479,9 @@ def q_release_stats(spark, sf_dir):
     return release.stats(labelled_examples(spark, sf_dir), refused)
 
 
-@query("SELECT count(*) AS num_examples, round_even(avg(n_chars / 20000), 6) AS mean, round_even(min(n_chars / 20000), 6) AS min, round_even(max(n_chars / 20000), 6) AS max FROM documents")
+@query(
+    "SELECT count(*) AS num_examples, round_even(avg(n_chars / 20000), 6) AS mean, round_even(min(n_chars / 20000), 6) AS min, round_even(max(n_chars / 20000), 6) AS max FROM documents"
+)
 def q_score_summary(spark, sf_dir):
     return release.score_summary(labelled_examples(spark, sf_dir))
 
@@ -399,12 +510,20 @@ POINTS = scoring.calibration_points([[0.1, 0.0], [0.4, 0.5], {"raw": 0.7, "calib
 @query(f"""SELECT {LINE}, CASE WHEN s <= 0.1 THEN 0.0 WHEN s >= 0.9 THEN 1.0 WHEN s <= 0.4 THEN {CLAMP.format('0.0 + (s - 0.1) / (0.4 - 0.1) * 0.5')} WHEN s <= 0.7 THEN {CLAMP.format('0.5 + (s - 0.4) / (0.7 - 0.4) * (0.6 - 0.5)')}
 ELSE {CLAMP.format('0.6 + (s - 0.7) / (0.9 - 0.7) * (1.0 - 0.6)')} END AS calibrated FROM (SELECT {LINE}, CAST({SCORE} AS DOUBLE) AS s FROM lineitem)""")
 def q_calibrate(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", scoring.calibrated(line_score(), POINTS).alias("calibrated"))
+    return table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_linenumber",
+        scoring.calibrated(line_score(), POINTS).alias("calibrated")
+    )
 
 
-@query(f"SELECT {LINE}, CASE WHEN s <= 0.3 THEN 'low' WHEN s <= 0.6 THEN 'medium' ELSE 'high' END AS release_bucket, CASE WHEN s <= 0.18 THEN 'low' WHEN s <= 0.45 THEN 'medium' ELSE 'high' END AS plan_bucket FROM (SELECT {LINE}, l_tax * 8 AS s FROM lineitem)")
+@query(
+    f"SELECT {LINE}, CASE WHEN s <= 0.3 THEN 'low' WHEN s <= 0.6 THEN 'medium' ELSE 'high' END AS release_bucket, CASE WHEN s <= 0.18 THEN 'low' WHEN s <= 0.45 THEN 'medium' ELSE 'high' END AS plan_bucket FROM (SELECT {LINE}, l_tax * 8 AS s FROM lineitem)"
+)
 def q_bucket(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", scoring.bucket(c("l_tax") * 8).alias("release_bucket"), scoring.bucket(c("l_tax") * 8, scoring.PLAN_BUCKETS).alias("plan_bucket"))
+    return table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_linenumber", scoring.bucket(c("l_tax") * 8).alias("release_bucket"),
+        scoring.bucket(c("l_tax") * 8, scoring.PLAN_BUCKETS).alias("plan_bucket")
+    )
 
 
 @query(f"""SELECT {LINE}, {CLAMP.format('0.65 * ' + CLAMP.format(CLAMP.format('l_tax') + ' / 0.15') + ' + 0.35 * ' + CLAMP.format('l_discount * 9'))} AS visibility,
@@ -413,10 +532,16 @@ FROM lineitem JOIN part ON l_partkey = p_partkey""")
 def q_proxies(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), c("l_partkey") == c("p_partkey"))
     sal = scoring.salience_terms(c("l_linenumber"), c("l_tax"), F.lit("thing"), c("p_type"), F.lit(""), c("p_name"))
-    return rows.select("l_orderkey", "l_partkey", "l_linenumber", scoring.visibility_proxy(c("l_tax"), c("l_discount") * 9).alias("visibility"), sal["proxy"].alias("salience"))
+    return rows.select(
+        "l_orderkey", "l_partkey", "l_linenumber",
+        scoring.visibility_proxy(c("l_tax"), c("l_discount") * 9).alias("visibility"),
+        sal["proxy"].alias("salience")
+    )
 
 
-@query(f"""SELECT {LINE}, {CLAMP.format(f'0.35 * {CLAMP.format(CLAMP.format("l_discount * 8") + " * " + CLAMP.format("l_tax / 0.25"))} + 0.25 * {CLAMP.format("l_tax * 10")} + 0.20 * {CLAMP.format("l_quantity / 50")} + 0.15 * {CLAMP.format("l_discount * 10")} + 0.05 * (1.0 - {CLAMP.format("l_tax * 12")})')} AS planned FROM lineitem""")
+@query(
+    f"""SELECT {LINE}, {CLAMP.format(f'0.35 * {CLAMP.format(CLAMP.format("l_discount * 8") + " * " + CLAMP.format("l_tax / 0.25"))} + 0.25 * {CLAMP.format("l_tax * 10")} + 0.20 * {CLAMP.format("l_quantity / 50")} + 0.15 * {CLAMP.format("l_discount * 10")} + 0.05 * (1.0 - {CLAMP.format("l_tax * 12")})')} AS planned FROM lineitem"""
+)
 def q_planned_score(spark, sf_dir):
     score = scoring.planned_score(c("l_discount") * 8, c("l_tax") * 10, c("l_quantity") / 50, c("l_discount") * 10, c("l_tax") * 12, c("l_tax"))
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", score.alias("planned"))
@@ -430,7 +555,9 @@ ELSE CASE WHEN person THEN 'whole_person_replace_disallowed' WHEN aspect > 4.5 O
 WHEN borders >= 3 AND area > 0.45 THEN 'replace_border_touching_extreme' WHEN area > 0.4 THEN 'replace_too_large' WHEN borders >= 2 THEN 'replace_border_touching_allowed' WHEN area > 0.28 THEN 'safe_large_scene_replace' ELSE 'safe_replace' END END AS reason FROM m""")
 def q_route_table(spark, sf_dir):
     pick = lambda k, names: F.element_at(F.array(*map(F.lit, names)), (k % len(names) + 1).cast("int"))
-    op, who = pick(c("l_suppkey"), ["remove", "replace", "fill", "attribute_change", "tint"]), pick(c("l_partkey"), ["red car", "tall man", "bag", "sign"])
+    op, who = pick(
+        c("l_suppkey"), ["remove", "replace", "fill", "attribute_change", "tint"]
+    ), pick(c("l_partkey"), ["red car", "tall man", "bag", "sign"])
     none = F.lit("")
     # the flags are a column of their own, so that each rule reads them instead of working them out again
     jobs = table(spark, sf_dir, "lineitem").withColumns({"op": op, "who": who}).withColumn("meta", routing.anchor_meta(c("who"), none, none, none))
@@ -442,7 +569,11 @@ def boxes(spark, sf_dir) -> DataFrame:
     """Sixteen boxes of a 100 by 100 image from each vector of 64 numbers, each of four: corner, sides and, by their sum, score."""
     at = lambda i: F.abs(F.get("embedding", (c("k") * 4 + i).cast("int")).cast("double"))
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("k"))
-    return rows.select("vec_id", "k", F.array(at(0) * 200, at(1) * 200, at(0) * 200 + 20 + at(2) * 300, at(1) * 200 + 10 + at(3) * 300).alias("box"), F.least(F.lit(1.0), at(0) + at(1) + at(2) + at(3)).alias("score"))
+    return rows.select(
+        "vec_id", "k",
+        F.array(at(0) * 200, at(1) * 200, at(0) * 200 + 20 + at(2) * 300, at(1) * 200 + 10 + at(3) * 300).alias("box"),
+        F.least(F.lit(1.0), at(0) + at(1) + at(2) + at(3)).alias("score")
+    )
 
 
 _BOX = """v AS (SELECT vec_id, k, abs(embedding[4 * k + 1]::DOUBLE) AS p, abs(embedding[4 * k + 2]::DOUBLE) AS q, abs(embedding[4 * k + 3]::DOUBLE) AS r, abs(embedding[4 * k + 4]::DOUBLE) AS s FROM embeddings, (SELECT CAST(unnest(range(16)) AS INTEGER) AS k)),
@@ -462,8 +593,14 @@ def evaluated_sql(mode: str) -> str:
     m = geometry.PRECISION[mode]
     people, large, scene, group = "cat = 'people'", "cat = 'building'", "cat = 'background'", "(cat = 'people' AND multi)"
     rules = [
-        ("low_score", f"score < {m['score']}", 0.2), ("scene_level_box", f"cat IN ('people', 'object') AND a >= {m['sensitive']} AND NOT {group}", 0.45), ("scene_level_box", f"{group} AND a >= {m['people_group']}", 0.35), ("scene_level_box", f"{large} AND a >= {m['large']} AND NOT multi", 0.25),
-        ("tiny_box", f"NOT {scene} AND a <= CASE WHEN {large} THEN {m['tiny_large']} ELSE {m['tiny']} END", 0.18), ("too_small_for_group", f"multi AND {people} AND a < {m['tiny'] * 8}", 0.2), ("full_frame_box", f"NOT {scene} AND w >= 0.98 AND h >= 0.98", 0.4), (None, f"NOT {scene} AND (a >= {m['sensitive']} OR (w >= {m['side']} AND h >= {m['side']}))", 0.1),
+        ("low_score", f"score < {m['score']}", 0.2),
+        ("scene_level_box", f"cat IN ('people', 'object') AND a >= {m['sensitive']} AND NOT {group}", 0.45),
+        ("scene_level_box", f"{group} AND a >= {m['people_group']}", 0.35),
+        ("scene_level_box", f"{large} AND a >= {m['large']} AND NOT multi", 0.25),
+        ("tiny_box", f"NOT {scene} AND a <= CASE WHEN {large} THEN {m['tiny_large']} ELSE {m['tiny']} END", 0.18),
+        ("too_small_for_group", f"multi AND {people} AND a < {m['tiny'] * 8}", 0.2),
+        ("full_frame_box", f"NOT {scene} AND w >= 0.98 AND h >= 0.98", 0.4),
+        (None, f"NOT {scene} AND (a >= {m['sensitive']} OR (w >= {m['side']} AND h >= {m['side']}))", 0.1),
     ]
     why = ", ".join(f"CASE WHEN {hit} THEN '{name}' END" for name, hit, _ in rules if name)
     less = " ".join(f"- CASE WHEN {hit} THEN {cost} ELSE 0.0 END" for _, hit, cost in rules)
@@ -473,9 +610,19 @@ def evaluated_sql(mode: str) -> str:
 @query(f"""WITH {_BOX}, e AS (SELECT vec_id, k, score, CASE k % 4 WHEN 0 THEN 'object' WHEN 1 THEN 'people' WHEN 2 THEN 'building' ELSE 'background' END AS cat, vec_id % 2 = 0 AS multi, (x2 - x1) * (y2 - y1) / 3600.0 AS a, (x2 - x1) / 60.0 AS w, (y2 - y1) / 60.0 AS h FROM b)
 """ + " UNION ALL ".join(map(evaluated_sql, geometry.PRECISION)))
 def q_evaluate_box(spark, sf_dir):
-    rows = boxes(spark, sf_dir).withColumns({"cat": F.get(F.array(*map(F.lit, ["object", "people", "building", "background"])), c("k") % 4), "multi": c("vec_id") % 2 == 0})
-    each = [rows.select("vec_id", "k", F.lit(m).alias("mode"), geometry.evaluated(c("box"), c("score"), c("cat"), c("multi"), F.lit(60), F.lit(60), m).alias("e")) for m in geometry.PRECISION]
-    return reduce(DataFrame.unionAll, each).select("vec_id", "k", "mode", "e.area_ratio", F.array_join("e.rejection_reasons", ",").alias("reasons"), "e.precision_score")
+    rows = boxes(spark, sf_dir).withColumns(
+        {"cat": F.get(F.array(*map(F.lit, ["object", "people", "building", "background"])), c("k") % 4), "multi": c("vec_id") % 2 == 0}
+    )
+    each = [
+        rows.select(
+            "vec_id", "k", F.lit(m).alias("mode"),
+            geometry.evaluated(c("box"), c("score"), c("cat"), c("multi"), F.lit(60), F.lit(60), m).alias("e")
+        ) for m in geometry.PRECISION
+    ]
+    return reduce(DataFrame.unionAll, each).select(
+        "vec_id", "k", "mode", "e.area_ratio", F.array_join("e.rejection_reasons", ",").alias("reasons"),
+        "e.precision_score"
+    )
 
 
 @query(f"""WITH RECURSIVE {_BOX}, o AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, k) AS r FROM b),
@@ -491,15 +638,24 @@ def q_nms(spark, sf_dir):
 SELECT vec_id, score, best_other, score >= 0.3 AND score - best_other >= 0.08 AS match FROM s""")
 def q_clip_verify(spark, sf_dir):
     logits = F.transform("embedding", lambda x: x.cast("double") * 25)
-    return table(spark, sf_dir, "embeddings").select("vec_id", geometry.softmax_match(logits, 0).alias("m")).select("vec_id", "m.score", "m.best_other", "m.match")
+    return table(spark, sf_dir, "embeddings").select(
+        "vec_id", geometry.softmax_match(logits, 0).alias("m")
+    ).select("vec_id", "m.score", "m.best_other", "m.match")
 
 
-@query("SELECT o_orderkey::VARCHAR AS pair_id, c_custkey::VARCHAR AS sample_id, o_totalprice AS severity_score, o_orderpriority AS severity_label, c_name AS headline_original FROM orders JOIN customer ON o_custkey = c_custkey")
+@query(
+    "SELECT o_orderkey::VARCHAR AS pair_id, c_custkey::VARCHAR AS sample_id, o_totalprice AS severity_score, o_orderpriority AS severity_label, c_name AS headline_original FROM orders JOIN customer ON o_custkey = c_custkey"
+)
 def q_flat_export(spark, sf_dir):
     from sievework.sources.sinks import flat_rows
 
     rows = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), c("o_custkey") == c("c_custkey"))
-    nested = rows.select(c("o_orderkey").cast("string").alias("pair_id"), c("c_custkey").cast("string").alias("sample_id"), c("o_totalprice").alias("severity_score"), c("o_orderpriority").alias("severity_label"), c("c_name").alias("headline_original"), F.struct(F.lit("x").alias("edited_anchor")).alias("explanation"))
+    nested = rows.select(
+        c("o_orderkey").cast("string").alias("pair_id"), c("c_custkey").cast("string").alias("sample_id"),
+        c("o_totalprice").alias("severity_score"), c("o_orderpriority").alias("severity_label"),
+        c("c_name").alias("headline_original"),
+        F.struct(F.lit("x").alias("edited_anchor")).alias("explanation")
+    )
     return flat_rows(nested, rich=True).select("pair_id", "sample_id", "severity_score", "severity_label", "headline_original")
 
 
@@ -509,4 +665,6 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = docs.where(gates.text_reason(c("text"), most=5000) == "ok").withColumn("fingerprint", F.md5(text.words_only(c("text"))))
     best = relational.dedupe_best(kept, "fingerprint", "quality", "doc_id")
     even = relational.balance(best, ["lang", "quality"], "doc_id", 7)
-    return even.withColumn("split", relational.split_of(c("doc_id").cast("string"))).groupBy("lang", "quality", "split").agg(F.count(F.lit(1)).alias("n"))
+    return even.withColumn(
+        "split", relational.split_of(c("doc_id").cast("string"))
+    ).groupBy("lang", "quality", "split").agg(F.count(F.lit(1)).alias("n"))

@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 from sievework.functions.coerce import is_object, nonempty, rooted
 from sievework.operators.relational import ranked
 
-ALIASES = {"title": ["title"], "summary": ["summary", "description"], "published": ["published", "date"], "url": ["url"], "images": ["images", "image", "img"]}
+ALIASES = {
+    "title": ["title"], "summary": ["summary", "description"], "published": ["published", "date"],
+    "url": ["url"], "images": ["images", "image", "img"]
+}
 
 
 def newest(spark: SparkSession, folder: str, pattern: str = "*.csv") -> str:
@@ -36,7 +39,10 @@ def json_objects(spark: SparkSession, path: str, pattern: str = "*.json", recurs
     """file, name and VARIANT of each file that holds an object. Lenient: other files give no row. Strict: a file that
     doesn't parse or holds no object raises."""
     text = spark.read.option("wholetext", True).option("pathGlobFilter", pattern).option("recursiveFileLookup", recursive).text(path)
-    rows = text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_name").alias("name"), (F.parse_json("value") if strict else F.try_parse_json("value")).alias("v"))
+    rows = text.select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_name").alias("name"),
+        (F.parse_json("value") if strict else F.try_parse_json("value")).alias("v")
+    )
     rows = rows.where(~F.col("name").endswith(".tmp"))
     if strict:
         wrong = F.raise_error(F.concat(F.lit("no JSON object in "), F.col("file"))).cast("boolean")
@@ -59,7 +65,11 @@ def grounding_files(spark: SparkSession, folder: str) -> DataFrame:
 def jsonl(spark: SparkSession, paths: str | list[str], strict: bool = False) -> DataFrame:
     """file, ord (order within the file) and VARIANT of each line that holds an object.
     Lenient: other lines are skipped. Strict: a line that doesn't parse raises; values that aren't objects are skipped."""
-    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), (F.col("_metadata.file_block_start") * (1 << 20) + F.monotonically_increasing_id() % (1 << 33)).alias("ord"), F.trim("value").alias("line")).where("line <> ''")
+    lines = spark.read.text(paths).select(
+        F.col("_metadata.file_path").alias("file"),
+        (F.col("_metadata.file_block_start") * (1 << 20) + F.monotonically_increasing_id() % (1 << 33)).alias("ord"),
+        F.trim("value").alias("line")
+    ).where("line <> ''")
     parse = F.parse_json("line") if strict else F.try_parse_json("line")
     return lines.select("file", "ord", parse.alias("v")).where(is_object(F.col("v")))
 
@@ -87,7 +97,11 @@ def records(payloads: DataFrame, record_schema: str) -> DataFrame:
     """file, pos and fields of the records of payloads {meta, records}; a payload without records raises."""
     given = F.try_variant_get("v", "$.records", "variant")
     checked = F.when(given.isNull(), F.raise_error(F.concat(F.lit("no records in "), F.col("file")))).otherwise(F.to_json(given))
-    rows = payloads.select("file", F.coalesce(F.try_variant_get("v", "$.meta.images_dir", "string"), F.lit("")).alias("images_dir"), F.posexplode(F.from_json(checked.cast("string"), f"array<struct<{record_schema}>>")).alias("pos", "r"))
+    rows = payloads.select(
+        "file",
+        F.coalesce(F.try_variant_get("v", "$.meta.images_dir", "string"), F.lit("")).alias("images_dir"),
+        F.posexplode(F.from_json(checked.cast("string"), f"array<struct<{record_schema}>>")).alias("pos", "r")
+    )
     return rows.select("file", "images_dir", "pos", "r.*")
 
 
@@ -101,12 +115,26 @@ def grounding_records(payloads: DataFrame, root: str = "") -> DataFrame:
     the first by file and place counts; records without an id all stay; items that aren't objects are left out, and
     files whose payload has no records."""
     said = lambda v, path: F.trim(F.coalesce(F.try_variant_get(v, path, "string"), F.lit("")))
-    inner = lambda name: F.coalesce(F.when(is_object(F.try_variant_get("r", f"$.{name}", "variant")), F.try_variant_get("r", f"$.{name}", "variant")), F.parse_json(F.lit("{}")))
+    inner = lambda name: F.coalesce(
+        F.when(is_object(F.try_variant_get("r", f"$.{name}", "variant")), F.try_variant_get("r", f"$.{name}", "variant")),
+        F.parse_json(F.lit("{}"))
+    )
     folder = F.when(is_object(F.try_variant_get("v", "$.meta", "variant")), said(F.col("v"), "$.meta.images_dir")).otherwise("")
-    rows = payloads.select("file", F.coalesce(rooted(folder, root) if root else nonempty(folder), F.lit(f"{root.rstrip('/')}/{IMAGES}" if root else IMAGES)).alias("_folder"), F.posexplode(F.try_variant_get("v", "$.records", "array<variant>")).alias("pos", "r"))
-    rows = rows.where(is_object(F.col("r"))).select("file", "pos", "_folder", said(F.col("r"), "$.id").alias("id"), F.lower(said(F.col("r"), "$.status")).alias("status"), inner("csv_fields").alias("csv_fields"), inner("outputs").alias("outputs"))
+    rows = payloads.select(
+        "file",
+        F.coalesce(rooted(folder, root) if root else nonempty(folder), F.lit(f"{root.rstrip('/')}/{IMAGES}" if root else IMAGES)).alias("_folder"),
+        F.posexplode(F.try_variant_get("v", "$.records", "array<variant>")).alias("pos", "r")
+    )
+    rows = rows.where(is_object(F.col("r"))).select(
+        "file", "pos", "_folder", said(F.col("r"), "$.id").alias("id"),
+        F.lower(said(F.col("r"), "$.status")).alias("status"), inner("csv_fields").alias("csv_fields"),
+        inner("outputs").alias("outputs")
+    )
     name = F.trim(F.coalesce(*[nonempty(F.try_variant_get("csv_fields", f"$.{k}", "string")) for k in ALIASES["images"]], F.lit("")))
-    placed = rows.withColumn("resolved_image_path", F.when(name == "", "").otherwise(F.concat(F.regexp_replace("_folder", "/+$", ""), F.lit("/"), name))).drop("_folder")
+    placed = rows.withColumn(
+        "resolved_image_path",
+        F.when(name == "", "").otherwise(F.concat(F.regexp_replace("_folder", "/+$", ""), F.lit("/"), name))
+    ).drop("_folder")
     return first_records(placed, "id", ["file", "pos"])
 
 
@@ -122,4 +150,6 @@ def tier_bank(spark: SparkSession, path: str) -> dict[str, list[str]]:
 
 def eligible(status: Column, anchors: Column) -> Column:
     """Cause for which a record is skipped, null if it isn't."""
-    return F.when(F.lower(F.trim(F.coalesce(status, F.lit("")))) != "ok", "status_not_ok").when(anchors.isNull(), "no_anchors").when(F.size(anchors) == 0, "empty_anchors")
+    return F.when(
+        F.lower(F.trim(F.coalesce(status, F.lit("")))) != "ok", "status_not_ok"
+    ).when(anchors.isNull(), "no_anchors").when(F.size(anchors) == 0, "empty_anchors")

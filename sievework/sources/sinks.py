@@ -11,10 +11,25 @@ from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 
 FLAT = [
-    "pair_id", "sample_id", "anchor_id", "split", "authenticity_label", "modality", "requested_generation_severity", "severity_label", "severity_score", "severity_score_raw", "edit_type_requested", "edit_type_effective", "image_original",
+    "pair_id",
+    "sample_id",
+    "anchor_id",
+    "split",
+    "authenticity_label",
+    "modality",
+    "requested_generation_severity",
+    "severity_label",
+    "severity_score",
+    "severity_score_raw",
+    "edit_type_requested",
+    "edit_type_effective",
+    "image_original",
     "image_edited", "headline_original", "headline_edited", "mask_path",
 ]
-EXPLAINED = ["edited_anchor", "fill_clause", "edit_instruction", "route_reason", "rationale", "rewrite_rationale", "text_edit_operation", "nli_direction"]
+EXPLAINED = [
+    "edited_anchor", "fill_clause", "edit_instruction", "route_reason", "rationale", "rewrite_rationale",
+    "text_edit_operation", "nli_direction"
+]
 COMPONENTS = ["T_obj", "I_ctx", "C_nli", "Sal", "Vis"]
 QUALITY = ["realism_score", "masked_changed_ratio", "masked_mean_delta"]
 VISUAL = ["mode", "checked", "acceptable", "confidence"]
@@ -37,7 +52,10 @@ def flat_rows(examples: DataFrame, rich: bool = False) -> DataFrame:
         for parent, names in (("explanation", EXPLAINED), ("severity_components", COMPONENTS), ("quality", QUALITY)):
             cols += [at(f"{parent}.{n}").alias(n) for n in names]
         cols += [at(f"quality.visual_qc.{n}").alias(f"visual_qc_{n}") for n in VISUAL]
-        cols += [F.to_json(at("quality.visual_qc.reasons", "array<string>")).alias("visual_qc_reasons"), at("quality.filter_reason").alias("filter_reason")]
+        cols += [
+            F.to_json(at("quality.visual_qc.reasons", "array<string>")).alias("visual_qc_reasons"),
+            at("quality.filter_reason").alias("filter_reason")
+        ]
         cols += [at(f"provenance.{n}").alias(n) for n in PROVENANCE]
     return examples.select(*cols)
 

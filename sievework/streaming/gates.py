@@ -28,10 +28,15 @@ def once(rows: DataFrame, key: str, time: str, late: str = "1 hour") -> DataFram
 
 def windowed_counts(rows: DataFrame, time: str, value: str, length: str = "1 hour", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
     w = F.window(time, length, slide) if slide else F.window(time, length)
-    return rows.withWatermark(time, late).groupBy(w, value).agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), value, "n")
+    return rows.withWatermark(time, late).groupBy(w, value).agg(F.count(F.lit(1)).alias("n")).select(
+        F.col("window.start").alias("start"), F.col("window.end").alias("end"), value, "n"
+    )
 
 
-def start(rows: DataFrame, path: str, checkpoint: str, transform: Callable[[DataFrame], DataFrame] = lambda d: d, available: bool = True, mode: str = "append") -> StreamingQuery:
+def start(
+    rows: DataFrame, path: str, checkpoint: str, transform: Callable[[DataFrame], DataFrame] = lambda d: d,
+    available: bool = True, mode: str = "append"
+) -> StreamingQuery:
     """Write batches below path, one folder for each batch number, so that a repeated batch replaces itself. mode complete:
     each batch is the whole result, so one folder is left."""
 
