@@ -5,7 +5,8 @@ claiming the next slot of its own permutation that is still free, until the tabl
 by one slot at most, and adding or removing a shard moves few keys. The table has a fixed size, set by
 ``slots``, so it is broadcast and placing a row is one hash and one lookup, without a shuffle.
 
-Null keys are placed as the empty string; equal keys go to one shard; an empty input gives no rows.
+Null keys are placed as the empty string, and very long ones as a whole; equal keys, and so repeated rows, go to one
+shard; an empty input gives no rows. Columns named like the outputs are replaced, other names don't matter.
 """
 
 from __future__ import annotations
@@ -63,7 +64,13 @@ def place(df: DataFrame, key: str, shards: list[str], slots: int = 65_537, slot_
     )
 
 
-def write_shards(df: DataFrame, path: str, key: str, shards: list[str], slots: int = 65_537, files_per_shard: int = 1) -> None:
-    """One folder per shard. Rows are dealt by shard and a salt, so that no shard has to fit one task."""
-    placed = place(df, key, shards, slots).withColumn("_salt", F.pmod(F.xxhash64(F.col(f"`{key}`")), F.lit(max(1, files_per_shard))))
-    placed.repartition(len(shards) * max(1, files_per_shard), "shard", "_salt").drop("_salt", "slot").write.partitionBy("shard").parquet(path)
+def write_shards(
+    df: DataFrame, path: str, key: str, shards: list[str], slots: int = 65_537, files_per_shard: int = 1, shard_col: str = "shard"
+) -> None:
+    """One folder per shard, named by shard_col, which replaces a column of that name; every other column is written as it
+    is. Rows are dealt by shard and a salt, so that no shard has to fit one task."""
+    fresh = lambda name: name if name not in df.columns else fresh(f"_{name}")
+    slot, salt = fresh("slot"), fresh("salt")
+    placed = place(df, key, shards, slots, slot, shard_col).withColumn(salt, F.pmod(F.xxhash64(F.col(f"`{key}`")), F.lit(max(1, files_per_shard))))
+    dealt = placed.repartition(len(shards) * max(1, files_per_shard), shard_col, salt)
+    dealt.drop(slot, salt).write.partitionBy(shard_col).parquet(path)

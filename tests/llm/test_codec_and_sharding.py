@@ -122,4 +122,8 @@ def test_place_edges(spark, tmp_path):
     assert got.where("doc_id = 1").select("slot").distinct().count() == 1
     sharding.write_shards(df.drop("shard"), f"{tmp_path}/out", "doc_id", ["a", "b"], 11, 2)
     assert spark.read.parquet(f"{tmp_path}/out").count() == 4
+    odd = spark.createDataFrame([("k" * 100_000, "s", 1, 2), (None, "s", 1, 2)], "doc_id string, slot string, salt int, place int")
+    sharding.write_shards(odd, f"{tmp_path}/odd", "doc_id", ["a", "b"], 11, 2, "part")
+    back = spark.read.parquet(f"{tmp_path}/odd")
+    assert sorted(back.columns) == ["doc_id", "part", "place", "salt", "slot"] and [(r["slot"], r["salt"]) for r in back.collect()] == [("s", 1)] * 2
     assert sharding.place(df.limit(0), "doc_id", ["a"], 11).count() == 0
