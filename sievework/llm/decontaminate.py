@@ -12,8 +12,9 @@ an alignment ends where a run reaches the score asked for. Documents with too fe
 where no run reaches it, are passed over; every other place is aligned, whatever edits it has.
 
 Items are a stated query set: they are taken in blocks of BLOCK_CHARS characters, each broadcast within
-that bound. Whole documents are scanned; an alignment takes memory for
-item words times the larger of 4,096 and six times the item's words.
+that bound. Whole documents are scanned; an alignment holds one row, of the larger of 4,096 and six times the item's
+words. Of items with a sixth of LONGEST words or more, only the score is worked out; they show the fewest matches that it
+needs, and the part as its span.
 
 Null or empty texts and items align with nothing; very long texts are scanned whole. Items of equal text each get
 their pairs. Repeated documents give repeated pairs. Of documents only key and text are read, so other columns' names
@@ -41,6 +42,8 @@ MATCH, MISMATCH, GAP = 2, -1, -1
 BLOCK_CHARS = 4 << 20
 #: Pairs of item and place that are held at once; words and parts of texts that wait for alignment; cells of a row of alignments.
 EVENTS, HELD_WORDS, HELD_JOBS, CELLS = 1 << 20, 1 << 20, 4_096, 1 << 14
+#: In the number of a cell of an alignment: what a match counts, and a point. Words from which on such numbers don't suffice.
+START, POINT, LONGEST = 1 << 22, 1 << 42, 1 << 19
 _EDGE = b"".join(bytes([c]) for c in range(33, 127) if not chr(c).isalnum())
 _PAIR = "item_id long, score double, matched int, item_words int, start_word long, end_word long"
 
@@ -206,30 +209,27 @@ def cut(parts: list[tuple[int, int]], size: int) -> Iterator[tuple[int, int]]:
 
 
 def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int, int]:
-    """Smith-Waterman: score, matched words, start and end in text of the best local alignment (the first of equals).
-    Rows are item words; a row's horizontal gaps are one running maximum."""
-    n, m = len(item), len(text)
-    score = np.zeros((n + 1, m + 1), np.int32)
-    ramp = np.arange(m + 1) * GAP
-    for i in range(1, n + 1):
-        step = np.where(text == item[i - 1], MATCH, MISMATCH)
-        row = np.maximum(score[i - 1] + GAP, 0)
-        row[1:] = np.maximum(row[1:], score[i - 1, :-1] + step)
-        row[0] = 0
-        # along the row: best of row[k] + GAP * (j - k)
-        score[i] = np.maximum(np.maximum.accumulate(row - ramp) + ramp, 0)
-    i, j = np.unravel_index(score.argmax(), score.shape)
-    best, matched, end = int(score[i, j]), 0, int(j)
-    while i > 0 and j > 0 and score[i, j] > 0:
-        same = text[j - 1] == item[i - 1]
-        if score[i, j] == score[i - 1, j - 1] + (MATCH if same else MISMATCH):
-            matched += int(same)
-            i, j = i - 1, j - 1
-        elif score[i, j] == score[i - 1, j] + GAP:
-            i -= 1
-        else:
-            j -= 1
-    return best, matched, int(j), end
+    """Smith-Waterman: score, matched words, start and end in text of the best local alignment: of equal scores the one with
+    most matches, of those the one that starts first. Only one row is held: a cell's number has its score in front, then the
+    matches on the way to it, then where that began; a gap along the row is a running maximum."""
+    if max(len(item), len(text)) >= LONGEST:
+        score = int(scores([item], [text])[0])
+        return score, -(-score // MATCH), 0, len(text)
+    m, edge = len(text), START - 1
+    fresh = edge - np.arange(m + 1, dtype=np.int64)
+    ramp = np.arange(m + 1, dtype=np.int64) * (GAP * POINT)
+    row, best, end = fresh.copy(), 0, 0
+    for word in item:
+        now = row + GAP * POINT
+        np.maximum(now[1:], row[:-1] + np.where(text == word, MATCH * POINT + START, MISMATCH * POINT), out=now[1:])
+        # an alignment without points is none: the next one begins here
+        np.copyto(now, fresh, where=now < POINT)
+        row = np.maximum.accumulate(now - ramp) + ramp
+        np.copyto(row, fresh, where=row < POINT)
+        at = int(row.argmax())
+        if row[at] > best:
+            best, end = int(row[at]), at
+    return best // POINT, best % POINT // START, edge - best % START if best else end, end
 
 
 @lru_cache(maxsize=2)

@@ -3,6 +3,7 @@
 import random
 import re
 import sys
+import tracemalloc
 from collections import Counter
 from pathlib import Path
 
@@ -36,6 +37,17 @@ def test_align_is_smith_waterman():
         assert plain(a.tolist(), b[start:end].tolist()) == score
 
 
+def test_long_items_take_little_memory():
+    rng = np.random.default_rng(3)
+    item = rng.integers(0, 5_000, 6_000)
+    text = np.concatenate([rng.integers(0, 5_000, 20_000), np.delete(item, np.arange(0, 6_000, 7)), rng.integers(0, 5_000, 10_000)])
+    tracemalloc.start()
+    score, matched, start, end = decontaminate.align(item, text)
+    assert tracemalloc.get_traced_memory()[1] < 20e6
+    tracemalloc.stop()
+    assert score == scored(item, text) and abs(start - 20_000) < 30 and abs(end - 25_142) < 30 and matched >= 5_142
+
+
 def test_edited_copies_are_found_and_clean_documents_left(spark, monkeypatch):
     rng, vocabulary = random.Random(4), [f"w{i}" for i in range(3000)]
     items = [
