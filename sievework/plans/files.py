@@ -208,14 +208,14 @@ def q_stream_once(spark, sf_dir):
     return spark.read.parquet(f"{path}/out").select("user_id", "event_type", F.lit(True).alias("seen"))
 
 
-@query("SELECT date_trunc('hour', ts)::TIMESTAMP AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
+@query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def q_stream_windows(spark, sf_dir):
     """Counts of a stream by the hour, in full."""
     path = folder(spark, "windows")
     table(spark, sf_dir, "events").select(c("ts").cast("timestamp").alias("ts"), "event_type").write.parquet(f"{path}/in")
     counts = streams.windowed_counts(streams.read(spark, f"{path}/in", "ts timestamp, event_type string"), "ts", "event_type")
     streams.start(counts, f"{path}/out", f"{path}/log", mode="complete").awaitTermination()
-    return spark.read.parquet(f"{path}/out").select("start", "event_type", "n")
+    return spark.read.parquet(f"{path}/out").select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n")
 
 
 @query(builds._BUILD + """ SELECT true AS made, count(*) AS total, count(*) FILTER (WHERE modality = 'image_text') AS texts FROM v""")
