@@ -5,10 +5,11 @@ ties from left to right. The best pair is merged and its neighbours' entries are
 forms a piece. What is not a piece at the end falls back to bytes.
 
 No piece of such a vocabulary spans from a word into a following space mark, so a text falls apart at its
-space marks, and at characters that are in no piece, into units that are merged alone. Words repeat: their
-ids are kept in two bounded tables, the older of which goes when the younger is full. New units of a slice
-are merged together, one agenda row each, in arrays; longer ones use a heap as agenda. Vocabularies with
-pieces across space marks are merged as whole texts.
+space marks, and at characters that are in no piece, into units that are merged alone. Words repeat: a slice's
+texts are coded by its distinct words, which are merged together, one agenda column each, in arrays; longer ones
+use a heap as agenda. Texts with runs of space marks are put together from their units; words among these are kept
+in two bounded tables, the older of which goes when the younger is full. Vocabularies with pieces across space
+marks are merged as whole texts.
 
 Every whole text of an Arrow batch is also encoded by the library; a difference raises.
 
@@ -27,6 +28,7 @@ from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import TYPE_CHECKING
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -34,12 +36,19 @@ from pyspark.sql import types as T
 
 from sievework.llm.common import in_arrow, slices
 
+if TYPE_CHECKING:
+    import pyarrow as pa
+
 MARK = "▁"
 #: Words in each of the two tables that a Python worker keeps.
 WORDS = 50_000
 #: Words up to the last of these numbers of symbols, space mark included, are merged in arrays of these widths.
 WIDTHS = (4, 6, 8, 10, 12, 16, 24)
-_NONE = np.iinfo(np.int32).max
+#: Units that are merged in one array, and words whose ids are put together at once.
+COLUMNS, PLACED = 20_000, 1 << 18
+#: Agenda entries are a rank and, in the low bits, a place. No rank is as large as that of no piece.
+_PLACE_BITS = 5
+_NONE = (1 << 31 - _PLACE_BITS) - 1
 _OUT = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -134,39 +143,51 @@ class AgendaEncoder:
         at = self.place[x] + y
         return np.where(self.owner[at] == x, self.piece_rank[at], _NONE)
 
-    def _merge_rows(self, units: list[str], width: int) -> list[bytes | None]:
-        """Packed ids of units of at most width symbols; None where a symbol isn't a piece.
+    def _merge_columns(self, text: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Units are columns of code points, of which the first size count. Rows of ids, how many of each count, and
+        whether a unit has a symbol that isn't a piece; such units aren't merged.
 
-        Each row is an agenda: the ranks of its adjacent pairs. In each round every row that still has a
-        piece to form merges its best pair, the leftmost of equals, so all rows get shorter by one symbol."""
-        text = np.array(units, f"<U{width}").view(np.uint32).reshape(-1, width)
-        left = np.array([len(u) for u in units])
-        inside = np.arange(width) < left[:, None]
+        Each column is an agenda: the ranks of its adjacent pairs. In each round every column that still has a
+        piece to form merges its best pair, the leftmost of equals, so all columns get shorter by one symbol."""
+        width, left = len(text), size.copy()
+        place = np.arange(width, dtype=np.int32)[:, None]
+        inside = place < left
         sym = np.where(inside, self.symbol[text], np.int32(-1))
-        odd = ((sym < 0) & inside).any(1)
+        odd = ((sym < 0) & inside).any(0)
         live, done = np.flatnonzero(~odd), np.full(sym.shape, -1, np.int32)
-        sym = sym[live]
-        rank = self._ranks(sym[:, :-1], sym[:, 1:])
-        for w in range(width, 0, -1):
-            row = np.arange(len(live))
-            best = rank.argmin(1) if w > 1 else row
-            go = rank[row, best] < _NONE if w > 1 else row < 0
+        sym = sym[:, live]
+        rank = self._ranks(sym[:-1], sym[1:])
+        for w in range(width, 1, -1):
+            first = (rank << _PLACE_BITS | place[: w - 1]).min(0)
+            go = first < _NONE << _PLACE_BITS
             if not go.all():
-                done[live[~go], :w] = sym[~go]
-                live, sym, rank, best = live[go], sym[go], rank[go], best[go]
-                row = np.arange(len(live))
+                stop, go = np.flatnonzero(~go), np.flatnonzero(go)
+                done[:w, live[stop]] = sym[:, stop]
+                live, sym, rank, first = live[go], sym.take(go, 1), rank.take(go, 1), first[go]
             if not len(live):
                 break
             left[live] -= 1
-            sym[row, best] = self.piece[self.place[sym[row, best]] + sym[row, best + 1]]
-            sym = _but_one(sym, best + 1)
-            rank = _but_one(rank, np.minimum(best + 1, w - 2))
+            best, col = first & (1 << _PLACE_BITS) - 1, np.arange(len(live))
+            new = self.piece[self.place[sym[best, col]] + sym[best + 1, col]]
+            sym = np.where(place[: w - 1] > best, sym[1:], sym[:-1])
+            sym[best, col] = new
+            rank = np.where(place[: w - 2] > best, rank[1:], rank[:-1])
             # the pairs on both sides of the new symbol
-            r, at = row[best > 0], best[best > 0] - 1
-            rank[r, at] = self._ranks(sym[r, at], sym[r, at + 1])
-            r, at = row[best < w - 2], best[best < w - 2]
-            rank[r, at] = self._ranks(sym[r, at], sym[r, at + 1])
-        packed = done.astype("<i4").tobytes()
+            c = np.flatnonzero(best > 0)
+            at = best[c] - 1
+            rank[at, c] = self._ranks(sym[at, c], new[c])
+            c = np.flatnonzero(best < w - 2)
+            at = best[c]
+            rank[at, c] = self._ranks(new[c], sym[at + 1, c])
+        else:
+            done[:1, live] = sym
+        return done.T, left, odd
+
+    def _merge_rows(self, units: list[str], width: int) -> list[bytes | None]:
+        """Packed ids of units of at most width symbols; None where a symbol isn't a piece."""
+        text = np.array(units, f"<U{width}").view(np.uint32).reshape(-1, width).T
+        ids, left, odd = self._merge_columns(text, np.fromiter(map(len, units), np.int64, len(units)))
+        packed = ids.astype("<i4").tobytes()
         return [None if o else packed[i : i + 4 * n] for i, n, o in zip(range(0, len(packed), 4 * width), left.tolist(), odd.tolist(), strict=True)]
 
     def packed(self, units: list[str]) -> list[bytes]:
@@ -174,22 +195,59 @@ class AgendaEncoder:
         got: list[bytes | None] = []
         for width in WIDTHS:
             while (k := len(got)) < (end := bisect_right(units, width, lo=k, key=len)):
-                got += self._merge_rows(units[k : min(end, k + 20_000)], width)
+                got += self._merge_rows(units[k : min(end, k + COLUMNS)], width)
         got += [None] * (len(units) - len(got))
-        # a unit falls apart at characters that are in no piece
         rest = [i for i, ids in enumerate(got) if ids is None]
-        runs = [self.runs.findall(units[i]) for i in rest]
+        for i, ids in zip(rest, self._apart([units[i] for i in rest]), strict=True):
+            got[i] = ids
+        return got
+
+    def _apart(self, units: list[str]) -> list[bytes]:
+        """Packed ids of units, each of which falls apart at characters that are in no piece; by a heap if it doesn't."""
+        runs = [self.runs.findall(u) for u in units]
         apart = sorted({r for rs in runs if len(rs) > 1 for r in rs}, key=len)
         known = dict(zip(apart, self.packed(apart), strict=True)) if apart else {}
-        for i, rs in zip(rest, runs, strict=True):
-            got[i] = b"".join(map(known.__getitem__, rs)) if len(rs) > 1 else array("I", self.merge(units[i])).tobytes()
-        return got
+        return [
+            b"".join(map(known.__getitem__, rs)) if len(rs) > 1 else array("I", self.merge(u)).tobytes()
+            for u, rs in zip(units, runs, strict=True)
+        ]
+
+    def _words(self, words: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of distinct words, each with a space mark before it: those of word i are n[i] from start[i] in one array."""
+        import pyarrow.compute as pc
+
+        _, ends, data = words.buffers()
+        ends = np.frombuffer(ends, np.int64)[words.offset : words.offset + len(words) + 1] if len(words) else np.zeros(1, np.int64)
+        chars = str(memoryview(data or b"")[ends[0] : ends[-1]], "utf-8") + "\0"
+        chars = np.frombuffer(chars.encode("utf-32-le"), "<u4")
+        size = pc.utf8_length(words).to_numpy()
+        at, order = size.cumsum() - size, size.argsort(kind="stable")
+        sizes = size[order] + 1
+        parts, start, n, rest, put, k = [], np.zeros_like(size), np.zeros_like(size), [], 0, 0
+        for width in WIDTHS:
+            end = int(sizes.searchsorted(width, "right"))
+            while k < end:
+                rows, k = order[k : min(end, k + COLUMNS)], min(end, k + COLUMNS)
+                text = np.full((width, len(rows)), ord(MARK), np.uint32)
+                text[1:] = chars.take(at[rows] + np.arange(width - 1)[:, None], mode="clip")
+                ids, left, odd = self._merge_columns(text, size[rows] + 1)
+                left[odd] = 0
+                parts.append(ids[np.arange(width) < left[:, None]])
+                n[rows], start[rows] = left, put + left.cumsum() - left
+                put += len(parts[-1])
+                rest.append(rows[odd])
+        rest = np.concatenate([*rest, order[k:]])
+        for i, ids in zip(rest.tolist(), self._apart([MARK + w for w in words.take(rest).to_pylist()]), strict=True):
+            parts.append(np.frombuffer(ids, "<i4"))
+            n[i], start[i] = len(parts[-1]), put
+            put += len(parts[-1])
+        return np.concatenate([np.empty(0, "<i4"), *parts]), start, n
 
     def learn(self, words: set[str]) -> None:
         """Merge the words that no table holds; afterwards the young table has all of words."""
         if len(self.young) + len(words) > WORDS:
             self.young, self.old = {}, self.young
-        missing = words - self.young.keys()
+        missing = words.difference(self.young)
         again = missing & self.old.keys()
         self.young.update(zip(again, map(self.old.__getitem__, again), strict=True))
         new = sorted(missing - again, key=len)
@@ -197,25 +255,38 @@ class AgendaEncoder:
 
     def encode_packed(self, texts: list[str]) -> list[bytes]:
         """Ids of each text with begin and end, as little-endian unsigned 32-bit integers."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
         normal = self.lib.normalize(texts)
         simple = [self.separable and t.startswith(MARK) and MARK + MARK not in t for t in normal]
-        split = [t[1:].split(MARK) if s else None for t, s in zip(normal, simple, strict=True)]
-        self.learn(set().union(*filter(None, split)))
-        whole = {t: self.units.findall(t) if self.separable else [t] for t, words in zip(normal, split, strict=True) if words is None}
-        units = sorted(set().union(*whole.values()), key=len)
-        known = dict(zip(units, self.packed(units), strict=True))
+        split = pc.split_pattern(pa.array([t[1:] for t, s in zip(normal, simple, strict=True) if s], pa.large_string()), MARK)
+        coded = split.values.dictionary_encode()
+        bodies = iter(_bodies(*self._words(coded.dictionary), coded.indices.to_numpy(), split.offsets.to_numpy()))
+        whole = {t: self.units.findall(t) if self.separable else [t] for t, s in zip(normal, simple, strict=True) if not s}
+        units = set().union(*whole.values())
+        marked = {u for u in units if self.separable and u[0] == MARK and u[1:2] not in ("", MARK)}
+        self.learn({u[1:] for u in marked})
+        others = sorted(units - marked, key=len)
+        known = {u: self.young[u[1:]] for u in marked} | dict(zip(others, self.packed(others), strict=True))
         out = []
-        for t, words in zip(normal, split, strict=True):
-            body = map(self.young.__getitem__, words) if words is not None else map(known.__getitem__, whole[t])
-            out.append(b"".join([self.first, *body, self.last]))
+        for t, s in zip(normal, simple, strict=True):
+            body = next(bodies) if s else b"".join(map(known.__getitem__, whole[t]))
+            out.append(b"".join([self.first, body, self.last]))
         return out
 
 
-def _but_one(rows: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The rows, each without its entry at a place."""
-    keep = np.ones(rows.shape, bool)
-    keep[np.arange(len(rows)), at] = False
-    return rows[keep].reshape(len(rows), rows.shape[1] - 1)
+def _bodies(ids: np.ndarray, start: np.ndarray, n: np.ndarray, words: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+    """Packed ids of texts: word i has n[i] ids from start[i], and the words of text i stand from offsets[i] to offsets[i + 1]."""
+    parts = []
+    for k in range(0, len(words), PLACED):
+        at = words[k : k + PLACED]
+        size = n[at]
+        end = size.cumsum()
+        parts.append(ids[np.arange(end[-1]) + np.repeat(start[at] - end + size, size)])
+    packed = b"".join(parts)
+    ends = (4 * np.concatenate(([0], n[words].cumsum()))[offsets]).tolist()
+    return [packed[a:b] for a, b in zip(ends, ends[1:], strict=False)]
 
 
 @lru_cache(maxsize=2)
@@ -229,10 +300,12 @@ def encode_texts(texts: list[str | None], model_file: str, check: bool = True) -
     if not texts:
         return []
     packed = enc.encode_packed(texts)
-    ids = enc.lib.encode(texts, add_bos=True, add_eos=True, num_threads=1) if check else [np.frombuffer(p, "<u4").tolist() for p in packed]
-    for text, ours, theirs in zip(texts, packed, ids, strict=True):
-        if check and array("I", theirs).tobytes() != ours:
-            raise ValueError(f"the agenda and the library differ on {text[:200]!r}")
+    if check:
+        # the library's ids as arrays: lists of so many integers take longer
+        for text, ours, theirs in zip(texts, packed, enc.lib.encode_as_numpy(texts, add_bos=True, add_eos=True, num_threads=1), strict=True):
+            if theirs.astype("<i4", copy=False).tobytes() != ours:
+                raise ValueError(f"the agenda and the library differ on {text[:200]!r}")
+    ids = [np.frombuffer(p, "<i4") for p in packed]
     return list(zip(packed, enc.lib.decode(ids, num_threads=1), strict=True))
 
 

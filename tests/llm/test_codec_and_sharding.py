@@ -3,6 +3,7 @@
 import hashlib
 import random
 import struct
+import time
 from collections import Counter
 
 import pytest
@@ -100,6 +101,34 @@ def test_very_long_text_of_distinct_words_and_small_tables(monkeypatch):
     assert len(encode_texts(texts * 2, MODEL)) == 6
 
 
+def test_words_of_a_slice_agree_with_the_heap():
+    enc, rng = AgendaEncoder(MODEL), random.Random(9)
+    words = {"".join(rng.choice("aeinrstdhlAÉé0.,%\n\0日ж😀") for _ in range(rng.randint(1, 40))) for _ in range(500)}
+    texts = ["", "one", " ".join(sorted(words)), "ends ", "two  marks", " ".join(WORDS), "\n".join(sorted(words))]
+    for given in (texts, texts[:1], texts[1:2], ["", "  "], []):
+        for text, packed in zip(given, enc.encode_packed(given), strict=True):
+            body = [i for u in enc.units.findall(enc.lib.normalize(text)) for i in enc.merge(u)]
+            assert list(struct.unpack(f"<{len(packed) // 4}I", packed)) == [enc.lib.bos_id(), *body, enc.lib.eos_id()], text[:50]
+
+
+def test_agenda_takes_less_time_than_the_check(spark):
+    """Most of the budget is the library's, which encodes each whole text too: the agenda has to stay below it. Both are
+    CPU times of one thread on the same texts, the best of three; tables of words are empty at first."""
+    texts = [r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").limit(1_000).collect()]
+    enc, ours, theirs = AgendaEncoder(MODEL), [], []
+    for _ in range(3):
+        enc.young, enc.old = {}, {}
+        began = time.process_time()
+        for i in range(0, len(texts), 250):
+            enc.encode_packed(texts[i : i + 250])
+        ours.append(time.process_time() - began)
+        began = time.process_time()
+        for i in range(0, len(texts), 250):
+            enc.lib.encode_as_numpy(texts[i : i + 250], add_bos=True, add_eos=True, num_threads=1)
+        theirs.append(time.process_time() - began)
+    assert min(ours) < 0.9 * min(theirs), (ours, theirs)
+
+
 def test_lookup_table():
     shards = [f"s{i}" for i in range(7)]
     table = sharding.lookup_table(shards, 1009)
