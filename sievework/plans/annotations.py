@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sievework.functions import coerce, geometry, jsonops, scoring, text
 from sievework.operators import anchors, relational
-from sievework.plans.catalogue import LOWER, SQUEEZED, contains_any_sql, query, sql_list, table, tag_sql
+from sievework.plans.catalogue import LOWER, SQUEEZED, contains_any_sql, query, spread, sql_list, table, tag_sql
 
 c = F.col
 SPAN = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(" + LOWER + r", '^[-–—:;,.\s]+', ''), '[-–—:;,.\s]+$', ''), '\b(the|a|an)\b\s+', '', 'g'), '\s+', ' ', 'g'))"
@@ -51,7 +51,7 @@ _LISTED = "['  ' || p_name, p_type, upper(p_name) || ' ', '', lower(p_type), p_b
 )
 def q_string_lists(spark, sf_dir):
     items = F.array(F.concat(F.lit("  "), "p_name"), "p_type", F.concat(F.upper("p_name"), F.lit(" ")), F.lit(""), F.lower("p_type"), "p_brand")
-    return table(spark, sf_dir, "part").select(
+    return spread(table(spark, sf_dir, "part")).select(
         "p_partkey", F.array_join(coerce.clean_string_list(items), "|").alias("cleaned"),
         F.array_join(coerce.unique_keep_order(items, F.lower), "|").alias("kept")
     )
@@ -65,7 +65,7 @@ ELSE list_concat(regexp_extract_all(p, '\b\d{3,4}\s+[A-Za-z0-9&\-.'']+(?:\s+[A-Z
 @query(f"""WITH a AS (SELECT p_partkey, {SQUEEZED.format(_WRITTEN)} AS t FROM part), b AS (SELECT *, list_filter({_UNITS}, lambda p: length(p) >= 2) AS u FROM a), d AS (SELECT *, {first_sql('u', 'lower({0})')} AS f FROM b)
 SELECT p_partkey, array_to_string(CASE WHEN len(f) > 0 THEN f[1:10] WHEN length(t) >= 2 THEN [t] ELSE [] END, '~') AS units FROM d""")
 def q_visible_units(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(text.visible_units(F.expr(_WRITTEN)), "~").alias("units"))
+    return spread(table(spark, sf_dir, "part")).select("p_partkey", F.array_join(text.visible_units(F.expr(_WRITTEN)), "~").alias("units"))
 
 
 def exact_sql(t: str) -> str:
@@ -86,7 +86,7 @@ WHEN contains(lower(role), 'observer') THEN 'background person' WHEN contains(lo
 def q_tags_and_roles(spark, sf_dir):
     own = F.array(F.element_at(F.split("p_name", " "), -1), F.when(c("p_size") % 2 == 0, "Man").otherwise(""))
     given = F.when(c("p_size") % 3 == 0, F.array(F.lit("vehicle"))).otherwise(F.array().cast("array<string>"))
-    tagged = table(spark, sf_dir, "part").withColumn("tags", text.semantic_tags(own, given, c("p_name"))["tags"])
+    tagged = spread(table(spark, sf_dir, "part")).withColumn("tags", text.semantic_tags(own, given, c("p_name"))["tags"])
     return tagged.select(
         "p_partkey", F.array_join("tags", ",").alias("tags"),
         text.functional_role(F.expr(_ROLE), c("p_name"), c("tags")).alias("role")
@@ -103,7 +103,7 @@ CASE WHEN p_size % 6 = 0 THEN 1 WHEN p_size % 2 = 0 THEN 4 ELSE 2 END AS queries
 def q_anchor_flags(spark, sf_dir):
     size = c("p_size")
     tags = F.array(F.when(size % 4 < 2, "Person").when(size % 4 == 2, " plant").otherwise("food"))
-    return table(spark, sf_dir, "part").select(
+    return spread(table(spark, sf_dir, "part")).select(
         "p_partkey",
         text.is_weak(F.when(size % 4 == 0, " Small").otherwise("full"), F.when(size % 3 == 0, "HIGH").otherwise("low")).alias("weak"),
         text.is_vague(F.when(size % 7 == 0, F.concat(F.lit("the Background "), "p_name")).otherwise(c("p_name"))).alias("vague"),
@@ -188,7 +188,7 @@ def worded(spark, sf_dir):
         F.lit("?").alias("salience"),
         F.lit("low").alias("confidence"),
     )
-    return table(spark, sf_dir, "part").withColumn("anchors", F.transform(words, word))
+    return spread(table(spark, sf_dir, "part")).withColumn("anchors", F.transform(words, word))
 
 
 @query(f"""WITH {_NUMBERED} SELECT k.p_partkey, string_agg('a' || k.n || ':' || k.span || CASE WHEN t.n IS NULL THEN '' ELSE ':next_to:a' || t.n END || ':' || CASE WHEN k.i % 2 = 1 THEN 'small' ELSE 'full' END || ':left:medium', ' ' ORDER BY k.n) AS anchors
