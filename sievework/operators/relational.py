@@ -185,19 +185,38 @@ def relation_edges(anchors: DataFrame, sample: str = "sample_id", anchor: str =
     """Distinct edges between anchors of a sample that both exist, numbered in order of the source anchor and its relations.
 
     An anchor's targets meet the set of its sample's anchors (those of one image), so that only edges that exist become
-    rows, and the relations of an anchor move once."""
+    rows. The relations of an anchor move once at most: not at all where the anchors are dealt out by sample."""
     ends = anchors.groupBy(sample).agg(F.collect_set(anchor).alias("_ends"))
-    asked = F.transform(F.col(relations), lambda r, i: F.struct(r["type"].alias("predicate"), r["target_anchor_id"].alias("object"), i.alias("pos")))
-    lists = anchors.select(sample, F.col(anchor).alias("subject"), asked.alias("_asked"))
-    known = F.filter("_asked", lambda r: F.array_contains("_ends", r["object"]))
-    met = lists.join(ends, sample).select(sample, "subject", F.explode(known).alias("r"))
-    firsts = met.groupBy(
-        sample, "subject", F.col("r.predicate").alias("predicate"), F.col("r.object").alias("object")
+    lists = anchors.select(sample, F.col(anchor).alias("subject"), F.col(relations).alias("_asked"))
+    # joined by hash, so that the lists aren't sorted; those that name no anchor of the sample go before any is taken apart
+    met = lists.join(ends.hint("shuffle_hash"), sample).where(F.arrays_overlap("_asked.target_anchor_id", "_ends"))
+    numbered = F.transform("_asked", lambda r, i: F.struct(r["type"].alias("type"), r["target_anchor_id"].alias("to"), i.alias("pos")))
+    known = met.select(sample, "subject", F.explode(F.filter(numbered, lambda r: F.array_contains("_ends", r["to"]))).alias("r"))
+    firsts = known.groupBy(
+        sample, "subject", F.col("r.type").alias("predicate"), F.col("r.to").alias("object")
     ).agg(F.min("r.pos").alias("pos"))
     return firsts.withColumn("relation_index", F.row_number().over(W.partitionBy(sample).orderBy("subject", "pos")) - 1).drop("pos")
 
 
 def resolve_entities(
+def entity_pairs(phrases: DataFrame, anchors: DataFrame, phrase: str, words: str, sample: str = "sample_id") -> DataFrame:
+    """Pairs of the distinct phrases (_p) and anchor texts (_t) of a sample that share a word, a head's lemma or all of
+    their text, with match_score. No other pair scores above 0."""
+    def distinct(df: DataFrame, column: str, name: str) -> DataFrame:
+        return df.select(sample, F.col(column).alias(name)).distinct().withColumn(f"{name}_terms", text.match_terms(F.col(name)))
+
+    def by_term(df: DataFrame, name: str) -> DataFrame:
+        t = F.col(f"{name}_terms")
+        marks = F.array(F.concat(F.lit("="), t["text"]), F.concat(F.lit("~"), nonempty(t["lemma"])))
+        held = F.array_compact(F.concat(t["words"], marks))
+        return df.where(t["text"] != "").select(sample, name, F.explode(held).alias("_term"))
+
+    said, held = distinct(phrases, phrase, "_p"), distinct(anchors, words, "_t")
+    pairs = by_term(said, "_p").join(by_term(held, "_t"), [sample, "_term"]).select(sample, "_p", "_t").distinct()
+    scored = pairs.join(said, [sample, "_p"]).join(held, [sample, "_t"])
+    return scored.select(sample, "_p", "_t", text.match_points(F.col("_p_terms"), F.col("_t_terms")).alias("match_score"))
+
+
     phrases: DataFrame, anchors: DataFrame, score: Column, order: str, sample: str = "sample_id",
     key: str = "phrase_id", least: float = 2.5
 ) -> DataFrame:
