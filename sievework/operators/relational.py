@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sievework.functions.coerce import clamp
+from sievework.functions import text
+from sievework.functions.coerce import clamp, nonempty
 
 
 def stable_hash(c: Column) -> Column:
@@ -198,7 +199,6 @@ def relation_edges(anchors: DataFrame, sample: str = "sample_id", anchor: str =
     return firsts.withColumn("relation_index", F.row_number().over(W.partitionBy(sample).orderBy("subject", "pos")) - 1).drop("pos")
 
 
-def resolve_entities(
 def entity_pairs(phrases: DataFrame, anchors: DataFrame, phrase: str, words: str, sample: str = "sample_id") -> DataFrame:
     """Pairs of the distinct phrases (_p) and anchor texts (_t) of a sample that share a word, a head's lemma or all of
     their text, with match_score. No other pair scores above 0."""
@@ -217,7 +217,8 @@ def entity_pairs(phrases: DataFrame, anchors: DataFrame, phrase: str, words: str
     return scored.select(sample, "_p", "_t", text.match_points(F.col("_p_terms"), F.col("_t_terms")).alias("match_score"))
 
 
-    phrases: DataFrame, anchors: DataFrame, score: Column, order: str, sample: str = "sample_id",
+def resolve_entities(
+    phrases: DataFrame, anchors: DataFrame, phrase: str, words: str, order: str, sample: str = "sample_id",
     key: str = "phrase_id", least: float = 2.5
 ) -> DataFrame:
     """Of each phrase, the anchor of its sample with the best score, the first of equals, if it reaches least."""

@@ -134,9 +134,7 @@ def q_resolve_entities(spark, sf_dir):
     phrases, held = named.where("p_partkey % 2 = 1").select("sample_id", c("p_partkey").alias("phrase_id"), c("t").alias("phrase")), named.where("p_partkey % 2 = 0").select(
         "sample_id", c("p_partkey").alias("anchor"), c("t").alias("anchor_text")
     )
-    return relational.resolve_entities(
-        phrases, held, text.match_score(c("phrase"), c("anchor_text")), "anchor"
-    ).select(c("phrase_id").alias("p_partkey"), "anchor", "match_score")
+    return relational.resolve_entities(phrases, held, "phrase", "anchor_text", "anchor").select(c("phrase_id").alias("p_partkey"), "anchor", "match_score")
 
 
 _SAID = "CASE o_orderkey % 4 WHEN 0 THEN '[MASK] m; [FILL] ' || o_orderpriority || ' hat;; [VISUAL] soft  light , warm' WHEN 1 THEN '[fill] lower ' || o_orderstatus WHEN 2 THEN '[FILL]one two three four five six seven eight nine ten eleven' ELSE ' no marks ' || o_orderstatus END"
