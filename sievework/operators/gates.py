@@ -91,8 +91,7 @@ def kept_and_quarantined(df: DataFrame, reason: str = "filter_reason") -> tuple[
 
 def term_hits(text: Column, terms: list[str]) -> Column:
     """Terms that occur as substrings, in their order."""
-    t = lower_squeezed(text)
-    return F.filter(F.array(*map(F.lit, terms)), lambda w: t.contains(w))
+    return let(lower_squeezed(text), lambda t: F.filter(F.array(*map(F.lit, terms)), lambda w: t.contains(w)))
 
 
 def sensitive_flag(article: Column, candidates: Column) -> Column:
