@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sievework.functions.coerce import let
 from sievework.functions.text import is_generic_span, without_fences
 
 #: Strings, ended or not, and brackets.
@@ -104,9 +105,10 @@ def _field(v: Column, name: str) -> Column:
     return F.try_variant_get(v, f"$.{name}", "variant")
 
 
-def _has(v: Column, name: str) -> Column:
-    """Whether an object has a field, be it null."""
-    return F.coalesce(F.array_contains(F.json_object_keys(F.to_json(v)), name), F.lit(False))
+def _keyed(v: Column, use) -> Column:
+    """use(v, has): v is worked out and its keys are listed once; has(name) tells whether the object has a field, be it null."""
+    keys = lambda x: F.coalesce(F.json_object_keys(F.to_json(x)), F.array().cast("array<string>"))
+    return let(v, lambda x: let(keys(x), lambda k: use(x, lambda name: F.array_contains(k, name))))
 
 
 def _is(v: Column, kind: str) -> Column:
@@ -115,51 +117,74 @@ def _is(v: Column, kind: str) -> Column:
 
 def caption_error(v: Column) -> Column:
     """The first rule that a caption (VARIANT) breaks; null if none."""
-    missing = [F.when(~_has(v, k), F.lit(f"caption_missing_key:{k}")) for k in CAPTION_FIELDS]
-    invalid = [F.when(~_is(_field(v, k), kind), F.lit(f"caption_invalid_{k}")) for k, kind in CAPTION_FIELDS.items()]
-    lists = [F.when(_has(v, k) & ~_is(_field(v, k), "list"), F.lit(f"caption_invalid_{k}")) for k in CAPTION_LISTS]
-    return F.coalesce(F.when(~_is(v, "object"), F.lit("caption_not_dict")), *missing, *invalid, *lists)
+    def of(x: Column, has) -> Column:
+        missing = [F.when(~has(k), F.lit(f"caption_missing_key:{k}")) for k in CAPTION_FIELDS]
+        invalid = [F.when(~_is(_field(x, k), kind), F.lit(f"caption_invalid_{k}")) for k, kind in CAPTION_FIELDS.items()]
+        lists = [F.when(has(k) & ~_is(_field(x, k), "list"), F.lit(f"caption_invalid_{k}")) for k in CAPTION_LISTS]
+        return F.coalesce(F.when(~_is(x, "object"), F.lit("caption_not_dict")), *missing, *invalid, *lists)
+
+    return _keyed(v, of)
 
 
 def context_error(v: Column) -> Column:
     key = "article_context_rewrite"
-    return F.when(~_is(v, "object"), F.lit("context_not_dict")).when(~_has(v, key), F.lit(f"context_missing_{key}")).when(
-        ~_is(_field(v, key), "string"), F.lit(f"context_invalid_{key}")
+    return _keyed(
+        v,
+        lambda x, has: F.when(~_is(x, "object"), F.lit("context_not_dict")).when(~has(key), F.lit(f"context_missing_{key}")).when(
+            ~_is(_field(x, key), "string"), F.lit(f"context_invalid_{key}")
+        )
     )
 
 
 def missed_error(v: Column) -> Column:
-    return F.when(~_is(v, "object"), F.lit("missed_not_dict")).when(~_is(_field(v, "missed_anchors"), "list"), F.lit("missed_invalid_list"))
+    return let(
+        v,
+        lambda x: F.when(~_is(x, "object"), F.lit("missed_not_dict")).when(~_is(_field(x, "missed_anchors"), "list"), F.lit("missed_invalid_list"))
+    )
 
 
-def _anchor_error(a: Column, i: Column, before: Column) -> Column:
-    """The first rule that an anchor (VARIANT) breaks. before: ids of the anchors before it."""
-    name, span, place = F.try_variant_get(a, "$.anchor_id", "string"), F.try_variant_get(a, "$.span", "string"), _field(a, "localization")
-    said = lambda what, *more: F.concat(F.lit(f"{what}:"), name, *more)
+def _anchor_error(a: Column, i: Column, ids: Column) -> Column:
+    """The first rule that an anchor (VARIANT) breaks. ids: those of all anchors, of which an earlier one may have its own."""
     inside = ("level", "region_hint")
     every = lambda test: reduce(lambda x, y: x & y, [test(k) for k in inside])
-    return F.coalesce(
-        F.when(~_is(a, "object"), F.concat(F.lit("anchor_not_dict:"), i.cast("string"))),
-        F.when(~_is(_field(a, "anchor_id"), "string") | (name == ""), F.concat(F.lit("anchor_invalid_id:"), i.cast("string"))),
-        F.when(F.array_contains(before, name), said("duplicate_anchor_id")),
-        *[F.when(~_has(a, k), said("anchor_missing_key", F.lit(f":{k}"))) for k in ANCHOR_FIELDS],
-        F.when(~_is(_field(a, "span"), "string") | (F.trim(span) == ""), said("anchor_invalid_span")),
-        F.when(is_generic_span(span), said("anchor_generic_span", F.lit(":"), span)),
-        *[F.when(~_is(_field(a, k), kind), said(f"anchor_invalid_{k}")) for k, kind in ANCHOR_TYPES.items()],
-        F.when(~every(lambda k: _has(place, k)), said("anchor_missing_localization_fields")),
-        F.when(~every(lambda k: _is(_field(place, k), "string")), said("anchor_invalid_localization_fields")),
-    )
+
+    def placed(place: Column, has, name: Column) -> Column:
+        return F.when(~every(has), F.concat(F.lit("anchor_missing_localization_fields:"), name)).when(
+            ~every(lambda k: _is(_field(place, k), "string")), F.concat(F.lit("anchor_invalid_localization_fields:"), name)
+        )
+
+    def of(x: Column, has) -> Column:
+        name, span = F.get(ids, i), F.try_variant_get(x, "$.span", "string")
+        said = lambda what, *more: F.concat(F.lit(f"{what}:"), name, *more)
+        return F.coalesce(
+            F.when(~_is(x, "object"), F.concat(F.lit("anchor_not_dict:"), i.cast("string"))),
+            F.when(~_is(_field(x, "anchor_id"), "string") | (name == ""), F.concat(F.lit("anchor_invalid_id:"), i.cast("string"))),
+            F.when(F.array_position(ids, name) <= i, said("duplicate_anchor_id")),
+            *[F.when(~has(k), said("anchor_missing_key", F.lit(f":{k}"))) for k in ANCHOR_FIELDS],
+            F.when(~_is(_field(x, "span"), "string") | (F.trim(span) == ""), said("anchor_invalid_span")),
+            F.when(is_generic_span(span), said("anchor_generic_span", F.lit(":"), span)),
+            *[F.when(~_is(_field(x, k), kind), said(f"anchor_invalid_{k}")) for k, kind in ANCHOR_TYPES.items()],
+            _keyed(_field(x, "localization"), lambda place, held: placed(place, held, name)),
+        )
+
+    return _keyed(a, of)
 
 
 def anchors_error(v: Column, least: int = 1) -> Column:
     """The first rule that extracted anchors (VARIANT) break, with the place or id of the anchor; null if none."""
-    items = F.try_variant_get(v, "$.anchors", "array<variant>")
-    ids = F.transform(items, lambda a: F.try_variant_get(a, "$.anchor_id", "string"))
-    first = F.get(F.array_compact(F.transform(items, lambda a, i: _anchor_error(a, i, F.slice(ids, F.lit(1), i)))), F.lit(0))
     caption = "grounded_context_caption"
-    return F.coalesce(
-        F.when(~_is(v, "object"), F.lit("anchors_not_dict")), F.when(~_has(v, caption) | ~_has(v, "anchors"), F.lit("anchors_missing_top_keys")),
-        F.when(~_is(_field(v, caption), "string"), F.lit(f"anchors_invalid_{caption}")),
-        F.when(~_is(_field(v, "anchors"), "list"), F.lit("anchors_invalid_list")),
-        F.when(F.size(items) < least, F.concat(F.lit("too_few_anchors:"), F.size(items).cast("string"))), first,
+
+    def listed(items: Column) -> Column:
+        found = lambda ids: F.get(F.array_compact(F.transform(items, lambda a, i: _anchor_error(a, i, ids))), F.lit(0))
+        first = let(F.transform(items, lambda a: F.try_variant_get(a, "$.anchor_id", "string")), found)
+        return F.coalesce(F.when(F.size(items) < least, F.concat(F.lit("too_few_anchors:"), F.size(items).cast("string"))), first)
+
+    return _keyed(
+        v,
+        lambda x, has: F.coalesce(
+            F.when(~_is(x, "object"), F.lit("anchors_not_dict")), F.when(~has(caption) | ~has("anchors"), F.lit("anchors_missing_top_keys")),
+            F.when(~_is(_field(x, caption), "string"), F.lit(f"anchors_invalid_{caption}")),
+            F.when(~_is(_field(x, "anchors"), "list"), F.lit("anchors_invalid_list")),
+            let(F.try_variant_get(x, "$.anchors", "array<variant>"), listed)
+        )
     )
