@@ -97,17 +97,17 @@ def term_hits(text: Column, terms: list[str]) -> Column:
 def sensitive_flag(article: Column, candidates: Column) -> Column:
     """Struct of hits where both the article and a candidate name protected characteristics; null otherwise.
     candidates: array of struct severity, candidate_index, edited_anchor, edit_instruction."""
-    context = term_hits(article, CONTEXT_TERMS)
     hit = lambda c: F.struct(
         c["severity"].alias("severity"), c["candidate_index"].alias("candidate_index"),
         term_hits(F.concat_ws(" ", c["edit_instruction"], c["edited_anchor"]), EDIT_TERMS).alias("matched_terms"),
         c["edited_anchor"].alias("edited_anchor")
     )
     edits = F.filter(F.transform(candidates, hit), lambda h: F.size(h["matched_terms"]) > 0)
-    return F.when(
-        (F.size(context) > 0) & (F.size(edits) > 0),
-        F.struct(F.lit(True).alias("flagged"), context.alias("context_terms_matched"), edits.alias("edit_hits"))
+    flag = lambda x: F.when(
+        (F.size(x["context"]) > 0) & (F.size(x["edits"]) > 0),
+        F.struct(F.lit(True).alias("flagged"), x["context"].alias("context_terms_matched"), x["edits"].alias("edit_hits"))
     )
+    return let(F.struct(term_hits(article, CONTEXT_TERMS).alias("context"), edits.alias("edits")), flag)
 
 
 def edit_reasons(row: dict[str, Column], cfg) -> list[tuple[Column, str | Column]]:
