@@ -221,9 +221,17 @@ def resolve_entities(
     phrases: DataFrame, anchors: DataFrame, phrase: str, words: str, order: str, sample: str = "sample_id",
     key: str = "phrase_id", least: float = 2.5
 ) -> DataFrame:
-    """Of each phrase, the anchor of its sample with the best score, the first of equals, if it reaches least."""
-    pairs = phrases.join(anchors, sample).withColumn("match_score", score).where(F.col("match_score") >= least)
-    return first_in_group(pairs, [sample, key], [F.desc("match_score"), F.col(order)])
+    """Of each phrase, the anchor of its sample with the best match_score, the first of equals, if it reaches least (above 0).
+
+    Each phrase and anchor text of a sample is compared once, however many rows have it, and only with those that it has a
+    term in common with."""
+    firsts = first_in_group(anchors, [sample, words], [F.col(order)]).withColumnRenamed(words, "_t")
+    pairs = entity_pairs(phrases, anchors, phrase, words, sample).where(F.col("match_score") >= least)
+    best = first_in_group(pairs.join(firsts, [sample, "_t"]), [sample, "_p"], [F.desc("match_score"), F.col(order)])
+    found = phrases.join(best.withColumnRenamed("_p", phrase), [sample, phrase]).withColumnRenamed("_t", words)
+    return first_in_group(found, [sample, key], [F.desc("match_score"), F.col(order)]).select(
+        *phrases.columns, *[n for n in anchors.columns if n != sample], "match_score"
+    )
 
 
 def eligible_groups(df: DataFrame, key: str, keep: str) -> DataFrame:
