@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sievework.functions.coerce import clamp, safe_str, strict_clamp
+from sievework.functions.coerce import clamp, let, safe_str, strict_clamp
 from sievework.functions.text import has_any, lower_squeezed
 
 # Weights, thresholds and priors of the release and of planning, and the planning keyword bank.
@@ -165,15 +165,24 @@ def visibility_proxy(mask_ratio: Column, grounding: Column) -> Column:
 
 def salience_terms(relations: Column, mask_ratio: Column, category: Column, headline: Column, summary: Column, anchor: Column) -> Column:
     """Struct mention, relation_term, size_term, category_bonus and the proxy."""
-    blob, named, cat = lower_squeezed(F.concat_ws(" ", headline, summary)), lower_squeezed(anchor), lower_squeezed(category)
-    mention = F.when((named != "") & blob.contains(named), 1.0).otherwise(0.0)
+    blob = lower_squeezed(F.concat_ws(" ", headline, summary))
+    mention = let(
+        F.struct(blob.alias("blob"), lower_squeezed(anchor).alias("named")),
+        lambda x: F.when((x["named"] != "") & x["blob"].contains(x["named"]), 1.0).otherwise(0.0)
+    )
     related, sized = clamp(relations / F.lit(MANY_RELATIONS)), clamp(F.coalesce(mask_ratio, F.lit(0.0)) / FULL_SIZE)
-    bonus = reduce(lambda w, kv: w.when(has_any(cat, kv[1]), kv[0]), BONUS_CATEGORIES.items(), F.when(F.lit(False), 0.0)).otherwise(0.0)
+    bonus = let(
+        lower_squeezed(category),
+        lambda cat: reduce(lambda w, kv: w.when(has_any(cat, kv[1]), kv[0]), BONUS_CATEGORIES.items(), F.when(F.lit(False), 0.0)).otherwise(0.0)
+    )
     w = SALIENCE_WEIGHTS
-    proxy = clamp(w["mention"] * mention + w["relations"] * related + w["size"] * sized + w["category"] * bonus)
-    return F.struct(
-        mention.alias("mention"), related.alias("relation_term"), sized.alias("size_term"),
-        bonus.alias("category_bonus"), proxy.alias("proxy")
+    parts = F.struct(mention.alias("mention"), related.alias("relation_term"), sized.alias("size_term"), bonus.alias("category_bonus"))
+    proxy = lambda p: clamp(
+        w["mention"] * p["mention"] + w["relations"] * p["relation_term"] + w["size"] * p["size_term"] + w["category"] * p["category_bonus"]
+    )
+    return let(
+        parts,
+        lambda p: F.struct(*[p[n].alias(n) for n in ("mention", "relation_term", "size_term", "category_bonus")], proxy(p).alias("proxy"))
     )
 
 
@@ -200,26 +209,31 @@ def confidence(realism: Column, localizability: Column, editability: Column) ->
 
 def object_tier(anchor: Column, category: Column, bank: dict[str, list[str]] | None = None) -> Column:
     """Struct tier, prior and reason: the first keyword of the highest tier that occurs, else by category."""
-    hay, words = lower_squeezed(F.concat(safe_str(anchor), F.lit(" | "), safe_str(category))), bank or TIER_WORDS
+    words = {tier: [w for w in found if w] for tier, found in (bank or TIER_WORDS).items()}
     answer = lambda t, p, why: F.struct(F.lit(t).alias("tier"), F.lit(p).alias("prior"), why.alias("reason"))
-    out = F.when(F.lit(False), answer("", 0.0, F.lit("")))
-    for tier, prior in PLAN_PRIORS.items():
-        hit = F.try_element_at(
-            F.filter(F.array(*map(F.lit, words.get(tier, []))), lambda w: (w != "") & hay.contains(w)),
-            F.lit(1)
-        ) if words.get(tier) else F.lit(None).cast("string")
-        out = out.when(hit.isNotNull(), answer(tier, prior, hit))
-    out = out.when(has_any(hay, ["person", "face", "logo", "sign", "text"]), answer("tier_b", 0.50, F.lit("category_fallback")))
-    return out.otherwise(answer("tier_a", 0.20, F.lit("default_fallback")))
+
+    def of(hay: Column) -> Column:
+        out = F.when(F.lit(False), answer("", 0.0, F.lit("")))
+        for tier, prior in PLAN_PRIORS.items():
+            if words.get(tier):
+                hit = F.get(F.filter(F.array(*map(F.lit, words[tier])), lambda w: hay.contains(w)), F.lit(0))
+                out = out.when(has_any(hay, words[tier]), answer(tier, prior, hit))
+        out = out.when(has_any(hay, ["person", "face", "logo", "sign", "text"]), answer("tier_b", 0.50, F.lit("category_fallback")))
+        return out.otherwise(answer("tier_a", 0.20, F.lit("default_fallback")))
+
+    return let(lower_squeezed(F.concat(safe_str(anchor), F.lit(" | "), safe_str(category))), of)
 
 
 def allowed_operations(category: Column, anchor: Column, mask_ratio: Column) -> Column:
-    c, a = lower_squeezed(category), lower_squeezed(anchor)
-    hints = [
-        F.when(c.contains(h) | a.contains(h), F.array(*map(F.lit, ops))).otherwise(F.array().cast("array<string>")) for h,
-        ops in HINTED_OPERATIONS.items()
-    ]
-    ops = F.array_distinct(reduce(lambda x, y: F.concat(x, y), hints, F.array(F.lit("replace"), F.lit("remove"), F.lit("attribute_change"))))
+    def of(x: Column) -> Column:
+        hints = [
+            F.when(x["c"].contains(h) | x["a"].contains(h), F.array(*map(F.lit, ops))).otherwise(F.array().cast("array<string>")) for h,
+            ops in HINTED_OPERATIONS.items()
+        ]
+        base, known = F.array(F.lit("replace"), F.lit("remove"), F.lit("attribute_change")), list(HINTED_OPERATIONS)
+        return F.when(has_any(x["c"], known) | has_any(x["a"], known), F.array_distinct(F.concat(base, *hints))).otherwise(base)
+
+    ops = let(F.struct(lower_squeezed(category).alias("c"), lower_squeezed(anchor).alias("a")), of)
     return F.when(F.coalesce(mask_ratio, F.lit(0.0)) > 0.02, F.array_remove(ops, "insert")).otherwise(ops)
 
 
